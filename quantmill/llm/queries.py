@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from quantmill.llm.decontaminate import op1_decontamination
+from quantmill.llm.license_scan import op4_license_scan
+from quantmill.llm.line_dedup import op9_line_dedup
 from quantmill.llm.mixing import OP2_SQL, op2_mixing
 from quantmill.llm.quality import op7_quality_rules
 from quantmill.llm.secrets import op5_secrets
 from quantmill.llm.sharding import op8_sharding
 from quantmill.llm.simhash import op3_simhash_dedup
+from quantmill.llm.suffix_tree import op10_suffix_tree
 from quantmill.llm.token_counts import op6_token_counts
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_simhash_dedup, op5_secrets, op6_token_counts, op7_quality_rules, op8_sharding)}
+    every = (
+        op1_decontamination, op2_mixing, op3_simhash_dedup, op4_license_scan, op5_secrets,
+        op6_token_counts, op7_quality_rules, op8_sharding, op9_line_dedup, op10_suffix_tree,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
