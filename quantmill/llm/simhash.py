@@ -45,14 +45,13 @@ def fingerprint(text: str | None, size: int = WORDS) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
-@F.pandas_udf("long")
 def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in texts:
         yield pd.Series(np.array([fingerprint(x) for x in batch], np.uint64).view(np.int64))
 
 
 def with_fingerprint(docs: DataFrame, name: str = "fp") -> DataFrame:
-    return docs.withColumn(name, _fingerprints(F.col("text")))
+    return docs.withColumn(name, F.pandas_udf(_fingerprints, "long")(F.col("text")))
 
 
 def block_masks(blocks: int = BLOCKS, distance: int = DISTANCE) -> list[int]:
