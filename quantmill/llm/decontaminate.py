@@ -12,12 +12,13 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantmill.llm.text import NOT_ALNUM, ascii_lower, digest, split_words, whole
+from quantmill.llm.text import NOT_ALNUM, ascii_lower, digest, let, split_words, whole
 
 WINDOW = 13
 SLOTS = 1 << 16
 MAX_WINDOWS = 50_000
-OWN = ("_w", "_at", "_row")
+HITS = "array<struct<at:int,length:int,items:array<string>>>"
+OWN = ("_w", "_found", "_row")
 
 
 def normal_words(text: Column) -> Column:
@@ -52,9 +53,9 @@ def _table(windows: DataFrame, lengths: list[int]) -> tuple[Column, Column]:
     return taken, F.from_json(F.lit(json.dumps(slots, separators=(",", ":"))), "array<array<struct<length:int,gram:string,items:array<string>>>>")
 
 
-def _places(lengths: list[int], taken) -> Column:
+def _places(w: Column, lengths: list[int], taken) -> Column:
     """Array of (at, length) of a document's windows whose first words have a slot for which ``taken(slot)`` holds."""
-    w, n, none = F.col("_w"), F.size("_w"), F.array().cast("array<struct<at:int,length:int>>")
+    n, none = F.size(w), F.array().cast("array<struct<at:int,length:int>>")
 
     def of(some: list[int]) -> Column:
         at = F.filter(F.sequence(F.lit(0), n - some[0]), lambda i: taken(_slot(w, i, some[0])))
@@ -70,34 +71,39 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_w
 
     Repeated rows, null ids and null texts (no words) stay as rows.  An empty benchmark gives no hits.
     """
-    docs = docs.drop("n_words", "hits", *OWN).withColumn("_w", normal_words(F.col("text")))
-    docs = docs.withColumn("n_words", F.size("_w").cast("long"))
+    docs = docs.drop("n_words", "hits", *OWN)
+    words = normal_words(F.col("text"))
     windows = benchmark_windows(benchmark, window)
     found = windows.groupBy("length").count().collect()  # at most one row per length up to ``window``
     lengths, total = sorted(r["length"] for r in found), sum(r["count"] for r in found)
     if not lengths:
-        return docs.withColumn("hits", F.array().cast("array<struct<at:int,length:int,items:array<string>>>")).drop("_w")
-    gram = lambda x: F.array_join(F.transform(F.sequence(x["at"], x["at"] + x["length"] - 1), lambda i: F.get("_w", i)), " ")
+        return docs.withColumn("n_words", F.size(words).cast("long")).withColumn("hits", F.array().cast(HITS))
     if total <= max_windows:
         taken, table = _table(windows, lengths)
-        docs = docs.withColumn("_at", _places(lengths, lambda slot: F.get(taken, slot) == 1))
-        one = lambda x: F.struct(x["at"].alias("at"), x["length"].alias("length"), gram(x).alias("gram"))
-        docs = docs.withColumn("_at", F.transform("_at", one))
-        own = lambda x: F.coalesce(*[F.when(x["length"] == k, F.get(table, _slot(F.col("_w"), x["at"], k))) for k in lengths])
-        whose = lambda x: F.get(F.filter(own(x), lambda y: (y["length"] == x["length"]) & (y["gram"] == x["gram"])), 0)["items"]
-        hits = F.transform("_at", lambda x: F.struct(x["at"].alias("at"), x["length"].alias("length"), whose(x).alias("items")))
-        return docs.withColumn("hits", F.filter(hits, lambda x: x["items"].isNotNull())).drop("_w", "_at")
-    return _joined(docs, windows, lengths, gram)
 
+        def verified(w: Column) -> Column:
+            own = lambda x: F.coalesce(*[F.when(x["length"] == k, F.get(table, _slot(w, x["at"], k))) for k in lengths])
+            whose = lambda x: F.get(F.filter(own(x), lambda y: (y["length"] == x["length"]) & (y["gram"] == gram(w, x))), 0)["items"]
+            at = _places(w, lengths, lambda slot: F.get(taken, slot) == 1)
+            hits = F.transform(at, lambda x: F.struct(x["at"].alias("at"), x["length"].alias("length"), whose(x).alias("items")))
+            return F.struct(F.size(w).cast("long").alias("n_words"), F.filter(hits, lambda x: x["items"].isNotNull()).alias("hits"))
 
-def _joined(docs: DataFrame, windows: DataFrame, lengths: list[int], gram) -> DataFrame:
+        docs = docs.withColumn("_found", let(words, verified))
+        return docs.withColumn("n_words", F.col("_found.n_words")).withColumn("hits", F.col("_found.hits")).drop("_found")
+    return _joined(docs.withColumn("_w", words).withColumn("n_words", F.size("_w").cast("long")), windows, lengths)
+
+
+def gram(words: Column, x: Column) -> Column:
+    return F.array_join(F.transform(F.sequence(x["at"], x["at"] + x["length"] - 1), lambda i: F.get(words, i)), " ")
+
+
+def _joined(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     """For a benchmark that is too large to send: join on the windows' words; hits return by content digest."""
     docs = docs.withColumn("_row", digest(F.array_join("_w", " ")))
-    at = docs.select("_row", "_w", F.explode(_places(lengths, lambda slot: F.lit(True))).alias("x"))
-    at = at.select("_row", "x.at", "x.length", gram(F.col("x")).alias("gram"))
+    at = docs.select("_row", "_w", F.explode(_places(F.col("_w"), lengths, lambda slot: F.lit(True))).alias("x"))
+    at = at.select("_row", "x.at", "x.length", gram(F.col("_w"), F.col("x")).alias("gram"))
     met = at.join(windows.drop("w"), ["length", "gram"]).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("at", "length", "items"))).alias("hits"))
-    none = F.array().cast("array<struct<at:int,length:int,items:array<string>>>")
-    return docs.join(met, "_row", "left").withColumn("hits", F.coalesce("hits", none)).drop("_row", "_w")
+    return docs.join(met, "_row", "left").withColumn("hits", F.coalesce("hits", F.array().cast(HITS))).drop("_row", "_w")
 
 
 def judge(found: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantmill.llm.text import digest, has_word, split_words, whole
+from quantmill.llm.text import digest, has_word, let, split_words, whole
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -18,14 +18,26 @@ LINE_LIMIT = 100
 #: A document is depleted when boilerplate lines hold more than this share of its characters.
 DEPLETED_SHARE = 0.7
 SYMBOLS = r"[#*$%&|<>]+"
-OWN = ("_text", "_words", "_windows", "_dealt", "_lines")
+OWN = ("_text", "_words", "_lines")
 
 
-def _repeat_words() -> Column:
-    """Words inside three-word windows that occur twice or more.  _dealt has the windows by hash: look at both neighbours."""
-    dealt = F.col("_dealt")
-    twice = F.filter(dealt, lambda x, i: F.coalesce(F.get(dealt, i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(dealt, i + 1)["h"] == x["h"], F.lit(False)))
-    return F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["at"], x["at"] + 1, x["at"] + 2))))
+def _repeat_words(words: Column) -> Column:
+    """Words inside three-word windows that occur twice or more: sort windows by hash, look at both neighbours."""
+
+    def covered(dealt: Column) -> Column:
+        same = lambda x, other: F.coalesce(F.get(dealt, other)["h"] == x["h"], F.lit(False))
+        twice = F.filter(dealt, lambda x, i: same(x, i - 1) | same(x, i + 1))
+        return F.size(F.array_distinct(F.flatten(F.transform(twice, lambda x: F.array(x["at"], x["at"] + 1, x["at"] + 2)))))
+
+    def repeated(windows: Column) -> Column:
+        dealt = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
+        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), 0).otherwise(let(dealt, covered))
+
+    def windows(w: Column) -> Column:
+        window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+        return F.when(F.size(w) >= 3, let(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window), repeated)).otherwise(0)
+
+    return let(words, windows)
 
 
 def signals(docs: DataFrame) -> DataFrame:
@@ -36,19 +48,13 @@ def signals(docs: DataFrame) -> DataFrame:
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     docs = docs.drop(*names, *OWN).withColumn("_text", whole(F.col("text")))
     docs = docs.withColumn("_words", split_words(F.col("_text")))
-    w = F.col("_words")
-    window = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    docs = docs.withColumn("_windows", F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), window)).otherwise(F.array().cast("array<bigint>")))
     lines = F.filter(F.split("_text", "\n"), has_word)
-    docs = docs.withColumn("n_words", F.size("_words").cast("long"))
-    plain = F.size(F.array_distinct("_windows")) == F.size("_windows")
-    docs = docs.withColumn("_dealt", F.when(~plain, F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("at"))))))
-    docs = docs.withColumn("n_repeat_words", F.when(F.col("_dealt").isNull(), 0).otherwise(F.size(_repeat_words())).cast("long"))
+    docs = docs.withColumn("n_words", F.size("_words").cast("long")).withColumn("n_repeat_words", _repeat_words(F.col("_words")).cast("long"))
     docs = docs.withColumn("word_chars", F.char_length(F.array_join("_words", "")).cast("long"))
     docs = docs.withColumn("n_symbols", (F.char_length("_text") - F.char_length(F.regexp_replace("_text", SYMBOLS, ""))).cast("long"))
     docs = docs.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return docs.withColumn("base_failed", failed).drop("_text", "_words", "_windows", "_dealt", "_lines")
+    return docs.withColumn("base_failed", failed).drop("_text", "_words", "_lines")
 
 
 def line_key(line: Column) -> Column:

@@ -32,3 +32,12 @@ def digest(text: Column) -> Column:
 
 def has_word(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A column that a lambda function refers to may be put back into it as an expression when a filter is pushed down,
+    and would then be computed for every element.  A value bound this way cannot be.
+    """
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
