@@ -51,7 +51,11 @@ class WordCounts(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def of(self, texts: list[str]) -> list[int]:
+    def of(self, texts: list[str], together: int = 64) -> list[int]:
+        """Counts of the texts, ``together`` of them at a time, so that the words of few are held at once."""
+        return [n for at in range(0, len(texts), together) for n in self._of(texts[at : at + together])]
+
+    def _of(self, texts: list[str]) -> list[int]:
         parts = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
         new = list({w for x in parts for w in x if w not in self})
         if len(self) + len(new) > REMEMBERED:
