@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quantmill.functions.windows import by, cum, known_sum, near_zero, ratio, trail
 
 PAIR = ("symbol_y", "symbol_x")
+UNDER = 1e-12
 
 
 def per_period(rate: float, periods: int) -> float:
@@ -51,7 +52,7 @@ def drawdown_episodes(returns: DataFrame, keys: tuple = PAIR, capital: float = 1
     """
     rows = equity_and_drawdown(returns, keys, capital)
     w = by(keys, "n")
-    under = F.col("equity") < F.col("peak")
+    under = F.col("equity") < F.col("peak") * (1 - UNDER)  # running products of equal values may differ in the last bits
     rows = rows.withColumn("under", under)
     last_top = F.last(F.when(~F.col("under"), F.struct("n", "pos")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     next_top = F.first(F.when(~F.col("under"), F.struct("n", "pos")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
@@ -67,7 +68,7 @@ def drawdown_episodes(returns: DataFrame, keys: tuple = PAIR, capital: float = 1
 def drawdown_metrics(returns: DataFrame, keys: tuple = PAIR, periods: int = 252, capital: float = 1.0) -> DataFrame:
     """Deepest episode (the first at a tie), longest duration, calmar, current drawdown and rows under water."""
     rows = equity_and_drawdown(returns, keys, capital)
-    curve = rows.groupBy(*keys).agg(F.count("*").alias("observations"), F.min(F.least("drawdown", F.lit(0.0))).alias("maximum_drawdown"), F.max_by("drawdown", "n").alias("current_drawdown"), F.count_if(F.col("drawdown") < 0).alias("underwater_observations"))
+    curve = rows.groupBy(*keys).agg(F.count("*").alias("observations"), F.min(F.least("drawdown", F.lit(0.0))).alias("maximum_drawdown"), F.max_by("drawdown", "n").alias("current_drawdown"), F.count_if(F.col("drawdown") < -UNDER).alias("underwater_observations"))
     episodes = drawdown_episodes(returns, keys, capital)
     deepest = Window.partitionBy(*keys).orderBy("maximum_drawdown", "start_pos")
     episodes = episodes.withColumn("k", F.row_number().over(deepest)).withColumn("longest_drawdown_duration", F.max("duration").over(Window.partitionBy(*keys))).filter("k = 1")

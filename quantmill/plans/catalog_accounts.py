@@ -1,0 +1,290 @@
+"""Registered queries: accounting, trade ledger, performance figures and the rules that check them."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quantmill.operators import accounting, ledger, metrics, positions, quality, signals
+from quantmill.plans import panels
+from quantmill.plans.catalog_core import FOLDS, RULES, brand_folds, screening_batch
+from quantmill.plans.panels import CAPITAL, COSTS, PAIR, UPTO, W, accounts, brand_prices, returns, schedule
+from quantmill.registry import register
+
+KEYS = "symbol_y symbol_x"
+
+
+# --- accounting ------------------------------------------------------------------------------------------------------
+@register("A01_position_pnl", f"{KEYS} pos:i pnl_y:4 pnl_x:4 gross_pnl:4", "SELECT * FROM pl")
+def a01(spark, sf):
+    return accounting.position_pnl(schedule(spark, sf))
+
+
+@register("A02_latched_sum", f"{KEYS} pos:i total:4", f"SELECT symbol_y, symbol_x, pos, CASE WHEN max(CASE WHEN pos = 400 THEN 1 ELSE 0 END) OVER u = 0 THEN sum(gross_pnl) OVER u END AS total FROM pl WINDOW u AS ({UPTO})")
+def a02(spark, sf):
+    from quantmill.functions.windows import cum, latched_sum
+
+    rows = accounting.position_pnl(schedule(spark, sf)).withColumn("g", F.when(F.col("pos") != 400, F.col("gross_pnl")))
+    return rows.withColumn("total", latched_sum(F.col("g"), cum(PAIR)))
+
+
+SPLIT = f"""SELECT *, CASE WHEN executed_state <> 'FLAT' THEN w ELSE 0.0 END AS unrealised_pnl, CASE WHEN executed_state = 'FLAT' AND trade_id IS NOT NULL THEN w ELSE 0.0 END AS realised_pnl
+  FROM (SELECT *, sum(CASE WHEN prev_state = 'FLAT' THEN 0.0 ELSE gross_pnl END) OVER (PARTITION BY symbol_y, symbol_x, trade_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS w FROM co)"""
+
+
+@register("A03_split_pnl", f"{KEYS} pos:i trade_id:i realised_pnl:4 unrealised_pnl:4 cumulative_realised_pnl:4", f"SELECT *, sum(realised_pnl) OVER ({UPTO}) AS cumulative_realised_pnl FROM ({SPLIT})")
+def a03(spark, sf):
+    return accounting.split_pnl(accounting.position_pnl(schedule(spark, sf)))
+
+
+@register("A04_strategy_returns", f"{KEYS} pos:i portfolio_equity:4 strategy_return:9", "SELECT * FROM ac")
+def a04(spark, sf):
+    return accounting.strategy_returns(accounting.position_pnl(schedule(spark, sf)), CAPITAL)
+
+
+@register("A05_transaction_costs", f"{KEYS} pos:i traded_notional_y:4 commission_cost:4 slippage_cost:4 transaction_cost:4 cumulative_transaction_cost:4", "SELECT * FROM ac")
+def a05(spark, sf):
+    return accounting.transaction_costs(schedule(spark, sf), 5.0, 2.0, 1.0)
+
+
+@register("A06_net_of_costs", f"{KEYS} pos:i net_pnl:4 cumulative_net_pnl:4 net_portfolio_equity:4 net_strategy_return:9", "SELECT * FROM ac")
+def a06(spark, sf):
+    return accounting.net_schedule(schedule(spark, sf), CAPITAL, 5.0, 2.0, 1.0)
+
+
+@register("A07_borrow_costs", f"{KEYS} pos:i borrow_cost_y:6 borrow_cost_x:6 borrow_cost:6 cumulative_borrow_cost:5", "SELECT * FROM ac")
+def a07(spark, sf):
+    return accounting.borrow_costs(schedule(spark, sf), 0.02, 0.03)
+
+
+@register("A08_financing_costs", f"{KEYS} pos:i financing_cost:6 cumulative_financing_cost:5", "SELECT * FROM ac")
+def a08(spark, sf):
+    return accounting.financing_costs(schedule(spark, sf), 0.01)
+
+
+@register("A09_gross_schedule", f"{KEYS} pos:i market_value_y:4 long_exposure:4 short_exposure:4 gross_pnl:4 cumulative_gross_pnl:4 portfolio_equity:4", "SELECT *, notional_y AS market_value_y, greatest(notional_y, 0) + greatest(notional_x, 0) AS long_exposure, greatest(-notional_y, 0) + greatest(-notional_x, 0) AS short_exposure FROM ac")
+def a09(spark, sf):
+    return accounting.gross_schedule(schedule(spark, sf), CAPITAL)
+
+
+@register("A10_net_schedule", f"{KEYS} pos:i delta_units_y:6 delta_units_x:6 transaction_cost:4 net_pnl:4 net_strategy_return:9", "SELECT * FROM ac")
+def a10(spark, sf):
+    return accounting.net_schedule(schedule(spark, sf), CAPITAL, 5.0, 2.0, 1.0)
+
+
+@register("A11_financed_schedule", f"{KEYS} pos:i carry_cost:6 cumulative_carry_cost:5 net_pnl_after_carry:4 cumulative_net_pnl_after_carry:4 net_equity_after_carry:4 net_return_after_carry:9", "SELECT * FROM ac")
+def a11(spark, sf):
+    return accounts(spark, sf)
+
+
+def filled_accounts(spark, sf):
+    rows = panels.signal_table(spark, sf).withColumn("observed_y", F.dayofmonth("date") % 4 != 0).withColumn("observed_x", F.lit(True))
+    ready = rows.withColumn("zscore", F.col("z")).withColumn("tradable", F.col("observed_y") & F.col("observed_x")).withColumn("sized", F.col("hedge_ratio") > 0)
+    fills = signals.filled_signals(ready, RULES, 1, True).select(*PAIR, "pos", "executed_state", "execution_event")
+    placed = positions.position_schedule(rows.drop("state", "event").join(fills, [*PAIR, "pos"]), panels.TARGET)
+    return accounting.financed_schedule(positions.force_close(placed), CAPITAL, **COSTS)
+
+
+@register("A12_pair_evaluation", f"{KEYS} pos:i executed_state execution_event net_pnl_after_carry:4 net_equity_after_carry:4")
+def a12(spark, sf):
+    return filled_accounts(spark, sf)
+
+
+# --- ledger ----------------------------------------------------------------------------------------------------------
+@register("L01_trade_windows", f"{KEYS} trade_id:i entry_row:i exit_row:i", "SELECT symbol_y, symbol_x, trade_id, min(pos) AS entry_row, max(CASE WHEN executed_state = 'FLAT' THEN pos END) AS exit_row FROM ac WHERE trade_id IS NOT NULL GROUP BY 1, 2, 3")
+def l01(spark, sf):
+    return ledger.trade_windows(accounts(spark, sf))
+
+
+@register("L02_trade_ledger", f"{KEYS} trade_id:i side entry_row:i exit_row:i entry_event exit_event entry_price_y:9 exit_price_x:9 entry_units_y:6 exit_units_x:6 holding_period_rows:i gross_pnl:4 transaction_cost:4 carry_cost:5 net_pnl:4", "SELECT * FROM td")
+def l02(spark, sf):
+    return ledger.ledger(accounts(spark, sf))
+
+
+@register("L03_reconciliation", f"{KEYS} completed_trade_count:i ledger_net_pnl:4 schedule_net_pnl:4 status", "SELECT symbol_y, symbol_x, count(*) AS completed_trade_count, sum(net_pnl) AS ledger_net_pnl, sum(net_pnl) AS schedule_net_pnl, 'RECONCILED' AS status FROM td GROUP BY 1, 2")
+def l03(spark, sf):
+    rows = accounts(spark, sf)
+    return ledger.reconcile(ledger.ledger(rows), rows)
+
+
+# --- performance -----------------------------------------------------------------------------------------------------
+CORE = """SELECT symbol_y, symbol_x, count(*) AS observations, exp(sum(ln(1 + r))) - 1 AS total_return, exp(sum(ln(1 + r)) * 252 / count(*)) - 1 AS annualized_return, stddev_samp(r) * sqrt(252) AS annualized_volatility,
+  (avg(r) - f) / stddev_samp(r) * sqrt(252) AS sharpe_ratio, sqrt(avg(pow(least(r - f, 0), 2))) * sqrt(252) AS downside_deviation, (avg(r) - f) / sqrt(avg(pow(least(r - f, 0), 2))) * sqrt(252) AS sortino_ratio
+  FROM rt, (SELECT exp(ln(1.02) / 252) - 1 AS f) GROUP BY 1, 2, f"""
+CORE_COLUMNS = {
+    "P01_total_return": "total_return:9", "P02_annualized_return": "annualized_return:9", "P03_annualized_volatility": "annualized_volatility:9", "P05_sharpe_ratio": "sharpe_ratio:6",
+    "P06_downside_deviation": "downside_deviation:9", "P07_sortino_ratio": "sortino_ratio:6", "P08_core_metrics": "observations:i total_return:9 annualized_return:9 annualized_volatility:9 sharpe_ratio:6 downside_deviation:9 sortino_ratio:6",
+}
+
+
+def core(spark, sf):
+    return metrics.core_metrics(returns(spark, sf), rate=0.02)
+
+
+for _name, _columns in CORE_COLUMNS.items():
+    register(_name, f"{KEYS} {_columns}", CORE)(core)
+
+
+@register("P04_risk_free", "rate:6 per_period:12", "SELECT r AS rate, exp(ln(1 + r) / 252) - 1 AS per_period FROM (SELECT DISTINCT round(l_discount, 2) AS r FROM lineitem)")
+def p04(spark, sf):
+    rows = panels.table(spark, sf, "lineitem").select(F.round("l_discount", 2).alias("rate")).distinct()
+    return rows.withColumn("per_period", F.expm1(F.log1p("rate") / 252))
+
+
+@register("P09_equity_curve", f"{KEYS} pos:i equity:9", "SELECT * FROM eq")
+def p09(spark, sf):
+    return metrics.equity_and_drawdown(returns(spark, sf))
+
+
+@register("P10_drawdown", f"{KEYS} pos:i drawdown:9", "SELECT * FROM eq")
+def p10(spark, sf):
+    return p09(spark, sf)
+
+
+EPISODES = f"""SELECT symbol_y, symbol_x, top AS peak_pos, min(pos) AS start_pos, arg_min(pos, drawdown) AS trough_pos, any_value(nxt) AS recovery_pos, min(drawdown) AS maximum_drawdown, coalesce(any_value(nxt), any_value(last)) - coalesce(top, -1) AS duration, any_value(nxt) IS NOT NULL AS recovered
+  FROM (SELECT *, max(CASE WHEN equity >= peak * (1 - 1e-12) THEN pos END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, min(CASE WHEN equity >= peak * (1 - 1e-12) THEN pos END) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt, max(pos) OVER (PARTITION BY symbol_y, symbol_x) AS last FROM eq)
+  WHERE equity < peak * (1 - 1e-12) GROUP BY symbol_y, symbol_x, top"""
+
+
+@register("P11_drawdown_episodes", f"{KEYS} peak_pos:i start_pos:i trough_pos:i recovery_pos:i maximum_drawdown:9 duration:i recovered", EPISODES)
+def p11(spark, sf):
+    return metrics.drawdown_episodes(returns(spark, sf))
+
+
+DRAWDOWNS = f"""SELECT c.*, e.trough_pos AS maximum_drawdown_trough, coalesce(e.longest, 0) AS longest_drawdown_duration, a.annualized_return / -c.maximum_drawdown AS calmar_ratio FROM
+  (SELECT symbol_y, symbol_x, count(*) AS observations, least(min(drawdown), 0.0) AS maximum_drawdown, arg_max(drawdown, pos) AS current_drawdown, count(*) FILTER (drawdown < -1e-12) AS underwater_observations FROM eq GROUP BY 1, 2) c
+  JOIN (SELECT symbol_y, symbol_x, exp(sum(ln(1 + r)) * 252 / count(*)) - 1 AS annualized_return FROM rt GROUP BY 1, 2) a USING (symbol_y, symbol_x)
+  LEFT JOIN (SELECT symbol_y, symbol_x, arg_min(trough_pos, maximum_drawdown) AS trough_pos, max(duration) AS longest FROM ({EPISODES}) GROUP BY 1, 2) e USING (symbol_y, symbol_x)"""
+
+
+def drawdowns(spark, sf):
+    return metrics.drawdown_metrics(returns(spark, sf))
+
+
+for _name, _columns in {"P12_maximum_drawdown": "maximum_drawdown:9", "P13_longest_drawdown": "longest_drawdown_duration:i", "P14_calmar_ratio": "calmar_ratio:6", "P15_drawdown_metrics": "observations:i maximum_drawdown:9 maximum_drawdown_trough:i longest_drawdown_duration:i calmar_ratio:6 current_drawdown:9 underwater_observations:i"}.items():
+    register(_name, f"{KEYS} {_columns}", DRAWDOWNS)(drawdowns)
+
+
+CLASSES = "SELECT *, CASE WHEN abs(net_pnl) <= 1e-12 * greatest(1.0, max(abs(net_pnl)) OVER (PARTITION BY symbol_y, symbol_x)) THEN 'breakeven' WHEN net_pnl > 0 THEN 'winner' ELSE 'loser' END AS class FROM td"
+TRADES = f"""SELECT symbol_y, symbol_x, count(*) AS trades, count(*) FILTER (class = 'winner') / count(*) AS win_rate, avg(net_pnl) FILTER (class = 'winner') AS average_winner, avg(net_pnl) FILTER (class = 'loser') AS average_loser, avg(net_pnl) AS expectancy,
+  avg(net_pnl) FILTER (class = 'winner') / -avg(net_pnl) FILTER (class = 'loser') AS payoff_ratio, coalesce(sum(net_pnl) FILTER (class = 'winner'), 0) / -sum(net_pnl) FILTER (class = 'loser') AS profit_factor,
+  avg(holding_period_rows) AS average_holding, median(holding_period_rows) AS median_holding, sum(net_pnl) AS total_net_pnl FROM ({CLASSES}) GROUP BY 1, 2"""
+
+
+@register("P16_trade_classes", f"{KEYS} trade_id:i class", CLASSES)
+def p16(spark, sf):
+    return metrics.classified_trades(l02(spark, sf))
+
+
+def trades(spark, sf):
+    return metrics.trade_metrics(l02(spark, sf))
+
+
+for _name, _columns in {"P17_win_rate": "win_rate:9", "P18_average_trades": "average_winner:4 average_loser:4", "P19_payoff_ratio": "payoff_ratio:6", "P20_expectancy": "expectancy:4", "P21_profit_factor": "profit_factor:6", "P22_holding_periods": "average_holding:6 median_holding:6", "P24_trade_metrics": "trades:i win_rate:9 expectancy:4 profit_factor:6 total_net_pnl:4"}.items():
+    register(_name, f"{KEYS} {_columns}", TRADES)(trades)
+
+
+@register("P23_turnover", f"{KEYS} turnover:9", f"SELECT symbol_y, symbol_x, sum(traded_notional_y + traded_notional_x) / {CAPITAL} AS turnover FROM ac GROUP BY 1, 2")
+def p23(spark, sf):
+    return metrics.turnover(accounts(spark, sf), CAPITAL)
+
+
+ROLLING = f"""SELECT *, CASE WHEN c = 63 THEN s * sqrt(252) END AS rolling_volatility, CASE WHEN c = 63 AND s > 1e-12 THEN m / s * sqrt(252) END AS rolling_sharpe, CASE WHEN c = 63 AND d > 1e-12 THEN m / d * sqrt(252) END AS rolling_sortino
+  FROM (SELECT *, count(r) OVER w AS c, stddev_samp(r) OVER w AS s, avg(r) OVER w AS m, sqrt(avg(pow(least(r, 0), 2)) OVER w) AS d FROM rt WINDOW w AS ({W} ROWS BETWEEN 62 PRECEDING AND CURRENT ROW))"""
+
+
+def rolling(spark, sf):
+    return metrics.rolling_metrics(returns(spark, sf), 63)
+
+
+for _name, _column in {"P25_rolling_volatility": "rolling_volatility:7", "P26_rolling_sharpe": "rolling_sharpe:4", "P27_rolling_sortino": "rolling_sortino:4"}.items():
+    register(_name, f"{KEYS} pos:i {_column}", ROLLING)(rolling)
+
+
+@register("P28_rolling_drawdown", f"{KEYS} pos:i drawdown:9", f"SELECT symbol_y, symbol_x, pos, CASE WHEN pos % 50 <> 7 THEN e / greatest(max(e) OVER ({UPTO}), 1.0) - 1 END AS drawdown FROM (SELECT *, product(CASE WHEN pos % 50 = 7 THEN 1.0 ELSE 1 + r END) OVER ({UPTO}) AS e FROM rt)")
+def p28(spark, sf):
+    return metrics.rolling_drawdown(returns(spark, sf).withColumn("r", F.when(F.col("pos") % 50 != 7, F.col("r"))))
+
+
+BENCH = """SELECT symbol_y, symbol_x, count(*) AS observations, covar_samp(r, b) / var_samp(b) AS beta, ((avg(r) - 0.0) - covar_samp(r, b) / var_samp(b) * (avg(b) - 0.0)) * 252 AS alpha, stddev_samp(r - b) * sqrt(252) AS tracking_error,
+  avg(r - b) / stddev_samp(r - b) * sqrt(252) AS information_ratio, corr(r, b) AS correlation FROM (SELECT a.*, b.b FROM rt a JOIN (SELECT date, avg(r) AS b FROM rt GROUP BY 1) b USING (date)) GROUP BY 1, 2"""
+
+
+def against_benchmark(spark, sf):
+    rows = returns(spark, sf)
+    return metrics.benchmark_metrics(rows.join(rows.groupBy("date").agg(F.avg("r").alias("b")), "date"))
+
+
+for _name, _columns in {"P29_beta": "beta:5", "P30_alpha": "alpha:6", "P31_tracking_error": "tracking_error:8", "P32_information_ratio": "information_ratio:5", "P33_correlation": "correlation:6", "P34_benchmark_metrics": "observations:i beta:5 alpha:6 tracking_error:8 correlation:6"}.items():
+    register(_name, f"{KEYS} {_columns}", BENCH)(against_benchmark)
+
+
+@register("P35_performance_report", f"{KEYS} total_return:9 maximum_drawdown:9 win_rate:9 total_net_pnl:4", f"SELECT c.symbol_y, c.symbol_x, c.total_return, d.maximum_drawdown, t.win_rate, t.total_net_pnl FROM ({CORE}) c JOIN ({DRAWDOWNS}) d USING (symbol_y, symbol_x) JOIN ({TRADES}) t USING (symbol_y, symbol_x)")
+def p35(spark, sf):
+    rows = accounts(spark, sf)
+    return metrics.performance_report(rows.select(*PAIR, "pos", F.col("net_return_after_carry").alias("r")), ledger.ledger(rows), rate=0.02)
+
+
+# --- rules -----------------------------------------------------------------------------------------------------------
+@register("Q01_accounting_identities", f"{KEYS} pos:i rule", "SELECT symbol_y, symbol_x, pos, 'cost_is_parts' AS rule FROM pp WHERE pos % 100 = 17")
+def q01(spark, sf):
+    rows = accounts(spark, sf)
+    return quality.accounting_violations(rows.withColumn("transaction_cost", F.when(F.col("pos") % 100 == 17, F.col("transaction_cost") + 1).otherwise(F.col("transaction_cost"))), CAPITAL).filter("rule <> 'net_is_rest'")
+
+
+@register("Q02_falling_costs", f"{KEYS} pos:i", "SELECT symbol_y, symbol_x, pos FROM pp WHERE pos = 300")
+def q02(spark, sf):
+    rows = accounts(spark, sf)
+    return quality.falling_costs(rows.withColumn("cumulative_transaction_cost", F.when(F.col("pos") >= 300, F.col("cumulative_transaction_cost") - 1e6).otherwise(F.col("cumulative_transaction_cost"))), "cumulative_transaction_cost")
+
+
+@register("Q03_ledger_rebuilt", f"{KEYS} trade_id:i reason", "SELECT symbol_y, symbol_x, trade_id, CASE WHEN trade_id % 10 = 0 THEN 'missing' ELSE 'differs' END AS reason FROM td WHERE trade_id % 10 IN (0, 3)")
+def q03(spark, sf):
+    good = l02(spark, sf)
+    bad = good.filter("trade_id % 10 <> 0").withColumn("net_pnl", F.when(F.col("trade_id") % 10 == 3, F.col("net_pnl") + 1).otherwise(F.col("net_pnl")))
+    return quality.table_differences(bad, good, [*PAIR, "trade_id"], ["side", "net_pnl", "holding_period_rows"])
+
+
+@register("Q04_execution_rules", f"{KEYS} pos:i rule", "SELECT symbol_y, symbol_x, pos, 'unobserved' AS rule FROM ps WHERE execution_event NOT IN ('NONE', 'FORCED_EXIT') AND pos % 3 = 0")
+def q04(spark, sf):
+    return quality.execution_violations(schedule(spark, sf).withColumn("observed_x", F.col("pos") % 3 != 0))
+
+
+@register("Q05_screening_rules", "run_id rule", "SELECT 'run-a' AS run_id, 'ranks' AS rule")
+def q05(spark, sf):
+    rows = screening_batch(spark, sf)
+    return quality.screening_violations(rows.withColumn("rank", F.when((F.col("run_id") == "run-a") & (F.col("rank") == 1), 99).otherwise(F.col("rank"))))
+
+
+@register("Q06_unique_keys", "l_orderkey:i l_linenumber:i n:i", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def q06(spark, sf):
+    return quality.repeated_keys(panels.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@register("Q11_content_digests", "symbol digest")
+def q11(spark, sf):
+    return quality.content_digest(brand_prices(spark, sf), ["symbol", "date", "price"], "symbol")
+
+
+@register("Q12_signal_contract", f"{KEYS} pos:i rule", "SELECT symbol_y, symbol_x, pos, CASE WHEN event LIKE 'ENTER%' THEN 'none_changes' ELSE 'none_changes' END AS rule FROM se WHERE event <> 'NONE' AND pos % 5 = 0")
+def q12(spark, sf):
+    rows = panels.signal_table(spark, sf)
+    return quality.signal_violations(rows.withColumn("event", F.when(F.col("pos") % 5 == 0, "NONE").otherwise(F.col("event"))))
+
+
+@register("Q13_panel_contract", "symbol date rule", "SELECT symbol, date, CASE WHEN day(date) = 2 THEN 'repeated' ELSE 'not_positive' END AS rule FROM px, range(0, CASE WHEN day(date) = 2 THEN 2 ELSE 1 END) WHERE day(date) IN (1, 2)".replace("FROM px, range(0, CASE WHEN day(date) = 2 THEN 2 ELSE 1 END) WHERE day(date) IN (1, 2)", "FROM px JOIN (VALUES (1), (2)) v(k) ON k = 1 OR day(date) = 2 WHERE day(date) IN (1, 2)"))
+def q13(spark, sf):
+    rows = brand_prices(spark, sf)
+    rows = rows.withColumn("price", F.when(F.dayofmonth("date") == 1, -F.col("price")).otherwise(F.col("price")))
+    return quality.panel_violations(rows.union(rows.filter(F.dayofmonth("date") == 2)))
+
+
+@register("Q13_fold_contract", "fold_id:i rule", f"SELECT fold_id, 'gap' AS rule FROM ({FOLDS}) WHERE fold_id % 4 = 1")
+def q13b(spark, sf):
+    folds = brand_folds(spark, sf)
+    n = brand_prices(spark, sf).select("date").distinct().count()
+    return quality.fold_violations(folds.withColumn("trading_start_pos", F.when(F.col("fold_id") % 4 == 1, F.col("trading_start_pos") + 1).otherwise(F.col("trading_start_pos"))), n)
+
+
+@register("Q14_ledger_contract", f"{KEYS} trade_id:i rule", "SELECT symbol_y, symbol_x, trade_id, 'notional' AS rule FROM td WHERE trade_id % 7 = 2")
+def q14(spark, sf):
+    return quality.ledger_violations(l02(spark, sf).withColumn("entry_gross_notional", F.when(F.col("trade_id") % 7 == 2, 0.0).otherwise(F.col("entry_gross_notional"))))

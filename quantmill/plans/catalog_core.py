@@ -21,7 +21,7 @@ KEYS = "symbol_y symbol_x"
 
 
 # --- sources ---------------------------------------------------------------------------------------------------------
-@register("S01_extract_close", "symbol date price:6", "SELECT upper(symbol) AS symbol, date, price FROM px")
+@register("S01_extract_close", "symbol date price:9", "SELECT upper(symbol) AS symbol, date, price FROM px")
 def s01(spark, sf):
     names = [f"Brand#{i}" for i in range(1, 26)]
     return sources.extract_close(brand_prices(spark, sf).groupBy("date").pivot("symbol", names).agg(F.first("price")))
@@ -41,13 +41,13 @@ def _two_loads(spark, sf):
 LOADED = "SELECT symbol, date, CASE WHEN day(date) <= 10 THEN price * 2 ELSE price END AS price, 'main' AS source, CASE WHEN day(date) <= 10 THEN 2 ELSE 1 END AS loaded_at FROM px"
 
 
-@register("S03_upsert_prices", "symbol date price:6 source loaded_at:i", LOADED)
+@register("S03_upsert_prices", "symbol date price:9 source loaded_at:i", LOADED)
 def s03(spark, sf):
     old, new = _two_loads(spark, sf)
     return sources.upsert(old, new, ["symbol", "date", "source"], "loaded_at")
 
 
-@register("S04_load_prices", "symbol date price:6", "SELECT * FROM px WHERE symbol IN ('Brand#1', 'Brand#7', 'Brand#19') AND date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
+@register("S04_load_prices", "symbol date price:9", "SELECT * FROM px WHERE symbol IN ('Brand#1', 'Brand#7', 'Brand#19') AND date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
 def s04(spark, sf):
     rows = brand_prices(spark, sf).withColumn("source", F.lit("main"))
     rows = rows.withColumn("shown", F.col("symbol")).withColumn("symbol", F.upper("symbol"))
@@ -152,12 +152,12 @@ def c03(spark, sf):
     return sources.on_spine(brand_prices(spark, sf)).groupBy("symbol").agg((F.count("price") / F.count("*")).alias("coverage")).filter("coverage >= 0.61")
 
 
-@register("C04_fill_forward", "symbol date filled:6 observed", f"SELECT symbol, date, filled, price IS NOT NULL AS observed FROM ({FILLED})")
+@register("C04_fill_forward", "symbol date filled:9 observed", f"SELECT symbol, date, filled, price IS NOT NULL AS observed FROM ({FILLED})")
 def c04(spark, sf):
     return sources.fill_forward(sources.on_spine(brand_prices(spark, sf)), 3)
 
 
-@register("C06_clean_panel", "symbol date price:6 observed", f"""WITH f AS ({FILLED}), k AS (SELECT symbol FROM f GROUP BY 1 HAVING count(price) / count(*) >= 0.3), g AS (SELECT f.* FROM f JOIN k USING (symbol))
+@register("C06_clean_panel", "symbol date price:9 observed", f"""WITH f AS ({FILLED}), k AS (SELECT symbol FROM f GROUP BY 1 HAVING count(price) / count(*) >= 0.3), g AS (SELECT f.* FROM f JOIN k USING (symbol))
   SELECT symbol, date, filled AS price, price IS NOT NULL AS observed FROM g WHERE date IN (SELECT date FROM g GROUP BY 1 HAVING count(filled) = count(*))""")
 def c06(spark, sf):
     return sources.clean(brand_prices(spark, sf), 0.3, 3)
@@ -174,7 +174,7 @@ def c08(spark, sf):
     return rows.withColumn("seen", sources.combined_mask(F.col("observed"), F.dayofmonth("date") > 5, F.lit(None).cast("boolean")))
 
 
-@register("C09_formation_slice", "symbol date price:6", "SELECT * FROM px WHERE date BETWEEN DATE '1995-06-01' AND DATE '1996-06-01'")
+@register("C09_formation_slice", "symbol date price:9", "SELECT * FROM px WHERE date BETWEEN DATE '1995-06-01' AND DATE '1996-06-01'")
 def c09(spark, sf):
     return brand_prices(spark, sf).filter(F.col("date").between("1995-06-01", "1996-06-01"))
 
@@ -197,7 +197,7 @@ def j01(spark, sf):
     return panels.brand_pairs(spark, sf)
 
 
-@register("J02_pair_panel", "symbol_y symbol_x date pos:i price_y:6 price_x:6", "SELECT * FROM pp")
+@register("J02_pair_panel", "symbol_y symbol_x date pos:i price_y:9 price_x:9", "SELECT * FROM pp")
 def j02(spark, sf):
     return brand_panel(spark, sf)
 
@@ -222,11 +222,11 @@ def j03(spark, sf):
     return panel.in_fold(numbered(spark, sf), brand_folds(spark, sf)).groupBy("fold_id", "symbol").agg(F.count("*").alias("rows"), F.min("pos").alias("first"), F.max("pos").alias("last"))
 
 
-@register("J04_scenario_fan_out", "scenario:i symbol n:i cost:6", "SELECT s AS scenario, symbol, count(*) AS n, sum(round(price, 2)) * s / 10000 AS cost FROM px, (VALUES (1), (5), (10)) v(s) GROUP BY 1, 2")
+@register("J04_scenario_fan_out", "scenario:i symbol n:i cost:9", "SELECT s AS scenario, symbol, count(*) AS n, max(price) * s AS cost FROM px, (VALUES (1), (5), (10)) v(s) GROUP BY 1, 2")
 def j04(spark, sf):
     scenarios = spark.createDataFrame([(1,), (5,), (10,)], "scenario int")
-    rows = brand_prices(spark, sf).withColumn("price", F.round("price", 2)).crossJoin(F.broadcast(scenarios))  # a handful of scenarios
-    return rows.groupBy("scenario", "symbol").agg(F.count("*").alias("n"), (F.sum("price") * F.first("scenario") / 10000).alias("cost"))
+    rows = brand_prices(spark, sf).crossJoin(F.broadcast(scenarios))  # a handful of scenarios
+    return rows.groupBy("scenario", "symbol").agg(F.count("*").alias("n"), F.max(F.col("price") * F.col("scenario")).alias("cost"))
 
 
 @register("J05_strategy_benchmark", "symbol_y symbol_x n:i product:9", "SELECT a.symbol_y, a.symbol_x, count(*) AS n, sum(a.r * b.r) AS product FROM rt a JOIN (SELECT date, avg(r) AS r FROM rt GROUP BY 1) b USING (date) GROUP BY 1, 2")
@@ -391,8 +391,8 @@ def f01(spark, sf):
     return panels.signal_table(spark, sf).select(signals.entry_rule(F.col("z"), 1.5).alias("state")).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@register("F02_exit_rule", "state reason n:i", """SELECT s AS state, CASE WHEN s = 'LONG_SPREAD' AND z <= -2.5 OR s = 'SHORT_SPREAD' AND z >= 2.5 THEN 'STOP' WHEN pos % 12 >= 10 THEN 'TIME' WHEN s = 'LONG_SPREAD' AND z >= -0.5 OR s = 'SHORT_SPREAD' AND z <= 0.5 THEN 'MEAN_REVERSION' ELSE 'NONE' END AS reason, count(*) AS n
-  FROM zs, (VALUES ('LONG_SPREAD'), ('SHORT_SPREAD')) v(s) GROUP BY 1, 2""")
+@register("F02_exit_rule", "state reason n:i", """SELECT v.st AS state, CASE WHEN v.st = 'LONG_SPREAD' AND z <= -2.5 OR v.st = 'SHORT_SPREAD' AND z >= 2.5 THEN 'STOP' WHEN pos % 12 >= 10 THEN 'TIME' WHEN v.st = 'LONG_SPREAD' AND z >= -0.5 OR v.st = 'SHORT_SPREAD' AND z <= 0.5 THEN 'MEAN_REVERSION' ELSE 'NONE' END AS reason, count(*) AS n
+  FROM zs, (VALUES ('LONG_SPREAD'), ('SHORT_SPREAD')) v(st) GROUP BY 1, 2""")
 def f02(spark, sf):
     rows = panels.signal_table(spark, sf).withColumn("state", F.explode(F.array(F.lit("LONG_SPREAD"), F.lit("SHORT_SPREAD"))))
     return rows.withColumn("reason", signals.exit_rule(F.col("state"), F.col("z"), F.col("pos") % 12, 0.5, 2.5, 10)).groupBy("state", "reason").agg(F.count("*").alias("n"))
@@ -438,7 +438,7 @@ def e02(spark, sf):
     return signals.open_loop_fills(rows, 1)
 
 
-@register("E03_available_hedge", f"{KEYS} pos:i hedge_ratio:6", f"SELECT symbol_y, symbol_x, pos, lag(price_y, 1) OVER ({W}) AS hedge_ratio FROM pp")
+@register("E03_available_hedge", f"{KEYS} pos:i hedge_ratio:9", f"SELECT symbol_y, symbol_x, pos, lag(price_y, 1) OVER ({W}) AS hedge_ratio FROM pp")
 def e03(spark, sf):
     return positions.available_hedge(brand_panel(spark, sf).withColumn("beta", F.col("price_y")), 1)
 

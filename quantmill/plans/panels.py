@@ -13,7 +13,7 @@ from quantmill.functions.windows import by
 from quantmill.operators import accounting, panel, positions, signals
 
 PAIR = ("symbol_y", "symbol_x")
-CAPITAL, TARGET, LOOKBACK, ENTRY = 1_000_000.0, 100_000.0, 20, 1.0
+CAPITAL, TARGET, LOOKBACK, ENTRY = 1_000_000.0, 10.0, 20, 1.0
 COSTS = {"commission_bps": 5.0, "slippage_bps": 2.0, "fixed": 1.0, "borrow_y": 0.02, "borrow_x": 0.03, "financing": 0.01}
 
 
