@@ -59,10 +59,10 @@ def drawdown_episodes(returns: DataFrame, keys: tuple = PAIR, capital: float = 1
     rows = rows.withColumn("top", last_top).withColumn("next", next_top).withColumn("end", F.max("n").over(Window.partitionBy(*keys)))
     rows = rows.filter("under").withColumn("top_n", F.coalesce(F.col("top.n"), F.lit(-1)))
     out = rows.groupBy(*keys, "top_n").agg(
-        F.first("top.pos").alias("peak_pos"), F.min("pos").alias("start_pos"), F.min(F.struct("drawdown", "n", "pos")).alias("deepest"), F.first("next").alias("next"), F.first("end").alias("end"),
+        F.first("top.pos").alias("peak_pos"), F.min("pos").alias("start_pos"), F.min(F.struct(F.round("drawdown", 12).alias("depth"), "n", "pos")).alias("deepest"), F.min("drawdown").alias("depth"), F.first("next").alias("next"), F.first("end").alias("end"),
     )
     duration = F.coalesce(F.col("next.n"), F.col("end")) - F.col("top_n")
-    return out.select(*keys, "peak_pos", "start_pos", F.col("deepest.pos").alias("trough_pos"), F.col("next.pos").alias("recovery_pos"), F.col("deepest.drawdown").alias("maximum_drawdown"), duration.cast("long").alias("duration"), F.col("next").isNotNull().alias("recovered"))
+    return out.select(*keys, "peak_pos", "start_pos", F.col("deepest.pos").alias("trough_pos"), F.col("next.pos").alias("recovery_pos"), F.col("depth").alias("maximum_drawdown"), duration.cast("long").alias("duration"), F.col("next").isNotNull().alias("recovered"))
 
 
 def drawdown_metrics(returns: DataFrame, keys: tuple = PAIR, periods: int = 252, capital: float = 1.0) -> DataFrame:
