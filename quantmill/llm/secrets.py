@@ -26,7 +26,7 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|credential|bearer|private|signature|akia", re.IGNORECASE | re.ASCII)
 BEFORE, AROUND = 48, 256
 #: A candidate is reported if it adds this many bytes a character or more.
-NOVEL = 0.6
+NOVEL = 0.8
 #: Identifiers and words that occur around code and configuration: what priming makes cheap.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret authorization bearer "
