@@ -140,7 +140,7 @@ def p10(spark, sf):
     return p09(spark, sf)
 
 
-EPISODES = f"""SELECT symbol_y, symbol_x, top AS peak_pos, min(pos) AS start_pos, (min({'a': round(drawdown, 12), 'b': pos})).b AS trough_pos, any_value(nxt) AS recovery_pos, min(drawdown) AS maximum_drawdown, coalesce(any_value(nxt), any_value(last)) - coalesce(top, -1) AS duration, any_value(nxt) IS NOT NULL AS recovered
+EPISODES = f"""SELECT symbol_y, symbol_x, top AS peak_pos, min(pos) AS start_pos, (min({{'a': round(drawdown, 12), 'b': pos}})).b AS trough_pos, any_value(nxt) AS recovery_pos, min(drawdown) AS maximum_drawdown, coalesce(any_value(nxt), any_value(last)) - coalesce(top, -1) AS duration, any_value(nxt) IS NOT NULL AS recovered
   FROM (SELECT *, max(CASE WHEN equity >= peak * (1 - 1e-12) THEN pos END) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top, min(CASE WHEN equity >= peak * (1 - 1e-12) THEN pos END) OVER ({W} ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS nxt, max(pos) OVER (PARTITION BY symbol_y, symbol_x) AS last FROM eq)
   WHERE equity < peak * (1 - 1e-12) GROUP BY symbol_y, symbol_x, top"""
 
