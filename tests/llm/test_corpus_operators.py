@@ -345,7 +345,7 @@ def changed(rng, line: str, edits: int) -> str:
     out = list(line)
     for _ in range(edits):
         k = rng.randint(0, len(out))
-        rng.choice([lambda: out.insert(k, "é"), lambda: out.pop(min(k, len(out) - 1)), lambda: out.__setitem__(min(k, len(out) - 1), "z")])()
+        rng.choice([lambda: out.insert(k, "é")] if not out else [lambda: out.insert(k, "é"), lambda: out.pop(min(k, len(out) - 1)), lambda: out.__setitem__(min(k, len(out) - 1), "z")])()
     return "".join(out)
 
 
