@@ -244,7 +244,7 @@ def v07(spark, sf):
     return inference.regime_consistency(yearly(spark, sf).withColumn("label", F.col("fold_id").cast("string")), PAIR)
 
 
-@register("V08_multiplicity", "p_partkey:i bonferroni_p:9 bh_p:9 bh_discovery", """SELECT *, least(1.0, p * m) AS bonferroni_p, greatest(0.0, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) AS bh_p, greatest(0.0, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) <= 0.05 AS bh_discovery
+@register("V08_multiplicity", "p_partkey:i bonferroni_p:12 bh_p:12 bh_discovery", """SELECT *, least(1.0, p * m) AS bonferroni_p, greatest(0.0, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) AS bh_p, greatest(0.0, least(1.0, min(p * m / k) OVER (ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))) <= 0.05 AS bh_discovery
   FROM (SELECT *, row_number() OVER (ORDER BY p, p_partkey) AS k, 5000.0::DOUBLE AS m FROM (SELECT p_partkey, p_partkey / 1e7 AS p FROM part))""")
 def v08(spark, sf):
     tests = panels.table(spark, sf, "part").select("p_partkey", (F.col("p_partkey") / 1e7).alias("p"))

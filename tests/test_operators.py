@@ -147,7 +147,7 @@ def test_unknown_prices_stay_unknown(spark):
 def test_drawdown_episodes(spark):
     r = [-0.1, 0.2, 0.0, -0.1, -0.1, 0.5, -0.2]
     rows = spark.createDataFrame([("A", "B", i, v) for i, v in enumerate(r)], "symbol_y string, symbol_x string, pos long, r double")
-    got = sorted(tuple(x)[2:6] + tuple(x)[7:] for x in metrics.drawdown_episodes(rows).collect() if True)
+    got = [tuple(x)[2:6] + tuple(x)[7:] for x in metrics.drawdown_episodes(rows).collect()]
     assert sorted(got, key=lambda t: t[1]) == [(None, 0, 0, 1, 2, True), (2, 3, 4, 5, 3, True), (5, 6, 6, None, 1, False)]
 
 
