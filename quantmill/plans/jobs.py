@@ -40,8 +40,8 @@ def research(panel: DataFrame, folds: DataFrame, rules: signals.Rules, minimum:
 
     ``panel`` numbers its rows by a calendar that all pairs share.  The walk-forward does not depend on the diagnostic.
     """
-    screened = hedge.screen(panel, (), minimum, fdr, options.get("longest", 60.0), options.get("hurst_limit", 0.5))
-    traded = walkforward.run_folds(panel, folds, rules, minimum=minimum, fdr=fdr, **options)
+    screened = hedge.screen(panel, (), minimum, fdr, options.get("longest", 60.0), options.get("hurst_limit", 0.5)).persist()  # a row per pair, read twice
+    traded = walkforward.run_folds(panel, folds, rules, minimum=minimum, fdr=fdr, **options).persist()  # read for the status of folds and for their calendar
     tested = walkforward.in_fold(panel, folds, "formation").groupBy("fold_id", *PAIR).agg(F.count("*").alias("n")).filter(F.col("n") >= minimum)
     calendar = walkforward.calendar_returns(walkforward.fold_status(folds, tested, traded), traded)
     return {"screening": screened, "diagnostic": in_sample_diagnostic(panel, screened, rules), "traded": traded, "calendar": calendar, "coverage": walkforward.coverage(calendar)}
