@@ -518,7 +518,7 @@ def g06(spark, sf):
 @register("O01_research_job", "folds:i completed:i scheduled_rows:i known_rows:i selected_pairs:i diagnostic_rows:i")
 def o01(spark, sf):
     folds = brand_folds(spark, sf).filter("fold_id % 8 = 0")
-    run = jobs.research(fold_panel(spark, sf), folds, RULES, 100, 1.0, longest=1e6, hurst_limit=10.0)
+    run = jobs.research(fold_panel(spark, sf).persist(), folds, RULES, 100, 1.0, longest=1e6, hurst_limit=10.0)
     chosen = run["screening"].agg(F.count_if("selected").alias("selected_pairs"))
     diagnosed = run["diagnostic"].agg(F.count("*").alias("diagnostic_rows"))
     return run["coverage"].crossJoin(chosen).crossJoin(diagnosed)  # one row each
