@@ -31,7 +31,8 @@ def digest(text: Column) -> Column:
 
 
 def has_word(line: Column) -> Column:
-    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != ""
+    """Most lines show it by their first character; ``btrim`` looks at all of them."""
+    return F.when(F.ascii(F.ltrim(line)) > 32, True).otherwise(F.btrim(line, F.lit(" \t\n\x0b\x0c\r")) != "")
 
 
 def let(value: Column, body) -> Column:
