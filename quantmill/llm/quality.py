@@ -70,9 +70,9 @@ def shared_lines(docs: DataFrame, host: str = "source", line_limit: int = LINE_L
     A null host is a host.  Characters are summed over copies, which leaves their ratio as it is.
     """
     text = whole(F.col("text"))
-    lines = F.transform(F.filter(F.split(text, "\n"), has_word), lambda x: F.struct(line_key(x).alias("line"), F.char_length(x).alias("chars")))
-    rows = docs.select(F.col(host).alias("_host"), digest(text).alias("_digest"), "doc_id", F.explode(lines).alias("x"))
-    rows = rows.select("_host", "_digest", "doc_id", "x.line", "x.chars")
+    rows = docs.select(F.col(host).alias("_host"), digest(text).alias("_digest"), "doc_id", F.split(text, "\n").alias("x"))  # below the explode: once a text
+    rows = rows.withColumn("x", F.explode_outer("x")).filter(has_word(F.col("x")))
+    rows = rows.select("_host", "_digest", "doc_id", line_key(F.col("x")).alias("line"), F.char_length("x").alias("chars"))
     rows = rows.groupBy("_host", "_digest", "line").agg(F.sum("chars").alias("chars"), F.min("doc_id").alias("first"))
     # Both uses of rows keep all its columns: then Spark runs it, and its shuffle, once.
     common = rows.groupBy("_host", "line").agg(F.count("*").alias("n"), F.min(F.struct("first", "_digest")).alias("keeper"), F.max("chars").alias("most"))
