@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantmill.operators import accounting, grid, hedge, inference, ledger, metrics, panel, positions, quality, signals
+from quantmill.plans import catalog_research
 from quantmill.sources import prices as sources
 
+DATA = "/root/testdata/sf0.001"
 RNG = np.random.default_rng(21)
 
 
@@ -183,3 +185,19 @@ def test_folds(spark):
     assert [tuple(r) for r in panel.folds(n, 10, 4).collect()] == [(0, 0, 9, 10, 13), (1, 4, 13, 14, 17)]
     assert [tuple(r)[:2] for r in panel.folds(n, 10, 4, 2, True).collect()] == [(0, 0), (1, 0), (2, 0), (3, 0)]
     assert panel.folds(spark.createDataFrame([(13,)], "n long"), 10, 4).count() == 0
+
+
+def test_walk_forward_queries_take_every_fold(spark, monkeypatch):
+    class Seen(Exception):
+        pass
+
+    def seen(_, folds, *args, **options):
+        raise Seen(sorted(r["fold_id"] for r in folds.select("fold_id").collect()))
+
+    monkeypatch.setattr(catalog_research.walkforward, "run_folds", seen)
+    monkeypatch.setattr(catalog_research.jobs, "research", seen)
+    every = sorted(r["fold_id"] for r in catalog_research.brand_folds(spark, DATA).collect())
+    for query in (catalog_research.k03, catalog_research.k05, catalog_research.k06, catalog_research.o01):
+        with pytest.raises(Seen) as got:
+            query(spark, DATA)
+        assert got.value.args[0] == every and len(every) > 8
