@@ -412,6 +412,19 @@ def test_suffix_tree_probabilities_sum_to_one():
     assert np.allclose(table.sum(axis=1), 1, atol=1e-3)
 
 
+@pytest.mark.parametrize("frequent", [0, 50])
+def test_suffix_tree_score_does_not_depend_on_what_is_sent(docs, frequent):
+    rows, few = ({r["doc_id"]: r["score"] for r in suffix_tree.score(docs, **k).collect()} for k in ({}, {"frequent": frequent}))
+    assert all(few[i] == pytest.approx(rows[i], abs=1e-6) for i in rows)
+
+
+def test_suffix_tree_scores_long_unknown_words(spark, docs):
+    long = next(i for i in range(10**6, 10**6 + 99) if zlib.crc32(str(i).encode()) % 7 == 2)
+    more = spark.createDataFrame([(long, "qz" * 2000)], "doc_id long, text string")
+    rows = suffix_tree.score(docs.select(F.col("doc_id").cast("long"), "text").union(more)).filter(F.col("doc_id") == long).collect()
+    assert np.isfinite(rows[0]["score"])
+
+
 def test_suffix_tree_odd_rows(odd, nothing):
     assert suffix_tree.score(odd).count() == len(ODD) and suffix_tree.score(nothing).count() == 0
 
