@@ -9,7 +9,9 @@ length; random strings add nearly as many as their alphabet needs.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,8 +27,12 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Words of secrecy; one must stand within BEFORE characters before a candidate.
 SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|credential|bearer|private|signature|akia", re.IGNORECASE | re.ASCII)
 BEFORE, AROUND = 48, 256
-#: A candidate is reported if it adds this many bytes a character or more.
+#: A candidate is reported if it adds this many bytes a character or more; if its characters are spread evenly, as many as their entropy.
 NOVEL = 0.8
+#: Alphabets of keys, smallest first.
+ALPHABETS = tuple((re.compile(x), n) for x, n in ((r"[0-9A-F]+|[0-9a-f]+", 16), (r"[A-Z2-7=]+", 32), (r"[0-9a-z]+|[0-9A-Z]+", 36), (r"[0-9A-Za-z]+", 62)))
+#: Share of its alphabet's bits that the entropy of an even candidate has; names stay near 0.8, random strings come close to 1.
+EVEN = 0.9
 #: Identifiers and words that occur around code and configuration: what priming makes cheap.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret authorization bearer "
@@ -62,6 +68,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def needed(candidate: str, least: float = NOVEL) -> float:
+    """Bytes a character that a candidate must add: its entropy if its characters are spread evenly, ``least`` at most."""
+    size = next((n for kind, n in ALPHABETS if kind.fullmatch(candidate)), 64)
+    n = len(candidate)
+    entropy = math.log2(n) - sum(k * math.log2(k) for k in Counter(candidate).values()) / n
+    return min(least, entropy / 8) if entropy >= EVEN * math.log2(size) else least
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float = NOVEL) -> list[tuple[int, int, int]]:
     """Incompressible candidates in sensitive places that overlap no span of ``base``."""
     found = []
@@ -72,7 +86,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, l
             continue
         if any(s < b and a < e for s, _, e in base) or not SENSITIVE.search(text, max(0, a - BEFORE), a):
             continue
-        if novelty.of(text[max(0, a - AROUND) : a], x, text[b : b + AROUND]) >= least * len(x):
+        if novelty.of(text[max(0, a - AROUND) : a], x, text[b : b + AROUND]) >= needed(x, least) * len(x):
             found.append((a, 3, b))
     return found
 

@@ -250,6 +250,21 @@ def test_secrets(spark, texts, odd, nothing):
 
 
 # 6 -------------------------------------------------------------------------------------------------------------------
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz123456789"])
+@pytest.mark.parametrize("size", [128, 256, 1024, 4096])
+def test_long_random_keys_are_novel(alphabet, size):
+    rng, novelty, before = random.Random(size), secrets.Novelty(), "As the old text has it, the private key is "
+    for _ in range(20):
+        text = before + "".join(rng.choices(alphabet, k=size)) + " and goes on."
+        assert secrets.novel_spans(text, [], novelty) == [(len(before), 3, len(before) + size)]
+
+
+def test_long_identifiers_are_not_novel():
+    path = "/usr/local/lib/python3/site-packages/config/settings/com/example/project/module2/internal/service/impl/handlers/requests/getHttpResponseHeader2Utf8Encoding"
+    for name in (path, "user_name_2023_configuration_of_the_release", path.replace("/", "_").lower(), "abc123" * 40):
+        assert not secrets.novel_spans(f"the private key is {name} and goes on.", [], secrets.Novelty())
+
+
 def test_token_counts(spark, texts, odd, nothing, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
