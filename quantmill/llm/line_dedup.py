@@ -3,20 +3,24 @@
 Lines (lower-cased, trimmed) within EDITS edits of each other: the shorter one is cut into EDITS + 1 segments, and at
 least one of them stands unchanged in the longer one, shifted by no more than the edits allow.  So each line gives its
 segments as index keys, and the substrings at the shifts that are possible for each length as probe keys; a key is a
-hash of (length, segment number, characters).  Keys of a line travel without its text.  Only lines that share a key
-with another line are gathered with their text, a bucket of a key at a time, in blocks of ``BLOCK`` lines at most; in
-a block, letter counts rule most pairs out and a banded bit-parallel edit distance decides.  A block gives a spanning
-forest of its links; components of these are the classes.
+hash of (length, segment number, characters), made by column expressions, so a key travels without its line.  Segments
+of lines of SHORT characters or fewer would be too short to tell lines apart: those (and lines that are up to EDITS
+longer, so that no pair falls between the two ways) have the strings that EDITS deletions or fewer leave as keys.
+
+Lines that share a key form a bucket.  Buckets over ``block`` lines are not compared but split again by segments of
+what is left of their lines, up to LEVELS times; what is still larger is compared in pairs of blocks.  In a bucket
+letter counts rule most pairs out and a banded bit-parallel edit distance decides.  Components of the links are the
+classes.  Any two lines within EDITS edits are in one class, whatever their length.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantmill.llm.graph import connected_components
@@ -24,13 +28,13 @@ from quantmill.llm.shared import written
 from quantmill.llm.text import digest, has_word, whole
 
 EDITS = 2
-#: Shorter lines have classes of equal lines only.
-MIN_CHARS = 24
+#: Lines of so many characters or fewer meet by what deletions leave of them.
+SHORT = 8
 BLOCK = 512
-#: So many ids of lines that share a key may be sent to all tasks (16 MB).
-FEW = 1 << 20
-#: Ids of lines that a task remembers, so as not to give the keys of a line twice.
-REMEMBERED = 1 << 20
+#: How often the lines of a key are split before blocks of them are compared.
+LEVELS = 3
+#: So many keys, ids or classes may be sent to all tasks (rows of 8 to 100 bytes; counted first).
+FEW = 1 << 18
 
 
 def within(a: str, b: str, edits: int = EDITS) -> bool:
@@ -71,49 +75,67 @@ def within(a: str, b: str, edits: int = EDITS) -> bool:
     return score <= edits
 
 
-def places(length: int, edits: int = EDITS) -> list[tuple[int, int, int, bool]]:
-    """(seed, start, end, index) of a line's keys by its length; index where it is a segment of this line itself.
+def shifts(edits: int = EDITS) -> list[tuple[int, int, int]]:
+    """(less, i, shift): where the i-th segment of a line that is ``less`` characters shorter can stand in a line.
 
-    A line that is ``less`` characters shorter has ``edits + 1`` segments, the last ones longer by one where its length
-    does not divide.  Its i-th segment can stand in this line shifted by what the edits before it and after it allow.
+    It can be shifted by what the edits before it and after it allow.
     """
-    out = []
-    for less in range(edits + 1):
-        n = length - less
-        cuts = [n // (edits + 1) * i + max(0, n % (edits + 1) - (edits + 1 - i)) for i in range(edits + 2)]
-        for i in range(edits + 1):
-            for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
-                start, end = cuts[i] + shift, cuts[i + 1] + shift
-                if 0 <= start and end <= length:
-                    out.append((n * (edits + 1) + i, start, end, not less and not shift))
-    return out
-
-
-def _line_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(id, key, index) for each key of each different line that the task reads."""
-    seen: set[int] = set()
-    known: dict[int, list[tuple[int, int, int, bool]]] = {}
-    for batch in batches:
-        keys, index, times = [], [], np.zeros(len(batch), np.int64)
-        if len(seen) > REMEMBERED:
-            seen.clear()
-        for k, (own, line) in enumerate(zip(batch["id"].tolist(), batch["line"], strict=True)):
-            if own in seen:
-                continue
-            seen.add(own)
-            if len(line) not in known:
-                known[len(line)] = [(seed, 4 * a, 4 * b, x) for seed, a, b, x in places(len(line))]
-            wide, at = line.encode("utf-32-le", "surrogatepass"), known[len(line)]
-            keys += [xxhash.xxh3_64_intdigest(wide[a:b], seed) for seed, a, b, _ in at]
-            index += [x for *_, x in at]
-            times[k] = len(at)
-        yield pd.DataFrame({"id": np.repeat(batch["id"].to_numpy(), times), "key": np.array(keys, np.uint64).view(np.int64), "index": index})
-
-
-def forest(ids: list[str], lines: list[str], edits: int = EDITS) -> list[tuple[str, str]]:
+    return [(less, i, s) for less in range(edits + 1) for i in range(edits + 1) for s in range(max(-i, less - edits + i), min(i, less + edits - i) + 1)]
+
+
+def _ends(length: Column, less: int, i: int, shift: int, edits: int) -> tuple[Column, Column]:
+    """Start and end of a shifted segment.  The last segments are longer by one where the length does not divide."""
+    n = length - less
+    cut = lambda k: F.floor(n / (edits + 1)) * k + F.greatest(F.lit(0), n % (edits + 1) - (edits + 1 - k)) + shift
+    return cut(i).cast("int"), cut(i + 1).cast("int")
+
+
+def places(text: Column, edits: int = EDITS) -> list[tuple[Column, Column, Column]]:
+    """(start, end, number that keys of this length and segment share) for each of ``shifts``."""
+    n = F.char_length(text)
+    return [(*_ends(n, less, i, shift, edits), (n - less) * (edits + 1) + i) for less, i, shift in shifts(edits)]
+
+
+def _deletions(text: Column, edits: int) -> Column:
+    """What is left of a short text after ``edits`` deletions or fewer."""
+    drop = lambda x, i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(1 << 20)))
+    once = lambda x: F.when(F.char_length(x) > 0, F.transform(F.sequence(F.lit(1), F.char_length(x)), lambda i: drop(x, i))).otherwise(F.array().cast("array<string>"))
+    left = every = F.array(text)
+    for _ in range(edits):
+        left = F.array_distinct(F.flatten(F.transform(left, once)))
+        every = F.array_union(every, left)
+    return every
+
+
+def segment_keys(text: Column, path: Column, edits: int = EDITS) -> Column:
+    """Array of (key, place): a text's segments and probes, hashed with ``path``.  place numbers ``shifts``."""
+    n = F.char_length(text)
+    each = [F.struct(F.xxhash64(F.substring(text, a + 1, b - a), seed, path).alias("key"), F.lit(k).cast("byte").alias("place")).alias("x") for k, (a, b, seed) in enumerate(places(text, edits))]
+    fits = [F.when((a >= 0) & (b <= n) & (b >= a), x) for (a, b, _), x in zip(places(text, edits), each, strict=True)]
+    return F.array_compact(F.array(*fits))
+
+
+def line_keys(lines: DataFrame, edits: int = EDITS, short: int = SHORT) -> DataFrame:
+    """(key, id, place) of each line; place is -1 for keys that deletions leave."""
+    text, n, path = F.col("line"), F.char_length("line"), F.lit(0).cast("long")
+    deleted = F.transform(_deletions(text, edits), lambda x: F.struct(F.xxhash64(x, F.lit(-1)).alias("key"), F.lit(-1).cast("byte").alias("place")))
+    both = F.when(n > short + edits, segment_keys(text, path, edits)).when(n > short, F.concat(segment_keys(text, path, edits), deleted)).otherwise(deleted)
+    return lines.select(F.xxhash64("line").alias("id"), F.explode(both).alias("x")).select("x.key", "id", "x.place")
+
+
+def _rest(text: Column, place: Column, edits: int) -> Column:
+    """A text without the segment at a place."""
+    a, b, _ = (F.array(*column) for column in zip(*places(text, edits), strict=True))
+    start, end = F.get(a, place), F.get(b, place)
+    return F.concat(F.substring(text, F.lit(1), start), F.substring(text, end + 1, F.lit((1 << 31) - 1)))
+
+
+def forest(lines: list[str], edits: int = EDITS) -> list[tuple[str, str]]:
     """Links of a spanning forest of lines within ``edits``.  Letters counted in 64 classes rule pairs out first."""
-    counts = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le"), np.uint32) % 64, minlength=64).astype(np.int32) for x in lines])
-    left, links = np.arange(len(ids)), []
+    if len(lines) == 2:
+        return [(lines[0], lines[1])] if within(*lines, edits) else []
+    counts = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64).astype(np.int32) for x in lines])
+    left, links = np.arange(len(lines)), []
     while len(left):
         front, left = [left[0]], left[1:]
         while front and len(left):
@@ -121,62 +143,133 @@ def forest(ids: list[str], lines: list[str], edits: int = EDITS) -> list[tuple[s
             near = np.abs(counts[left] - counts[at]).sum(axis=1) <= 2 * edits
             near[near] = [within(lines[at], lines[x], edits) for x in left[near]]
             found, left = left[near], left[~near]
-            links += [(ids[at], ids[x]) for x in found]
+            links += [(lines[at], lines[x]) for x in found]
             front += found.tolist()
     return links
 
 
-def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        found = [x for ids, lines in zip(batch["ids"], batch["lines"], strict=True) for x in forest(list(ids), list(lines))]
-        yield pd.DataFrame(found, columns=["a", "b"], dtype="object")
+def _linker(edits: int):
+    name = lambda x: hashlib.md5(x.encode()).hexdigest()  # noqa: E731 - as digest() gives
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(name(a), name(b)) for lines in batch["lines"] for a, b in forest(list(lines), edits)]
+            yield pd.DataFrame(found, columns=["a", "b"], dtype="object")
+
+    return link
+
+
+def _sent(rows: DataFrame) -> DataFrame:
+    """Rows that are read for a join: sent to all tasks if they are few, shuffled otherwise.  ``rows`` is written."""
+    return F.broadcast(rows) if rows.count() <= FEW else rows
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, doc, at, line): the lines with a word of each document, by content digest of the document."""
+    """(doc_id, doc, at, line): the lines with a word of each document; ``doc`` tells rows of one id apart by content."""
     text = whole(F.col("text"))
-    docs = docs.select("doc_id", digest(text).alias("doc"), F.split(text, "\n").alias("lines"))  # below the explode: once a text
+    docs = docs.select("doc_id", F.xxhash64(text).alias("doc"), F.split(text, "\n").alias("lines"))  # below the explode: once a text
     lines = docs.select("doc_id", "doc", F.posexplode_outer("lines").alias("at", "line")).filter(has_word(F.col("line")))  # outer: no test for empty arrays, which would split twice
     return lines.withColumn("line", F.lower(F.trim("line")))
 
 
-def line_links(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(a, b) digests of different lines within EDITS edits that connect all lines as all such pairs would."""
-    lines = occurrences(docs).select("line").filter(F.char_length("line") >= MIN_CHARS)
-    keys = lines.select(F.xxhash64("line").alias("id"), "line").mapInPandas(_line_keys, "id long, key long, index boolean")
-    shared = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max("index").alias("any")).filter("a <> b and any").select("key")
-    members = written(keys.select("key", "id").join(shared, "key").distinct())
-    ids = written(members.select("id").distinct())
-    ids = F.broadcast(ids) if ids.count() <= FEW else ids  # counted first; beyond that the lines are shuffled to them
-    texts = lines.withColumn("id", F.xxhash64("line")).join(ids, "id", "left_semi").distinct().withColumn("line_id", digest(F.col("line")))
+def _shared(keys: DataFrame, edits: int) -> DataFrame:
+    """Keys that different lines have, one of them as a segment of its own (or by deletions)."""
+    own = [-1, *(k for k, (less, _, shift) in enumerate(shifts(edits)) if not less and not shift)]
+    found = keys.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.max(F.col("place").isin(own)).alias("any"))
+    return written(found.filter("a <> b and any").select("key"))
+
+
+def _buckets(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """One row of ``lines`` for each different set of ids that a key has, of ``block`` at most."""
+    sets = members.groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids")).filter(F.size("ids") > 1).select("ids").distinct()
+    return sets.select(F.xxhash64("ids").alias("set"), F.explode("ids").alias("id")).join(texts, "id").groupBy("set").agg(F.collect_set("line").alias("lines")).select("lines")
+
+
+def _blocks(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
+    """Rows of ``lines`` in which every two lines of a key meet: pairs of blocks of its lines."""
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") * 2 / block).cast("int").alias("blocks"))
-    met = members.join(sizes, "key").join(texts, "id")
-    own = F.pmod(F.xxhash64("line_id"), "blocks").cast("int")
-    met = met.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.groupBy("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q")).agg(F.collect_list("line_id").alias("ids"), F.collect_list("line").alias("lines"))
-    return met.select("ids", "lines").distinct().mapInPandas(_block_links, "a string, b string").distinct()
+    met = members.select("key", "id").distinct().join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(1)), "blocks").cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "id").join(texts, "id")
+    return met.groupBy("key", "p", "q").agg(F.collect_set("line").alias("lines")).select("lines")
+
 
+def line_links(docs: DataFrame, block: int = BLOCK, edits: int = EDITS, short: int = SHORT, levels: int = LEVELS) -> DataFrame:
+    """(a, b) digests of different lines within ``edits`` that connect all lines as all such pairs would."""
+    lines = occurrences(docs).select("line")
+    keys = line_keys(lines, edits, short)
+    members = written(keys.join(_sent(_shared(keys, edits)), "key").select("key", "id", F.array("place").alias("path")).distinct())
+    texts = lines.withColumn("id", F.xxhash64("line")).join(_sent(written(members.select("id").distinct())), "id", "left_semi")
+    texts, together = written(texts.distinct()), []
+    for level in range(levels):
+        large = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.get("path", F.lit(0))).alias("first")).filter(F.col("n") > block).select("key", "first"))
+        if not large.count():
+            break
+        together.append(_buckets(members.join(large.select("key"), "key", "left_anti"), texts))
+        stuck = large.filter("first < 0") if level < levels - 1 else large  # what deletions leave has no segments to split by
+        together.append(_blocks(members.join(stuck.select("key"), "key", "left_semi"), texts, block))
+        if level == levels - 1:
+            members = members.limit(0)
+            break
+        deeper = members.join(large.filter("first >= 0").select("key"), "key", "left_semi").join(texts, "id").withColumn("rest", F.col("line"))
+        for k in range(level + 1):
+            deeper = deeper.withColumn("rest", _rest(F.col("rest"), F.get("path", F.lit(k)), edits))
+        deeper = deeper.select("id", "path", F.explode(segment_keys(F.col("rest"), F.col("key"), edits)).alias("x"))
+        deeper = written(deeper.select(F.col("x.key").alias("key"), "id", F.col("x.place").alias("place"), F.concat("path", F.array("x.place")).alias("path")))
+        members = written(deeper.join(_shared(deeper, edits), "key").select("key", "id", "path").distinct())
+    found = _buckets(members, texts)
+    for more in together:
+        found = found.union(more)
+    return found.mapInPandas(_linker(edits), "a string, b string").distinct()
 
-def dedup_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_lines, n_duplicates, n_near.
 
-    n_duplicates counts the lines whose class has an earlier line (by doc_id, then position); n_near those of them
-    that differ from the class's first.  Rows that repeat an id and a text count alike.  Null and empty texts have no
-    lines.
+def line_classes(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
+    """(doc_id, doc, at, first_doc_id, first_at, near): the lines that have an earlier line in their class.
+
+    A class is named by its first line (by doc_id, then position); that line and lines alone in their class are left
+    out.  ``near`` says that the line differs from the first.
     """
-    classes = written(connected_components(line_links(docs, block)))
-    seen = occurrences(docs).select("doc_id", "doc", "at", digest(F.col("line")).alias("line"))
-    seen = seen.join(classes.withColumnRenamed("node", "line"), "line", "left").withColumn("class", F.coalesce("root", "line"))
-    first = seen.groupBy("class").agg(F.min(F.struct("doc_id", "doc", "at", "line")).alias("first"))
-    seen = seen.join(first, "class")
-    later = ~F.struct("doc_id", "doc", "at").eqNullSafe(F.struct("first.doc_id", "first.doc", "first.at"))
-    counts = seen.groupBy("doc_id", "doc").agg(F.count("*").alias("n"), F.count_if(later).alias("d"), F.count_if(later & (F.col("line") != F.col("first.line"))).alias("e"), F.countDistinct("at").alias("each"))
-    copies = F.col("n") / F.col("each")  # rows that repeat an id and a text were counted together
-    counts = counts.select(F.col("doc_id").alias("i"), F.col("doc").alias("o"), (F.col("n") / copies).cast("long").alias("n"), (F.col("d") / copies).cast("long").alias("d"), (F.col("e") / copies).cast("long").alias("e"))
-    rows = docs.select("doc_id", digest(whole(F.col("text"))).alias("doc"))
-    out = rows.join(counts, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("doc") == F.col("o")), "left")
-    return out.select("doc_id", *[F.coalesce(F.col(a), F.lit(0)).cast("long").alias(b) for a, b in (("n", "n_lines"), ("d", "n_duplicates"), ("e", "n_near"))])
+    roots = connected_components(line_links(docs, block, **options))
+    seen = occurrences(docs).withColumn("line", digest(F.col("line")))
+    seen = seen.join(_sent(written(roots)).withColumnRenamed("node", "line"), "line", "left").select("doc_id", "doc", "at", "line", F.coalesce("root", "line").alias("class"))
+    first = seen.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "doc", "at", "line")).alias("first")).filter("n > 1").drop("n")
+    seen = seen.join(_sent(written(first)), "class").filter(~F.struct("doc_id", "doc", "at").eqNullSafe(F.struct("first.doc_id", "first.doc", "first.at")))
+    return seen.select("doc_id", "doc", "at", F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_at"), (F.col("line") != F.col("first.line")).alias("near"))
+
+
+def dedup_lines(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_lines, n_duplicates, n_near, members.
+
+    ``members`` lists the document's lines that have an earlier line in their class, by position: (line, first_doc_id,
+    first_line, near).  The class is named by its first line, so this is the membership of all classes; a line that is
+    not listed is the first of its own.  n_duplicates counts the list, n_near those of it that differ from the first.
+    Rows that repeat an id and a text count alike.  Null and empty texts have no lines.  Of equal lines in documents
+    of one id, the one in the text with the lower hash comes first.  A line of any length counts as a whole.
+    """
+    found = line_classes(docs, block, **options).groupBy(F.col("doc_id").alias("i"), F.col("doc").alias("o"))
+    found = found.agg(F.sort_array(F.collect_set(F.struct(F.col("at").alias("line"), "first_doc_id", F.col("first_at").alias("first_line"), "near"))).alias("members"))
+    text = whole(F.col("text"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("doc"), F.size(F.filter(F.split(text, "\n"), has_word)).cast("long").alias("n_lines"))
+    out = rows.join(found, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("doc") == F.col("o")), "left")
+    none = F.array().cast(dict(found.dtypes)["members"])
+    out = out.select("doc_id", "n_lines", F.coalesce("members", none).alias("members"))
+    near = F.size(F.filter("members", lambda x: x["near"]))
+    return out.select("doc_id", "n_lines", F.size("members").cast("long").alias("n_duplicates"), near.cast("long").alias("n_near"), "members")
+
+
+def deduplicated(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
+    """``docs`` with the lines that have an earlier line in their class cut out of ``text``; all columns and rows stay."""
+    found = line_classes(docs, block, **options).groupBy(F.col("doc_id").alias("i"), F.col("doc").alias("o")).agg(F.collect_set("at").alias("gone")).select(F.struct("i", "o", "gone").alias("own"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.join(found, F.col("row.doc_id").eqNullSafe(F.col("own.i")) & (F.xxhash64(whole(F.col("row.text"))) == F.col("own.o")), "left")
+    left = F.array_join(F.filter(F.split(whole(F.col("row.text")), "\n"), lambda x, i: ~F.array_contains("own.gone", i)), "\n")
+    rows = rows.withColumn("text", F.when(F.col("own").isNull(), F.col("row.text")).otherwise(left))
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document with the lines that a line before them has within two edits, and the first line of their class.
+
+    ``members`` is a list of (line, first_doc_id, first_line, near); see dedup_lines for odd rows.
+    """
     return dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

@@ -372,33 +372,60 @@ def test_banded_distance():
         assert line_dedup.within(a, b) == (distance(a, b) <= 2)
 
 
+def plain_members(docs) -> dict:
+    """doc: (lines, [(line, first doc, first line, differs)]) by comparing all pairs of lines."""
+    norm = sorted({x.lower().strip(" ") for _, t in docs for x in t.split("\n") if x.strip()})
+    group = plain_groups([(a, b) for a, b in combinations(norm, 2) if distance(a, b) <= 2], norm)
+    first, out = {}, {}
+    for i, text in docs:
+        own = [(at, x.lower().strip(" ")) for at, x in enumerate(text.split("\n")) if x.strip()]
+        found = []
+        for at, x in own:
+            if group[x] in first:
+                found.append((at, *first[group[x]][:2], first[group[x]][2] != x))
+            else:
+                first[group[x]] = (i, at, x)
+        out[i] = (len(own), found)
+    return out
+
+
+def member_rows(found) -> dict:
+    return {r["doc_id"]: (r["n_lines"], [tuple(m) for m in r["members"]]) for r in found.collect()}
+
+
 @pytest.mark.parametrize("block", [4, 512])
-def test_line_dedup(spark, block):
+@pytest.mark.parametrize("longest", [14, 60])
+def test_line_dedup(spark, block, longest):
     rng = random.Random(5)
-    bases = ["".join(rng.choice("abcdefghijk lmno") for _ in range(rng.randint(20, 60))).strip() + "q" for _ in range(12)]
+    bases = ["".join(rng.choice("abcdefghijk lmno") for _ in range(rng.randint(1, longest))).strip() + "q" for _ in range(16)]
     lines = [changed(rng, rng.choice(bases), rng.randint(0, 4)) for _ in range(160)]
     docs = [(i, "\n".join(lines[i * 4 : i * 4 + 4]) + "\n\n") for i in range(40)]
-    norm = sorted({x.lower().strip(" ") for x in lines})
-    close = [(a, b) for a, b in combinations(norm, 2) if min(len(a), len(b)) >= 24 and distance(a, b) <= 2]
-    group = plain_groups(close, norm)
-    seen, first, expected = set(), {}, {}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = plain_members(docs)
+    assert member_rows(line_dedup.dedup_lines(frame, block)) == expected
+    clean = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(frame, block).collect()}
     for i, text in docs:
-        own = [x.lower().strip(" ") for x in text.split("\n") if x.strip()]
-        dup = near = 0
-        for x in own:
-            if group[x] in seen:
-                dup += 1
-                near += first[group[x]] != x
-            else:
-                seen.add(group[x])
-                first[group[x]] = x
-        expected[i] = (len(own), dup, near)
-    got = line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), block).collect()
-    assert {r[0]: tuple(r[1:]) for r in got} == expected
-
-
-def test_line_dedup_odd_rows(odd, nothing):
-    assert line_dedup.dedup_lines(odd).count() == len(ODD) and line_dedup.dedup_lines(nothing).count() == 0
+        gone = {m[0] for m in expected[i][1]}
+        assert clean[i] == "\n".join(x for at, x in enumerate(text.split("\n")) if at not in gone)
+
+
+def test_lines_that_share_hot_segments(spark):
+    rng = random.Random(6)
+    lines = ["the same beginning of a line, number %06d, and the same end of it" % rng.randint(0, 999999) for _ in range(90)]
+    docs = [(i, x) for i, x in enumerate([*lines, *(changed(rng, x, 2) for x in lines[:20]), "copyright notice 2019", "copyright notice 2020"])]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for options in ({"block": 4}, {"block": 4, "levels": 1}, {"block": 16}, {"short": 20}):
+        assert member_rows(line_dedup.dedup_lines(frame, **options)) == plain_members(docs)
+
+
+def test_line_dedup_odd_rows(spark, odd, nothing):
+    got = sorted(((r["doc_id"], r["n_lines"], [tuple(m) for m in r["members"]]) for r in line_dedup.dedup_lines(odd).collect()), key=str)
+    # The two rows of id 5 are alike; those of null ids come first, so that the line of id 9 is a copy.
+    assert got == sorted([(1, 0, []), (2, 0, []), (3, 0, []), (4, 1, []), (5, 1, []), (5, 1, []), (None, 1, []), (None, 0, []), (8, 1, []), (9, 1, [(0, None, 0, False)])], key=str)
+    assert line_dedup.dedup_lines(nothing).count() == 0
+    clean = line_dedup.deduplicated(odd.withColumn("gone", F.lit("KEEP")))
+    assert clean.columns == [*odd.columns, "gone"] and clean.filter("gone = 'KEEP'").count() == len(ODD)
+    assert {r["doc_id"]: r["text"] for r in clean.collect()}[9] == "" and {r["doc_id"]: r["text"] for r in clean.collect()}[1] is None
 
 
 # 10 ------------------------------------------------------------------------------------------------------------------
