@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantmill.llm.text import NOT_ALNUM, ascii_lower, digest, let, split_words, whole
+from quantmill.llm.text import NOT_ALNUM, ascii_lower, digest, let, packed, split_words, unpacked, whole
 
 WINDOW = 13
 SLOTS = 1 << 16
@@ -69,7 +69,9 @@ def _places(w: Column, lengths: list[int], taken) -> Column:
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` with n_words and hits: array of (at, length, items), the document's windows that are the benchmark's.
 
-    Repeated rows, null ids and null texts (no words) stay as rows.  An empty benchmark gives no hits.
+    Repeated rows, null ids and null texts (no words) stay as rows.  An empty benchmark gives no hits.  Texts of any
+    length are searched as a whole; windows that several items share (ties) name all of them.  Columns of ``docs``
+    called n_words, hits, _w, _found or _row are replaced; decontaminate() keeps them.
     """
     docs = docs.drop("n_words", "hits", *OWN)
     words = normal_words(F.col("text"))
@@ -99,8 +101,8 @@ def gram(words: Column, x: Column) -> Column:
 
 def _joined(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     """For a benchmark that is too large to send: join on the windows' words; hits return by content digest."""
-    docs = docs.withColumn("_row", digest(F.array_join("_w", " ")))
-    at = docs.select("_row", "_w", F.explode(_places(F.col("_w"), lengths, lambda slot: F.lit(True))).alias("x"))
+    docs = docs.withColumn("_row", F.when(F.size("_w") > 0, digest(F.array_join("_w", " "))))  # null meets nothing, and is spread
+    at = docs.filter("_row is not null").select("_row", "_w", F.explode(_places(F.col("_w"), lengths, lambda slot: F.lit(True))).alias("x"))
     at = at.select("_row", "x.at", "x.length", gram(F.col("_w"), F.col("x")).alias("gram"))
     met = at.join(windows.drop("w"), ["length", "gram"]).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("at", "length", "items"))).alias("hits"))
     return docs.join(met, "_row", "left").withColumn("hits", F.coalesce("hits", F.array().cast(HITS))).drop("_row", "_w")
@@ -115,11 +117,13 @@ def judge(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """``docs`` without the contaminated documents, columns as they were."""
-    return judge(find_hits(docs, benchmark, window, max_windows)).filter(~F.col("contaminated")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """``docs`` without the contaminated documents; all columns, whatever their names, as they were."""
+    rows = packed(docs).withColumn("text", F.col("row.text"))
+    return judge(find_hits(rows, benchmark, window, max_windows)).filter(~F.col("contaminated")).select(*unpacked(docs.columns))
 
 
 def op1_decontamination(spark, sf_dir: str) -> DataFrame:
+    """Every document with its words inside benchmark passages; odd rows as in find_hits()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = judge(find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

@@ -3,7 +3,8 @@
 Rare words of a template vote for places in a text where the template may start.  Where enough different ones agree,
 the words of that window are aligned with the template: anchors are words unique to both, the longest increasing
 subsequence of them is kept, and the gaps between them are aligned in the same way.  The share of a template's words
-that are aligned is its coverage.  Rows never leave their partition.
+that are aligned is its coverage.  A text that holds enough of a template's words, but in no window, is aligned as a
+whole: so long insertions do not hide a license.  Rows never leave their partition.
 """
 
 from __future__ import annotations
@@ -16,25 +17,19 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from quantmill.llm.license_texts import notices, texts
+
 WORD = re.compile(r"[a-z0-9]+")
 COVERAGE = 0.8
 #: Share of a template's rare words that must agree on a place.
 VOTES = 0.5
-
-# Public license notices and the opening paragraphs of public licenses.
-TEMPLATES = {
-    "apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mit-notice": "Released under the MIT License.",
-    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
-}
+#: Aligned words may spread over so many times the template's words.
+SPREAD = 3
+#: Templates of fewer words are notices: all their words must stand together.
+NOTICE = 20
 # Words that are common in any text and say nothing about a place.
 COMMON = set("a all and any are as at be by for free from in is it later may not of on option or other person that the this to under use with work you your".split())
+TEMPLATES = notices() | texts()
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -80,37 +75,53 @@ class Scanner:
     def __init__(self, templates: dict[str, str], coverage: float):
         self.words = {k: WORD.findall(t.lower()) for k, t in sorted(templates.items())}
         self.rare = {k: set(w) - COMMON for k, w in self.words.items()}
+        self.counts = {k: Counter(w) for k, w in self.words.items()}
         self.coverage, self.places = coverage, defaultdict(list)
         for k, words in self.words.items():
             for j, w in enumerate(words):
                 if w in self.rare[k]:
                     self.places[w].append((k, j))
 
-    def windows(self, words: list[str]) -> list[tuple[str, int]]:
-        """(template, where its first word would be) wherever enough of its rare words agree, within a quarter of its length."""
+    def windows(self, words: list[str]) -> list[tuple[str, int, int]]:
+        """(template, first and last word) wherever enough of its rare words agree, and whole texts that hold enough of its words."""
         votes: dict = defaultdict(lambda: defaultdict(set))
+        seen: dict = defaultdict(set)
         for i, w in enumerate(words):
             for k, j in self.places.get(w, ()):
                 step = max(4, len(self.words[k]) // 4)
+                seen[k].add(w)
                 for cell in ((i - j) // step, (i - j) // step + 1):  # neighbours overlap, so no place is cut in two
                     votes[k][cell].add(w)
-        return sorted((k, (cell - 1) * max(4, len(self.words[k]) // 4)) for k, cells in votes.items() for cell, seen in cells.items() if len(seen) >= VOTES * len(self.rare[k]))
+        found = []
+        for k, cells in votes.items():
+            size = len(self.words[k])
+            step = max(4, size // 4)
+            for cell, agreed in cells.items():
+                if len(agreed) >= VOTES * len(self.rare[k]):
+                    start = (cell - 1) * step
+                    found.append((k, max(0, start), min(len(words), start + size + 2 * step)))
+            if len(seen[k]) >= VOTES * len(self.rare[k]):
+                held = Counter(w for w in words if w in self.counts[k])
+                if sum(min(n, held[w]) for w, n in self.counts[k].items()) >= self.coverage * size:
+                    found.append((k, 0, len(words)))
+        return sorted(found)
 
     def scan(self, text: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, template, coverage) in code points; of overlapping places of one template, the best."""
+        """(start, end, template, coverage) in code points; of places that overlap, the one with most words, then the best and shortest."""
         low = text.lower() if text.isascii() else "".join(x.lower() if x.isascii() else x for x in text)
         words, found = WORD.findall(low), []
         places = self.windows(words)
         at = [m.span() for m in WORD.finditer(low)] if places else []
-        for k, start in places:
+        for k, first, last in places:
             size = len(self.words[k])
-            first, last = max(0, start), min(len(words), start + size + 2 * max(4, size // 4))
             pairs = align(words[first:last], self.words[k])
-            if pairs and len(pairs) >= self.coverage * size:
-                found.append((-len(pairs) / size, at[first + pairs[0][0]][0], at[first + pairs[-1][0]][1], k))
+            share, spread = (1, 1) if size < NOTICE else (self.coverage, SPREAD)
+            if pairs and len(pairs) >= share * size and pairs[-1][0] - pairs[0][0] < spread * size:
+                a, b = at[first + pairs[0][0]][0], at[first + pairs[-1][0]][1]
+                found.append((-len(pairs), -len(pairs) / size, b - a, a, b, k))
         kept: list[tuple[int, int, str, float]] = []
-        for c, a, b, k in sorted(found):
-            if not any(x == k and s < b and a < e for s, e, x, _ in kept):
+        for _, c, _, a, b, k in sorted(found):
+            if not any(s < b and a < e for s, e, _, _ in kept):
                 kept.append((a, b, k, -c))
         return sorted(kept)
 
@@ -118,7 +129,9 @@ class Scanner:
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
     """One row for each row of ``docs``: doc_id, n_licenses, licenses (template:start:end, by start), coverage (the best).
 
-    Null and empty texts have none, and a coverage of 0.
+    Null and empty texts have none, and a coverage of 0.  Texts of any length are scanned as a whole; of places
+    that overlap (ties) the one with most words counts.  Null and repeated ids stay as they are, other columns are not read.
+    Templates are a few kilobytes of public texts, held by each task.
     """
     templates = TEMPLATES if templates is None else templates
 
@@ -134,4 +147,5 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
 
 def op4_license_scan(spark, sf_dir: str) -> DataFrame:
+    """Every document with the licenses in its text; odd rows as in scan_licenses()."""
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))

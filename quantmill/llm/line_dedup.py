@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantmill.llm.graph import connected_components
-from quantmill.llm.shared import written
+from quantmill.llm.shared import sent, written
 from quantmill.llm.text import digest, has_word, whole
 
 EDITS = 2
@@ -83,17 +83,24 @@ def shifts(edits: int = EDITS) -> list[tuple[int, int, int]]:
     return [(less, i, s) for less in range(edits + 1) for i in range(edits + 1) for s in range(max(-i, less - edits + i), min(i, less + edits - i) + 1)]
 
 
-def _ends(length: Column, less: int, i: int, shift: int, edits: int) -> tuple[Column, Column]:
-    """Start and end of a shifted segment.  The last segments are longer by one where the length does not divide."""
-    n = length - less
-    cut = lambda k: F.floor(n / (edits + 1)) * k + F.greatest(F.lit(0), n % (edits + 1) - (edits + 1 - k)) + shift
-    return cut(i).cast("int"), cut(i + 1).cast("int")
+def with_cuts(rows: DataFrame, text: str, edits: int = EDITS) -> DataFrame:
+    """Adds n, the length of a text, and c<less>_<k>, where the k-th segment of a text ``less`` characters shorter starts.
 
+    The last segments are longer by one where the length does not divide.  As columns of their own these are computed
+    once a text.
+    """
+    rows, n = rows.withColumn("n", F.char_length(text)), F.col("n")
+    whole_part = lambda less: F.floor((n - less) / (edits + 1))
+    more = lambda less, k: F.greatest(F.lit(0), (n - less) % (edits + 1) - (edits + 1 - k))
+    return rows.select("*", *[(whole_part(less) * k + more(less, k)).cast("int").alias(f"c{less}_{k}") for less in range(edits + 1) for k in range(edits + 2)])
+
+
+def places(edits: int = EDITS) -> list[tuple[Column, Column, Column]]:
+    """(start, end, number that keys of this length and segment share) for each of ``shifts``, from the columns of with_cuts.
 
-def places(text: Column, edits: int = EDITS) -> list[tuple[Column, Column, Column]]:
-    """(start, end, number that keys of this length and segment share) for each of ``shifts``."""
-    n = F.char_length(text)
-    return [(*_ends(n, less, i, shift, edits), (n - less) * (edits + 1) + i) for less, i, shift in shifts(edits)]
+    In texts shorter than the segments are many, some places are not in the text; their keys meet nothing that matters.
+    """
+    return [(F.col(f"c{less}_{i}") + shift, F.col(f"c{less}_{i + 1}") + shift, (F.col("n") - less) * (edits + 1) + i) for less, i, shift in shifts(edits)]
 
 
 def _deletions(text: Column, edits: int) -> Column:
@@ -109,24 +116,22 @@ def _deletions(text: Column, edits: int) -> Column:
 
 def segment_keys(text: Column, path: Column, edits: int = EDITS) -> Column:
     """Array of (key, place): a text's segments and probes, hashed with ``path``.  place numbers ``shifts``."""
-    n = F.char_length(text)
-    each = [F.struct(F.xxhash64(F.substring(text, a + 1, b - a), seed, path).alias("key"), F.lit(k).cast("byte").alias("place")).alias("x") for k, (a, b, seed) in enumerate(places(text, edits))]
-    fits = [F.when((a >= 0) & (b <= n) & (b >= a), x) for (a, b, _), x in zip(places(text, edits), each, strict=True)]
-    return F.array_compact(F.array(*fits))
+    return F.array(*[F.struct(F.xxhash64(F.substring(text, a + 1, b - a), seed, path).alias("key"), F.lit(k).cast("byte").alias("place")) for k, (a, b, seed) in enumerate(places(edits))])
 
 
 def line_keys(lines: DataFrame, edits: int = EDITS, short: int = SHORT) -> DataFrame:
     """(key, id, place) of each line; place is -1 for keys that deletions leave."""
-    text, n, path = F.col("line"), F.char_length("line"), F.lit(0).cast("long")
-    deleted = F.transform(_deletions(text, edits), lambda x: F.struct(F.xxhash64(x, F.lit(-1)).alias("key"), F.lit(-1).cast("byte").alias("place")))
-    both = F.when(n > short + edits, segment_keys(text, path, edits)).when(n > short, F.concat(segment_keys(text, path, edits), deleted)).otherwise(deleted)
-    return lines.select(F.xxhash64("line").alias("id"), F.explode(both).alias("x")).select("x.key", "id", "x.place")
+    deleted = F.transform(_deletions(F.col("line"), edits), lambda x: F.struct(F.xxhash64(x, F.lit(-1)).alias("key"), F.lit(-1).cast("byte").alias("place")))
+    lines = with_cuts(lines.select(F.xxhash64("line").alias("id"), "line"), "line", edits)
+    lines = lines.withColumn("cut", F.when(F.col("n") > short, segment_keys(F.col("line"), F.lit(0).cast("long"), edits)))
+    keys = F.when(F.col("n") > short + edits, F.col("cut")).when(F.col("n") > short, F.concat("cut", deleted)).otherwise(deleted)
+    return lines.select("id", keys.alias("x")).select("id", F.explode_outer("x").alias("x")).select("x.key", "id", "x.place")  # outer: no test for empty arrays, which would make the keys twice
 
 
 def _rest(text: Column, place: Column, edits: int) -> Column:
-    """A text without the segment at a place."""
-    a, b, _ = (F.array(*column) for column in zip(*places(text, edits), strict=True))
-    start, end = F.get(a, place), F.get(b, place)
+    """A text without the segment at a place, from the columns of with_cuts."""
+    a, b, _ = (F.array(*column) for column in zip(*places(edits), strict=True))
+    start, end = F.greatest(F.lit(0), F.get(a, place)), F.greatest(F.lit(0), F.get(b, place))
     return F.concat(F.substring(text, F.lit(1), start), F.substring(text, end + 1, F.lit((1 << 31) - 1)))
 
 
@@ -159,11 +164,6 @@ def _linker(edits: int):
     return link
 
 
-def _sent(rows: DataFrame) -> DataFrame:
-    """Rows that are read for a join: sent to all tasks if they are few, shuffled otherwise.  ``rows`` is written."""
-    return F.broadcast(rows) if rows.count() <= FEW else rows
-
-
 def occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, doc, at, line): the lines with a word of each document; ``doc`` tells rows of one id apart by content."""
     text = whole(F.col("text"))
@@ -198,8 +198,8 @@ def line_links(docs: DataFrame, block: int = BLOCK, edits: int = EDITS, short: i
     """(a, b) digests of different lines within ``edits`` that connect all lines as all such pairs would."""
     lines = occurrences(docs).select("line")
     keys = line_keys(lines, edits, short)
-    members = written(keys.join(_sent(_shared(keys, edits)), "key").select("key", "id", F.array("place").alias("path")).distinct())
-    texts = lines.withColumn("id", F.xxhash64("line")).join(_sent(written(members.select("id").distinct())), "id", "left_semi")
+    members = written(keys.join(sent(_shared(keys, edits), FEW), "key").select("key", "id", F.array("place").alias("path")).distinct())
+    texts = lines.withColumn("id", F.xxhash64("line")).join(sent(written(members.select("id").distinct()), FEW), "id", "left_semi")
     texts, together = written(texts.distinct()), []
     for level in range(levels):
         large = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min(F.get("path", F.lit(0))).alias("first")).filter(F.col("n") > block).select("key", "first"))
@@ -211,10 +211,10 @@ def line_links(docs: DataFrame, block: int = BLOCK, edits: int = EDITS, short: i
         if level == levels - 1:
             members = members.limit(0)
             break
-        deeper = members.join(large.filter("first >= 0").select("key"), "key", "left_semi").join(texts, "id").withColumn("rest", F.col("line"))
+        deeper = members.join(large.filter("first >= 0").select("key"), "key", "left_semi").join(texts, "id").select("key", "id", "path", F.col("line").alias("rest"))
         for k in range(level + 1):
-            deeper = deeper.withColumn("rest", _rest(F.col("rest"), F.get("path", F.lit(k)), edits))
-        deeper = deeper.select("id", "path", F.explode(segment_keys(F.col("rest"), F.col("key"), edits)).alias("x"))
+            deeper = with_cuts(deeper, "rest", edits).select("key", "id", "path", _rest(F.col("rest"), F.get("path", F.lit(k)), edits).alias("rest"))
+        deeper = with_cuts(deeper, "rest", edits).select("id", "path", F.explode_outer(segment_keys(F.col("rest"), F.col("key"), edits)).alias("x"))
         deeper = written(deeper.select(F.col("x.key").alias("key"), "id", F.col("x.place").alias("place"), F.concat("path", F.array("x.place")).alias("path")))
         members = written(deeper.join(_shared(deeper, edits), "key").select("key", "id", "path").distinct())
     found = _buckets(members, texts)
@@ -231,9 +231,9 @@ def line_classes(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
     """
     roots = connected_components(line_links(docs, block, **options))
     seen = occurrences(docs).withColumn("line", digest(F.col("line")))
-    seen = seen.join(_sent(written(roots)).withColumnRenamed("node", "line"), "line", "left").select("doc_id", "doc", "at", "line", F.coalesce("root", "line").alias("class"))
+    seen = seen.join(sent(written(roots), FEW).withColumnRenamed("node", "line"), "line", "left").select("doc_id", "doc", "at", "line", F.coalesce("root", "line").alias("class"))
     first = seen.groupBy("class").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "doc", "at", "line")).alias("first")).filter("n > 1").drop("n")
-    seen = seen.join(_sent(written(first)), "class").filter(~F.struct("doc_id", "doc", "at").eqNullSafe(F.struct("first.doc_id", "first.doc", "first.at")))
+    seen = seen.join(sent(written(first), FEW), "class").filter(~F.struct("doc_id", "doc", "at").eqNullSafe(F.struct("first.doc_id", "first.doc", "first.at")))
     return seen.select("doc_id", "doc", "at", F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_at"), (F.col("line") != F.col("first.line")).alias("near"))
 
 

@@ -10,12 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantmill.llm.text import split_words, whole
+from quantmill.llm.text import packed, split_words, unpacked, whole
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SEED = "mix"
-OWN = ("_s", "_key", "_cell", "_size")
+RESULT = ("size", "source_size", "target", "epochs", "part", "taken")
 
 
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -41,41 +41,48 @@ def targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_R
     return out.withColumn("epochs", epochs.cast("long")).withColumn("rest", (budget - epochs * F.col("source_size")).cast("long")).select("_s", "source_size", "target", "epochs", "rest")
 
 
-def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """``docs`` with size (words), source_size, target, epochs, part and taken = epochs * size + part.
-
-    Every row stays, with taken 0 if the mix does not take it.  ``part`` is what the last, unfinished epoch takes of
-    it: all, nothing, or for one document of a source its first words.  A null source is a source; null texts have
-    size 0.  Rows that repeat an id and a text may swap places, which changes nothing.
-    """
-    docs = docs.drop("size", "source_size", "target", "epochs", "part", "taken", *OWN)
-    docs = docs.withColumn("_s", F.coalesce(F.concat(F.lit("0"), F.col("source").cast("string")), F.lit("1"))).withColumn("size", F.size(split_words(whole(F.col("text")))).cast("long"))
-    docs = docs.withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("string"))))
+def _mixed(docs: DataFrame, weights: tuple, max_repeats: int, seed: str) -> DataFrame:
+    """``row`` (the columns of docs) with the columns of RESULT."""
+    docs = packed(docs)
+    docs = docs.withColumn("_s", F.coalesce(F.concat(F.lit("0"), F.col("row.source").cast("string")), F.lit("1"))).withColumn("size", F.size(split_words(whole(F.col("row.text")))).cast("long"))
+    docs = docs.withColumn("_key", F.md5(F.concat_ws(":", F.lit(seed), F.col("row.doc_id").cast("string"))))
     docs = docs.withColumn("_cell", F.substring("_key", 1, 3))
     cells = docs.groupBy("_s", "_cell").agg(F.sum("size").alias("_size"))
     aims = targets(cells.groupBy("_s").agg(F.sum("_size").alias("source_size")), weights, max_repeats)
     before = F.coalesce(F.sum("_size").over(Window.partitionBy("_s").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     cells = cells.withColumn("_before", before).join(aims, "_s").drop("_size")
-    inside = Window.partitionBy("_s", "_cell").orderBy("_key", "doc_id", F.xxhash64("text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("_s", "_cell").orderBy("_key", "row.doc_id", F.xxhash64("row.text")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     docs = docs.withColumn("_upto", F.sum("size").over(inside))
     docs = docs.join(cells, ["_s", "_cell"])
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("_before") + F.col("_upto") - F.col("size"))))
     docs = docs.withColumn("part", part.cast("long")).withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long"))
-    return docs.drop("_s", "_key", "_cell", "_before", "_upto", "rest")
+    return docs.select("row", *RESULT)
+
+
+def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
+    """``docs`` with size (words), source_size, target, epochs, part and taken = epochs * size + part.
+
+    Every row stays, with taken 0 if the mix does not take it.  ``part`` is what the last, unfinished epoch takes of
+    it: all, nothing, or for one document of a source its first words.  A null source is a source; null texts have
+    size 0, texts of any length their number of words.  Documents of one key are taken by id, then by text; rows that
+    repeat an id and a text may swap places, which changes nothing.  Columns of ``docs`` that have these six names
+    are replaced, all others stay.
+    """
+    return _mixed(docs, weights, max_repeats, seed).select(*unpacked([c for c in docs.columns if c not in RESULT]), *RESULT)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
     """The documents of the mix, repeated as often as it takes them, columns as they were.
 
     The document at a source's cut comes whole if half of its words or more are inside the budget.
     """
-    names = docs.columns
     copies = F.col("epochs") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
-    taken = mix(docs, **options).withColumn("_copies", F.when(F.col("size") > 0, copies).otherwise(0)).filter("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in names])
+    taken = _mixed(docs, weights, max_repeats, seed).withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(0)).filter("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*unpacked(docs.columns))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it; odd rows as in mix()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 

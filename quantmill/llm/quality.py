@@ -9,16 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantmill.llm.text import digest, has_word, let, split_words, whole
+from quantmill.llm.text import digest, has_word, let, packed, split_words, unpacked, whole
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is boilerplate of its host when more than this many documents of different content have it.
-LINE_LIMIT = 100
+#: A line is boilerplate of its host when more documents of different content have it than this share of the host's, and
+#: than this number, which matters for small hosts alone.
+LINE_SHARE = 0.01
+LINE_FLOOR = 10
 #: A document is depleted when boilerplate lines hold more than this share of its characters.
 DEPLETED_SHARE = 0.7
 SYMBOLS = r"[#*$%&|<>]+"
-OWN = ("_text", "_words", "_lines")
+SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
 
 def _repeat_words(words: Column) -> Column:
@@ -40,21 +42,25 @@ def _repeat_words(words: Column) -> Column:
     return let(words, windows)
 
 
+def _rated(docs: DataFrame) -> DataFrame:
+    """``row`` (the columns of docs) with the columns of SIGNALS."""
+    docs = packed(docs).withColumn("whole", whole(F.col("row.text")))
+    docs = docs.withColumn("words", split_words(F.col("whole")))
+    docs = docs.withColumn("n_words", F.size("words").cast("long")).withColumn("n_repeat_words", _repeat_words(F.col("words")).cast("long"))
+    docs = docs.withColumn("word_chars", F.char_length(F.array_join("words", "")).cast("long"))
+    docs = docs.withColumn("n_symbols", (F.char_length("whole") - F.char_length(F.regexp_replace("whole", SYMBOLS, ""))).cast("long"))
+    docs = docs.withColumn("lines", F.filter(F.split("whole", "\n"), has_word)).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    return docs.withColumn("base_failed", failed).select("row", *SIGNALS)
+
+
 def signals(docs: DataFrame) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed.
 
-    Null and empty texts have no words and fail.  Columns of these names in ``docs`` are replaced.
+    Null and empty texts have no words and fail.  Texts of any length are read as a whole.  Columns of ``docs`` that
+    have these six names are replaced, all others stay.
     """
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-    docs = docs.drop(*names, *OWN).withColumn("_text", whole(F.col("text")))
-    docs = docs.withColumn("_words", split_words(F.col("_text")))
-    lines = F.filter(F.split("_text", "\n"), has_word)
-    docs = docs.withColumn("n_words", F.size("_words").cast("long")).withColumn("n_repeat_words", _repeat_words(F.col("_words")).cast("long"))
-    docs = docs.withColumn("word_chars", F.char_length(F.array_join("_words", "")).cast("long"))
-    docs = docs.withColumn("n_symbols", (F.char_length("_text") - F.char_length(F.regexp_replace("_text", SYMBOLS, ""))).cast("long"))
-    docs = docs.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return docs.withColumn("base_failed", failed).drop("_text", "_words", "_lines")
+    return _rated(docs).select(*unpacked([c for c in docs.columns if c not in SIGNALS]), *SIGNALS)
 
 
 def line_key(line: Column) -> Column:
@@ -62,41 +68,60 @@ def line_key(line: Column) -> Column:
     return F.xxhash64(F.lower(F.trim(line)))
 
 
-def shared_lines(docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT) -> DataFrame:
-    """One row per (_host, _digest) of ``docs``: line_chars, shared_chars and the hashes of the lines to remove.
+def shared_lines(docs: DataFrame, host: str = "source", line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR) -> DataFrame:
+    """One row per (host, digest) of texts with boilerplate lines: line_chars, shared_chars and hashes of the lines to remove.
 
-    A line counts once for each different text of a host, so exact copies do not make it common.  The first
-    document (lowest doc_id) that has a common line keeps it, so no content disappears from a host entirely.
-    A null host is a host.  Characters are summed over copies, which leaves their ratio as it is.
+    A line counts once for each different text of a host, so exact copies do not make it common.  It is boilerplate
+    when more than ``line_share`` of the host's different texts have it, and more than ``line_floor``.  The first
+    document (lowest doc_id, then digest) that has a common line keeps it, so no content disappears from a host
+    entirely.  A null host is a host.  Characters are summed over copies, which leaves their ratio as it is.
     """
     text = whole(F.col("text"))
-    rows = docs.select(F.col(host).alias("_host"), digest(text).alias("_digest"), "doc_id", F.split(text, "\n").alias("x"))  # below the explode: once a text
+    rows = docs.select(F.col(f"`{host}`").alias("host"), digest(text).alias("digest"), "doc_id", F.split(text, "\n").alias("x"))  # below the explode: once a text
+    sizes = rows.groupBy("host", "digest").agg(F.first(F.lit(1)).alias("one")).groupBy("host").agg(F.greatest(F.count("*") * line_share, F.lit(float(line_floor))).alias("limit"))
     rows = rows.withColumn("x", F.explode_outer("x")).filter(has_word(F.col("x")))
-    rows = rows.select("_host", "_digest", "doc_id", line_key(F.col("x")).alias("line"), F.char_length("x").alias("chars"))
-    rows = rows.groupBy("_host", "_digest", "line").agg(F.sum("chars").alias("chars"), F.min("doc_id").alias("first"))
+    rows = rows.select("host", "digest", "doc_id", line_key(F.col("x")).alias("line"), F.char_length("x").alias("chars"))
+    rows = rows.groupBy("host", "digest", "line").agg(F.sum("chars").alias("chars"), F.min("doc_id").alias("first"))
     # Both uses of rows keep all its columns: then Spark runs it, and its shuffle, once.
-    common = rows.groupBy("_host", "line").agg(F.count("*").alias("n"), F.min(F.struct("first", "_digest")).alias("keeper"), F.max("chars").alias("most"))
-    common = common.filter((F.col("n") > line_limit) & (F.col("most") > 0)).select(F.col("_host").alias("h"), F.col("line").alias("l"), "keeper")
-    met = rows.join(common, F.col("_host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left")
-    gone = F.col("l").isNotNull() & ~F.struct("first", "_digest").eqNullSafe(F.col("keeper"))
-    return met.groupBy("_host", "_digest").agg(F.sum("chars").alias("line_chars"), F.sum(F.when(gone, F.col("chars")).otherwise(0)).alias("shared_chars"), F.collect_list(F.when(gone, F.col("line"))).alias("shared"))
+    common = rows.groupBy("host", "line").agg(F.count("*").alias("n"), F.min(F.struct("first", "digest")).alias("keeper"), F.max("chars").alias("most"))
+    common = common.filter((F.col("n") > line_floor) & (F.col("most") > 0)).select(F.col("host").alias("h"), F.col("line").alias("l"), "keeper", "n")
+    common = common.join(sizes, F.col("h").eqNullSafe(F.col("host"))).filter("n > limit").select("h", "l", "keeper")
+    met = rows.join(common, F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l")), "left")
+    gone = F.col("l").isNotNull() & ~F.struct("first", "digest").eqNullSafe(F.col("keeper"))
+    met = met.groupBy("host", "digest").agg(F.sum("chars").alias("line_chars"), F.sum(F.when(gone, F.col("chars")).otherwise(0)).alias("shared_chars"), F.collect_list(F.when(gone, F.col("line"))).alias("shared"))
+    return met.filter("shared_chars > 0")
+
+
+def _judged(docs: DataFrame, host: str, line_share: float, line_floor: int, depleted_share: float) -> DataFrame:
+    """``row`` (the columns of docs) with SIGNALS, shared_share, kept and clean_text."""
+    rated = _rated(docs).withColumn("h", F.col(f"row.`{host}`")).withColumn("d", digest(whole(F.col("row.text"))))
+    common = shared_lines(docs, host, line_share, line_floor)
+    out = rated.join(common, F.col("h").eqNullSafe(F.col("host")) & (F.col("d") == F.col("digest")), "left")
+    out = out.withColumn("shared_share", F.coalesce(F.col("shared_chars") / F.col("line_chars"), F.lit(0.0)))
+    left = F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains("shared", line_key(x)))
+    out = out.withColumn("clean_text", F.when(F.col("shared_chars") > 0, F.array_join(left, "\n")).otherwise(F.col("row.text")))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("shared_share") <= depleted_share))
 
 
-def apply_rules(docs: DataFrame, host: str = "source", line_limit: int = LINE_LIMIT, depleted_share: float = DEPLETED_SHARE) -> DataFrame:
+def apply_rules(docs: DataFrame, host: str = "source", line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR, depleted_share: float = DEPLETED_SHARE) -> DataFrame:
     """``docs`` with the signals, shared_share, kept and clean_text (the text without boilerplate lines).
 
-    Every row of ``docs`` gives one row, repeated rows and null ids too.
+    A document is rejected (kept is false) if its signals fail or boilerplate lines, as shared_lines() has them, hold
+    more than ``depleted_share`` of the characters of its lines.  Every row of ``docs`` gives one row, repeated rows
+    and null ids too.  Columns of ``docs`` that have the names of these results are replaced, all others stay.
     """
-    own = ("_h", "_d", "line_chars", "shared_chars", "shared", "shared_share", "kept", "clean_text")
-    rated = signals(docs.drop(*own)).withColumn("_h", F.col(host)).withColumn("_d", digest(whole(F.col("text"))))
-    common = shared_lines(docs, host, line_limit).filter("shared_chars > 0")
-    out = rated.join(common, F.col("_h").eqNullSafe(F.col("_host")) & (F.col("_d") == F.col("_digest")), "left")
-    out = out.withColumn("shared_share", F.coalesce(F.col("shared_chars") / F.col("line_chars"), F.lit(0.0)))
-    left = F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("shared", line_key(x)))
-    out = out.withColumn("clean_text", F.when(F.col("shared_chars") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("shared_share") <= depleted_share)).drop("_h", "_d", "_host", "_digest", "line_chars", "shared_chars", "shared")
+    results = (*SIGNALS, "shared_share", "kept", "clean_text")
+    return _judged(docs, host, line_share, line_floor, depleted_share).select(*unpacked([c for c in docs.columns if c not in results]), *results)
+
+
+def kept_documents(docs: DataFrame, host: str = "source", line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR, depleted_share: float = DEPLETED_SHARE) -> DataFrame:
+    """The documents that are not rejected, with clean texts; n_chars follows the text, all other columns stay."""
+    out = _judged(docs, host, line_share, line_floor, depleted_share).filter("kept")
+    clean = {"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}
+    return out.select(*[clean[c].alias(c) if c in clean else x for c, x in zip(docs.columns, unpacked(docs.columns), strict=True)])
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Every document with its signals and whether the rules keep it; odd rows as in apply_rules()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return apply_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "shared_share")

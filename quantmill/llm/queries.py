@@ -22,5 +22,54 @@ def queries() -> dict:
     return {f.__name__: f for f in every}
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+OP1_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), p AS (
+  SELECT DISTINCT item, l, unnest(list_transform(range(1, len(w) - l + 2), lambda i: array_to_string(w[i:i + l - 1], ' '))) AS g FROM (SELECT item, w, least(len(w), 13) AS l FROM b WHERE len(w) > 0)
+), v AS (
+  SELECT doc_id, l, unnest(list_transform(range(1, len(w) - l + 2), lambda i: {{'i': i, 'g': array_to_string(w[i:i + l - 1], ' ')}})) AS x FROM d, (SELECT DISTINCT l FROM p)
+), h AS (
+  SELECT v.doc_id, v.l, v.x.i AS i, p.item FROM v JOIN p ON p.l = v.l AND p.g = v.x.g
+), n AS (
+  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS at FROM h) GROUP BY 1
+), t AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+OP7_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS t, md5(coalesce(text, '')) AS m, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: {'i': i, 'g': array_to_string(w[i:i + 2], ' ')})) AS x FROM d
+), r AS (
+  SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS at FROM (SELECT doc_id, x.i AS i, count(*) OVER (PARTITION BY doc_id, x.g) AS k FROM g) WHERE k > 1) GROUP BY 1
+), l AS (
+  SELECT doc_id, source, m, line FROM (SELECT doc_id, source, m, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), u AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY 1
+), c AS (
+  SELECT source, m, lower(trim(line, ' ')) AS line, sum(len(line)) AS chars, min(doc_id) AS first FROM l GROUP BY 1, 2, 3
+), z AS (
+  SELECT source, greatest(count(DISTINCT m) * 0.01, 10) AS most FROM d GROUP BY 1
+), b AS (
+  SELECT c.source, c.line, min({'first': first, 'm': m}) AS keeper FROM c JOIN z ON c.source IS NOT DISTINCT FROM z.source GROUP BY 1, 2 HAVING count(*) > any_value(most)
+), s AS (
+  SELECT c.source, c.m, sum(chars) AS line_chars, sum(CASE WHEN b.line IS NOT NULL AND keeper <> {'first': first, 'm': m} THEN chars ELSE 0 END) AS shared_chars
+  FROM c LEFT JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.line = b.line GROUP BY 1, 2
+), o AS (
+  SELECT d.doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, (len(t) - len(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(shared_chars / line_chars, 0.0)::DOUBLE AS shared_share
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN s ON d.source IS NOT DISTINCT FROM s.source AND d.m = s.m
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND shared_share <= 0.7 AS kept FROM o
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": OP2_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op7_quality_rules": OP7_SQL}

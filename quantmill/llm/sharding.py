@@ -12,12 +12,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantmill.llm.text import whole
+from quantmill.llm.text import packed, unpacked, whole
 
 SHARDS = 24
 GROUPS = 1 << 16
 OVERHEAD = 8
-OWN = ("_md5", "_group", "_cell", "_n", "_before", "_offset")
+RESULT = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
 def _greedy(ends: np.ndarray, capacity: int, shards: int) -> list[int] | None:
@@ -70,12 +70,13 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """``docs`` with size, text_crc32, law, shard, slot and grown_shard (null: this law moves rows when it grows).
 
     Null texts count as empty, repeated rows as rows, and an empty table gives an empty table.  Slots of a shard run
-    from 0 without gaps, by group, then md5 of the id, then id.
+    from 0 without gaps, by group, then the first two digits of the md5 of the id, then id, then text; rows that tie
+    in all of these are alike.  Columns of ``docs`` that have these six names are replaced, all others stay.
     """
-    docs = docs.drop("size", "text_crc32", "law", "shard", "slot", "grown_shard", *OWN)
-    text = whole(F.col("text"))
-    docs = docs.withColumn("size", (F.octet_length(text) + OVERHEAD).cast("long")).withColumn("text_crc32", F.crc32(text.cast("binary"))).withColumn("_md5", F.md5(text))
-    docs = docs.withColumn("_group", F.conv(F.substring("_md5", 1, 4), 16, 10).cast("int")).withColumn("_cell", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2))
+    names = [c for c in docs.columns if c not in RESULT]
+    docs, text = packed(docs), whole(F.col("row.text"))
+    docs.withColumn("size", (F.octet_length(text) + OVERHEAD).cast("long")).withColumn("text_crc32", F.crc32(text.cast("binary"))).withColumn("_md5", F.md5(text))
+    docs = docs.withColumn("_group", F.conv(F.substring("_md5", 1, 4), 16, 10).cast("int")).withColumn("_cell", F.substring(F.md5(F.coalesce(F.col("row.doc_id").cast("string"), F.lit(""))), 1, 2))
     docs = docs.withColumn("shard", _shard_of(F.col("_group"), minimax_cuts(group_sizes(docs), shards)))
     cells = docs.groupBy("shard", "_group", "_cell").agg(F.count("*").alias("_n"))
     before = lambda by, n: F.coalesce(F.sum(n).over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -83,10 +84,10 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = groups.select("_group", before(Window.partitionBy("shard").orderBy("_group"), "_n").alias("_before"))
     cells = cells.select("_group", "_cell", before(Window.partitionBy("_group").orderBy("_cell"), "_n").alias("_offset"))
     cells = cells.join(groups, "_group").select("_group", "_cell", (F.col("_offset") + F.col("_before")).alias("_offset"))
-    inside = Window.partitionBy("_group", "_cell").orderBy("doc_id", "_md5")
+    inside = Window.partitionBy("_group", "_cell").orderBy("row.doc_id", "_md5")
     docs = docs.withColumn("slot", F.row_number().over(inside)).join(cells, ["_group", "_cell"])
     docs = docs.withColumn("slot", (F.col("slot") - 1 + F.col("_offset")).cast("long")).withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
-    return docs.drop(*OWN)
+    return docs.select(*unpacked(names), *RESULT)
 
 
 def _shard_of(group: Column, cuts: list[int]) -> Column:
@@ -97,5 +98,6 @@ def _shard_of(group: Column, cuts: list[int]) -> Column:
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
+    """Every document with its shard and slot by the law `bytes`; odd rows as in shard()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return shard(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -20,13 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantmill.llm.graph import connected_components
-from quantmill.llm.shared import written
+from quantmill.llm.shared import sent, written
+from quantmill.llm.text import packed, unpacked
 
 WORDS = 4
 DISTANCE = 4
 BLOCKS = 7
 LARGE = 4096
 CHUNK = 1 << 15
+#: So many fingerprints of 16 bytes may be sent to all tasks.
+FEW = 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -112,13 +115,14 @@ def components(docs: DataFrame, large: int = LARGE) -> DataFrame:
     none but null ids has null).  Equal texts, empty texts and null texts meet in their fingerprint.
     """
     prints = written(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "fp"))
-    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    firsts = prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     labels = written(connected_components(close_links(firsts.select("fp"), large)))
     labels = labels.select(F.col("node").alias("fp"), "root")
     lowest = labels.join(firsts, "fp").groupBy("root").agg(F.min("first").alias("lowest"))
-    found = firsts.join(labels.join(lowest, "root").select("fp", "lowest"), "fp", "left")
-    found = found.select("fp", F.coalesce("lowest", "first").alias("component_id"))
-    return prints.join(found, "fp").select("doc_id", "fp", "component_id")
+    found = firsts.join(labels.join(lowest, "root").select("fp", "lowest"), "fp", "left").filter("n > 1 or lowest is not null")
+    # Written, so that both sides of the join are shuffled or one is sent, and Spark can split a fingerprint of very many rows.
+    found = sent(written(found.select("fp", F.coalesce("lowest", "first").alias("lowest"))), FEW)
+    return prints.join(found, "fp", "left").select("doc_id", "fp", F.coalesce("lowest", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, large: int = LARGE) -> DataFrame:
@@ -128,11 +132,14 @@ def drop_near_duplicates(docs: DataFrame, large: int = LARGE) -> DataFrame:
     """
     found = written(components(docs, large).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
     repeated = found.groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    ids = found.select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
-    return with_fingerprint(kept, "_fp").dropDuplicates(["doc_id", "_fp"]).drop("_fp") if repeated else kept
+    ids = found.select(F.col("doc_id").alias("kept")).distinct()
+    kept = packed(docs).join(ids, F.col("row.doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    if repeated:
+        kept = with_fingerprint(kept.select("row", F.col("row.doc_id").alias("id"), F.col("row.text").alias("text"))).dropDuplicates(["id", "fp"])
+    return kept.select(*unpacked(docs.columns))
 
 
 def op3_simhash_dedup(spark, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component; odd rows as in components()."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What separates words in the white-space definition of a word.
@@ -25,6 +25,16 @@ def split_words(text: Column, separator: str = SPACE) -> Column:
     return F.array_remove(F.split(text, separator), "")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``row``, so that working columns beside it cannot clash with the caller's."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def unpacked(names: list[str]) -> list[Column]:
+    """The caller's columns of these names."""
+    return [F.col(f"row.`{c}`").alias(c) for c in names]
+
+
 def digest(text: Column) -> Column:
     """Stands for a text; never null, so that joins on it need no null check."""
     return F.md5(text)
