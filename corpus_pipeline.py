@@ -9,11 +9,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quantmill.llm.decontaminate import decontaminate
 from quantmill.llm.mixing import mixed_documents
-from quantmill.llm.quality import apply_rules
+from quantmill.llm.quality import kept_documents
 from quantmill.llm.shared import shared_folder
 from quantmill.llm.sharding import shard
 from quantmill.llm.simhash import drop_near_duplicates
@@ -21,8 +20,7 @@ from quantmill.llm.simhash import drop_near_duplicates
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others lose the lines that too many documents of their source share."""
-    kept = apply_rules(docs).filter("kept").withColumn("text", F.col("clean_text"))
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
