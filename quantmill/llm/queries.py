@@ -35,7 +35,7 @@ WITH d AS (
 ), h AS (
   SELECT v.doc_id, v.l, v.x.i AS i, p.item FROM v JOIN p ON p.l = v.l AND p.g = v.x.g
 ), n AS (
-  SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS at FROM h) GROUP BY 1
+  SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + l)) AS place FROM h) GROUP BY 1
 ), t AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY 1
 )
@@ -48,7 +48,7 @@ WITH d AS (
 ), g AS (
   SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: {'i': i, 'g': array_to_string(w[i:i + 2], ' ')})) AS x FROM d
 ), r AS (
-  SELECT doc_id, count(DISTINCT at) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS at FROM (SELECT doc_id, x.i AS i, count(*) OVER (PARTITION BY doc_id, x.g) AS k FROM g) WHERE k > 1) GROUP BY 1
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS place FROM (SELECT doc_id, x.i AS i, count(*) OVER (PARTITION BY doc_id, x.g) AS k FROM g) WHERE k > 1) GROUP BY 1
 ), l AS (
   SELECT doc_id, source, m, line FROM (SELECT doc_id, source, m, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), u AS (

@@ -3,7 +3,9 @@
 The method: a string is a candidate if it mixes letters and digits and a word of secrecy stands shortly before it.
 Zstandard, primed with a dictionary of identifiers and words, compresses the surrounding text with and without the
 candidate.  The difference is what the candidate adds.  Names, paths and repeated values add few bytes for their
-length; random strings add nearly as many as their alphabet needs.
+length; random strings add nearly as many as their alphabet needs.  Names out of words that
+the dictionary lacks add many bytes too, but use few letters often: a candidate's characters must also be spread as
+evenly as those of random strings nearly are.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,16 +32,26 @@ SENSITIVE = re.compile(r"pass|pwd|secret|token|key|auth|credential|bearer|privat
 BEFORE, AROUND = 48, 256
 #: A candidate is reported if it adds this many bytes a character or more; if its characters are spread evenly, as many as their entropy.
 NOVEL = 0.8
-#: Alphabets of keys, smallest first.
-ALPHABETS = tuple((re.compile(x), n) for x, n in ((r"[0-9A-F]+|[0-9a-f]+", 16), (r"[A-Z2-7=]+", 32), (r"[0-9a-z]+|[0-9A-Z]+", 36), (r"[0-9A-Za-z]+", 62)))
-#: Share of its alphabet's bits that the entropy of an even candidate has; names stay near 0.8, random strings come close to 1.
-EVEN = 0.9
+#: Alphabets of keys, smallest first; signs between letters and digits say nothing about them.
+ALPHABETS = tuple((re.compile(x), n) for x, n in ((r"[0-9A-F]+|[0-9a-f]+", 16), (r"[A-Z2-7]+", 32), (r"[0-9a-z]+|[0-9A-Z]+", 36), (r"[0-9A-Za-z]+", 62)))
+SIGNS = str.maketrans("", "", "+/_=-")
+#: Share of the entropy of random strings of its length and alphabet that a candidate must have, as names seldom do; and
+#: share of its alphabet's bits from which its entropy is what it must add (long strings of few signs add less than NOVEL).
+EVEN, SURE = 0.92, 0.9
 #: Identifiers and words that occur around code and configuration: what priming makes cheap.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret authorization bearer "
     "credentials signature username user_name hostname localhost http https www example com org net index config settings environment "
     "default value string number integer boolean true false null none return function class import export from public static void const "
     "self this request response header content type length encoding utf8 base64 sha256 md5 version release build test debug error warning "
+    "account action address admin agent alert application argument array asset async attribute audio backup batch block branch buffer button byte cache calendar callback category channel character check child chunk class click cluster "
+    "collection column command comment commit component condition connection constant container context control controller cookie counter country create cursor customer dashboard database date delete deploy device dictionary directory "
+    "document domain download driver editor element email endpoint entity entry event exception execute expire extension factory feature field file filter folder format frame gateway global graph group handler hash hidden history image "
+    "implementation input instance interface internal invoice item iterator language layout library limit link list listener loader local location logger login lookup manager master matrix member memory menu message metadata method metric "
+    "migration model module monitor mutex name network node notification object offset operation operator option order output owner package page parameter parent parser partition path payload payment permission pipeline pixel platform plugin "
+    "pointer policy pool port prefix preview primary priority process product profile program project property protocol provider proxy query queue reader record reference region register remote render report repository resource result "
+    "role root route router row runtime sample scheduler schema scope screen script search section select sender sequence serializer server service session shared signal size source stack state status storage stream structure style "
+    "subject submit suffix summary switch symbol system table target task template temporary terminal theme thread ticket timeout timestamp title transaction transform trigger update upload user util validator variable vector view widget window worker wrapper writer "
     "0123456789 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ the and for that with this from have not are was were been "
 ).encode()
 
@@ -53,7 +66,11 @@ class Novelty:
 
     def of(self, before: str, candidate: str, after: str) -> int:
         around = before.encode() + b"\n" + after.encode() + b"\n"
-        return len(self.compressor.compress(around + candidate.encode())) - len(self.compressor.compress(around))
+        size = lambda x: len(self.compressor.compress(around + x))
+        least = size(candidate.encode())
+        if candidate.isupper():  # names in capitals add no more than small ones
+            least = min(least, size(candidate.lower().encode()))
+        return least - size(b"")
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -68,12 +85,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+@lru_cache(maxsize=1 << 14)
+def random_entropy(size: int, n: int) -> float:
+    """Expected bits a character of the counts of ``n`` random characters out of ``size``."""
+    term = lambda k: math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - k * math.log(size) + (n - k) * math.log1p(-1 / size))
+    spread = 12 * math.sqrt(n / size) + 12
+    return -sum(size * term(k) * (k / n) * math.log2(k / n) for k in range(1, min(n, int(n / size + spread)) + 1))
+
+
 def needed(candidate: str, least: float = NOVEL) -> float:
-    """Bytes a character that a candidate must add: its entropy if its characters are spread evenly, ``least`` at most."""
-    size = next((n for kind, n in ALPHABETS if kind.fullmatch(candidate)), 64)
-    n = len(candidate)
-    entropy = math.log2(n) - sum(k * math.log2(k) for k in Counter(candidate).values()) / n
-    return min(least, entropy / 8) if entropy >= EVEN * math.log2(size) else least
+    """Bytes a character that a candidate must add: ``least``, or its entropy if that is nearly all its alphabet has; infinite for uneven ones."""
+    plain = candidate.translate(SIGNS)
+    size, n = next((n for kind, n in ALPHABETS if kind.fullmatch(plain)), 62), len(plain)
+    entropy = math.log2(n) - sum(k * math.log2(k) for k in Counter(plain).values()) / n
+    if entropy < EVEN * random_entropy(size, n):
+        return math.inf
+    return min(least, entropy / 8) if entropy >= SURE * math.log2(size) else least
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float = NOVEL) -> list[tuple[int, int, int]]:
@@ -112,11 +139,14 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs`` (doc_id of any type, text): counts by kind, spans as kind:start:end in code points.
 
-    Nothing is shuffled.  Null texts count as empty, and have no spans; null and repeated ids stay as they are.
+    Nothing is shuffled.  Null texts count as empty, and have no spans; null and repeated ids stay as they are, other
+    columns are not read.  Texts of any length are scanned as a whole.  Of a novel span and one of the fixed kinds that
+    overlap (ties), the fixed one stays.
     """
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInPandas(_scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:
+    """Every document with the secrets in its text; odd rows as in scan_secrets()."""
     return scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
