@@ -56,28 +56,40 @@ def rolling_ols(panel: DataFrame, lookback: int = 120, keys: tuple = PAIR) -> Da
 def kalman(panel: DataFrame, transition: float = 1e-5, observation: float = 1e-3, initial: float = 1.0, keys: tuple = PAIR) -> DataFrame:
     """Dynamic alpha and beta by a Kalman filter with a random-walk state; a row uses rows up to itself.
 
-    A fold along ``pos`` that needs each pair's rows in order: one pair's history is what a task holds.
+    A fold over the sorted array of a key's rows: the state is alpha, beta and the three different entries of their
+    covariance (updated in Joseph's form); rows of it are gathered in an array, so one pair's history is what a task holds.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in panel.schema}
-
-    def filtered(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
-        state, p, out = np.array([0.0, 1.0]), initial * np.eye(2), []
-        for k, (y, x) in enumerate(zip(np.log(rows["price_y"].to_numpy()), np.log(rows["price_x"].to_numpy()), strict=True)):
-            p = p + (k > 0) * transition * np.eye(2)
-            h = np.array([1.0, x])
-            error, variance = y - h @ state, h @ p @ h + observation
-            gain = p @ h / variance
-            state = state + gain * error
-            rest = np.eye(2) - np.outer(gain, h)
-            p = rest @ p @ rest.T + observation * np.outer(gain, gain)
-            p = (p + p.T) / 2
-            out.append((*state, y - h @ state, error, variance))
-        fresh = pd.DataFrame(out, columns=["alpha", "beta", "spread", "innovation", "innovation_variance"], index=rows.index)
-        return pd.concat([rows[[*keys, "pos"]], fresh], axis=1)
-
-    schema = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "pos")) + ", alpha double, beta double, spread double, innovation double, innovation_variance double"
-    return panel.select(*keys, "pos", "price_y", "price_x").groupBy(*keys).applyInPandas(filtered, schema)
+    names = ("alpha", "beta", "spread", "innovation", "innovation_variance")
+    point = "struct<pos:bigint,alpha:double,beta:double,spread:double,innovation:double,innovation_variance:double>"
+    number = lambda v, name: F.lit(float(v)).alias(name)
+    start = F.struct(number(0, "alpha"), number(1, "beta"), number(initial, "p"), number(0, "q"), number(initial, "r"), F.array().cast(f"array<{point}>").alias("out"))
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+
+    def step(s: Column, row: Column) -> Column:
+        y, x = row["y"], row["x"]
+        drift = F.when(F.size(s["out"]) > 0, transition).otherwise(0.0)
+
+        def update(g: Column) -> Column:
+            """g: covariance before the row (p, q, r), its products with (1, x) and the innovation with its variance."""
+            k, m = g["a"] / g["variance"], g["b"] / g["variance"]
+            alpha, beta = s["alpha"] + k * g["error"], s["beta"] + m * g["error"]
+            # (I - K h) P (I - K h)' + K K' observation, written out for h = (1, x)
+            u, v = (1 - k) * g["p"] - k * x * g["q"], (1 - k) * g["q"] - k * x * g["r"]
+            t, w = (1 - m * x) * g["q"] - m * g["p"], (1 - m * x) * g["r"] - m * g["q"]
+            p = u * (1 - k) - v * k * x + observation * k * k
+            q = (v * (1 - m * x) - u * m + t * (1 - k) - w * k * x) / 2 + observation * k * m
+            r = w * (1 - m * x) - t * m + observation * m * m
+            made = F.struct(row["pos"].cast("bigint").alias("pos"), alpha.alias("alpha"), beta.alias("beta"), (y - alpha - beta * x).alias("spread"), g["error"].alias("innovation"), g["variance"].alias("innovation_variance"))
+            return F.struct(alpha.alias("alpha"), beta.alias("beta"), p.alias("p"), q.alias("q"), r.alias("r"), F.array_append(s["out"], made).alias("out"))
+
+        p, q, r = s["p"] + drift, s["q"], s["r"] + drift
+        a, b = p + q * x, q + r * x
+        before = F.struct(p.alias("p"), q.alias("q"), r.alias("r"), a.alias("a"), b.alias("b"), (y - s["alpha"] - s["beta"] * x).alias("error"), (a + b * x + observation).alias("variance"))
+        return let(before, update)
+
+    rows = F.sort_array(F.collect_list(F.struct("pos", F.ln("price_y").alias("y"), F.ln("price_x").alias("x"))))
+    found = panel.groupBy(*keys).agg(rows.alias("rows")).select(*keys, F.inline(F.aggregate("rows", start, step)["out"]))
+    return found.select(*keys, "pos", *names)
 
 
 def half_life(spreads: DataFrame, keys: tuple = PAIR, minimum: int = 30) -> DataFrame:

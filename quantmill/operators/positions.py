@@ -1,11 +1,10 @@
 """Positions from states and fills: lagged decisions, sizing, marks, forced closes and hedge rebalancing.
 
-All but rebalancing is window and column expressions over ``pos``.
+All of it is window and column expressions over ``pos``, and a fold over the rows of a position for rebalancing.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,32 +73,32 @@ def force_close(rows: DataFrame, keys: tuple = PAIR) -> DataFrame:
 def rebalance(rows: DataFrame, target: float, threshold: float, keys: tuple = PAIR) -> DataFrame:
     """Resizes open positions when the hedge ratio has moved by ``threshold`` of that of the last sizing.
 
-    Adds rebalance and replaces units_y, units_x.  Whether a row rebalances depends on the last row that did, so this is
-    a fold over each key's rows.
+    Adds rebalance and replaces units_y, units_x.  What a row is compared with is the last sizing, so this is a fold
+    over each key's rows that are open; it gives the rows that size a position anew, and units last until the next.  A
+    row with an unobserved or unknown input sizes nothing; a sizing that leaves the units as they are is no rebalance.
     """
-    schema = rows.withColumn("rebalance", F.lit(True)).schema
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos").reset_index(drop=True)
-        y, x, flags, last = [], [], [], None
-        for r in part.itertuples():
-            flag, units = False, (0.0, 0.0)
-            if r.execution_event in ENTRIES:
-                units, last = (r.units_y, r.units_x), r.hedge_ratio
-            elif r.executed_state == "FLAT":
-                last = None
-            else:
-                units = (y[-1], x[-1]) if y else (r.units_y, r.units_x)
-                known = last is not None and not any(map(pd.isna, (r.hedge_ratio, r.price_y, r.price_x))) and r.observed_y and r.observed_x
-                if known and r.hedge_ratio != last and abs(r.hedge_ratio - last) / abs(last) >= threshold:
-                    side = 1 if r.executed_state == "LONG_SPREAD" else -1
-                    share = r.hedge_ratio / (1 + r.hedge_ratio)
-                    new = side * target * (1 - share) / r.price_y, -side * target * share / r.price_x
-                    flag = any(abs(a - b) > 1e-12 + 1e-12 * abs(b) for a, b in zip(new, units, strict=True))
-                    units, last = (new if flag else units), r.hedge_ratio
-            y.append(units[0])
-            x.append(units[1])
-            flags.append(flag)
-        return part.assign(units_y=y, units_x=x, rebalance=flags)
-
-    return mark(rows.groupBy(*keys).applyInPandas(fold, schema))
+    open_, entered = F.col("executed_state") != "FLAT", F.col("execution_event").isin(*ENTRIES)
+    usable = F.col("hedge_ratio").isNotNull() & F.col("price_y").isNotNull() & F.col("price_x").isNotNull() & F.col("observed_y") & F.col("observed_x")
+    y, x = pair_units(F.col("executed_state"), F.col("price_y"), F.col("price_x"), F.col("hedge_ratio"), target)
+    facts = F.when(open_, F.struct("pos", entered.alias("entered"), F.coalesce(usable, F.lit(False)).alias("usable"), F.col("hedge_ratio").alias("beta"), y.alias("y"), x.alias("x"), "units_y", "units_x"))
+    size = "struct<pos:bigint,beta:double,y:double,x:double,changed:boolean>"
+    start = F.struct(F.lit(None).cast(size).alias("last"), F.array().cast(f"array<{size}>").alias("out"))
+    differs = lambda a, b: F.abs(a - b) > 1e-12 + 1e-12 * F.abs(b)
+
+    def step(s: Column, r: Column) -> Column:
+        last = s["last"]
+        sized = lambda a, b, changed: F.struct(r["pos"].cast("bigint").alias("pos"), r["beta"].alias("beta"), a.alias("y"), b.alias("x"), changed.alias("changed"))
+        moved = r["usable"] & (r["beta"] != last["beta"]) & (F.abs(r["beta"] - last["beta"]) / F.abs(last["beta"]) >= threshold)
+        changed = differs(r["y"], last["y"]) | differs(r["x"], last["x"])
+        now = F.when(r["entered"], sized(r["units_y"], r["units_x"], F.lit(False))).when(moved, sized(F.when(changed, r["y"]).otherwise(last["y"]), F.when(changed, r["x"]).otherwise(last["x"]), changed))
+        return F.when(now.isNull(), s).otherwise(F.struct(now.alias("last"), F.array_append(s["out"], now).alias("out")))
+
+    spells = rows.withColumn("spell", F.sum(entered.cast("int")).over(cum(keys)))
+    whole = spells.groupBy(*keys, "spell").agg(F.sort_array(F.collect_list(facts)).alias("rows"))
+    sizes = whole.select(*keys, F.inline(F.aggregate("rows", start, step)["out"])).select(*keys, "pos", F.struct("y", "x", "changed").alias("sized"))
+    out = spells.join(sizes, [*keys, "pos"], "left")
+    held = F.last("sized", ignorenulls=True).over(cum((*keys, "spell")))
+    out = out.withColumn("_held", held).withColumn("rebalance", open_ & F.coalesce("sized.changed", F.lit(False)))
+    for leg in "yx":
+        out = out.withColumn(f"units_{leg}", F.when(open_, F.coalesce(f"_held.{leg}", f"units_{leg}")).otherwise(0.0))
+    return mark(out.drop("_held", "sized", "spell"))

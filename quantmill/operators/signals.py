@@ -1,23 +1,22 @@
 """Spread standardisation, entry and exit rules, and the two trade state machines.
 
-The machines carry a few scalars along ``pos``; they run as a fold over each key's rows in order, all keys in parallel.
+A machine is a fold (``aggregate``) over the sorted array of a key's rows that remembers row numbers, not counters, and
+gives only the rows in which something happens.  States, holding periods and cooldowns of all rows are windows over these
+events afterwards.  Open-loop fills fold over trades, not rows: each looks up the next row in which it can be filled.
 """
 
 from __future__ import annotations
 
-from collections import deque
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quantmill.functions.windows import poison, prior
+from quantmill.functions.windows import by, cum, poison, prior
 
 PAIR = ("symbol_y", "symbol_x")
 FLAT, LONG, SHORT = "FLAT", "LONG_SPREAD", "SHORT_SPREAD"
 NONE, STOP, TIME, REVERT = "NONE", "STOP", "TIME", "MEAN_REVERSION"
-SIGN = {FLAT: 0, LONG: 1, SHORT: -1}
-SIGNAL_SCHEMA = "zscore double, state string, position byte, entry_long boolean, entry_short boolean, exit boolean, stop boolean, time_exit boolean, event string, exit_reason string, holding_period long, cooldown_remaining long"
 
 
 def standardise(spreads: DataFrame, lookback: int = 60, keys: tuple = PAIR, ddof: int = 1) -> DataFrame:
@@ -52,167 +51,215 @@ def invalid_thresholds(scenarios: DataFrame) -> DataFrame:
     return scenarios.withColumn("reason", reason).filter("reason is not null")
 
 
+@dataclass
 class Rules:
-    """Thresholds of a run.  ``exits`` gives the reason for leaving an open state, or NONE."""
-
-    def __init__(self, entry: float, exit_: float, stop: float, max_holding: int | None = None, cooldown: int | None = None):
-        self.entry, self.exit, self.stop, self.max_holding, self.cooldown = entry, exit_, stop, max_holding, cooldown or 0
-
-    def enters(self, z: float | None) -> str:
-        return FLAT if z is None else LONG if z <= -self.entry else SHORT if z >= self.entry else FLAT
-
-    def exits(self, state: str, z: float | None, held: int) -> str:
-        side = None if z is None else z * SIGN[state]
-        if side is not None and side <= -self.stop:
-            return STOP
-        if self.max_holding is not None and held >= self.max_holding:
-            return TIME
-        return REVERT if side is not None and side >= -self.exit else NONE
-
-
-def _record(z, state, entered, reason, held, cooling) -> tuple:
-    event = f"ENTER_{'LONG' if state == LONG else 'SHORT'}" if entered else f"EXIT_{reason}" if reason != NONE else NONE
-    return z, state, SIGN[state], entered and state == LONG, entered and state == SHORT, reason != NONE, reason == STOP, reason == TIME, event, reason, held, cooling
-
-
-def desired_states(zscores: list[float | None], rules: Rules) -> list[tuple]:
-    """Signal rows of one key without regard to fills."""
-    state, held, cooling, rows = FLAT, 0, 0, []
-    for z in zscores:
-        entered, reason, shown_held, shown_cooling = False, NONE, 0, cooling
-        if state == FLAT:
-            if cooling:
-                cooling -= 1
-            else:
-                state = rules.enters(z)
-                entered = state != FLAT
-        else:
-            held += 1
-            shown_held, reason = held, rules.exits(state, z, held)
-            if reason != NONE:
-                state, held, cooling = FLAT, 0, rules.cooldown
-                shown_cooling = cooling
-        if state != FLAT and entered:
-            held = 0
-        rows.append(_record(z, state, entered, reason, shown_held, shown_cooling))
-    return rows
-
-
-def _clean(values: pd.Series) -> list[float | None]:
-    return [None if pd.isna(x) else float(x) for x in values]
+    """Thresholds of a run: numbers, or columns where each key (as a scenario) has its own."""
+
+    entry: float | Column
+    exit_: float | Column
+    stop: float | Column
+    max_holding: int | Column | None = None
+    cooldown: int | Column | None = None
+
+    def column(self) -> Column:
+        put = lambda x, kind, name: (x if isinstance(x, Column) else F.lit(x)).cast(kind).alias(name)
+        return F.struct(put(self.entry, "double", "entry"), put(self.exit_, "double", "exit"), put(self.stop, "double", "stop"), put(self.max_holding, "long", "longest"), F.coalesce(put(self.cooldown, "long", "cooldown"), F.lit(0).cast("long")).alias("cooldown"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)``, with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _side(z: Column, rules: Column) -> Column:
+    """1 where z calls for a long spread, -1 for a short one, 0 for none."""
+    return F.when(z <= -rules["entry"], 1).when(z >= rules["entry"], -1).otherwise(0)
+
+
+def _reason(side: Column, z: Column, held: Column, rules: Column) -> Column:
+    """Why a position of this side ends, or null."""
+    gain = z * side
+    late = F.coalesce(held >= rules["longest"], F.lit(False))
+    return F.when(gain <= -rules["stop"], STOP).when(late, TIME).when(gain >= -rules["exit"], REVERT)
+
+
+def _ordered(rows: DataFrame, rules: Rules, keys: tuple, facts: tuple) -> DataFrame:
+    """Per key the rules and its rows in order of ``pos``, as (at, *facts); ``at`` counts them from 0."""
+    numbered = rows.select(*keys, rules.column().alias("rules"), (F.row_number().over(by(keys)) - 1).cast("long").alias("at"), *facts)
+    return numbered.groupBy(*keys).agg(F.first("rules").alias("rules"), F.sort_array(F.collect_list(F.struct("at", *facts))).alias("rows"))
+
+
+def _entry(side: Column) -> Column:
+    return F.when(side == 1, "ENTER_LONG").otherwise("ENTER_SHORT")
+
+
+def _name(side: Column) -> Column:
+    return F.when(side == 1, LONG).when(side == -1, SHORT).otherwise(FLAT)
+
+
+def _signal_columns(rows: DataFrame, keys: tuple, held: str) -> DataFrame:
+    """The twelve signal columns from side (wanted), event and reason, and from the rows a position was opened and closed in.
+
+    ``held`` names the side that is open, and ``before`` holds it for the row before.  A holding period counts rows
+    since the position was opened, as long as it was open before the row; a cooldown counts the rows after it was
+    closed in which none is open or wanted.
+    """
+    event, reason, w = F.coalesce("event", F.lit(NONE)), F.coalesce("reason", F.lit(NONE)), by(keys, "at")
+    idle = ((F.col(held) == 0) & (F.col("side") == 0) & F.coalesce(F.col("at") != F.col("closed"), F.lit(True))).cast("long")
+    rows = rows.withColumn("idle", F.coalesce(F.sum(idle).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rest = F.col("rules.cooldown") - F.col("idle") + F.last(F.when(F.col("at") == F.col("closed"), F.col("idle")), ignorenulls=True).over(cum(keys, "at"))
+    return rows.select(
+        "*", _name(F.col("side")).alias("state"), F.col("side").cast("byte").alias("position"), (event == "ENTER_LONG").alias("entry_long"), (event == "ENTER_SHORT").alias("entry_short"),
+        (reason != NONE).alias("exit"), (reason == STOP).alias("stop"), (reason == TIME).alias("time_exit"), reason.alias("exit_reason"),
+        F.when(F.col("before") != 0, F.col("at") - F.col("opened")).otherwise(0).cast("long").alias("holding_period"), F.greatest(F.coalesce(rest, F.lit(0)), F.lit(0)).cast("long").alias("cooldown_remaining"),
+    ).withColumn("event", event)
+
+
+SIGNALS = ("zscore", "state", "position", "entry_long", "entry_short", "exit", "stop", "time_exit", "event", "exit_reason", "holding_period", "cooldown_remaining")
+EVENT = "array<struct<at:bigint,side:int,event:string,reason:string>>"
 
 
 def trade_signals(zscores: DataFrame, rules: Rules, keys: tuple = PAIR) -> DataFrame:
-    """Desired trade states of every key: the twelve signal columns, by ``pos``."""
-    kinds = {f.name: f.dataType.simpleString() for f in zscores.schema}
-    names = [x.split()[0] for x in SIGNAL_SCHEMA.split(", ")]
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos").reset_index(drop=True)
-        return pd.concat([rows[[*keys, "pos"]], pd.DataFrame(desired_states(_clean(rows["zscore"]), rules), columns=names)], axis=1)
-
-    head = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "pos"))
-    return zscores.select(*keys, "pos", "zscore").groupBy(*keys).applyInPandas(fold, f"{head}, {SIGNAL_SCHEMA}")
-
-
-class Orders:
-    """Decisions waiting for a row in which they can be filled, and the state that fills have led to."""
-
-    def __init__(self, lag: int, suppress_last: bool):
-        self.lag, self.suppress_last, self.state, self.waiting = lag, suppress_last, FLAT, deque()
-
-    def fill(self, at: int, last: bool, due: tuple[str, str] | None, tradable: bool, sized: bool) -> tuple[str, int | None]:
-        """(event filled, row of its decision) after the decision that matures in this row has joined the queue."""
-        if due is not None and due[1] != NONE:
-            order = (due[0], due[1], at - self.lag)
-            if due[0] != FLAT:
-                self.waiting.append(order)
-            elif self.state == FLAT:
-                self.waiting.clear()  # entries that were not filled are off
-            else:
-                self.waiting = deque([next((x for x in self.waiting if x[0] == FLAT), order)])  # the earliest close stays
-        while self.waiting and self.waiting[0][0] == self.state:
-            self.waiting.popleft()
-        if not self.waiting or not tradable or (self.waiting[0][0] != FLAT and not sized):
-            return NONE, None
-        target, event, decided = self.waiting.popleft()
-        if self.suppress_last and last and self.state == FLAT:
-            return NONE, None
-        self.state = target
-        return event, decided
-
-
-def filled_states(rows: list[tuple], rules: Rules, lag: int = 1, suppress_last: bool = False) -> list[tuple]:
-    """Signals and fills of one key.  rows: (z, both prices observed, hedge ratio known).
-
-    Holding counts from the entry's fill and cooldown from the exit's; the row of an exit's fill enters nothing; an
-    entry that waits can be called off by mean reversion.
+    """Desired trade states of every key: the twelve signal columns, by ``pos``.
+
+    A flat key enters by the entry rule once ``cooldown`` rows have passed since its exit; an open one leaves by the
+    exit rule from the row after its entry on.  An unknown z-score enters nothing and only time can end a position in it.
     """
-    orders, decided, wanted, held, cooling, out = Orders(lag, suppress_last), [], FLAT, 0, 0, []
-    for at, (z, tradable, sized) in enumerate(rows):
-        was = orders.state
-        event, source = orders.fill(at, at == len(rows) - 1, decided[at - lag] if at >= lag else None, tradable, sized)
-        now, entered, exited = orders.state, event.startswith("ENTER"), event.startswith("EXIT")
-        shown_held = 0
-        if was != FLAT:
-            held += 1
-            shown_held = held
-        if entered:
-            held = shown_held = 0
-        if exited:
-            cooling = rules.cooldown
-        shown_cooling, began, reason = cooling, False, NONE
-        if not exited:
-            if now != FLAT and wanted == now:
-                reason = rules.exits(now, z, held)
-            elif now == FLAT and wanted != FLAT:
-                reason = REVERT if z is not None and z * SIGN[wanted] >= -rules.exit else NONE
-            elif now == FLAT and not cooling:
-                wanted = rules.enters(z)
-                began = wanted != FLAT
-            if reason != NONE:
-                wanted = FLAT
-        row = _record(z, wanted, began, reason, shown_held, shown_cooling)
-        if exited:
-            held = 0
-        elif now == FLAT and wanted == FLAT and cooling:
-            cooling -= 1
-        decided.append((wanted, row[8]))
-        out.append((*row, now, event, source, None if source is None else source + lag))
-    return out
+    z = lambda r: r["zscore"]
+    start = F.struct(F.lit(0).alias("side"), F.lit(None).cast("long").alias("since"), F.array().cast(EVENT).alias("out"))
+    rule = F.col("rules")
+
+    def change(state: Column, r: Column) -> Column:
+        """What happens in a row, or null."""
+        rested = state["since"].isNull() | (r["at"] > state["since"] + rule["cooldown"])
+        entered = F.when((state["side"] == 0) & rested & (_side(z(r), rule) != 0), F.struct(r["at"].alias("at"), _side(z(r), rule).alias("side"), _entry(_side(z(r), rule)).alias("event"), F.lit(None).cast("string").alias("reason")))
+        why = _reason(state["side"], z(r), r["at"] - state["since"], rule)
+        left = F.when((state["side"] != 0) & why.isNotNull(), F.struct(r["at"].alias("at"), F.lit(0).alias("side"), F.concat(F.lit("EXIT_"), why).alias("event"), why.alias("reason")))
+        return F.coalesce(entered, left)
+
+    def step(state: Column, r: Column) -> Column:
+        after = lambda e: F.when(e.isNull(), state).otherwise(F.struct(e["side"].alias("side"), e["at"].alias("since"), F.array_append(state["out"], e).alias("out")))
+        return _let(change(state, r), after)
+
+    events = _ordered(zscores, rules, keys, ("zscore",)).select(*keys, F.inline(F.aggregate("rows", start, step)["out"])).select(*keys, "at", F.col("side").alias("to"), "event", "reason")
+    rows = zscores.select(*keys, "pos", "zscore", rules.column().alias("rules"), (F.row_number().over(by(keys)) - 1).cast("long").alias("at"))
+    rows, w = rows.join(events, [*keys, "at"], "left"), cum(keys, "at")
+    rows = rows.withColumn("side", F.coalesce(F.last("to", ignorenulls=True).over(w), F.lit(0)))
+    rows = rows.withColumn("opened", F.last(F.when(F.col("to") != 0, F.col("at")), ignorenulls=True).over(w)).withColumn("closed", F.last(F.when(F.col("to") == 0, F.col("at")), ignorenulls=True).over(w))
+    rows = rows.withColumn("before", F.coalesce(F.lag("side").over(by(keys, "at")), F.lit(0)))
+    return _signal_columns(rows, keys, "side").select(*keys, "pos", *SIGNALS)
+
+
+ORDER = "struct<side:int,event:string,at:bigint>"
+FILLED = "array<struct<at:bigint,side:int,event:string,reason:string,fill:string,now:int,source:bigint>>"
 
 
 def filled_signals(rows: DataFrame, rules: Rules, lag: int = 1, suppress_last: bool = False, keys: tuple = PAIR) -> DataFrame:
     """Fill-aware trade states: signal columns, executed_state, execution_event and the rows they were decided and due.
 
-    ``rows`` has zscore, tradable (both prices observed) and sized (hedge ratio known).
+    ``rows`` has zscore, tradable (both prices observed) and sized (hedge ratio known).  A decision falls due ``lag``
+    rows later and becomes the order that waits; it is filled in the first row that is tradable (and sized, for an
+    entry).  A close that falls due while nothing is open calls the waiting entry off; one that waits already stays.
+    An entry that falls due while a close waits comes after it, unless another close falls due before.
+    Holding counts from the entry's fill and cooldown from the exit's; the row of an exit's fill decides nothing; an
+    entry that waits can be called off by mean reversion.  ``suppress_last``: no entry is filled in a key's last row.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    names = [x.split()[0] for x in SIGNAL_SCHEMA.split(", ")] + ["executed_state", "execution_event", "execution_decision_row", "execution_due_row"]
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos").reset_index(drop=True)
-        facts = list(zip(_clean(part["zscore"]), part["tradable"].astype(bool), part["sized"].astype(bool), strict=True))
-        return pd.concat([part[[*keys, "pos"]], pd.DataFrame(filled_states(facts, rules, lag, suppress_last), columns=names)], axis=1)
-
-    head = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "pos"))
-    schema = f"{head}, {SIGNAL_SCHEMA}, executed_state string, execution_event string, execution_decision_row long, execution_due_row long"
-    return rows.select(*keys, "pos", "zscore", "tradable", "sized").groupBy(*keys).applyInPandas(fold, schema)
+    facts, rule, end = ("zscore", "tradable", "sized"), F.col("rules"), F.size("rows") - 1
+    null = lambda kind: F.lit(None).cast(kind)
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("want"), null("long").alias("opened"), null("long").alias("closed"), F.lit(0).cast("long").alias("idle"), null(ORDER).alias("waits"), null(ORDER).alias("then"), F.array().cast(f"array<{ORDER}>").alias("coming"), F.array().cast(FILLED).alias("out"))
+
+    def waiting(s: Column, r: Column) -> Column:
+        """The order that waits, and one after it, once what falls due in this row has joined them."""
+        due = F.get(F.filter(s["coming"], lambda x: x["at"] + lag == r["at"]), F.lit(0))
+        close_waits = F.coalesce(s["waits"]["side"] == 0, F.lit(False))
+        first = lambda d: F.when(d.isNull() | ((d["side"] != 0) & close_waits), s["waits"]).when(d["side"] != 0, d).when(s["now"] == 0, null(ORDER)).when(close_waits, s["waits"]).otherwise(d)
+        second = lambda d: F.when(d.isNull(), s["then"]).when((d["side"] != 0) & close_waits, d)
+        return _let(due, lambda d: F.struct(first(d).alias("first"), second(d).alias("second")))
+
+    def filled(s: Column, r: Column, order: Column) -> Column:
+        late = F.lit(suppress_last) & (r["at"] == end) & (s["now"] == 0)
+        return order.isNotNull() & r["tradable"] & (r["sized"] | (order["side"] == 0)) & ~late
+
+    def decide(s: Column, r: Column, now: Column, opened: Column, closed: Column) -> Column:
+        """The order decided in a row whose fill is known, with its reason in ``event``; null if there is none."""
+        order = lambda side, event: F.struct(side.cast("int").alias("side"), event.alias("event"), r["at"].alias("at"))
+        z, leaving = r["zscore"], closed == r["at"]
+        why = F.when((now != 0) & (s["want"] == now), _reason(now, z, r["at"] - opened, rule)).when((now == 0) & (s["want"] != 0) & (z * s["want"] >= -rule["exit"]), REVERT)
+        enters = (now == 0) & (s["want"] == 0) & (_side(z, rule) != 0) & (closed.isNull() | (s["idle"] >= rule["cooldown"]))
+        return F.when(F.coalesce(leaving, F.lit(False)), null(ORDER)).when(why.isNotNull(), order(F.lit(0), why)).when(enters, order(_side(z, rule), _entry(_side(z, rule))))
+
+    def step(s: Column, r: Column) -> Column:
+        def with_fill(x: Column) -> Column:
+            order, fills = x["order"]["first"], x["fills"]
+            now = F.when(fills, order["side"]).otherwise(s["now"])
+            opened = F.when(fills & (order["side"] != 0), r["at"]).otherwise(s["opened"])
+            closed = F.when(fills & (order["side"] == 0), r["at"]).otherwise(s["closed"])
+            return _let(F.struct(now.alias("now"), opened.alias("opened"), closed.alias("closed")), lambda y: _let(decide(s, r, y["now"], y["opened"], y["closed"]), lambda d: after(x["order"], fills, y, d)))
+
+        def after(orders: Column, fills: Column, y: Column, d: Column) -> Column:
+            order, want = orders["first"], F.when(d.isNull(), s["want"]).otherwise(d["side"])
+            closes = F.coalesce(y["closed"] == r["at"], F.lit(False))
+            idle = F.when(closes, 0).when((y["now"] == 0) & (want == 0), s["idle"] + 1).otherwise(s["idle"])
+            leaves = d["side"] == 0
+            named = F.when(leaves, F.concat(F.lit("EXIT_"), d["event"])).otherwise(d["event"])
+            made = F.struct(d["side"].alias("side"), named.alias("event"), d["at"].alias("at"))
+            happened = F.struct(r["at"].alias("at"), d["side"].alias("side"), named.alias("event"), F.when(leaves, d["event"]).alias("reason"), F.when(fills, order["event"]).alias("fill"), F.when(fills, order["side"]).alias("now"), F.when(fills, order["at"]).alias("source"))
+            late = F.filter(s["coming"], lambda c: c["at"] + lag > r["at"])
+            return F.struct(
+                y["now"].alias("now"), want.alias("want"), y["opened"].alias("opened"), y["closed"].alias("closed"), idle.cast("long").alias("idle"),
+                F.when(fills, orders["second"]).otherwise(order).alias("waits"), F.when(~fills, orders["second"]).alias("then"), F.when(d.isNull(), late).otherwise(F.array_append(late, made)).alias("coming"),
+                F.when(d.isNull() & ~fills, s["out"]).otherwise(F.array_append(s["out"], happened)).alias("out"),
+            )
+
+        return _let(waiting(s, r), lambda order: _let(F.struct(order.alias("order"), F.coalesce(filled(s, r, order["first"]), F.lit(False)).alias("fills")), with_fill))
+
+    known = rows.withColumn("tradable", F.coalesce("tradable", F.lit(False))).withColumn("sized", F.coalesce("sized", F.lit(False)))
+    events = _ordered(known, rules, keys, facts).select(*keys, F.inline(F.aggregate("rows", start, step)["out"])).withColumnsRenamed({"side": "to", "now": "became"})
+    out = known.select(*keys, "pos", "zscore", rules.column().alias("rules"), (F.row_number().over(by(keys)) - 1).cast("long").alias("at"))
+    out = _executed(out.join(events, [*keys, "at"], "left"), keys, lag)
+    out = out.withColumn("side", F.coalesce(F.last("to", ignorenulls=True).over(cum(keys, "at")), F.lit(0)))
+    return _signal_columns(out, keys, "actual").select(*keys, "pos", *SIGNALS, *EXECUTION)
+
+
+EXECUTION = ("executed_state", "execution_event", "execution_decision_row", "execution_due_row")
+
+
+def _executed(rows: DataFrame, keys: tuple, lag: int) -> DataFrame:
+    """EXECUTION, and actual, before, opened and closed, from what fills (fill, became, source) have made of each row."""
+    w = cum(keys, "at")
+    rows = rows.withColumn("actual", F.coalesce(F.last("became", ignorenulls=True).over(w), F.lit(0)))
+    rows = rows.withColumn("opened", F.last(F.when(F.col("became") != 0, F.col("at")), ignorenulls=True).over(w)).withColumn("closed", F.last(F.when(F.col("became") == 0, F.col("at")), ignorenulls=True).over(w))
+    rows = rows.withColumn("before", F.coalesce(F.lag("actual").over(by(keys, "at")), F.lit(0)))
+    return rows.select("*", _name(F.col("actual")).alias("executed_state"), F.coalesce("fill", F.lit(NONE)).alias("execution_event"), F.col("source").alias("execution_decision_row"), (F.col("source") + lag).alias("execution_due_row"))
 
 
 def open_loop_fills(signals: DataFrame, lag: int = 1, suppress_last: bool = False, keys: tuple = PAIR) -> DataFrame:
-    """Fills of a supplied signal table (state, event, tradable, sized): executed_state and execution_event by ``pos``."""
-    kinds = {f.name: f.dataType.simpleString() for f in signals.schema}
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("pos").reset_index(drop=True)
-        orders, out, given = Orders(lag, suppress_last), [], list(zip(part["state"], part["event"], strict=True))
-        for at, (tradable, sized) in enumerate(zip(part["tradable"], part["sized"], strict=True)):
-            event, source = orders.fill(at, at == len(part) - 1, given[at - lag] if at >= lag else None, bool(tradable), bool(sized))
-            out.append((orders.state, event, source, None if source is None else source + lag))
-        fills = pd.DataFrame(out, columns=["executed_state", "execution_event", "execution_decision_row", "execution_due_row"])
-        return pd.concat([part[[*keys, "pos"]], fills], axis=1)
-
-    head = ", ".join(f"{k} {kinds[k]}" for k in (*keys, "pos"))
-    schema = f"{head}, executed_state string, execution_event string, execution_decision_row long, execution_due_row long"
-    return signals.select(*keys, "pos", "state", "event", "tradable", "sized").groupBy(*keys).applyInPandas(fold, schema)
+    """Fills of a supplied signal table (event, tradable, sized): executed_state and execution_event by ``pos``.
+
+    A trade is an entry and the next exit decided after it.  Its entry is filled in the first row, from the one it
+    falls due in and after the last trade's close, that is tradable and sized; not at all if its exit falls due by
+    then.  Its exit is filled in the first tradable row from the one it falls due in.
+    """
+    ahead = Window.partitionBy(*keys).orderBy("at").rowsBetween(0, Window.unboundedFollowing)
+    rows = signals.select(*keys, "pos", "event", "tradable", "sized", (F.row_number().over(by(keys)) - 1).cast("long").alias("at"))
+    exits = F.when(F.col("event").startswith("EXIT"), F.struct("at", "event"))
+    full = rows.select("*", F.min(F.when(F.col("tradable") & F.col("sized"), F.col("at"))).over(ahead).alias("enter"), F.min(F.when(F.col("tradable"), F.col("at"))).over(ahead).alias("leave"), F.min(exits).over(ahead).alias("exit"))
+    trade = F.when(F.col("event").startswith("ENTER"), F.struct("at", "event", "exit"))
+    whole = full.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "enter", "leave"))).alias("next"), F.sort_array(F.collect_list(trade)).alias("trades"))
+    start = F.struct(F.lit(-1).cast("long").alias("closed"), F.array().cast("array<struct<at:bigint,fill:string,became:int,source:bigint>>").alias("out"))
+    size = F.size("next").cast("long")
+    when = lambda at, what: F.get(F.col("next"), at.cast("int"))[what]
+
+    def step(s: Column, t: Column) -> Column:
+        def one(x: Column) -> Column:
+            off = x["in"].isNull() | F.coalesce(t["exit"]["at"] + lag <= x["in"], F.lit(False)) | (F.lit(suppress_last) & (x["in"] == size - 1))
+            side = F.when(t["event"] == "ENTER_LONG", 1).otherwise(-1)
+            fill = lambda at, event, became, source: F.struct(at.alias("at"), event.alias("fill"), became.alias("became"), source.alias("source"))
+            entry, leave = fill(x["in"], t["event"], side, t["at"]), fill(x["out"], t["exit"]["event"], F.lit(0), t["exit"]["at"])
+            more = F.when(x["out"].isNull(), F.array(entry)).otherwise(F.array(entry, leave))
+            return F.when(off, s).otherwise(F.struct(F.coalesce(x["out"], size).alias("closed"), F.concat(s["out"], more).alias("out")))
+
+        return _let(F.struct(when(F.greatest(t["at"] + lag, s["closed"] + 1), "enter").alias("in"), when(t["exit"]["at"] + lag, "leave").alias("out")), one)
+
+    events = whole.select(*keys, F.inline(F.aggregate("trades", start, step)["out"]))
+    return _executed(rows.join(events, [*keys, "at"], "left"), keys, lag).select(*keys, "pos", *EXECUTION)

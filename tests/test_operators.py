@@ -96,33 +96,87 @@ def test_screening_family_and_ranks(spark):
     assert {got["X1"]["rank"], got["X2"]["rank"]} == {1, 2} and not got["X3"]["selected"] and got["X1"]["corrected_p"] < 0.05
 
 
-def test_signal_clocks():
-    rules = signals.Rules(2, 0.5, 3.5, 3, 2)
-    rows = signals.desired_states([0, -2, None, -1, -1, -3, -3, -2, -0.5, None], rules)
-    assert [r[8] for r in rows] == ["NONE", "ENTER_LONG", "NONE", "NONE", "EXIT_TIME", "NONE", "NONE", "ENTER_LONG", "EXIT_MEAN_REVERSION", "NONE"]
-    assert [r[10] for r in rows] == [0, 0, 1, 2, 3, 0, 0, 0, 1, 0] and [r[11] for r in rows] == [0, 0, 0, 0, 2, 2, 1, 0, 2, 2]
-    assert [r[8] for r in signals.desired_states([2, 3.5, 0], signals.Rules(2, 0.5, 3.5))] == ["ENTER_SHORT", "EXIT_STOP", "NONE"]
+def states(spark, zscores, rules):
+    rows = spark.createDataFrame([("A", "B", 3 * i, None if z is None else float(z)) for i, z in enumerate(zscores)], "symbol_y string, symbol_x string, pos long, zscore double")
+    return signals.trade_signals(rows, rules).orderBy("pos").collect()
 
 
-def test_filled_states_follow_fills():
-    rules = signals.Rules(2, 0.5, 3.5, None, 1)
-    ok, no = (True, True), (False, True)
-    rows = signals.filled_states([(-2, *ok), (-2, *no), (-2, True, False), (-2, *ok), (0, *ok), (-2, *no), (-2, *ok), (-2, *ok), (-2, *ok)], rules)
-    assert [r[13] for r in rows] == ["NONE", "NONE", "NONE", "ENTER_LONG", "NONE", "NONE", "EXIT_MEAN_REVERSION", "NONE", "NONE"]
-    assert rows[3][14:] == (0, 1) and rows[6][14:] == (4, 5) and rows[6][8] == "NONE" and rows[7][8] == "NONE" and rows[8][8] == "ENTER_LONG"
-    called_off = signals.filled_states([(-2, *ok), (0, *no), (0, *ok), (-2, *ok)], rules)
-    assert [r[13] for r in called_off] == ["NONE"] * 4 and called_off[1][8] == "EXIT_MEAN_REVERSION" and called_off[3][8] == "ENTER_LONG"
-    assert signals.filled_states([(-2, *ok), (-2, *ok)], rules, suppress_last=True)[1][13] == "NONE"
+def fills(spark, rows, rules, **options):
+    facts = [("A", "B", i, None if z is None else float(z), a, b) for i, (z, a, b) in enumerate(rows)]
+    return signals.filled_signals(spark.createDataFrame(facts, "symbol_y string, symbol_x string, pos long, zscore double, tradable boolean, sized boolean"), rules, **options).orderBy("pos").collect()
+
 
+def test_signal_clocks(spark):
+    rows = states(spark, [0, -2, None, -1, -1, -3, -3, -2, -0.5, None], signals.Rules(2, 0.5, 3.5, 3, 2))
+    assert [r["event"] for r in rows] == ["NONE", "ENTER_LONG", "NONE", "NONE", "EXIT_TIME", "NONE", "NONE", "ENTER_LONG", "EXIT_MEAN_REVERSION", "NONE"]
+    assert [r["holding_period"] for r in rows] == [0, 0, 1, 2, 3, 0, 0, 0, 1, 0] and [r["cooldown_remaining"] for r in rows] == [0, 0, 0, 0, 2, 2, 1, 0, 2, 2]
+    assert [r["event"] for r in states(spark, [2, 3.5, 0], signals.Rules(2, 0.5, 3.5))] == ["ENTER_SHORT", "EXIT_STOP", "NONE"]
 
-def test_filled_states_are_causal():
+
+def test_filled_states_follow_fills(spark):
+    rules = signals.Rules(2, 0.5, 3.5, None, 1)
+    ok, no = (True, True), (False, True)
+    rows = fills(spark, [(-2, *ok), (-2, *no), (-2, True, False), (-2, *ok), (0, *ok), (-2, *no), (-2, *ok), (-2, *ok), (-2, *ok)], rules)
+    assert [r["execution_event"] for r in rows] == ["NONE", "NONE", "NONE", "ENTER_LONG", "NONE", "NONE", "EXIT_MEAN_REVERSION", "NONE", "NONE"]
+    due = lambda r: (r["execution_decision_row"], r["execution_due_row"])
+    assert due(rows[3]) == (0, 1) and due(rows[6]) == (4, 5) and [rows[i]["event"] for i in (6, 7, 8)] == ["NONE", "NONE", "ENTER_LONG"]
+    assert [r["holding_period"] for r in rows] == [0, 0, 0, 0, 1, 2, 3, 0, 0] and [r["cooldown_remaining"] for r in rows] == [0, 0, 0, 0, 0, 0, 1, 1, 0]
+    called_off = fills(spark, [(-2, *ok), (0, *no), (0, *ok), (-2, *ok)], rules)
+    assert [r["execution_event"] for r in called_off] == ["NONE"] * 4 and called_off[1]["event"] == "EXIT_MEAN_REVERSION" and called_off[3]["event"] == "ENTER_LONG"
+    assert fills(spark, [(-2, *ok), (-2, *ok)], rules, suppress_last=True)[1]["execution_event"] == "NONE"
+    late = fills(spark, [(-2, *ok), (-2, *ok), (0, *ok), (0, *ok), (0, *ok)], rules, lag=2)  # called off too late: the entry is filled, then closed
+    assert [r["execution_event"] for r in late] == ["NONE", "NONE", "ENTER_LONG", "NONE", "EXIT_MEAN_REVERSION"]
+
+
+def test_filled_states_are_causal(spark):
     rng = random.Random(8)
     rows = [(rng.gauss(0, 2), rng.random() < 0.7, rng.random() < 0.8) for _ in range(300)]
     rules = signals.Rules(1.5, 0.5, 3, 8, 2)
-    assert signals.filled_states(rows, rules)[:200] == signals.filled_states(rows[:200], rules)
-    out = signals.filled_states(rows, rules)
+    out = fills(spark, rows, rules)
+    assert out[:200] == fills(spark, rows[:200], rules)
     for row, (_, tradable, sized) in zip(out, rows):
-        assert row[13] == "NONE" or (tradable and (sized or row[13].startswith("EXIT")))
+        assert row["execution_event"] == "NONE" or (tradable and (sized or row["execution_event"].startswith("EXIT")))
+    actual = 0
+    for row in out:  # fills alternate, and each has a decision before it
+        if row["execution_event"] != "NONE":
+            assert row["execution_event"].startswith("EXIT") == (actual != 0) and row["execution_due_row"] <= row["pos"]
+            assert out[row["execution_decision_row"]]["event"] == row["execution_event"]
+            actual = 0 if actual else 1
+
+
+def test_open_loop_fills(spark):
+    plan = [("ENTER_LONG", 1, 1), ("NONE", 0, 1), ("NONE", 1, 0), ("EXIT_STOP", 1, 1), ("ENTER_SHORT", 0, 1), ("NONE", 1, 1), ("EXIT_TIME", 1, 1), ("NONE", 0, 1), ("ENTER_LONG", 1, 1), ("NONE", 0, 0), ("EXIT_STOP", 0, 1), ("ENTER_LONG", 1, 0), ("NONE", 1, 1)]
+    rows = spark.createDataFrame([("A", "B", i, e, bool(t), bool(s)) for i, (e, t, s) in enumerate(plan)], "symbol_y string, symbol_x string, pos long, event string, tradable boolean, sized boolean")
+    got = [(r["execution_event"], r["execution_decision_row"]) for r in signals.open_loop_fills(rows).orderBy("pos").collect()]
+    # 0 is filled in row 3 (not tradable, not sized before), its exit of row 3 waits for row 5; the short of row 4 for row 6; its exit of 6 for 8.
+    expected = {3: ("ENTER_LONG", 0), 5: ("EXIT_STOP", 3), 6: ("ENTER_SHORT", 4), 8: ("EXIT_TIME", 6), 12: ("ENTER_LONG", 11)}
+    assert got == [expected.get(i, ("NONE", None)) for i in range(13)]  # the long of row 8 is called off by row 10
+    assert signals.open_loop_fills(rows, suppress_last=True).filter("pos = 12").first()["execution_event"] == "NONE"
+
+
+def test_rebalancing_compares_with_the_last_sizing(spark):
+    beta = [1.0, 1.05, 1.2, 1.25, 1.25, 2.0, 2.0]
+    rows = [("A", "B", i, 10.0, 5.0, b, i != 4, True, "FLAT" if i == 6 else "LONG_SPREAD", "ENTER_LONG" if i == 0 else "EXIT_STOP" if i == 6 else "NONE") for i, b in enumerate(beta)]
+    rows = spark.createDataFrame(rows, "symbol_y string, symbol_x string, pos long, price_y double, price_x double, hedge_ratio double, observed_y boolean, observed_x boolean, executed_state string, execution_event string")
+    got = positions.rebalance(positions.position_schedule(rows, 100.0), 100.0, 0.1).orderBy("pos").collect()
+    assert [r["rebalance"] for r in got] == [False, False, True, False, False, True, False]
+    assert [round(r["units_y"], 6) for r in got] == [5.0, 5.0, *[round(10 / 2.2, 6)] * 3, round(10 / 3, 6), 0.0]
+    assert [r["gross_exposure"] == pytest.approx(100) for r in got[:6]] == [True] * 6
+
+
+def test_kalman_equals_matrices(spark):
+    x = np.exp(np.cumsum(RNG.normal(0, 0.02, 50)) + 4)
+    y = np.exp(0.2 + 1.15 * np.log(x) + RNG.normal(0, 0.01, 50))
+    state, p = np.array([0.0, 1.0]), np.eye(2)
+    got = hedge.kalman(pair_rows(spark, y, x)).orderBy("pos").collect()
+    for k, r in enumerate(got):
+        p = p + (1e-5 * np.eye(2) if k else 0)
+        h = np.array([1.0, np.log(x[k])])
+        variance = h @ p @ h + 1e-3
+        gain = p @ h / variance
+        error = np.log(y[k]) - h @ state
+        state, p = state + gain * error, p - np.outer(gain, h @ p)
+        assert (r["alpha"], r["beta"], r["innovation"], r["innovation_variance"]) == tuple(pytest.approx(v, rel=1e-6) for v in (*state, error, variance))
 
 
 def test_accounting_identities_and_ledger(spark):
