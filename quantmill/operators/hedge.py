@@ -121,13 +121,13 @@ def spread_validity(spreads: DataFrame, keys: tuple = PAIR, minimum: int = 50) -
     return out.select(*keys, "n", reason.alias("reason"))
 
 
-def eligibility(panel: DataFrame, keys: tuple = PAIR, minimum: int = 100) -> DataFrame:
-    """The first reason, in a fixed order, why a pair is not tested; null if it is."""
+def eligibility(panel: DataFrame, keys: tuple = PAIR, minimum: int = 100, *more: Column) -> DataFrame:
+    """The first reason, in a fixed order, why a pair is not tested; null if it is.  ``more``: further aggregates."""
     positive = (F.col("price_y") > 0) & (F.col("price_x") > 0)
     finite = ~F.isnan("price_y") & ~F.isnan("price_x") & (F.abs("price_y") < float("inf")) & (F.abs("price_x") < float("inf"))
-    out = panel.groupBy(*keys).agg(F.count("*").alias("observations"), F.min(finite).alias("f"), F.min(positive).alias("p"), F.min("price_y").alias("a"), F.max("price_y").alias("b"), F.min("price_x").alias("c"), F.max("price_x").alias("d"))
+    out = panel.groupBy(*keys).agg(F.count("*").alias("observations"), F.min(finite).alias("f"), F.min(positive).alias("p"), F.min("price_y").alias("a"), F.max("price_y").alias("b"), F.min("price_x").alias("c"), F.max("price_x").alias("d"), *more)
     reason = F.when(F.col("observations") < minimum, "insufficient_observations").when(~F.col("f"), "non_finite_prices").when(~F.col("p"), "non_positive_prices").when((F.col("a") == F.col("b")) | (F.col("c") == F.col("d")), "degenerate_prices")
-    return out.select(*keys, "observations", reason.alias("reason"))
+    return out.withColumn("reason", reason).drop("f", "p", "a", "b", "c", "d")
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", keys: tuple = (), order: tuple = (), out: str = "corrected_p", family: str | None = None) -> DataFrame:
@@ -197,29 +197,93 @@ def unit_root(spreads: DataFrame, keys: tuple = PAIR, constant: bool = True, ser
     def finish(parts: pd.DataFrame) -> pd.DataFrame:
         total, changes = np.sum(np.stack(parts["s"].to_numpy()), axis=0).reshape(size, size), int(parts["n"].sum())
         at, first = np.concatenate(parts["early"].to_list()), np.concatenate(parts["first"].to_list()).reshape(-1, size)
-        n = changes + 1
-        row = {k: parts[k].iloc[0] for k in keys}
-        if n < minimum:
-            return pd.DataFrame([{**row, "statistic": None, "p_value": None, "lags": None, "observations": None, "critical_1": None, "critical_5": None, "critical_10": None}])
-        most = min(max_lag(n, constant), longest)
-
-        def fit(k: int, skip: int) -> tuple[float, float, int]:
-            lost = first[at <= skip]
-            products = total - lost.T @ lost
-            use = [1, *([2] if constant else []), *range(3, 3 + k)]
-            rows_left = changes - skip
-            return *_fit(products[np.ix_(use, use)], products[use, 0], products[0, 0], rows_left), rows_left
-
-        def aic(k: int) -> float:
-            _, rss, m = fit(k, most)
-            return m * (math.log(2 * math.pi) + math.log(rss / m) + 1) + 2 * (1 + int(constant) + k)
-
-        best = min(range(most + 1), key=aic)
-        statistic, _, used = fit(best, best)
-        levels = critical_values(series, used if series == 1 else n - 1)
-        return pd.DataFrame([{**row, "statistic": statistic, "p_value": mackinnon_p(statistic, series), "lags": best, "observations": used, "critical_1": levels[0], "critical_5": levels[1], "critical_10": levels[2]}])
-
-    return partial.groupBy(*keys).applyInPandas(finish, f"{head}, statistic double, p_value double, lags long, observations long, critical_1 double, critical_5 double, critical_10 double")
+        return pd.DataFrame([{**{k: parts[k].iloc[0] for k in keys}, **decide(total, first, at, changes, constant, series, minimum, longest)}])
+
+    return partial.groupBy(*keys).applyInPandas(finish, f"{head}, {ROOT}")
+
+
+ROOT = "statistic double, p_value double, lags long, observations long, critical_1 double, critical_5 double, critical_10 double"
+
+
+def decide(total: np.ndarray, first: np.ndarray, at: np.ndarray, changes: int, constant: bool, series: int, minimum: int, longest: int) -> dict:
+    """Result of a unit-root test from sums of products over all rows and the early rows, which are numbered by ``at``."""
+    n = changes + 1
+    if n < minimum:
+        return dict.fromkeys(x.split()[0] for x in ROOT.split(", "))
+    most = min(max_lag(n, constant), longest)
+
+    def fit(k: int, skip: int) -> tuple[float, float, int]:
+        lost = first[at <= skip]
+        products = total - lost.T @ lost
+        use = [1, *([2] if constant else []), *range(3, 3 + k)]
+        rows_left = changes - skip
+        return *_fit(products[np.ix_(use, use)], products[use, 0], products[0, 0], rows_left), rows_left
+
+    def aic(k: int) -> float:
+        _, rss, m = fit(k, most)
+        return m * (math.log(2 * math.pi) + math.log(rss / m) + 1) + 2 * (1 + int(constant) + k)
+
+    best = min(range(most + 1), key=aic)
+    statistic, _, used = fit(best, best)
+    levels = critical_values(series, used if series == 1 else n - 1)
+    return {"statistic": statistic, "p_value": mackinnon_p(statistic, series), "lags": best, "observations": used, "critical_1": levels[0], "critical_5": levels[1], "critical_10": levels[2]}
+
+
+def _lagged(s: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of products, early rows and their numbers for a whole series."""
+    change = np.diff(s)
+    v = np.zeros((len(change), longest + 3))
+    v[:, 0], v[:, 1], v[:, 2] = change, s[:-1], 1.0
+    for k in range(1, min(longest, len(change) - 1) + 1):
+        v[k:, 2 + k] = change[:-k]
+    at = np.arange(1, len(change) + 1)
+    early = at <= longest + 1
+    return v.T @ v, v[early], at[early]
+
+
+def window_figures(y: np.ndarray, x: np.ndarray, minimum: int = 50, lags: range = HURST_LAGS) -> tuple:
+    """alpha, beta, spread's deviation, cointegration and unit-root statistics with p, half-life and Hurst exponent of one window."""
+    with np.errstate(all="ignore"):
+        variance = ((x - x.mean()) ** 2).sum()
+        beta = ((x - x.mean()) * (y - y.mean())).sum() / variance
+        alpha = y.mean() - beta * x.mean()
+        s = y - alpha - beta * x
+        n, longest = len(s), max_lag(len(s), False)
+        out: list = [alpha, beta, s.std(ddof=1)]
+        for constant, series in ((False, 2), (True, 1)):
+            try:
+                found = decide(*_lagged(s, longest), n - 1, constant, series, minimum, longest)
+            except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
+                found = {"statistic": None, "p_value": None}
+            out += [found["statistic"], found["p_value"]]
+        before, change = s[:-1] - s[:-1].mean(), np.diff(s)
+        slope = (before * (change - change.mean())).sum() / (before**2).sum()
+        root = abs(1 + slope)
+        half = math.inf if root >= 1 or abs(root - 1) <= 2e-12 else -math.log(2) / slope
+        dispersion = np.array([(s[k:] - s[:-k]).std(ddof=1) if n - k > 1 else np.nan for k in lags])
+        hurst_value = np.polyfit(np.log(list(lags)), np.log(dispersion), 1)[0] if (dispersion > 0).all() else None
+    return *out, half if n >= 30 and np.isfinite(slope) else None, hurst_value
+
+
+FIGURES = "alpha double, beta double, spread_standard_deviation double, cointegration_statistic double, p_value double, adf_statistic double, adf_p_value double, half_life double, hurst double"
+
+
+def _window_figures(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for ys, xs in batches:
+        yield pd.DataFrame([window_figures(np.asarray(y, float), np.asarray(x, float)) for y, x in zip(ys, xs, strict=True)], columns=[x.split()[0] for x in FIGURES.split(", ")], dtype=float)
+
+
+def screen_windows(panel: DataFrame, extra: tuple = (), minimum: int = 100, fdr: float = 0.05, longest: float = 60.0, hurst_limit: float = 0.5) -> DataFrame:
+    """As screen(), for windows of bounded length (as folds): a pair's window is one array, shuffled once and tested as a whole."""
+    keys = (*extra, *PAIR)
+    able = eligibility(panel, keys, minimum, F.sort_array(F.collect_list(F.struct("pos", F.ln("price_y").alias("y"), F.ln("price_x").alias("x")))).alias("w"))
+    rows = able.filter("reason is null").withColumn("f", F.pandas_udf(_window_figures, FIGURES)(F.transform("w", lambda p: p["y"]), F.transform("w", lambda p: p["x"])))
+    rows = rows.select(*keys, "observations", "f.*")
+    for c in (x.split()[0] for x in FIGURES.split(", ")):
+        rows = rows.withColumn(c, F.when(~F.isnan(c), F.col(c)))  # what pandas has for unknown
+    ranked = select_and_rank(rows.withColumn("p_value", F.coalesce("p_value", F.lit(1.0))), extra, fdr, longest, hurst_limit)
+    failed = able.filter("reason is not null").select(*keys, "observations", F.array("reason").alias("rejection_reasons"), F.lit(False).alias("selected"))
+    return ranked.unionByName(failed, allowMissingColumns=True)
 
 
 def adf(spreads: DataFrame, keys: tuple = PAIR, minimum: int = 50) -> DataFrame:

@@ -36,18 +36,47 @@ def moving_block_bootstrap(returns: DataFrame, block: int, replicates: int, seed
     return picked.join(rows.select(*keys, "_at", "r"), [*keys, "_at"]).select(*keys, "replicate", F.col("place").cast("long").alias("pos"), "r")
 
 
-def bootstrap_metrics(returns: DataFrame, block: int, replicates: int, seed: int = 0, keys: tuple = (), level: float = 0.95, periods: int = 252) -> DataFrame:
-    """Interval and median of five figures over replicates: (keys, metric, defined, low, median, high, complete)."""
-    paths = moving_block_bootstrap(returns, block, replicates, seed, keys)
-    own = (*keys, "replicate")
-    each = metrics.core_metrics(paths, own, periods).select(*own, "total_return", "annualized_return", "annualized_volatility", "sharpe_ratio")
-    curve = metrics.equity_and_drawdown(paths, own).groupBy(*own).agg(F.min(F.least("drawdown", F.lit(0.0))).alias("maximum_drawdown"))
+def bootstrap_metrics(returns: DataFrame, block: int, replicates: int, seed: int = 0, keys: tuple = (), level: float = 0.95, periods: int = 252, least_valid: float = 0.8) -> DataFrame:
+    """Interval and median of five figures over replicates: (keys, metric, replicates, defined, low, median, high, kind).
+
+    A key's known returns are one array; each replicate draws its path out of it by index, inside its row, with the
+    starts of moving_block_bootstrap, and folds it to sums and drawdown.  So only rows of figures are shuffled.  kind:
+    DESIGN for fewer than two returns, replicates, starts or different paths; PRIMARY if a figure is defined in all
+    replicates; CONDITIONAL if in ``least_valid`` of them or more; else INSUFFICIENT.  An interval comes
+    with PRIMARY and CONDITIONAL only.
+    """
+    known = returns.filter("r is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "r"))).alias("x"))
+    known = known.select(*keys, F.transform("x", lambda e: e["r"]).alias("r")).withColumn("n", F.size("r"))
+    rows = known.filter(F.col("n") >= block).withColumn("m", F.aggregate("r", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
+    rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    start = lambda k: F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in keys], F.col("replicate"), k), (F.col("n") - block + 1).cast("long")).cast("int")
+    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1), start)
+    path = F.slice(F.flatten(F.transform("starts", lambda k: F.slice("r", k + 1, block))), F.lit(1), F.col("n"))
+    zero = F.lit(0.0)
+    first = F.struct(*[zero.alias(c) for c in ("logs", "sum", "squares", "scale")], F.lit(1.0).alias("equity"), F.lit(1.0).alias("peak"), zero.alias("low"))
+
+    def step(s: Column, x: Column) -> Column:
+        equity = s["equity"] * (1 + x)
+        peak = F.greatest(s["peak"], equity)
+        return F.struct((s["logs"] + F.log1p(x)).alias("logs"), (s["sum"] + (x - F.col("m"))).alias("sum"), (s["squares"] + (x - F.col("m")) * (x - F.col("m"))).alias("squares"), F.greatest(s["scale"], F.abs(x)).alias("scale"), equity.alias("equity"), peak.alias("peak"), F.least(s["low"], equity / peak - 1).alias("low"))
+
+    rows = rows.withColumn("starts", starts).withColumn("path", path).select(*keys, "replicate", "n", "m", F.xxhash64("path").alias("hash"), F.aggregate("path", first, step).alias("s"))
+    n, root = F.col("n"), math.sqrt(periods)
+    mean, std = F.col("m") + F.col("s.sum") / n, F.when(n > 1, F.sqrt(F.greatest(zero, (F.col("s.squares") - F.col("s.sum") * F.col("s.sum") / n) / (n - 1))))
+    each = rows.select(
+        *keys, "replicate", "n", "hash", F.expm1("s.logs").alias("total_return"), F.expm1(F.col("s.logs") * periods / n).alias("annualized_return"), (std * root).alias("annualized_volatility"),
+        F.when(std > 1e-12 * F.greatest(F.lit(1.0), F.col("s.scale")), mean / std * root).alias("sharpe_ratio"), F.col("s.low").alias("maximum_drawdown"),
+    )
     names = ["total_return", "annualized_return", "annualized_volatility", "sharpe_ratio", "maximum_drawdown"]
-    long = each.join(curve, list(own)).unpivot([F.col(k) for k in own], names, "metric", "value")
+    long = each.unpivot([F.col(k) for k in (*keys, "replicate", "n", "hash")], names, "metric", "value")
     tail = (1 - level) / 2
     q = F.percentile("value", F.array(F.lit(tail), F.lit(0.5), F.lit(1 - tail)))
-    out = long.groupBy(*keys, "metric").agg(F.count("*").alias("replicates"), F.count("value").alias("defined"), q.alias("q"))
-    return out.select(*keys, "metric", "replicates", "defined", F.col("q")[0].alias("low"), F.col("q")[1].alias("median"), F.col("q")[2].alias("high"), (F.col("defined") == F.col("replicates")).alias("complete"))
+    out = long.groupBy(*keys, "metric").agg(F.count("*").alias("replicates"), F.count("value").alias("defined"), q.alias("q"), F.min("hash").alias("a"), F.max("hash").alias("b"), F.first("n").alias("n"))
+    bad = (F.col("n") < 2) | (F.col("replicates") < 2) | (F.col("n") - block + 1 < 2) | (F.col("a") == F.col("b"))
+    kind = F.when(bad, "DESIGN").when(F.col("defined") == F.col("replicates"), "PRIMARY").when(F.col("defined") >= least_valid * F.col("replicates"), "CONDITIONAL").otherwise("INSUFFICIENT")
+    out = out.withColumn("kind", kind)
+    shown = lambda i: F.when(F.col("kind").isin("PRIMARY", "CONDITIONAL"), F.col("q")[i])
+    return out.select(*keys, "metric", "replicates", "defined", shown(0).alias("low"), shown(1).alias("median"), shown(2).alias("high"), "kind")
 
 
 def _phi(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -60,31 +89,38 @@ def normal_cdf(z: Column) -> Column:
     return F.pandas_udf(_phi, "double")(z)
 
 
-def sharpe_moments(returns: DataFrame, keys: tuple = ()) -> DataFrame:
-    """n, per-period Sharpe ratio, bias-corrected skewness and (ordinary) kurtosis by key."""
-    r = F.col("r")
-    out = returns.filter("r is not null").groupBy(*keys).agg(F.count("*").cast("double").alias("n"), (F.avg(r) / F.when(F.stddev_samp(r) > 1e-12 * F.greatest(F.lit(1.0), F.max(F.abs(r))), F.stddev_samp(r))).alias("sharpe"), F.skewness(r).alias("g1"), F.kurtosis(r).alias("g2"))
-    n = F.col("n")
+def sharpe_moments(returns: DataFrame, keys: tuple = (), rate: float = 0.0, periods: int = 252) -> DataFrame:
+    """n, per-period Sharpe ratio over a risk-free rate, bias-corrected skewness and (ordinary) kurtosis by key.
+
+    Null where a return is unknown, where there are fewer than four, or where returns do not vary.
+    """
+    r = F.col("r") - F.lit(metrics.per_period(rate, periods))
+    out = returns.groupBy(*keys).agg(F.count("*").cast("double").alias("n"), (F.avg(r) / F.when(F.stddev_samp(r) > 1e-12 * F.greatest(F.lit(1.0), F.max(F.abs(r))), F.stddev_samp(r))).alias("sharpe"), F.skewness(r).alias("g1"), F.kurtosis(r).alias("g2"), F.count("r").alias("known"))
+    n, able = F.col("n"), (F.col("n") >= 4) & (F.col("known") == F.col("n")) & F.col("sharpe").isNotNull()
     skew = F.col("g1") * F.sqrt(n * (n - 1)) / (n - 2)
     kurt = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("g2") + 6) + 3
-    return out.withColumn("skew", F.when(n >= 4, skew)).withColumn("kurtosis", F.when(n >= 4, kurt)).drop("g1", "g2")
+    return out.withColumn("skew", F.when(able, skew)).withColumn("kurtosis", F.when(able, kurt)).withColumn("sharpe", F.when(able, F.col("sharpe"))).drop("g1", "g2", "known")
 
 
-def probabilistic_sharpe(returns: DataFrame, benchmark: float = 0.0, keys: tuple = (), periods: int = 252) -> DataFrame:
-    """z and the probability that the Sharpe ratio exceeds a yearly benchmark, with the one-sided p."""
+def probabilistic_sharpe(returns: DataFrame, benchmark: float = 0.0, keys: tuple = (), periods: int = 252, rate: float = 0.0) -> DataFrame:
+    """z and the probability that the Sharpe ratio exceeds a yearly benchmark, with the one-sided p.
+
+    ``availability`` is UNAVAILABLE where a return is unknown or the moments are not defined.
+    """
     base = benchmark / math.sqrt(periods)
-    out = sharpe_moments(returns, keys)
+    out = sharpe_moments(returns, keys, rate, periods)
     s = F.col("sharpe")
     variance = 1 - F.col("skew") * s + (F.col("kurtosis") - 1) / 4 * s * s
     out = out.withColumn("variance", variance).withColumn("z", F.when(F.col("variance") > 0, (s - base) * F.sqrt(F.col("n") - 1) / F.sqrt("variance")))
     out = out.withColumn("psr", normal_cdf(F.col("z")))
-    return out.withColumn("p", 1 - F.col("psr"))
+    out = out.withColumn("p", normal_cdf(-F.col("z")))  # of z itself: 1 - psr has no digits far out
+    return out.withColumn("availability", F.when(F.col("z").isNull(), "UNAVAILABLE").otherwise("AVAILABLE"))
 
 
-def minimum_track_record(returns: DataFrame, benchmark: float = 0.0, level: float = 0.95, keys: tuple = (), periods: int = 252) -> DataFrame:
+def minimum_track_record(returns: DataFrame, benchmark: float = 0.0, level: float = 0.95, keys: tuple = (), periods: int = 252, rate: float = 0.0) -> DataFrame:
     """Observations needed for the Sharpe ratio to exceed the benchmark at a confidence level; null if it does not."""
     base, z = benchmark / math.sqrt(periods), NormalDist().inv_cdf(level)
-    out = sharpe_moments(returns, keys)
+    out = sharpe_moments(returns, keys, rate, periods)
     s = F.col("sharpe")
     variance = 1 - F.col("skew") * s + (F.col("kurtosis") - 1) / 4 * s * s
     need = F.greatest(F.lit(4.0), F.ceil(1 + variance * F.pow(F.lit(z) / (s - base), F.lit(2.0))).cast("double"))
@@ -117,7 +153,7 @@ def regime_consistency(rows: DataFrame, keys: tuple = (), periods: int = 252) ->
     sums = rows.filter("r is not null").groupBy(*own).agg(F.sum("r").alias("contribution"), F.min("pos").alias("first_pos"))
     out = metrics.core_metrics(rows, own, periods).join(sums, list(own))
     whole = Window.partitionBy(*keys)
-    share = F.col("contribution") / F.sum(F.abs("contribution")).over(whole)
+    share = F.try_divide(F.col("contribution"), F.sum(F.abs("contribution")).over(whole))
     return out.withColumn("share", share).withColumn("worst", F.row_number().over(whole.orderBy("total_return", "first_pos")) == 1)
 
 

@@ -93,7 +93,7 @@ def trade_metrics(ledger: DataFrame, keys: tuple = PAIR) -> DataFrame:
     c, pnl = F.col("class"), F.col("net_pnl")
     of = lambda kind, f: f(F.when(c == kind, pnl))
     out = classified_trades(ledger, keys).groupBy(*keys).agg(
-        F.count("*").alias("trades"), F.count(c).alias("known_trades"), (F.count_if(c == "winner") / F.count(c)).alias("win_rate"),
+        F.count("*").alias("trades"), F.count(c).alias("known_trades"), F.try_divide(F.count_if(c == "winner"), F.count(c)).alias("win_rate"),
         of("winner", F.avg).alias("average_winner"), of("loser", F.avg).alias("average_loser"), F.avg(pnl).alias("expectancy"),
         of("winner", F.sum).alias("_won"), of("loser", F.sum).alias("_lost"), F.avg("holding_period_rows").alias("average_holding"), F.median("holding_period_rows").alias("median_holding"), known_sum(pnl).alias("total_net_pnl"),
     )
@@ -132,12 +132,17 @@ def benchmark_metrics(rows: DataFrame, keys: tuple = PAIR, periods: int = 252, r
     beta = ratio(F.covar_samp(r, b), F.var_samp(b), F.max(b * b))
     out = rows.filter("r is not null and b is not null").groupBy(*keys).agg(
         F.count("*").alias("observations"), beta.alias("beta"), F.avg(r).alias("_r"), F.avg(b).alias("_b"), (F.stddev_samp(active) * root).alias("tracking_error"),
-        (ratio(F.avg(active), F.stddev_samp(active), F.max(F.abs(active))) * root).alias("information_ratio"), F.when(~near_zero(F.stddev_samp(r), F.max(F.abs(r))) & ~near_zero(F.stddev_samp(b), F.max(F.abs(b))), F.corr(r, b)).alias("correlation"),
+        (ratio(F.avg(active), F.stddev_samp(active), F.max(F.abs(active))) * root).alias("information_ratio"), F.when(~near_zero(F.stddev_samp(r), F.max(F.abs(r))) & ~near_zero(F.stddev_samp(b), F.max(F.abs(b))), F.covar_samp(r, b) / (F.stddev_samp(r) * F.stddev_samp(b))).alias("correlation"),
     )
     return out.withColumn("alpha", ((F.col("_r") - free) - F.col("beta") * (F.col("_b") - free)) * periods).drop("_r", "_b")
 
 
-def performance_report(returns: DataFrame, ledger: DataFrame, keys: tuple = PAIR, periods: int = 252, rate: float = 0.0) -> DataFrame:
-    """Core, drawdown and trade figures, a row per key."""
+def performance_report(returns: DataFrame, ledger: DataFrame, keys: tuple = PAIR, periods: int = 252, rate: float = 0.0, benchmark: DataFrame | None = None, accounting: DataFrame | None = None, capital: float | None = None) -> DataFrame:
+    """Core, drawdown and trade figures, a row per key; with a benchmark (date, b) and accounting also those against them."""
     out = core_metrics(returns, keys, periods, rate).join(drawdown_metrics(returns, keys, periods).drop("observations"), list(keys), "left")
-    return out.join(trade_metrics(ledger, keys), list(keys), "left")
+    out = out.join(trade_metrics(ledger, keys), list(keys), "left")
+    if benchmark is not None:
+        out = out.join(benchmark_metrics(returns.join(benchmark, "date"), keys, periods, rate).withColumnRenamed("observations", "benchmark_observations"), list(keys), "left")
+    if accounting is not None:
+        out = out.join(turnover(accounting, capital, keys), list(keys), "left")
+    return out

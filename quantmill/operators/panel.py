@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIR = ["symbol_y", "symbol_x"]
+#: Row positions that in_fold takes together.
+BLOCK = 256
 
 
 def candidate_pairs(universe: DataFrame) -> DataFrame:
@@ -42,10 +44,12 @@ def folds(rows: DataFrame, formation: int, trading: int, step: int | None = None
 def in_fold(rows: DataFrame, fold_table: DataFrame, part: str = "all") -> DataFrame:
     """Rows with the folds whose formation, trading or whole range holds their ``pos``.
 
-    Folds are few (row positions / step), so they are broadcast and each row meets only its own.
+    A row meets its folds by blocks of positions, an equi-join, so folds may be as many as scenarios make them.
     """
     a, b = {"formation": ("formation_start_pos", "formation_end_pos"), "trading": ("trading_start_pos", "trading_end_pos"), "all": ("formation_start_pos", "trading_end_pos")}[part]
-    return rows.join(F.broadcast(fold_table), F.col("pos").between(F.col(a), F.col(b)))
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    spread = fold_table.withColumn("_block", F.explode(F.sequence(block(a), block(b))))
+    return rows.withColumn("_block", block("pos")).join(spread, "_block").filter(F.col("pos").between(F.col(a), F.col(b))).drop("_block")
 
 
 def next_fillable(rows: DataFrame, keys: list[str], fillable) -> DataFrame:

@@ -37,10 +37,10 @@ def observed_metrics(portfolio: DataFrame, capital: float) -> DataFrame:
     )
 
 
-def invalid_limits(limits: DataFrame) -> DataFrame:
-    """Limits of unknown controls, repeated controls, negative or non-finite values."""
+def invalid_limits(limits: DataFrame, keys: tuple = ()) -> DataFrame:
+    """Limits of unknown controls, repeated controls (of one policy, named by ``keys``), negative or non-finite values."""
     names = [c for c, _, _ in CONTROLS]
-    n = F.count("*").over(Window.partitionBy("control"))
+    n = F.count("*").over(Window.partitionBy(*keys, "control"))
     reason = F.when(~F.col("control").isin(names), "unknown_control").when(n > 1, "repeated").when(F.isnan("limit") | (F.col("limit") < 0) | (F.col("limit") == float("inf")), "value")
     return limits.withColumn("reason", reason).filter("reason is not null")
 

@@ -100,7 +100,7 @@ def l02(spark, sf):
     return ledger.ledger(accounts(spark, sf))
 
 
-@register("L03_reconciliation", f"{KEYS} completed_trade_count:i ledger_net_pnl:4 schedule_net_pnl:4 status", "SELECT symbol_y, symbol_x, count(*) AS completed_trade_count, sum(net_pnl) AS ledger_net_pnl, sum(net_pnl) AS schedule_net_pnl, 'RECONCILED' AS status FROM td GROUP BY 1, 2")
+@register("L03_reconciliation", f"{KEYS} completed_trade_count:i ledger_net_pnl:4 schedule_net_pnl:4 status", "SELECT symbol_y, symbol_x, count(td.trade_id) AS completed_trade_count, coalesce(sum(td.net_pnl), 0.0) AS ledger_net_pnl, coalesce(sum(td.net_pnl), 0.0) AS schedule_net_pnl, 'RECONCILED' AS status FROM (SELECT DISTINCT symbol_y, symbol_x FROM ac) LEFT JOIN td USING (symbol_y, symbol_x) GROUP BY 1, 2")
 def l03(spark, sf):
     rows = accounts(spark, sf)
     return ledger.reconcile(ledger.ledger(rows), rows)
@@ -108,7 +108,7 @@ def l03(spark, sf):
 
 # --- performance -----------------------------------------------------------------------------------------------------
 CORE = """SELECT symbol_y, symbol_x, count(*) AS observations, exp(sum(ln(1 + r))) - 1 AS total_return, exp(sum(ln(1 + r)) * 252 / count(*)) - 1 AS annualized_return, stddev_samp(r) * sqrt(252) AS annualized_volatility,
-  (avg(r) - f) / stddev_samp(r) * sqrt(252) AS sharpe_ratio, sqrt(avg(pow(least(r - f, 0), 2))) * sqrt(252) AS downside_deviation, (avg(r) - f) / sqrt(avg(pow(least(r - f, 0), 2))) * sqrt(252) AS sortino_ratio
+  CASE WHEN stddev_samp(r) > 1e-12 * greatest(1.0, max(abs(r))) THEN (avg(r) - f) / stddev_samp(r) * sqrt(252) END AS sharpe_ratio, sqrt(avg(pow(least(r - f, 0), 2))) * sqrt(252) AS downside_deviation, CASE WHEN sqrt(avg(pow(least(r - f, 0), 2))) > 1e-12 * greatest(1.0, max(abs(r))) THEN (avg(r) - f) / sqrt(avg(pow(least(r - f, 0), 2))) * sqrt(252) END AS sortino_ratio
   FROM rt, (SELECT exp(ln(1.02) / 252) - 1 AS f) GROUP BY 1, 2, f"""
 CORE_COLUMNS = {
     "P01_total_return": "total_return:9", "P02_annualized_return": "annualized_return:9", "P03_annualized_volatility": "annualized_volatility:9", "P05_sharpe_ratio": "sharpe_ratio:6",
@@ -150,7 +150,7 @@ def p11(spark, sf):
     return metrics.drawdown_episodes(returns(spark, sf))
 
 
-DRAWDOWNS = f"""SELECT c.*, e.trough_pos AS maximum_drawdown_trough, coalesce(e.longest, 0) AS longest_drawdown_duration, a.annualized_return / -c.maximum_drawdown AS calmar_ratio FROM
+DRAWDOWNS = f"""SELECT c.*, e.trough_pos AS maximum_drawdown_trough, coalesce(e.longest, 0) AS longest_drawdown_duration, CASE WHEN -c.maximum_drawdown > 1e-12 THEN a.annualized_return / -c.maximum_drawdown END AS calmar_ratio FROM
   (SELECT symbol_y, symbol_x, count(*) AS observations, least(min(drawdown), 0.0) AS maximum_drawdown, arg_max(drawdown, pos) AS current_drawdown, count(*) FILTER (drawdown < -1e-12) AS underwater_observations FROM eq GROUP BY 1, 2) c
   JOIN (SELECT symbol_y, symbol_x, exp(sum(ln(1 + r)) * 252 / count(*)) - 1 AS annualized_return FROM rt GROUP BY 1, 2) a USING (symbol_y, symbol_x)
   LEFT JOIN (SELECT symbol_y, symbol_x, arg_min(trough_pos, maximum_drawdown) AS trough_pos, max(duration) AS longest FROM ({EPISODES}) GROUP BY 1, 2) e USING (symbol_y, symbol_x)"""
@@ -205,8 +205,8 @@ def p28(spark, sf):
     return metrics.rolling_drawdown(returns(spark, sf).withColumn("r", F.when(F.col("pos") % 50 != 7, F.col("r"))))
 
 
-BENCH = """SELECT symbol_y, symbol_x, count(*) AS observations, covar_samp(r, b) / var_samp(b) AS beta, ((avg(r) - 0.0) - covar_samp(r, b) / var_samp(b) * (avg(b) - 0.0)) * 252 AS alpha, stddev_samp(r - b) * sqrt(252) AS tracking_error,
-  avg(r - b) / stddev_samp(r - b) * sqrt(252) AS information_ratio, corr(r, b) AS correlation FROM (SELECT a.*, b.b FROM rt a JOIN (SELECT date, avg(r) AS b FROM rt GROUP BY 1) b USING (date)) GROUP BY 1, 2"""
+BENCH = """SELECT symbol_y, symbol_x, count(*) AS observations, CASE WHEN var_samp(b) > 1e-12 * greatest(1.0, max(b * b)) THEN covar_samp(r, b) / var_samp(b) END AS beta, ((avg(r) - 0.0) - CASE WHEN var_samp(b) > 1e-12 * greatest(1.0, max(b * b)) THEN covar_samp(r, b) / var_samp(b) END * (avg(b) - 0.0)) * 252 AS alpha, stddev_samp(r - b) * sqrt(252) AS tracking_error,
+  CASE WHEN stddev_samp(r - b) > 1e-12 * greatest(1.0, max(abs(r - b))) THEN avg(r - b) / stddev_samp(r - b) * sqrt(252) END AS information_ratio, CASE WHEN stddev_samp(r) > 1e-12 * greatest(1.0, max(abs(r))) AND stddev_samp(b) > 1e-12 * greatest(1.0, max(abs(b))) THEN corr(r, b) END AS correlation FROM (SELECT a.*, b.b FROM rt a JOIN (SELECT date, avg(r) AS b FROM rt GROUP BY 1) b USING (date)) GROUP BY 1, 2"""
 
 
 def against_benchmark(spark, sf):
@@ -218,10 +218,11 @@ for _name, _columns in {"P29_beta": "beta:5", "P30_alpha": "alpha:6", "P31_track
     register(_name, f"{KEYS} {_columns}", BENCH)(against_benchmark)
 
 
-@register("P35_performance_report", f"{KEYS} total_return:9 maximum_drawdown:9 win_rate:9 total_net_pnl:4", f"SELECT c.symbol_y, c.symbol_x, c.total_return, d.maximum_drawdown, t.win_rate, t.total_net_pnl FROM ({CORE}) c JOIN ({DRAWDOWNS}) d USING (symbol_y, symbol_x) JOIN ({TRADES}) t USING (symbol_y, symbol_x)")
+@register("P35_performance_report", f"{KEYS} total_return:9 maximum_drawdown:9 win_rate:9 total_net_pnl:4 beta:5 tracking_error:8 turnover:9", f"SELECT c.symbol_y, c.symbol_x, c.total_return, d.maximum_drawdown, t.win_rate, t.total_net_pnl, b.beta, b.tracking_error, u.turnover FROM ({CORE}) c JOIN ({DRAWDOWNS}) d USING (symbol_y, symbol_x) JOIN ({BENCH}) b USING (symbol_y, symbol_x) JOIN (SELECT symbol_y, symbol_x, sum(traded_notional_y + traded_notional_x) / {CAPITAL} AS turnover FROM ac GROUP BY 1, 2) u USING (symbol_y, symbol_x) LEFT JOIN ({TRADES}) t USING (symbol_y, symbol_x)")
 def p35(spark, sf):
     rows = accounts(spark, sf)
-    return metrics.performance_report(rows.select(*PAIR, "pos", F.col("net_return_after_carry").alias("r")), ledger.ledger(rows), rate=0.02)
+    made = rows.select(*PAIR, "pos", "date", F.col("net_return_after_carry").alias("r"))
+    return metrics.performance_report(made, ledger.ledger(rows), rate=0.02, benchmark=made.groupBy("date").agg(F.avg("r").alias("b")), accounting=rows, capital=CAPITAL)
 
 
 # --- rules -----------------------------------------------------------------------------------------------------------
@@ -260,9 +261,10 @@ def q06(spark, sf):
     return quality.repeated_keys(panels.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
-@register("Q11_content_digests", "symbol digest")
+@register("Q11_content_digests", "symbol digest", """SELECT symbol, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM (SELECT symbol, sha256('{"cents":' || c || ',"date":"' || strftime(date, '%Y-%m-%d') || '","symbol":"' || symbol || '"}') AS d
+  FROM (SELECT symbol, date, CAST(round(price * 100) AS BIGINT) AS c FROM px)) GROUP BY 1""")
 def q11(spark, sf):
-    return quality.content_digest(brand_prices(spark, sf), ["symbol", "date", "price"], "symbol")
+    return quality.content_digest(brand_prices(spark, sf).withColumn("cents", F.round(F.col("price") * 100).cast("long")), ["symbol", "date", "cents"], "symbol")
 
 
 @register("Q12_signal_contract", f"{KEYS} pos:i rule", "SELECT symbol_y, symbol_x, pos, CASE WHEN event LIKE 'ENTER%' THEN 'none_changes' ELSE 'none_changes' END AS rule FROM se WHERE event <> 'NONE' AND pos % 5 = 0")

@@ -18,6 +18,8 @@ SPINE = "SELECT s.symbol, d.date, d.pos, px.price FROM (SELECT DISTINCT symbol F
 FILLED = f"""SELECT *, CASE WHEN pos - max(CASE WHEN price IS NOT NULL THEN pos END) OVER u <= 3 THEN last_value(price IGNORE NULLS) OVER u END AS filled, lag(price) OVER (PARTITION BY symbol ORDER BY pos) AS before
   FROM ({SPINE}) WINDOW u AS (PARTITION BY symbol ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 KEYS = "symbol_y symbol_x"
+#: Rows that a pair must have in a run's half of the dates.
+SCREEN_MINIMUM = 50
 
 
 # --- sources ---------------------------------------------------------------------------------------------------------
@@ -82,15 +84,14 @@ def s06(spark, sf):
 
 
 def screening_batch(spark, sf):
-    """Closed-form screening results of two runs (formation in two halves), for the stored tables."""
+    """Screening results of two runs (formation in two halves), for the stored tables."""
     rows = brand_panel(spark, sf)
     runs = rows.withColumn("run_id", F.when(F.col("date") < "1998-06-01", "run-a").otherwise("run-b"))
     keys = ("run_id", *PAIR)
     runs = runs.withColumn("pos", F.row_number().over(by(keys, "date")) - 1)
-    spreads = hedge.ols_spread(runs, keys)
-    out = spreads.groupBy(*keys).agg(F.first("group_name").alias("group_name"), F.first("beta").alias("beta"), F.stddev_samp("spread").alias("spread_sd")).join(hedge.half_life(spreads, keys), list(keys)).join(hedge.hurst(spreads, keys), list(keys))
-    out = out.withColumn("p_value", F.round(F.pmod(F.crc32(F.concat_ws("|", *keys)), F.lit(1000)) / 1000 / 20, 6))
-    return hedge.select_and_rank(out, ("run_id",), 0.05, 60.0, 0.5).withColumn("loaded_at", F.lit(1)).withColumn("formation_start", F.col("run_id")).withColumn("formation_end", F.col("run_id"))
+    spans = runs.groupBy("run_id").agg(F.min("date").alias("formation_start"), F.max("date").alias("formation_end"))
+    out = hedge.screen(runs, ("run_id",), SCREEN_MINIMUM, 0.05, 60.0, 0.5).join(panels.brand_pairs(spark, sf), list(PAIR)).join(spans, "run_id")
+    return out.withColumn("loaded_at", F.lit(1))
 
 
 @register("S07_store_screening", "run_id symbol_y symbol_x corrected_p:6 half_life:4 half_life_was_infinite selected rank:i")
@@ -248,9 +249,9 @@ def j07(spark, sf):
     return store.list_runs(*_runs(spark, sf))
 
 
-@register("J08_common_horizon", "date", "SELECT date FROM pp WHERE group_name = 'G1' GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM pairs WHERE group_name = 'G1')")
+@register("J08_common_horizon", "date", "SELECT date FROM pp GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM (SELECT DISTINCT symbol_y, symbol_x FROM pp))")
 def j08(spark, sf):
-    rows = brand_panel(spark, sf).filter("group_name = 'G1'").withColumn("pair", F.concat("symbol_y", "symbol_x"))
+    rows = brand_panel(spark, sf).withColumn("pair", F.concat("symbol_y", "symbol_x"))
     return panel.common_labels(rows, "pair", "date")
 
 
@@ -278,10 +279,13 @@ def j12(spark, sf):
     return both.groupBy("symbol").agg(F.array_join(F.array_sort(F.array_distinct(F.collect_list("group_name"))), ",").alias("groups"))
 
 
-@register("J13_misaligned_dates", "date side", "SELECT coalesce(a.date, b.date) AS date, CASE WHEN b.date IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT date FROM px WHERE symbol = 'Brand#1') a FULL JOIN (SELECT date FROM px WHERE symbol = 'Brand#2') b ON a.date = b.date WHERE a.date IS NULL OR b.date IS NULL")
+@register("J13_misaligned_dates", "symbol_y symbol_x date side", """SELECT symbol_y, symbol_x, date, CASE WHEN b.side IS NULL THEN 'left' ELSE 'right' END AS side FROM (SELECT symbol_y, symbol_x, date, 1 AS side FROM pairs JOIN px ON symbol = symbol_y) a
+  FULL JOIN (SELECT symbol_y, symbol_x, date, 1 AS side FROM pairs JOIN px ON symbol = symbol_x) b USING (symbol_y, symbol_x, date) WHERE a.side IS NULL OR b.side IS NULL""")
 def j13(spark, sf):
     prices = brand_prices(spark, sf)
-    return panel.misaligned(prices.filter("symbol = 'Brand#1'"), prices.filter("symbol = 'Brand#2'"), ["date"])
+    pairs = panel.candidate_pairs(panels.universe(prices)).select(*PAIR)
+    legs = [pairs.join(prices.select(F.col("symbol").alias(s), "date"), s) for s in PAIR]
+    return panel.misaligned(*legs, [*PAIR, "date"])
 
 
 # --- hedge ratios and diagnostics ------------------------------------------------------------------------------------
@@ -323,7 +327,7 @@ def h06(spark, sf):
     return hedge.half_life(hedge.ols_spread(brand_panel(spark, sf)))
 
 
-HURST = "SELECT symbol_y, symbol_x, regr_slope(ln(d), ln(k)) AS hurst FROM (" + " UNION ALL ".join(f"SELECT symbol_y, symbol_x, {k} AS k, stddev_samp(d) AS d FROM (SELECT symbol_y, symbol_x, spread - lag(spread, {k}) OVER ({W}) AS d FROM sp) GROUP BY 1, 2" for k in range(2, 21)) + ") GROUP BY 1, 2"
+HURST = "SELECT symbol_y, symbol_x, CASE WHEN count(d) = 19 AND min(d) > 0 THEN regr_slope(ln(CASE WHEN d > 0 THEN d END), ln(k)) END AS hurst FROM (" + " UNION ALL ".join(f"SELECT symbol_y, symbol_x, {k} AS k, stddev_samp(d) AS d FROM (SELECT symbol_y, symbol_x, spread - lag(spread, {k}) OVER ({W}) AS d FROM sp) GROUP BY 1, 2" for k in range(2, 21)) + ") GROUP BY 1, 2"
 
 
 @register("H07_hurst", f"{KEYS} hurst:6", HURST)
@@ -398,7 +402,7 @@ def f02(spark, sf):
     return rows.withColumn("reason", signals.exit_rule(F.col("state"), F.col("z"), F.col("pos") % 12, 0.5, 2.5, 10)).groupBy("state", "reason").agg(F.count("*").alias("n"))
 
 
-STATES = """WITH RECURSIVE z1 AS (SELECT symbol_y, symbol_x, pos, z FROM zs WHERE group_name = 'G2'), m AS (
+STATES = """WITH RECURSIVE z1 AS (SELECT symbol_y, symbol_x, pos, z FROM zs), m AS (
   SELECT symbol_y, symbol_x, pos, z, CASE WHEN z <= -1.5 THEN 1 WHEN z >= 1.5 THEN -1 ELSE 0 END AS st, 0 AS held, 0 AS cool, CASE WHEN z <= -1.5 THEN 'ENTER_LONG' WHEN z >= 1.5 THEN 'ENTER_SHORT' ELSE 'NONE' END AS event, 0 AS holding_period, 0 AS cooldown_remaining FROM z1 WHERE pos = 0
   UNION ALL
   SELECT symbol_y, symbol_x, pos, z, CASE WHEN st = 0 THEN CASE WHEN cool = 0 AND z <= -1.5 THEN 1 WHEN cool = 0 AND z >= 1.5 THEN -1 ELSE 0 END WHEN ex = 'NONE' THEN st ELSE 0 END, CASE WHEN st = 0 OR ex <> 'NONE' THEN 0 ELSE held + 1 END,
@@ -411,14 +415,23 @@ STATES = """WITH RECURSIVE z1 AS (SELECT symbol_y, symbol_x, pos, z FROM zs WHER
 
 @register("F03_trade_states", f"{KEYS} pos:i position:i event holding_period:i cooldown_remaining:i", STATES)
 def f03(spark, sf):
-    rows = panels.signal_table(spark, sf).filter("group_name = 'G2'").withColumn("zscore", F.col("z"))
+    rows = panels.signal_table(spark, sf).withColumn("zscore", F.col("z"))
     return signals.trade_signals(rows.select(*PAIR, "pos", "zscore"), RULES)
 
 
-@register("F04_invalid_thresholds", "scenario:i reason", "SELECT * FROM (VALUES (2, 'exit_negative'), (3, 'entry_not_above_exit'), (4, 'stop_not_above_entry')) v(scenario, reason)")
+#: A scenario per supplier: thresholds out of its keys and balance.
+THRESHOLDS = "SELECT s_suppkey AS scenario, CAST(s_suppkey % 7 AS DOUBLE) / 2 AS entry_z, CAST(s_nationkey % 5 AS DOUBLE) / 4 - 0.25 AS exit_z, CAST(floor(abs(s_acctbal) / 1000) AS DOUBLE) / 2 AS stop_z FROM supplier"
+
+
+def supplier_scenarios(spark, sf):
+    half = lambda c: F.floor(c).cast("double") / 2
+    rows = panels.table(spark, sf, "supplier")
+    return rows.select(F.col("s_suppkey").alias("scenario"), half(F.col("s_suppkey") % 7).alias("entry_z"), ((F.col("s_nationkey") % 5).cast("double") / 4 - 0.25).alias("exit_z"), half(F.abs("s_acctbal") / 1000).alias("stop_z"))
+
+
+@register("F04_invalid_thresholds", "scenario:i reason", f"SELECT * FROM (SELECT scenario, CASE WHEN exit_z < 0 THEN 'exit_negative' WHEN entry_z <= exit_z THEN 'entry_not_above_exit' WHEN stop_z <= entry_z THEN 'stop_not_above_entry' END AS reason FROM ({THRESHOLDS})) WHERE reason IS NOT NULL")
 def f04(spark, sf):
-    rows = spark.createDataFrame([(1, 2.0, 0.5, 3.5), (2, 2.0, -0.5, 3.5), (3, 0.5, 0.5, 3.5), (4, 2.0, 0.5, 2.0)], "scenario int, entry_z double, exit_z double, stop_z double")
-    return signals.invalid_thresholds(rows)
+    return signals.invalid_thresholds(supplier_scenarios(spark, sf))
 
 
 @register("F05_filled_states", f"{KEYS} pos:i position:i event executed_state execution_event execution_decision_row:i execution_due_row:i holding_period:i cooldown_remaining:i")

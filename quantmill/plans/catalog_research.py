@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import lru_cache
+
+from pyspark.sql import SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantmill.functions.durable import written
 from quantmill.operators import grid, inference, panel, portfolio, quality, risk, signals, walkforward
 from quantmill.plans import jobs, panels
 from quantmill.plans.catalog_core import FOLDS, NUMBERED, brand_folds, numbered, s07
@@ -14,7 +17,7 @@ from quantmill.sources import store
 
 KEYS = "symbol_y symbol_x"
 BASE = {"entry_z": 2.0, "exit_z": 0.5, "stop_z": 3.5, "zscore_lookback": 60, "formation_window": 504, "trading_window": 63}
-AXES = {"entry_z": [1.5, 2.0, 2.5, 0.5], "exit_z": [0.25, 0.5, 0.75], "formation_window": [252, 504], "zscore_lookback": [30, 60, 300]}
+AXES = ("entry_z", "exit_z", "formation_window", "zscore_lookback")
 RULES = signals.Rules(1.0, 0.25, 3.5, 20, 1)
 
 
@@ -43,14 +46,27 @@ def fold_panel(spark, sf):
     return panel.pair_panel(pairs, rows).drop("pos").join(F.broadcast(dates), "date").withColumnRenamed("at", "pos")
 
 
-def traded(spark, sf):
-    folds = brand_folds(spark, sf)
-    return folds, walkforward.run_folds(fold_panel(spark, sf), folds, RULES, 20, 100, 1.0, 1e6, 10.0, panels.TARGET, CAPITAL, panels.COSTS).persist()  # status and calendar both read it
+@lru_cache(maxsize=4)
+def _walk(application, sf):
+    """Folds, screening, traded rows and calendar of one walk-forward; written tables, which the queries of a session share."""
+    spark = SparkSession.getActiveSession()
+    folds, rows = brand_folds(spark, sf), written(fold_panel(spark, sf))
+    screened, done = walkforward.run_folds(rows, folds, RULES, 20, 100, 1.0, 1e6, 10.0, panels.TARGET, CAPITAL, panels.COSTS)
+    return folds, screened, done, written(walkforward.calendar_returns(walkforward.fold_status(folds, screened.filter("corrected_p is not null"), done), done))
+
+
+def walk(spark, sf):
+    return _walk(spark.sparkContext.applicationId, sf)
 
 
 @register("K03_fold_trading", f"fold_id:i {KEYS} pos:i executed_state execution_event net_pnl_after_carry:4 net_return_after_carry:9")
 def k03(spark, sf):
-    return traded(spark, sf)[1]
+    return walk(spark, sf)[2]
+
+
+@register("K03_fold_screening", f"fold_id:i {KEYS} observations:i beta:6 p_value:6 corrected_p:6 selected rank:i")
+def k03b(spark, sf):
+    return walk(spark, sf)[1]
 
 
 @register("K04_trading_rows", "fold_id:i symbol observed:i", f"SELECT fold_id, symbol, count(*) AS observed FROM ({NUMBERED}) JOIN ({FOLDS}) ON pos BETWEEN trading_start_pos AND trading_end_pos GROUP BY 1, 2")
@@ -59,33 +75,51 @@ def k04(spark, sf):
 
 
 def calendar(spark, sf):
-    folds, rows = traded(spark, sf)
-    tested = panel.in_fold(fold_panel(spark, sf), folds, "formation").groupBy("fold_id", *PAIR).agg(F.count("*").alias("n")).filter("n >= 100")
-    return walkforward.calendar_returns(walkforward.fold_status(folds, tested, rows), rows)
+    return walk(spark, sf)[3]
 
 
-@register("K05_coverage", "folds:i completed:i no_selection:i insufficient:i scheduled_rows:i known_rows:i coverage:6")
+@register("K05_coverage", "folds:i completed:i no_selection:i insufficient:i scheduled_rows:i executed_rows:i known_rows:i coverage:6")
 def k05(spark, sf):
     return walkforward.coverage(calendar(spark, sf))
 
 
-@register("K06_return_report", "fold_id:i availability total_return:9 maximum_drawdown:9")
+@register("K05_conditional_returns", "fold_id:i pos:i r:9")
+def k05b(spark, sf):
+    return walkforward.conditional_returns(calendar(spark, sf))
+
+
+REPORT = "availability reason complete total_return:9 annualized_volatility:9 maximum_drawdown:9"
+
+
+@register("K06_return_report", f"fold_id:i {REPORT}")
 def k06(spark, sf):
     return walkforward.return_report(calendar(spark, sf), ("fold_id",))
 
 
+@register("K06_aggregate_report", f"kind {REPORT}")
+def k06b(spark, sf):
+    """Reports over all folds: of all scheduled rows, and of executed folds only."""
+    rows = calendar(spark, sf)
+    both = rows.withColumn("kind", F.lit("calendar")).union(walkforward.conditional_returns(rows).withColumn("kind", F.lit("conditional")))
+    return walkforward.return_report(both, ("kind",))
+
+
 # --- grid ------------------------------------------------------------------------------------------------------------
+#: Axes out of the region keys 0 to 4: entries 1.0 to 3.0, exits 0.25 to 0.75, formation windows and look-backs.
 GRID = """SELECT *, 'scenario-' || substr(sha256(concat_ws('|', e, x, '3.5', z, f, '63')), 1, 12) AS scenario_id, CAST(e AS DOUBLE) AS entry_z, CAST(x AS DOUBLE) AS exit_z, CAST(z AS INT) AS zscore_lookback, CAST(f AS INT) AS formation_window, e = '2.0' AND x = '0.5' AND z = '60' AND f = '504' AS is_baseline
-  FROM (VALUES ('1.5'), ('2.0'), ('2.5'), ('0.5')) a(e), (VALUES ('0.25'), ('0.5'), ('0.75')) b(x), (VALUES ('252'), ('504')) c(f), (VALUES ('30'), ('60'), ('300')) d(z)"""
+  FROM (SELECT CAST(CAST(1 + r_regionkey * 0.5 AS DOUBLE) AS VARCHAR) AS e FROM region) a, (SELECT CAST(CAST(r_regionkey / 4.0 AS DOUBLE) AS VARCHAR) AS x FROM region WHERE r_regionkey BETWEEN 1 AND 3) b,
+    (SELECT CAST(252 * r_regionkey AS VARCHAR) AS f FROM region WHERE r_regionkey BETWEEN 1 AND 2) c, (SELECT CAST(CAST(CASE r_regionkey WHEN 0 THEN 30 WHEN 1 THEN 60 ELSE 300 END AS INT) AS VARCHAR) AS z FROM region WHERE r_regionkey < 3) d"""
 
 
-def scenarios(spark):
-    return grid.parameter_grid(spark, AXES, BASE)
+def scenarios(spark, sf):
+    keys = sorted(r[0] for r in panels.table(spark, sf, "region").select("r_regionkey").collect())  # five regions
+    axes = {"entry_z": [1 + k * 0.5 for k in keys], "exit_z": [k / 4 for k in keys if 1 <= k <= 3], "formation_window": [252 * k for k in keys if 1 <= k <= 2], "zscore_lookback": [{0: 30, 1: 60}.get(k, 300) for k in keys if k < 3]}
+    return grid.parameter_grid(spark, axes, BASE)
 
 
 @register("R01_parameter_grid", "scenario_id entry_z:6 exit_z:6 zscore_lookback:i formation_window:i is_baseline", GRID)
 def r01(spark, sf):
-    return scenarios(spark)
+    return scenarios(spark, sf)
 
 
 ERRORS = f"SELECT *, CASE WHEN entry_z <= exit_z THEN 'entry_z must be above exit_z' WHEN zscore_lookback > formation_window THEN 'zscore_lookback must fit into formation' END AS error FROM ({GRID})"
@@ -93,7 +127,7 @@ ERRORS = f"SELECT *, CASE WHEN entry_z <= exit_z THEN 'entry_z must be above exi
 
 @register("R02_configuration_errors", "scenario_id error", ERRORS)
 def r02(spark, sf):
-    return grid.configuration_errors(scenarios(spark))
+    return grid.configuration_errors(scenarios(spark, sf))
 
 
 @register("R03_universe_by_fold", "fold_id:i group_name symbols:i", f"SELECT fold_id, group_name, count(*) AS symbols FROM (SELECT fold_id, symbol FROM ({NUMBERED}) JOIN ({FOLDS}) ON pos BETWEEN formation_start_pos AND formation_end_pos GROUP BY 1, 2 HAVING count(*) >= 300) JOIN uni USING (symbol) GROUP BY 1, 2 HAVING count(*) >= 2")
@@ -107,7 +141,7 @@ SCENARIO_FOLDS = f"SELECT scenario_id, k AS fold_id, k * 63 + formation_window A
 
 def scenario_folds(spark, sf):
     dates = brand_prices(spark, sf).select("date").distinct().count()
-    return grid.scenario_folds(scenarios(spark), dates)
+    return grid.scenario_folds(scenarios(spark, sf), dates)
 
 
 @register("R04_scenario_folds", "scenario_id fold_id:i trading_start_pos:i trading_end_pos:i", SCENARIO_FOLDS)
@@ -146,12 +180,17 @@ def r08(spark, sf):
 
 @register("R09_axis_metadata", "parameter value:6 step:6", f"SELECT parameter, value, lead(value) OVER (PARTITION BY parameter ORDER BY value) - value AS step FROM (SELECT DISTINCT 'entry_z' AS parameter, entry_z AS value FROM ({GRID}) UNION ALL SELECT DISTINCT 'exit_z', exit_z FROM ({GRID}) UNION ALL SELECT DISTINCT 'zscore_lookback', zscore_lookback FROM ({GRID}) UNION ALL SELECT DISTINCT 'formation_window', formation_window FROM ({GRID}))")
 def r09(spark, sf):
-    return grid.axis_metadata(scenarios(spark), list(AXES))
+    return grid.axis_metadata(scenarios(spark, sf), list(AXES))
+
+
+_LONG_AXES = " UNION ALL ".join(f"SELECT scenario_id, '{a}' AS parameter, CAST({a} AS DOUBLE) AS value FROM ({GRID})" for a in AXES)
+VARIANTS = f"""SELECT scenario_id, parameter, value, base, abs(place - base_place) AS places, abs(place - base_place) = 1 AS adjacent FROM (SELECT *, max(CASE WHEN value = base THEN place END) OVER (PARTITION BY parameter) AS base_place, count(*) FILTER (value <> base) OVER (PARTITION BY scenario_id) AS changed
+  FROM (SELECT l.*, b.value AS base, dense_rank() OVER (PARTITION BY l.parameter ORDER BY l.value) AS place FROM ({_LONG_AXES}) l JOIN ({_LONG_AXES}) b ON b.parameter = l.parameter AND b.scenario_id = (SELECT scenario_id FROM ({GRID}) WHERE is_baseline))) WHERE changed = 1 AND value <> base"""
 
 
-@register("R10_one_parameter_variants", "scenario_id parameter value:6 base:6 places:i adjacent")
+@register("R10_one_parameter_variants", "scenario_id parameter value:6 base:6 places:i adjacent", VARIANTS)
 def r10(spark, sf):
-    return grid.one_parameter_variants(scenarios(spark), list(AXES))
+    return grid.one_parameter_variants(scenarios(spark, sf), list(AXES))
 
 
 SENSITIVITY = """SELECT count(*) AS scenarios, count(total_return) AS defined, count(*) FILTER (sign(total_return) = sign((SELECT t FROM (SELECT exp(sum(ln(1 + r))) - 1 AS t FROM rt WHERE symbol_y = 'Brand#1' AND symbol_x = 'Brand#11' GROUP BY symbol_y)))) AS same_sign,
@@ -165,16 +204,84 @@ def r11(spark, sf):
     return grid.sensitivity_summary(rows, -0.001)
 
 
-@register("R12_grid_run", "entry:6 trades:i total_return:9")
+@lru_cache(maxsize=4)
+def _grid(application, sf):
+    """Calendar, trades and scenario table of the walk-forwards of all scenarios; written tables, which the queries of a session share."""
+    spark = SparkSession.getActiveSession()
+    every = written(grid.configuration_errors(scenarios(spark, sf)))
+    valid = every.filter("error is null")
+    lookbacks = sorted(r[0] for r in valid.select("zscore_lookback").distinct().collect())  # an axis of the grid
+    folds = grid.scenario_folds(valid, brand_prices(spark, sf).select("date").distinct().count())
+    rows, done = walkforward.run_grid(written(fold_panel(spark, sf)), valid, folds, lookbacks, 100, 1.0, 1e6, 10.0, panels.TARGET, CAPITAL, panels.COSTS)
+    return every, rows, done
+
+
+def grid_run(spark, sf):
+    return _grid(spark.sparkContext.applicationId, sf)
+
+
+def scenario_reports(spark, sf):
+    """A row per scenario: INVALID with its error, or the report of its calendar with trades and rows of unknown cost."""
+    every, rows, done = grid_run(spark, sf)
+    report = walkforward.return_report(rows, ("scenario_id",)).join(walkforward.coverage(rows, ("scenario_id",)), "scenario_id")
+    trades = done.groupBy("scenario_id").agg(F.count_if(F.col("execution_event").startswith("ENTER")).alias("trades"), F.count("transaction_cost").alias("known_costs"), F.count_if(F.col("transaction_cost").isNull()).alias("unknown_costs"))
+    out = every.join(report, "scenario_id", "left").join(trades, "scenario_id", "left")
+    status = F.when(F.col("error").isNotNull(), "INVALID").when(F.col("availability").isNull(), "NO_FOLDS").when(F.col("availability") == "FAILED", "FAILED").when(~F.col("complete"), "INCOMPLETE").otherwise("COMPLETED")
+    out = out.withColumn("status", status)
+    for c in ("total_return", "annualized_volatility", "sharpe_ratio", "maximum_drawdown"):
+        out = out.withColumn(c, F.when(F.col("status") == "COMPLETED", F.col(c)))  # calendar figures only if no return is unknown
+    return out.withColumn("trades", F.coalesce("trades", F.lit(0)))
+
+
+def common_reports(spark, sf):
+    """Reports of the scenarios that completed over the rows that all of them have scheduled."""
+    every, rows, _ = grid_run(spark, sf)
+    able = rows.join(scenario_reports(spark, sf).filter("status = 'COMPLETED'").select("scenario_id", "is_baseline"), "scenario_id")
+    return walkforward.return_report(able.join(panel.common_labels(able, "scenario_id", "pos"), "pos"), ("scenario_id", "is_baseline"))
+
+
+@register("R04_scenario_runs", "scenario_id status error folds:i completed:i scheduled_rows:i known_rows:i trades:i known_costs:i unknown_costs:i")
+def r04b(spark, sf):
+    return scenario_reports(spark, sf)
+
+
+@register("R05_scenario_outcomes", "scenario_id status availability reason total_return:9 maximum_drawdown:9")
+def r05b(spark, sf):
+    return scenario_reports(spark, sf)
+
+
+@register("R06_common_reports", f"scenario_id {REPORT}")
+def r06b(spark, sf):
+    return common_reports(spark, sf)
+
+
+@register("R11_grid_sensitivity", "scenarios:i defined:i same_sign:i severe_drawdowns:i worst:9 best:9 complete")
+def r11b(spark, sf):
+    return grid.sensitivity_summary(common_reports(spark, sf), -0.001)
+
+
+@register("R12_grid_run", "scenario_id entry_z:6 exit_z:6 zscore_lookback:i formation_window:i is_baseline status folds:i trades:i total_return:9 sharpe_ratio:6 maximum_drawdown:9")
 def r12(spark, sf):
-    """Every pair under several entry thresholds, all in one plan: the threshold is a key."""
-    rows = panels.signal_table(spark, sf).select(*PAIR, "group_name", "pos", "date", "price_y", "price_x", "hedge_ratio", "z")
-    parts = []
-    for entry in (1.0, 1.5, 2.0):  # a handful of scenarios, as rules of the fold; rows of all stay in one table
-        ready = rows.withColumn("zscore", F.col("z")).withColumn("tradable", F.lit(True)).withColumn("sized", F.lit(True))
-        parts.append(signals.filled_signals(ready, signals.Rules(entry, 0.25, 3.5), 1, True).withColumn("entry", F.lit(entry)))
-    fills = parts[0].union(parts[1]).union(parts[2])
-    return fills.groupBy("entry").agg(F.count_if(F.col("execution_event").startswith("ENTER")).alias("trades"), F.avg(F.abs("position").cast("double")).alias("total_return"))
+    """Every scenario's walk-forward, all in one plan: the scenario is a key."""
+    return scenario_reports(spark, sf)
+
+
+@register("R13_grid_table", "scenario_id entry_z:6 exit_z:6 status reason total_return:9 common_total_return:9 common_maximum_drawdown:9 baseline_difference:9")
+def r13b(spark, sf):
+    """A flat table of all scenarios, ordered by id, with figures of their own calendar and of the common horizon."""
+    common = common_reports(spark, sf)
+    base = common.filter("is_baseline").select(F.col("total_return").alias("base"))
+    common = common.select("scenario_id", F.col("total_return").alias("common_total_return"), F.col("maximum_drawdown").alias("common_maximum_drawdown"))
+    out = scenario_reports(spark, sf).withColumn("reason", F.coalesce("error", "reason")).join(common, "scenario_id", "left").join(base, how="left")  # one row
+    return out.withColumn("baseline_difference", F.col("common_total_return") - F.col("base")).orderBy("scenario_id")
+
+
+@register("R14_run_provenance", "scenarios:i invalid:i formation_windows lookbacks first_pos:i last_pos:i pairs:i")
+def r14b(spark, sf):
+    """What a grid run was made of."""
+    every, rows, done = grid_run(spark, sf)
+    out = every.agg(F.count("*").alias("scenarios"), F.count("error").alias("invalid"), F.concat_ws(",", F.sort_array(F.collect_set("formation_window"))).alias("formation_windows"), F.concat_ws(",", F.sort_array(F.collect_set("zscore_lookback"))).alias("lookbacks"))
+    return out.join(rows.agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos")), how="left").join(done.agg(F.count_distinct(*PAIR).alias("pairs")), how="left")  # one row each
 
 
 @register("R13_sensitivity_table", "scenario_id entry_z:6 error", f"SELECT * FROM ({ERRORS}) ORDER BY scenario_id")
@@ -193,18 +300,18 @@ def v01(spark, sf):
     return inference.moving_block_bootstrap(returns(spark, sf), 20, 4, 7, PAIR)
 
 
-@register("V02_bootstrap_metrics", f"{KEYS} metric replicates:i defined:i low:9 median:9 high:9")
+@register("V02_bootstrap_metrics", f"{KEYS} metric replicates:i defined:i low:9 median:9 high:9 kind")
 def v02(spark, sf):
-    return inference.bootstrap_metrics(returns(spark, sf), 20, 20, 7, PAIR)
+    return inference.bootstrap_metrics(returns(spark, sf), 20, 1000, 7, PAIR)
 
 
-MOMENTS = """SELECT symbol_y, symbol_x, n, m / s AS sharpe, g1 * sqrt(n * (n - 1)) / (n - 2) AS skew, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) + 3 AS kurtosis
-  FROM (SELECT symbol_y, symbol_x, CAST(count(*) AS DOUBLE) AS n, any_value(m) AS m, any_value(s) AS s, avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5) AS g1, avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2) - 3 AS g2
+MOMENTS = """SELECT symbol_y, symbol_x, n, CASE WHEN able THEN m / s END AS sharpe, CASE WHEN able THEN g1 * sqrt(n * (n - 1)) / (n - 2) END AS skew, CASE WHEN able THEN (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6) + 3 END AS kurtosis
+  FROM (SELECT symbol_y, symbol_x, CAST(count(*) AS DOUBLE) AS n, any_value(m) AS m, any_value(s) AS s, count(*) >= 4 AND any_value(s) > 1e-12 * greatest(1.0, max(abs(r))) AS able, avg(pow(r - m, 3)) / pow(avg(pow(r - m, 2)), 1.5) AS g1, avg(pow(r - m, 4)) / pow(avg(pow(r - m, 2)), 2) - 3 AS g2
     FROM rt JOIN (SELECT symbol_y, symbol_x, avg(r) AS m, stddev_samp(r) AS s FROM rt GROUP BY 1, 2) USING (symbol_y, symbol_x) GROUP BY 1, 2)"""
 VARIANCE = f"SELECT *, 1 - skew * sharpe + (kurtosis - 1) / 4 * sharpe * sharpe AS variance FROM ({MOMENTS})"
 
 
-@register("V03_probabilistic_sharpe", f"{KEYS} n:i sharpe:7 skew:5 kurtosis:4 z:5", f"SELECT *, sharpe * sqrt(n - 1) / sqrt(variance) AS z FROM ({VARIANCE})")
+@register("V03_probabilistic_sharpe", f"{KEYS} n:i sharpe:7 skew:5 kurtosis:4 z:5", f"SELECT *, CASE WHEN variance > 0 THEN sharpe * sqrt(n - 1) / sqrt(variance) END AS z FROM ({VARIANCE})")
 def v03(spark, sf):
     return inference.probabilistic_sharpe(returns(spark, sf), 0.0, PAIR)
 
@@ -238,7 +345,7 @@ def v06(spark, sf):
     return inference.fold_consistency(v05(spark, sf), PAIR)
 
 
-@register("V07_regime_consistency", f"{KEYS} label total_return:9 contribution:9 share:6 worst", """SELECT *, contribution / sum(abs(contribution)) OVER (PARTITION BY symbol_y, symbol_x) AS share, row_number() OVER (PARTITION BY symbol_y, symbol_x ORDER BY total_return, first_pos) = 1 AS worst
+@register("V07_regime_consistency", f"{KEYS} label total_return:9 contribution:9 share:6 worst", """SELECT *, contribution / nullif(sum(abs(contribution)) OVER (PARTITION BY symbol_y, symbol_x), 0) AS share, row_number() OVER (PARTITION BY symbol_y, symbol_x ORDER BY total_return, first_pos) = 1 AS worst
   FROM (SELECT symbol_y, symbol_x, CAST(year(date) AS VARCHAR) AS label, exp(sum(ln(1 + r))) - 1 AS total_return, sum(r) AS contribution, min(pos) AS first_pos FROM rt GROUP BY 1, 2, 3)""")
 def v07(spark, sf):
     return inference.regime_consistency(yearly(spark, sf).withColumn("label", F.col("fold_id").cast("string")), PAIR)
@@ -251,6 +358,30 @@ def v08(spark, sf):
     return inference.multiplicity(tests, 5000, 0.05, (), ("p_partkey",))
 
 
+def scenario_sharpes(spark, sf):
+    """The probabilistic Sharpe ratio of every scenario that could run, on its own calendar."""
+    every, rows, _ = grid_run(spark, sf)
+    return every.filter("error is null").select("scenario_id").join(inference.probabilistic_sharpe(rows, 0.0, ("scenario_id",)), "scenario_id", "left")
+
+
+@register("V08_scenario_multiplicity", "scenario_id family:i p:9 bonferroni_p:9 bh_p:9 bonferroni_discovery bh_discovery")
+def v08b(spark, sf):
+    """The family is every scenario that could run, whether its p is known or not."""
+    return inference.multiplicity(scenario_sharpes(spark, sf), None, 0.05)
+
+
+@register("V09_scenario_report", "scenario_id sharpe_availability calendar_availability fold_availability availability")
+def v09b(spark, sf):
+    """Availability of a scenario's report: the worst of its Sharpe inference, its calendar and its folds (two known or more)."""
+    _, rows, _ = grid_run(spark, sf)
+    folds = inference.fold_metrics(rows, ("scenario_id", "fold_id")).groupBy("scenario_id").agg(F.when(F.count("total_return") < 2, "INSUFFICIENT").otherwise("AVAILABLE").alias("fold_availability"))
+    calendar_part = walkforward.return_report(rows, ("scenario_id",)).select("scenario_id", F.when(F.col("availability") != "AVAILABLE", "UNAVAILABLE").when(~F.col("complete"), "INSUFFICIENT").otherwise("AVAILABLE").alias("calendar_availability"))
+    parts = scenario_sharpes(spark, sf).select("scenario_id", F.coalesce("availability", F.lit("UNAVAILABLE")).alias("sharpe_availability")).join(calendar_part, "scenario_id", "left").join(folds, "scenario_id", "left")
+    parts = parts.na.fill("UNAVAILABLE")
+    long = parts.unpivot(["scenario_id"], ["sharpe_availability", "calendar_availability", "fold_availability"], "part", "availability")
+    return parts.join(inference.roll_up(long, ("scenario_id",)), "scenario_id")
+
+
 @register("V09_report_roll_up", f"{KEYS} availability", "SELECT symbol_y, symbol_x, CASE WHEN count(*) FILTER (n < 50) > 0 THEN 'UNAVAILABLE' WHEN count(*) FILTER (n < 130) > 0 THEN 'INSUFFICIENT' ELSE 'AVAILABLE' END AS availability FROM (SELECT symbol_y, symbol_x, year(date) AS y, count(*) AS n FROM rt GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def v09(spark, sf):
     parts = yearly(spark, sf).groupBy(*PAIR, "fold_id").agg(F.count("*").alias("n"))
@@ -260,18 +391,19 @@ def v09(spark, sf):
 # --- portfolio and risk ----------------------------------------------------------------------------------------------
 DAYS = "SELECT date, row_number() OVER (ORDER BY date) - 1 AS at FROM (SELECT DISTINCT date FROM pp)"
 ALIGNED = f"""SELECT p.pair_id, d.at AS pos, CASE WHEN p.pair_id = 'Brand#1|Brand#11' AND d.at = 2000 THEN NULL WHEN p.pair_id = 'Brand#2|Brand#7' AND d.at >= 1000 THEN CASE WHEN d.at = 1000 THEN -1.0 ELSE 0.01 END ELSE coalesce(r.r, 0.0) END AS r
-  FROM (SELECT symbol_y || '|' || symbol_x AS pair_id, symbol_y, symbol_x FROM pairs WHERE group_name IN ('G1', 'G2')) p CROSS JOIN ({DAYS}) d LEFT JOIN rt r ON r.symbol_y = p.symbol_y AND r.symbol_x = p.symbol_x AND r.date = d.date"""
-ALLOCATED = f"SELECT pair_id, 0.9 / count(*) OVER () AS weight, 0.9 / count(*) OVER () * {CAPITAL} AS allocated_capital FROM (SELECT symbol_y || '|' || symbol_x AS pair_id FROM pairs WHERE group_name IN ('G1', 'G2'))"
+  FROM (SELECT symbol_y || '|' || symbol_x AS pair_id, symbol_y, symbol_x FROM pairs) p CROSS JOIN ({DAYS}) d LEFT JOIN rt r ON r.symbol_y = p.symbol_y AND r.symbol_x = p.symbol_x AND r.date = d.date"""
+ALLOCATED = f"SELECT pair_id, 0.9 / count(*) OVER () AS weight, 0.9 / count(*) OVER () * {CAPITAL} AS allocated_capital FROM (SELECT symbol_y || '|' || symbol_x AS pair_id FROM pairs)"
 
 
 def days(spark, sf):
-    dates = panels.brand_panel(spark, sf).select("date").distinct()
+    prices = brand_prices(spark, sf).join(panels.universe(brand_prices(spark, sf)), "symbol")  # a date counts if two symbols of a group have it
+    dates = prices.groupBy("group_name", "date").agg(F.count("*").alias("n")).filter("n > 1").select("date").distinct()
     return dates.withColumn("at", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))
 
 
 def aligned(spark, sf):
-    """Returns of twenty pairs on a common calendar; one pair has an unknown return, one loses everything."""
-    pairs = portfolio.pair_inputs(panels.brand_pairs(spark, sf)).filter("group_name in ('G1', 'G2')")
+    """Returns of all pairs on a common calendar; one pair has an unknown return, one loses everything."""
+    pairs = portfolio.pair_inputs(panels.brand_pairs(spark, sf))
     spine = pairs.select(*PAIR, "pair_id").crossJoin(F.broadcast(days(spark, sf)))
     rows = spine.join(returns(spark, sf).select(*PAIR, "date", "r"), [*PAIR, "date"], "left").withColumn("r", F.coalesce("r", F.lit(0.0)))
     unknown, ruined = (F.col("pair_id") == "Brand#1|Brand#11") & (F.col("at") == 2000), (F.col("pair_id") == "Brand#2|Brand#7") & (F.col("at") >= 1000)
@@ -279,7 +411,7 @@ def aligned(spark, sf):
 
 
 def allocations(spark, sf):
-    pairs = portfolio.pair_inputs(panels.brand_pairs(spark, sf)).filter("group_name in ('G1', 'G2')").select("pair_id")
+    pairs = portfolio.pair_inputs(panels.brand_pairs(spark, sf)).select("pair_id")
     pairs = pairs.withColumn("w", 0.9 / F.count("*").over(Window.partitionBy(F.lit(1))))
     return portfolio.allocate(pairs, CAPITAL, "w").select("pair_id", "weight", "allocated_capital")
 
@@ -336,11 +468,11 @@ def m06b(spark, sf):
     return portfolio_rows(spark, sf)
 
 
-MARKET = f"SELECT a.symbol_y, a.symbol_x, a.symbol_y || '|' || a.symbol_x AS pair_id, d.at AS pos, a.notional_y AS my, a.notional_x AS mx FROM ac a JOIN ({DAYS}) d USING (date) WHERE group_name IN ('G1', 'G2')"
+MARKET = f"SELECT a.symbol_y, a.symbol_x, a.symbol_y || '|' || a.symbol_x AS pair_id, d.at AS pos, a.notional_y AS my, a.notional_x AS mx FROM ac a JOIN ({DAYS}) d USING (date)"
 
 
 def exposures(spark, sf):
-    rows = portfolio.pair_inputs(accounts(spark, sf).filter("group_name in ('G1', 'G2')")).join(F.broadcast(days(spark, sf)), "date")
+    rows = portfolio.pair_inputs(accounts(spark, sf)).join(F.broadcast(days(spark, sf)), "date")
     return rows.select("pair_id", *PAIR, F.col("at").alias("pos"), F.col("notional_y").alias("market_value_y"), F.col("notional_x").alias("market_value_x"))
 
 
@@ -408,7 +540,10 @@ def x02(spark, sf):
     return statuses(spark, sf).filter("status <> 'NOT_CONFIGURED'")
 
 
-@register("X02_overall_status", "pos:i breaches:i unevaluable:i overall_status", f"SELECT pos, count(*) FILTER (status = 'BREACH') AS breaches, count(*) FILTER (status = 'UNEVALUABLE') AS unevaluable, CASE WHEN count(*) FILTER (status = 'BREACH') > 0 THEN 'BREACH' WHEN count(*) FILTER (status = 'UNEVALUABLE') > 0 THEN 'UNEVALUABLE' ELSE 'WITHIN_LIMIT' END AS overall_status FROM ({STATUS}) GROUP BY 1")
+OVERALL = f"SELECT pos, count(*) FILTER (status = 'BREACH') AS breaches, count(*) FILTER (status = 'UNEVALUABLE') AS unevaluable, CASE WHEN count(*) FILTER (status = 'BREACH') > 0 THEN 'BREACH' WHEN count(*) FILTER (status = 'UNEVALUABLE') > 0 THEN 'UNEVALUABLE' ELSE 'WITHIN_LIMIT' END AS overall_status FROM ({STATUS}) GROUP BY 1"
+
+
+@register("X02_overall_status", "pos:i breaches:i unevaluable:i overall_status", OVERALL)
 def x02b(spark, sf):
     return risk.overall_status(statuses(spark, sf))
 
@@ -427,7 +562,7 @@ def x04(spark, sf):
     return risk.breach_records(statuses(spark, sf), policy(spark, sf))
 
 
-@register("X05_risk_schedule", "pos:i drawdown:9 overall_status risk_state")
+@register("X05_risk_schedule", "pos:i drawdown:9 overall_status risk_state", f"SELECT o.pos, o.drawdown, s.overall_status, CASE WHEN o.pos > f THEN 'LIQUIDATION_REQUIRED' ELSE 'NORMAL' END AS risk_state FROM ({OBSERVED}) o JOIN ({OVERALL}) s USING (pos), (SELECT min(pos) AS f FROM ({STATUS}) WHERE status = 'BREACH')")
 def x05(spark, sf):
     return risk.risk_schedule(observed(spark, sf), x02b(spark, sf), policy(spark, sf))
 
@@ -437,9 +572,14 @@ def x06(spark, sf):
     return risk.risk_summary(x02(spark, sf))
 
 
-@register("X07_invalid_limits", "control reason", "SELECT * FROM (VALUES ('speed', 'unknown_control'), ('drawdown', 'value')) v(control, reason)")
+#: A limit per supplier: a control by its key, and a value out of its balance.
+CHOSEN = "CASE s_suppkey % 3 WHEN 0 THEN 'drawdown' WHEN 1 THEN 'active_pairs' ELSE 'speed' END"
+
+
+@register("X07_invalid_limits", "s_suppkey:i control reason", f"SELECT s_suppkey, control, CASE WHEN control = 'speed' THEN 'unknown_control' ELSE 'value' END AS reason FROM (SELECT s_suppkey, {CHOSEN} AS control, round(s_acctbal) AS v FROM supplier) WHERE control = 'speed' OR v < 0")
 def x07(spark, sf):
-    return risk.invalid_limits(spark.createDataFrame([("speed", 1.0), ("drawdown", -0.1), ("active_pairs", 3.0)], "control string, limit double"))
+    limits = panels.table(spark, sf, "supplier").select("s_suppkey", F.expr(CHOSEN).alias("control"), F.round("s_acctbal").alias("limit"))
+    return risk.invalid_limits(limits, ("s_suppkey",))
 
 
 @register("X08_risk_run", "control breaches:i unevaluable:i")
@@ -515,13 +655,27 @@ def g06(spark, sf):
     return store.run_summary(s07_full(spark, sf))
 
 
-@register("O01_research_job", "folds:i completed:i scheduled_rows:i known_rows:i selected_pairs:i diagnostic_rows:i")
+@lru_cache(maxsize=4)
+def _research(application, sf):
+    spark = SparkSession.getActiveSession()
+    return jobs.research(written(fold_panel(spark, sf)), brand_folds(spark, sf), RULES, 100, 1.0, longest=1e6, hurst_limit=10.0)
+
+
+def research(spark, sf):
+    return _research(spark.sparkContext.applicationId, sf)
+
+
+@register("O01_research_job", "folds:i completed:i scheduled_rows:i known_rows:i selected_pairs:i diagnostic_rows:i psr:6")
 def o01(spark, sf):
-    folds = brand_folds(spark, sf)
-    run = jobs.research(fold_panel(spark, sf).persist(), folds, RULES, 100, 1.0, longest=1e6, hurst_limit=10.0)
+    run = research(spark, sf)
     chosen = run["screening"].agg(F.count_if("selected").alias("selected_pairs"))
     diagnosed = run["diagnostic"].agg(F.count("*").alias("diagnostic_rows"))
-    return run["coverage"].crossJoin(chosen).crossJoin(diagnosed)  # one row each
+    return run["coverage"].join(chosen, how="left").join(diagnosed, how="left").join(run["validation"].select("psr"), how="left")  # one row each
+
+
+@register("O01_stages", "stage rows:i status")
+def o01b(spark, sf):
+    return research(spark, sf)["stages"]
 
 
 @register("O02_configuration_snapshot", "run_id settings digest", f"SELECT run_id, '{{\"entry_z\":2.0,\"orders\":' || CAST(orders AS VARCHAR) || '}}' AS settings, sha256('{{\"entry_z\":2.0,\"orders\":' || CAST(orders AS VARCHAR) || '}}') AS digest FROM (SELECT strftime(o_orderdate, '%Y') AS run_id, count(*) AS orders FROM orders GROUP BY 1)")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantmill.operators import accounting, hedge, positions, signals, walkforward
+from quantmill.functions.durable import written
+from quantmill.operators import accounting, hedge, inference, positions, signals, walkforward
 
 PAIR = ("symbol_y", "symbol_x")
 
@@ -36,12 +37,21 @@ def in_sample_diagnostic(panel: DataFrame, screened: DataFrame, rules: signals.R
 
 
 def research(panel: DataFrame, folds: DataFrame, rules: signals.Rules, minimum: int = 100, fdr: float = 0.05, **options) -> dict[str, DataFrame]:
-    """The tables of a research run: screening, diagnostic, traded, calendar, coverage.
+    """The tables of a research run: screening, diagnostic, traded, calendar, coverage, report, validation and stages.
 
     ``panel`` numbers its rows by a calendar that all pairs share.  The walk-forward does not depend on the diagnostic.
+    stages has a row per stage with its rows and status: a stage without rows is EMPTY, which is no error.
     """
-    screened = hedge.screen(panel, (), minimum, fdr, options.get("longest", 60.0), options.get("hurst_limit", 0.5)).persist()  # a row per pair, read twice
-    traded = walkforward.run_folds(panel, folds, rules, minimum=minimum, fdr=fdr, **options).persist()  # read for the status of folds and for their calendar
-    tested = walkforward.in_fold(panel, folds, "formation").groupBy("fold_id", *PAIR).agg(F.count("*").alias("n")).filter(F.col("n") >= minimum)
-    calendar = walkforward.calendar_returns(walkforward.fold_status(folds, tested, traded), traded)
-    return {"screening": screened, "diagnostic": in_sample_diagnostic(panel, screened, rules), "traded": traded, "calendar": calendar, "coverage": walkforward.coverage(calendar)}
+    screened = written(hedge.screen(panel, (), minimum, fdr, options.get("longest", 60.0), options.get("hurst_limit", 0.5)))
+    per_fold, traded = walkforward.run_folds(panel, folds, rules, minimum=minimum, fdr=fdr, **options)
+    calendar = written(walkforward.calendar_returns(walkforward.fold_status(folds, per_fold.filter("corrected_p is not null"), traded), traded))
+    whole = calendar.withColumn("run", F.lit("run"))
+    tables = {
+        "screening": screened, "diagnostic": in_sample_diagnostic(panel, screened, rules), "traded": traded, "calendar": calendar, "coverage": walkforward.coverage(calendar),
+        "report": walkforward.return_report(whole, ("run",)), "validation": inference.probabilistic_sharpe(whole, 0.0, ("run",)),
+    }
+    counts = [t.agg(F.count("*").alias("rows")).select(F.lit(k).alias("stage"), "rows") for k, t in tables.items()]
+    stages = counts[0]
+    for more in counts[1:]:
+        stages = stages.union(more)
+    return {**tables, "stages": stages.withColumn("status", F.when(F.col("rows") > 0, "COMPLETED").otherwise("EMPTY"))}

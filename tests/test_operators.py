@@ -9,8 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantmill.operators import accounting, grid, hedge, inference, ledger, metrics, panel, positions, quality, signals
-from quantmill.plans import catalog_research
+from quantmill.operators import accounting, grid, hedge, inference, ledger, metrics, panel, positions, quality, signals, walkforward
 from quantmill.sources import prices as sources
 
 DATA = "/root/testdata/sf0.001"
@@ -241,17 +240,65 @@ def test_folds(spark):
     assert panel.folds(spark.createDataFrame([(13,)], "n long"), 10, 4).count() == 0
 
 
-def test_walk_forward_queries_take_every_fold(spark, monkeypatch):
-    class Seen(Exception):
-        pass
-
-    def seen(_, folds, *args, **options):
-        raise Seen(sorted(r["fold_id"] for r in folds.select("fold_id").collect()))
-
-    monkeypatch.setattr(catalog_research.walkforward, "run_folds", seen)
-    monkeypatch.setattr(catalog_research.jobs, "research", seen)
-    every = sorted(r["fold_id"] for r in catalog_research.brand_folds(spark, DATA).collect())
-    for query in (catalog_research.k03, catalog_research.k05, catalog_research.k06, catalog_research.o01):
-        with pytest.raises(Seen) as got:
-            query(spark, DATA)
-        assert got.value.args[0] == every and len(every) > 8
+def test_windows_are_screened_as_whole_panels_are(spark):
+    rows = []
+    for name, (phi, noise) in {"X1": (0.2, 0.02), "X2": (0.7, 0.02), "X3": (1.0, 0.05)}.items():
+        x, s = np.cumsum(RNG.normal(0, 0.02, 160)) + 4, [0.0]
+        for e in RNG.normal(0, noise, 159):
+            s.append(phi * s[-1] + e)
+        rows += [("A", name, i, float(np.exp(x[i] + s[i])), float(np.exp(x[i]))) for i in range(160)]
+    rows += [("A", "X4", i, 1.0 + i, 2.0) for i in range(160)] + [("A", "X5", i, 1.0 + i, 2.0 + i) for i in range(20)]
+    frame = spark.createDataFrame(rows, "symbol_y string, symbol_x string, pos long, price_y double, price_x double")
+    a, b = ({r["symbol_x"]: r.asDict() for r in f(frame).collect()} for f in (hedge.screen, hedge.screen_windows))
+    assert a.keys() == b.keys()
+    for k, row in a.items():
+        for c, v in row.items():
+            assert b[k][c] == (pytest.approx(v, rel=1e-6) if isinstance(v, float) else v), (k, c)
+
+
+def test_folds_must_touch(spark):
+    schema = "fold_id long, trading_start_pos long, trading_end_pos long, status string"
+    done = spark.createDataFrame([(0, 10, 0.5), (0, 11, None)], "fold_id long, pos long, net_return_after_carry double")
+    good = spark.createDataFrame([(0, 10, 11, "COMPLETED"), (1, 12, 13, "NO_SELECTION"), (2, 14, 14, "INSUFFICIENT_DATA")], schema)
+    rows = walkforward.calendar_returns(good, done)
+    assert [r["r"] for r in rows.orderBy("pos").collect()] == [0.5, None, 0.0, 0.0, None] and walkforward.gaps(good).count() == 0
+    counts = walkforward.coverage(rows).first()
+    assert (counts["folds"], counts["completed"], counts["no_selection"], counts["insufficient"], counts["scheduled_rows"], counts["executed_rows"], counts["known_rows"]) == (3, 1, 1, 1, 5, 2, 3)
+    assert walkforward.conditional_returns(rows).count() == 2
+    bad = spark.createDataFrame([(0, 10, 11, "COMPLETED"), (1, 13, 14, "NO_SELECTION")], schema)
+    assert walkforward.gaps(bad).count() == 1
+    with pytest.raises(Exception, match="not contiguous"):
+        walkforward.calendar_returns(bad, done).collect()
+
+
+def test_bootstrap_figures_are_those_of_its_paths(spark):
+    rows = spark.createDataFrame([(i, 0.01 * math.sin(i * i)) for i in range(60)], "pos long, r double")
+    paths = {}
+    for x in inference.moving_block_bootstrap(rows, 7, 12, 3).collect():
+        paths.setdefault(x["replicate"], {})[x["pos"]] = x["r"]
+    figures = {"total_return": [], "annualized_volatility": [], "maximum_drawdown": []}
+    for p in paths.values():
+        r = np.array([p[i] for i in range(60)])
+        equity = np.cumprod(1 + r)
+        figures["total_return"].append(equity[-1] - 1)
+        figures["annualized_volatility"].append(r.std(ddof=1) * math.sqrt(252))
+        figures["maximum_drawdown"].append(min(0, (equity / np.maximum.accumulate(np.maximum(equity, 1)) - 1).min()))
+    got = {x["metric"]: x for x in inference.bootstrap_metrics(rows, 7, 12, 3).collect()}
+    for name, values in figures.items():
+        assert [got[name][c] for c in ("low", "median", "high")] == [pytest.approx(q) for q in np.quantile(values, [0.025, 0.5, 0.975])] and got[name]["kind"] == "PRIMARY"
+    flat = spark.createDataFrame([(i, 0.0) for i in range(20)], "pos long, r double")
+    assert {x["kind"] for x in inference.bootstrap_metrics(flat, 5, 10, 3).collect()} == {"DESIGN"}  # all paths are one
+
+
+def test_unknown_returns_make_sharpe_inference_unavailable(spark):
+    rows = spark.createDataFrame([(k, i, None if k == 1 and i == 3 else 0.0 if k == 2 else 0.01 * math.sin(i) + 0.05 * (k == 3)) for k in range(4) for i in range(40)], "scenario_id int, pos long, r double")
+    got = {r["scenario_id"]: r for r in inference.probabilistic_sharpe(rows, 0.0, ("scenario_id",)).collect()}
+    assert {k: r["availability"] for k, r in got.items()} == {0: "AVAILABLE", 1: "UNAVAILABLE", 2: "UNAVAILABLE", 3: "AVAILABLE"}
+    assert 0 < got[3]["p"] < 1e-12 and got[0]["p"] == pytest.approx(1 - got[0]["psr"])
+
+
+def test_figures_of_keys_without_variation(spark):
+    flat = spark.createDataFrame([("A", "B", i, 0.0, 0.0, "x") for i in range(5)], "symbol_y string, symbol_x string, pos long, r double, b double, label string")
+    assert metrics.benchmark_metrics(flat).first()["correlation"] is None and inference.regime_consistency(flat, ("symbol_y", "symbol_x")).first()["share"] is None
+    trades = spark.createDataFrame([("A", "B", 1, None, 3)], "symbol_y string, symbol_x string, trade_id long, net_pnl double, holding_period_rows long")
+    assert metrics.trade_metrics(trades).first()["win_rate"] is None
