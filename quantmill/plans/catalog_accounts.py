@@ -250,10 +250,12 @@ def q04(spark, sf):
     return quality.execution_violations(schedule(spark, sf).withColumn("observed_x", F.col("pos") % 3 != 0))
 
 
-@register("Q05_screening_rules", "run_id rule", "SELECT 'run-a' AS run_id, 'ranks' AS rule")
+@register("Q05_screening_rules", "run_id rule", "SELECT DISTINCT 'run-a' AS run_id, 'not_canonical' AS rule FROM pp WHERE date < DATE '1998-06-01'")
 def q05(spark, sf):
-    rows = screening_batch(spark, sf)
-    return quality.screening_violations(rows.withColumn("rank", F.when((F.col("run_id") == "run-a") & (F.col("rank") == 1), 99).otherwise(F.col("rank"))))
+    rows, bad = screening_batch(spark, sf), F.col("run_id") == "run-a"
+    y, x = F.col("symbol_y"), F.col("symbol_x")
+    swapped = rows.withColumns({"symbol_y": F.when(bad, x).otherwise(y), "symbol_x": F.when(bad, y).otherwise(x)})
+    return quality.screening_violations(swapped)
 
 
 @register("Q06_unique_keys", "l_orderkey:i l_linenumber:i n:i", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

@@ -90,7 +90,7 @@ def screening_batch(spark, sf):
     keys = ("run_id", *PAIR)
     runs = runs.withColumn("pos", F.row_number().over(by(keys, "date")) - 1)
     spans = runs.groupBy("run_id").agg(F.min("date").alias("formation_start"), F.max("date").alias("formation_end"))
-    out = hedge.screen(runs, ("run_id",), SCREEN_MINIMUM, 0.05, 60.0, 0.5).join(panels.brand_pairs(spark, sf), list(PAIR)).join(spans, "run_id")
+    out = hedge.screen_windows(runs, ("run_id",), SCREEN_MINIMUM, 0.05, 60.0, 0.5).join(panels.brand_pairs(spark, sf), list(PAIR)).join(spans, "run_id")
     return out.withColumn("loaded_at", F.lit(1))
 
 
