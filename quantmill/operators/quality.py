@@ -51,7 +51,7 @@ def table_differences(actual: DataFrame, expected: DataFrame, keys: list[str], c
 
 
 def execution_violations(rows: DataFrame, keys: tuple = PAIR) -> DataFrame:
-    """Fills on unobserved prices, reversals without a flat row, and more fills of a kind than decisions before them."""
+    """Fills on unobserved prices, reversals without a flat row, and more fills of a kind than decisions before them (``event``)."""
     before = F.lag("executed_state").over(by(keys))
     rows = rows.withColumn("_before", F.coalesce(before, F.lit("FLAT")))
     filled = ~F.col("execution_event").isin("NONE", "FORCED_EXIT")
@@ -59,6 +59,14 @@ def execution_violations(rows: DataFrame, keys: tuple = PAIR) -> DataFrame:
         "unobserved": filled & ~(F.col("observed_y") & F.col("observed_x")),
         "reversal": (F.col("executed_state") != "FLAT") & (F.col("_before") != "FLAT") & (F.col("executed_state") != F.col("_before")),
     }
+    if "event" in rows.columns:
+        w = Window.partitionBy(*keys, "_kind").orderBy("pos", "_fill")
+        each = F.array(F.struct(F.col("event").alias("_kind"), F.lit(1).alias("_fill")), F.struct(F.when(filled, F.col("execution_event")).alias("_kind"), F.lit(0).alias("_fill")))  # a row's fill comes before its decision
+        counts = rows.select(*keys, "pos", F.explode(each).alias("x")).select(*keys, "pos", "x.*").filter("_kind <> 'NONE'")
+        counts = counts.withColumn("_left", F.sum(F.when(F.col("_fill") == 0, -1).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        over = counts.filter("_fill = 0 and _left < 0").select(*keys, "pos", F.lit(True).alias("_over"))
+        rows = rows.join(over, [*keys, "pos"], "left")
+        rules["undecided"] = F.coalesce("_over", F.lit(False))
     return rows.select(*keys, "pos", F.explode(F.array_compact(F.array(*[F.when(v, k) for k, v in rules.items()]))).alias("rule"))
 
 

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
-from pyspark.sql import SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantmill.functions.durable import written
@@ -46,17 +44,26 @@ def fold_panel(spark, sf):
     return panel.pair_panel(pairs, rows).drop("pos").join(F.broadcast(dates), "date").withColumnRenamed("at", "pos")
 
 
-@lru_cache(maxsize=4)
-def _walk(application, sf):
-    """Folds, screening, traded rows and calendar of one walk-forward; written tables, which the queries of a session share."""
-    spark = SparkSession.getActiveSession()
+#: Written tables that several queries of a session read, by name, session and folder.
+SHARED: dict = {}
+
+
+def shared(name, make, spark, sf):
+    key = (name, spark.sparkContext.applicationId, sf)
+    if key not in SHARED:
+        SHARED[key] = make(spark, sf)
+    return SHARED[key]
+
+
+def _walk(spark, sf):
+    """Folds, screening, traded rows and calendar of one walk-forward."""
     folds, rows = brand_folds(spark, sf), written(fold_panel(spark, sf))
     screened, done = walkforward.run_folds(rows, folds, RULES, 20, 100, 1.0, 1e6, 10.0, panels.TARGET, CAPITAL, panels.COSTS)
     return folds, screened, done, written(walkforward.calendar_returns(walkforward.fold_status(folds, screened.filter("corrected_p is not null"), done), done))
 
 
 def walk(spark, sf):
-    return _walk(spark.sparkContext.applicationId, sf)
+    return shared("walk", _walk, spark, sf)
 
 
 @register("K03_fold_trading", f"fold_id:i {KEYS} pos:i executed_state execution_event net_pnl_after_carry:4 net_return_after_carry:9")
@@ -204,10 +211,8 @@ def r11(spark, sf):
     return grid.sensitivity_summary(rows, -0.001)
 
 
-@lru_cache(maxsize=4)
-def _grid(application, sf):
-    """Calendar, trades and scenario table of the walk-forwards of all scenarios; written tables, which the queries of a session share."""
-    spark = SparkSession.getActiveSession()
+def _grid(spark, sf):
+    """Scenario table, calendar and trades of the walk-forwards of all scenarios."""
     every = written(grid.configuration_errors(scenarios(spark, sf)))
     valid = every.filter("error is null")
     lookbacks = sorted(r[0] for r in valid.select("zscore_lookback").distinct().collect())  # an axis of the grid
@@ -217,7 +222,7 @@ def _grid(application, sf):
 
 
 def grid_run(spark, sf):
-    return _grid(spark.sparkContext.applicationId, sf)
+    return shared("grid", _grid, spark, sf)
 
 
 def scenario_reports(spark, sf):
@@ -655,14 +660,12 @@ def g06(spark, sf):
     return store.run_summary(s07_full(spark, sf))
 
 
-@lru_cache(maxsize=4)
-def _research(application, sf):
-    spark = SparkSession.getActiveSession()
+def _research(spark, sf):
     return jobs.research(written(fold_panel(spark, sf)), brand_folds(spark, sf), RULES, 100, 1.0, longest=1e6, hurst_limit=10.0)
 
 
 def research(spark, sf):
-    return _research(spark.sparkContext.applicationId, sf)
+    return shared("research", _research, spark, sf)
 
 
 @register("O01_research_job", "folds:i completed:i scheduled_rows:i known_rows:i selected_pairs:i diagnostic_rows:i psr:6")

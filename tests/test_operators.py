@@ -9,7 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quantmill.functions import durable
 from quantmill.operators import accounting, grid, hedge, inference, ledger, metrics, panel, positions, quality, signals, walkforward
+from quantmill.plans import catalog_core, catalog_research
+from quantmill.sources import store
 from quantmill.sources import prices as sources
 
 DATA = "/root/testdata/sf0.001"
@@ -302,3 +305,44 @@ def test_figures_of_keys_without_variation(spark):
     assert metrics.benchmark_metrics(flat).first()["correlation"] is None and inference.regime_consistency(flat, ("symbol_y", "symbol_x")).first()["share"] is None
     trades = spark.createDataFrame([("A", "B", 1, None, 3)], "symbol_y string, symbol_x string, trade_id long, net_pnl double, holding_period_rows long")
     assert metrics.trade_metrics(trades).first()["win_rate"] is None
+
+
+def test_undecided_fills(spark):
+    rows = [("A", "B", 0, "ENTER_LONG", "NONE", "FLAT"), ("A", "B", 1, "NONE", "ENTER_LONG", "LONG_SPREAD"), ("A", "B", 2, "NONE", "EXIT_STOP", "FLAT"), ("A", "B", 3, "ENTER_LONG", "ENTER_LONG", "LONG_SPREAD")]
+    rows = spark.createDataFrame(rows, "symbol_y string, symbol_x string, pos long, event string, execution_event string, executed_state string").withColumn("observed_y", F.lit(True)).withColumn("observed_x", F.lit(True))
+    assert sorted((r["pos"], r["rule"]) for r in quality.execution_violations(rows).collect()) == [(2, "undecided"), (3, "undecided")]
+
+
+REPORTS = {
+    "G01": "SELECT symbol_y, symbol_x, rank FROM stored WHERE run_id = 'run-b' AND selected",
+    "G02": "SELECT group_name, count(*) AS pairs, count(*) FILTER (selected) AS selected, count(*) FILTER (selected) / count(*) AS selection_rate FROM stored GROUP BY 1",
+    "G03": "SELECT symbol_y, symbol_x, count(DISTINCT run_id) AS runs FROM stored WHERE selected GROUP BY 1, 2",
+    "G04": "SELECT symbol_y, symbol_x, avg(corrected_p) AS mean_p, avg(half_life) AS mean_half_life, avg(hurst) AS mean_hurst, count(*) AS n FROM stored WHERE selected GROUP BY 1, 2",
+    "G05": "SELECT reason, count(*) AS pairs FROM (SELECT unnest(rejection_reasons) AS reason FROM stored) GROUP BY 1",
+    "G06": "SELECT run_id, count(*) AS pairs, count(*) FILTER (selected) AS selected, avg(corrected_p) FILTER (selected) AS mean_p, median(half_life) FILTER (selected) AS median_half_life, max(rank) AS worst_rank FROM stored GROUP BY 1",
+    "H15": "SELECT run_id, symbol_y, symbol_x FROM stored WHERE rank = 1",
+}
+
+
+def test_reports_over_stored_screening_results(spark):
+    """The stored p is the cointegration test's; reports over stored rows equal their SQL."""
+    import duckdb
+
+    folder = "/root/testdata/sf0.01"
+    stored = durable.written(catalog_research.s07_full(spark, folder))
+    con = duckdb.connect()
+    con.register("arrow", stored.toArrow())
+    con.execute("CREATE TABLE stored AS SELECT * FROM arrow")
+    got = {
+        "G01": store.load_screening(stored, "run-b", True), "G02": store.selection_by_group(stored), "G03": store.most_selected(stored), "G04": store.mean_diagnostics(stored),
+        "G05": store.rejection_counts(stored.withColumn("rejection_reasons", F.to_json("rejection_reasons"))), "G06": store.run_summary(stored), "H15": stored.filter("rank = 1"),
+    }
+    for name, sql in REPORTS.items():
+        expected = con.sql(sql)
+        rows, other = sorted(map(tuple, got[name].select(*expected.columns).collect()), key=str), sorted(expected.fetchall(), key=str)
+        assert len(rows) == len(other) and all(a == (pytest.approx(b) if isinstance(b, float) else b) for x, y in zip(rows, other) for a, b in zip(x, y)), name
+    half = catalog_core.brand_panel(spark, folder).filter("date < '1998-06-01'")
+    able = half.groupBy("symbol_y", "symbol_x").count().filter("count >= 50")
+    test = {(r["symbol_y"], r["symbol_x"]): r["p_value"] for r in hedge.cointegration(half.join(able, ["symbol_y", "symbol_x"], "left_semi")).collect()}
+    kept = {(r["symbol_y"], r["symbol_x"]): r["p_value"] for r in stored.filter("run_id = 'run-a' and corrected_p is not null").collect()}
+    assert kept and kept.keys() == test.keys() and all(kept[k] == pytest.approx(v, rel=1e-5, abs=1e-9) for k, v in test.items())

@@ -9,23 +9,17 @@ from tests.compare import database, difference
 
 DATA = "/root/testdata/sf0.001"
 SQL = registry.oracle_sql()
-#: Queries that run many folds; test_operators.py checks their parts, and the driver runs them at sf0.01.
-LONG = {"K03_fold_trading", "K05_coverage", "K06_return_report", "O01_research_job", "Q09_run_counts", "Q10_whole_run", "H03_kalman"}
-#: Queries that select other columns of a result that is compared whole under another name.
-LONG |= {f"P{n:02}" for n in (1, 2, 3, 5, 6, 7, 10, 12, 13, 14, 17, 18, 19, 20, 21, 22, 29, 30, 31, 32, 33, 25, 27)}
-
-
 @pytest.fixture(scope="module")
 def con():
     return database(DATA)
 
 
-@pytest.mark.parametrize("name", sorted(k for k in SQL if not {k, k[:3]} & LONG))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, con, name):
     assert not difference(registry.queries()[name](spark, DATA), con.sql(SQL[name]))
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries().keys() - SQL.keys() - LONG))
+@pytest.mark.parametrize("name", sorted(registry.queries().keys() - SQL.keys()))
 def test_query_runs(spark, name):
     assert registry.queries()[name](spark, DATA).count() >= 0
 
