@@ -515,7 +515,8 @@ def risk_input(spark, sf):
 
 
 def observed(spark, sf):
-    return risk.observed_metrics(risk_input(spark, sf), CAPITAL)
+    """A row a day, which statuses, policy and reports all read."""
+    return shared("observed", lambda spark, sf: written(risk.observed_metrics(risk_input(spark, sf), CAPITAL)), spark, sf)
 
 
 OBSERVED = f"""SELECT *, e / peak - 1 AS drawdown, greatest(1 - e / peak, 0) AS drawdown_magnitude, e / {CAPITAL} AS portfolio_equity_ratio, total_gross / e AS gross_exposure_ratio, abs(total_net) / e AS abs_net_exposure_ratio, largest / e AS largest_pair_equity_weight
