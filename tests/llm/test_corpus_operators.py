@@ -593,6 +593,66 @@ def test_suffix_tree_scores_long_unknown_words(spark, docs):
     assert np.isfinite(rows[0]["score"])
 
 
+def plain_mixed(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB % 2**64
+    return x ^ (x >> 31)
+
+
+def plain_span(data):
+    return plain_mixed(sum(int(suffix_tree.BYTE_CODES[b]) * pow(suffix_tree.BASE, i, 2**64) for i, b in enumerate(data)) % 2**64)
+
+
+def plain_phrases(text, bits):
+    tokens = [lower(w).encode() + b" " for w in WORD.findall(text or "")] + [b"\n"]
+    out, now = [], b""
+    for i, x in enumerate(tokens):
+        now += x
+        if i == len(tokens) - 1 or plain_span((tokens[i - 1] if i else b"") + x) >> (64 - bits) == 0:
+            out.append(plain_span(now))
+            now = b""
+    return [x - 2**64 if x >> 63 else x for x in out]
+
+
+def test_suffix_tree_long_contexts(spark):
+    """Scores equal those of counts kept in dictionaries; texts that were learnt twice stand apart."""
+    from types import SimpleNamespace
+
+    rng = np.random.default_rng(3)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe") for b in ("ra", "so", "ti", "vu")]
+    made = [" ".join(rng.choice(words, 150)) for _ in range(12)]
+    texts = dict(enumerate([*made, *made[:4], *made[:2], made[5] + " Zz " + made[0], "", None]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    trained = docs.withColumn("held_out", suffix_tree.held_out())
+    symbol, share, tree, counts = suffix_tree.train(trained.filter("not held_out"))
+    known = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    model = SimpleNamespace(value=(symbol, share, tree, known, sum(known.values())))
+    rows = next(suffix_tree._scorer(model, 3)(iter([trained.toPandas()]))).to_dict("records")
+    pairs, followers = Counter(), {}
+    for r in rows:
+        assert list(r["phrase"]) == plain_phrases(texts[r["doc_id"]], 3)
+        for a, b, p in [] if r["held_out"] else zip(r["phrase"], r["phrase"][1:], r["spelled"][1:]):
+            pairs[a, b] += 1
+            followers.setdefault(a, {})[b] = min(p, followers.get(a, {}).get(b, 0.0))
+    want, used = {}, 0
+    for r in rows:
+        want[r["doc_id"]] = r["score"]
+        for a, b, q in zip(r["phrase"], r["phrase"][1:], r["q"][1:]):
+            after = followers.get(a, {})
+            total = sum(pairs[a, x] for x in after)
+            if total >= 2 and sum(pairs[a, x] * (np.log(pairs[a, x] / total) - p * np.log(10)) for x, p in after.items()) >= suffix_tree.DIVERGENCE:
+                used += 1
+                want[r["doc_id"]] += np.log10(pairs[a, b] / (total + len(after))) - q if (a, b) in pairs else np.log10(len(after) / (total + len(after)))
+    assert used > 50
+    got = {r["doc_id"]: r for r in suffix_tree.score(docs, phrase_bits=3).collect()}
+    few = {r["doc_id"]: r for r in suffix_tree.score(docs, frequent=5, phrase_bits=3).collect()}
+    for i in texts:
+        assert got[i]["score"] == pytest.approx(want[i], abs=1e-6) and few[i]["score"] == pytest.approx(want[i], abs=1e-6)
+    learnt = Counter(t for i, t in texts.items() if t and not got[i]["held_out"])
+    each = {i: got[i]["score"] / got[i]["n_tokens"] for i, t in texts.items() if t and i != 18}
+    assert min(each[i] for i in each if learnt[texts[i]] > 1) > max(each[i] for i in each if learnt[texts[i]] < 2) / 2
+
+
 def test_suffix_tree_odd_rows(odd, nothing):
     got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in suffix_tree.score(odd).collect())
     assert got == sorted((r[0] or 0, len(WORD.findall(r[1] or "")) + 1) for r in ODD) and suffix_tree.score(nothing).count() == 0
