@@ -89,6 +89,32 @@ def repeated_keys(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def check_violations(rows: DataFrame, checks: dict[str, Column], keys: list[str]) -> DataFrame:
+    """(keys, rule) for every check that is false; one that is null holds, as in SQL."""
+    return rows.select(*keys, F.explode(F.array_compact(F.array(*[F.when(~ok, name) for name, ok in checks.items()]))).alias("rule"))
+
+
+def screening_checks() -> dict[str, Column]:
+    """What a stored screening row must satisfy: symbol_y, symbol_x, selected, rank, observations, half_life, half_life_was_infinite."""
+    c = F.col
+    ranked = F.when(c("selected"), F.coalesce(c("rank") > 0, F.lit(False))).otherwise(c("rank").isNull())
+    return {"canonical": c("symbol_y") < c("symbol_x"), "observations": c("observations") >= 0, "rank": ranked, "half_life": ~c("half_life_was_infinite") | c("half_life").isNull()}
+
+
+def run_summary_checks() -> dict[str, Column]:
+    """What a stored run's summary must satisfy: the shape of its pair, the values of its stages, and counts that add up."""
+    c = F.col
+    pair = [c(x).isNull().cast("int") for x in ("selected_pair", "symbol_y", "symbol_x", "selected_rank")]
+    done = lambda stage: c(stage) == "COMPLETED"
+    return {
+        "pair_shape": reduce(lambda a, b: a + b, pair).isin(0, 4) & F.coalesce(c("selected_rank") > 0, F.lit(True)),
+        "screening": (c("selected") >= 0) & (c("selected") <= c("candidates")),
+        "stages": c("walk_forward_stage").isin("COMPLETED", "UNAVAILABLE") & c("grid_stage").isin("COMPLETED", "NOT_REQUESTED", "UNAVAILABLE"),
+        "folds": ~done("walk_forward_stage") | (c("folds") == c("completed_folds") + c("no_selection_folds") + c("insufficient_folds")),
+        "scenarios": ~done("grid_stage") | (c("scenarios") == c("completed_scenarios") + c("invalid_scenarios") + c("failed_scenarios")),
+    }
+
+
 def panel_violations(prices: DataFrame) -> DataFrame:
     """Repeated (symbol, date) and prices that are not positive."""
     n = F.count("*").over(Window.partitionBy("symbol", "date"))
@@ -128,6 +154,28 @@ def risk_violations(statuses: DataFrame, policy: DataFrame) -> DataFrame:
     return wrong.union(intents).union(actions)
 
 
+def breach_record_violations(statuses: DataFrame, records: DataFrame) -> DataFrame:
+    """(pos, control, rule): breaches without exactly one record, and records without a breach."""
+    keys = ["pos", "control"]
+    made = records.groupBy(*keys).agg(F.count("*").alias("_n"))
+    both = statuses.filter("status = 'BREACH'").select(*keys, F.lit(True).alias("_breach")).join(made, keys, "full")
+    rule = F.when(F.col("_breach").isNull(), "no_breach").when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "repeated")
+    return both.select(*keys, rule.alias("rule")).filter("rule is not null")
+
+
+def leverage_violations(schedule: DataFrame, executions: DataFrame) -> DataFrame:
+    """(pos, rule, is_error) of a portfolio schedule: over its limit, or not to be evaluated, by whether a pair trades on the row.
+
+    A breach on a row with executions (one row a ``pos`` here) is an error, one by drift is only reported; what cannot
+    be evaluated is an error on the first row and on rows with executions.
+    """
+    rows = schedule.join(executions.select("pos", F.lit(True).alias("_trades")).distinct(), "pos", "left")
+    first, trades = F.col("pos") == F.min("pos").over(Window.partitionBy(F.lit(1))), F.coalesce("_trades", F.lit(False))
+    status = F.col("leverage_status")
+    rule = F.when((status == "BREACH") & trades, "execution_breach").when(status == "BREACH", "drift_breach").when((status == "UNEVALUABLE") & (trades | first), "unevaluable")
+    return rows.select("pos", rule.alias("rule")).filter("rule is not null").withColumn("is_error", F.col("rule") != "drift_breach")
+
+
 def run_violations(calendar: DataFrame, coverage: DataFrame) -> DataFrame:
     """A walk-forward report whose counts do not add up to the calendar's."""
     real = calendar.agg(F.count("*").alias("_rows"), F.count("r").alias("_known"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantmill.operators import accounting, ledger, metrics, positions, quality, signals
@@ -263,6 +264,48 @@ def q06(spark, sf):
     return quality.repeated_keys(panels.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
+RANKED = """SELECT *, CAST(substr(symbol_y, 7) AS INT) % 3 = 0 AS swapped, CAST(row_number() OVER (PARTITION BY group_name ORDER BY symbol_y, symbol_x) AS BIGINT) AS k FROM pairs"""
+
+
+@register("Q06_screening_checks", f"{KEYS} rule", f"""SELECT CASE WHEN swapped THEN symbol_x ELSE symbol_y END AS symbol_y, CASE WHEN swapped THEN symbol_y ELSE symbol_x END AS symbol_x, rule FROM ({RANKED}) JOIN (VALUES ('canonical'), ('rank'), ('half_life'), ('observations')) v(rule)
+  ON (rule = 'canonical' AND swapped) OR (rule = 'rank' AND k IN (3, 5)) OR (rule = 'half_life' AND k = 7) OR (rule = 'observations' AND k = 2)""")
+def q06b(spark, sf):
+    """Planted: swapped pairs, a selected pair ranked 0, a rejected one with a rank, a half-life with its flag, a negative count."""
+    k, y, x = F.col("k"), F.col("symbol_y"), F.col("symbol_x")
+    rows = panels.brand_pairs(spark, sf).withColumn("k", F.row_number().over(Window.partitionBy("group_name").orderBy("symbol_y", "symbol_x")))
+    swapped = panels.number("symbol_y") % 3 == 0
+    rows = rows.select(F.when(swapped, x).otherwise(y).alias("symbol_y"), F.when(swapped, y).otherwise(x).alias("symbol_x"), "k", (k <= 4).alias("selected"), F.when(k == 3, 0).when(k <= 5, k).alias("rank"))
+    rows = rows.withColumn("observations", F.when(k == 2, -1).otherwise(504)).withColumn("half_life_was_infinite", k >= 6).withColumn("half_life", F.when((k < 6) | (k == 7), 5.0))
+    return quality.check_violations(rows, quality.screening_checks(), ["symbol_y", "symbol_x"])
+
+
+MONTHS = """SELECT strftime(o_orderdate, '%Y-%m') AS run_id, month(o_orderdate) AS m FROM orders GROUP BY 1, 2"""
+
+
+@register("Q06_run_summary_checks", "run_id rule", f"SELECT run_id, CASE m WHEN 1 THEN 'pair_shape' WHEN 2 THEN 'screening' WHEN 3 THEN 'stages' WHEN 4 THEN 'folds' ELSE 'scenarios' END AS rule FROM ({MONTHS}) WHERE m <= 5")
+def q06c(spark, sf):
+    """Runs are months of orders, counted by status; each of the first five months of a year breaks another rule."""
+    month, status = F.month("o_orderdate"), lambda s: F.count_if(F.col("o_orderstatus") == s)
+    rows = panels.table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("run_id"), month.alias("m")).agg(F.count("*").alias("n"), status("F").alias("f"), status("O").alias("o"))
+    m, rest = F.col("m"), F.col("n") - F.col("f") - F.col("o")
+    rows = rows.withColumns({
+        "selected_pair": F.lit("A|B"), "symbol_y": F.when(m != 1, "A"), "symbol_x": F.lit("B"), "selected_rank": F.lit(1), "candidates": F.col("n"), "selected": F.when(m == 2, F.col("n") + 1).otherwise(F.col("f")),
+        "walk_forward_stage": F.when(m == 3, "FINISHED").otherwise("COMPLETED"), "grid_stage": F.when(m == 6, "NOT_REQUESTED").otherwise("COMPLETED"), "folds": F.when(m == 4, F.col("n") + 1).otherwise(F.col("n")),
+        "completed_folds": F.col("f"), "no_selection_folds": F.col("o"), "insufficient_folds": rest, "scenarios": F.when(m.isin(5, 6), F.col("n") + 1).otherwise(F.col("n")), "completed_scenarios": F.col("f"), "invalid_scenarios": F.col("o"), "failed_scenarios": rest,
+    })
+    return quality.check_violations(rows, quality.run_summary_checks(), ["run_id"])
+
+
+@register("Q10_digests", "symbol reason", "SELECT DISTINCT symbol, 'differs' AS reason FROM px WHERE CAST(substr(symbol, 7) AS INT) % 6 = 1")
+def q10_digests(spark, sf):
+    """Stored digests against recomputed ones, after a cell of some symbols has changed."""
+    rows = brand_prices(spark, sf).withColumn("cents", F.round(F.col("price") * 100).cast("long"))
+    first = F.col("date") == F.min("date").over(Window.partitionBy("symbol"))
+    changed = rows.withColumn("cents", F.when(first & (panels.number("symbol") % 6 == 1), F.col("cents") + 1).otherwise(F.col("cents")))
+    digest = lambda x: quality.content_digest(x, ["symbol", "date", "cents"], "symbol")
+    return quality.table_differences(digest(changed), digest(rows), ["symbol"], ["digest"])
+
+
 @register("Q11_content_digests", "symbol digest", """SELECT symbol, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM (SELECT symbol, sha256('{"cents":' || c || ',"date":"' || strftime(date, '%Y-%m-%d') || '","symbol":"' || symbol || '"}') AS d
   FROM (SELECT symbol, date, CAST(round(price * 100) AS BIGINT) AS c FROM px)) GROUP BY 1""")
 def q11(spark, sf):

@@ -29,6 +29,28 @@ def s01(spark, sf):
     return sources.extract_close(brand_prices(spark, sf).groupBy("date").pivot("symbol", names).agg(F.first("price")))
 
 
+def _wide(spark, sf):
+    return brand_prices(spark, sf).groupBy("date").pivot("symbol", [f"Brand#{i}" for i in range(1, 26)]).agg(F.first("price"))
+
+
+@register("S01_close_fields", "symbol date price:9", "SELECT upper(symbol) AS symbol, date, price FROM px")
+def s01b(spark, sf):
+    """Field and symbol in either order, next to a field that is not asked for."""
+    wide = _wide(spark, sf)
+    own = [F.col(f"`{c}`").alias(f"{c} | Close" if i % 2 else f"close|{c}") for i, c in enumerate(wide.columns[1:])]
+    return sources.extract_close_fields(wide.select("date", *own, *[F.lit(1.0).alias(f"open|{c}") for c in wide.columns[1:]]))
+
+
+@register("S01_rejected_symbols", "symbol rule", """SELECT upper(symbol) AS symbol, 'all_null' AS rule FROM (SELECT DISTINCT symbol FROM px) WHERE CAST(substr(symbol, 7) AS INT) % 7 = 0
+  UNION ALL SELECT upper(symbol), 'missing' FROM (SELECT DISTINCT symbol FROM px) WHERE symbol = 'Brand#3' UNION ALL SELECT upper(symbol), 'repeated' FROM (SELECT DISTINCT symbol FROM px) WHERE symbol = 'Brand#4'""")
+def s01c(spark, sf):
+    """One column takes another's name but for blanks and case; every seventh has no price."""
+    wide = _wide(spark, sf).withColumnRenamed("Brand#3", " BRAND#4 ")
+    for i in (7, 14, 21):
+        wide = wide.withColumn(f"Brand#{i}", F.lit(None).cast("double"))
+    return sources.rejected_symbols(wide, brand_prices(spark, sf).select("symbol"))
+
+
 @register("S02_normalize_symbols", "symbol", "SELECT DISTINCT upper(trim(p_brand)) AS symbol FROM part WHERE trim(p_brand) <> ''")
 def s02(spark, sf):
     return sources.normalize_symbols(panels.table(spark, sf, "part").select(F.concat(F.lit("  "), F.lower("p_brand"), F.lit(" ")).alias("symbol")))
@@ -49,6 +71,26 @@ def s03(spark, sf):
     return sources.upsert(old, new, ["symbol", "date", "source"], "loaded_at")
 
 
+def _rows_to_store(spark, sf):
+    """Closing times of New York, which are the next day in UTC."""
+    long = brand_prices(spark, sf).withColumn("time", F.col("date").cast("timestamp_ntz") + F.expr("interval 22 hours"))
+    return sources.price_rows(long, " main ", F.lit(1).cast("long"), "America/New_York", F.dayofmonth("date") != 1)
+
+
+@register("S03_price_rows", "date symbol adjusted_close:9 observed source", "SELECT CAST(date + INTERVAL 1 DAY AS DATE) AS date, upper(symbol) AS symbol, price AS adjusted_close, day(date) <> 1 AS observed, 'main' AS source FROM px")
+def s03b(spark, sf):
+    return _rows_to_store(spark, sf)
+
+
+@register("S03_price_row_rules", "date symbol rule", "SELECT date, symbol, CASE day(date) WHEN 9 THEN 'repeated' WHEN 3 THEN 'price' ELSE 'mask' END AS rule FROM (SELECT CAST(date + INTERVAL 1 DAY AS DATE) AS date, upper(symbol) AS symbol FROM px) WHERE day(date) IN (3, 5, 9)")
+def s03c(spark, sf):
+    """Negative prices on the third of a month, no mask on the fifth, two times on the ninth."""
+    rows = _rows_to_store(spark, sf)
+    day = F.dayofmonth("date")
+    rows = rows.withColumn("adjusted_close", F.when(day == 3, -F.col("adjusted_close")).otherwise(F.col("adjusted_close"))).withColumn("observed", F.when(day != 5, F.col("observed")))
+    return sources.price_row_violations(rows.union(rows.filter(day == 9)))
+
+
 @register("S04_load_prices", "symbol date price:9", "SELECT * FROM px WHERE symbol IN ('Brand#1', 'Brand#7', 'Brand#19') AND date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31'")
 def s04(spark, sf):
     rows = brand_prices(spark, sf).withColumn("source", F.lit("main"))

@@ -504,6 +504,15 @@ def m08(spark, sf):
     return portfolio.portfolio_schedule(portfolio_rows(spark, sf), m07b(spark, sf), 0.00010000033)
 
 
+LEVERED = f"SELECT pos, CASE WHEN gross_exposure_ratio IS NULL THEN 'UNEVALUABLE' WHEN gross_exposure_ratio > 0.00010000033 THEN 'BREACH' ELSE 'WITHIN_LIMIT' END AS status, pos IN (SELECT d.at FROM ps JOIN ({DAYS}) d USING (date) WHERE execution_event <> 'NONE') AS trades FROM ({SCHEDULE})"
+
+
+@register("M08_leverage_rules", "pos:i rule is_error", f"SELECT pos, rule, rule <> 'drift_breach' AS is_error FROM (SELECT pos, CASE WHEN status = 'BREACH' AND trades THEN 'execution_breach' WHEN status = 'BREACH' THEN 'drift_breach' WHEN status = 'UNEVALUABLE' AND (trades OR pos = 0) THEN 'unevaluable' END AS rule FROM ({LEVERED})) WHERE rule IS NOT NULL")
+def m08b(spark, sf):
+    executions = panels.schedule(spark, sf).filter("execution_event <> 'NONE'").select("date").distinct().join(F.broadcast(days(spark, sf)), "date")
+    return quality.leverage_violations(m08(spark, sf), executions.select(F.col("at").alias("pos")))
+
+
 @register("M09_concentration", "pairs:i funded_pairs:i invested_weight:9 cash_weight:9 hhi:9 effective_pairs:6 whole_hhi:9", f"SELECT count(*) AS pairs, count(*) AS funded_pairs, sum(weight) AS invested_weight, 1 - sum(weight) AS cash_weight, sum(weight * weight) / (sum(weight) * sum(weight)) AS hhi, sum(weight) * sum(weight) / sum(weight * weight) AS effective_pairs, sum(weight * weight) + (1 - sum(weight)) * (1 - sum(weight)) AS whole_hhi FROM ({ALLOCATED})")
 def m09(spark, sf):
     return portfolio.concentration(allocations(spark, sf))
@@ -588,7 +597,8 @@ def x07(spark, sf):
     return risk.invalid_limits(limits, ("s_suppkey",))
 
 
-@register("X08_risk_run", "control breaches:i unevaluable:i")
+@register("X08_risk_run", "control breaches:i unevaluable:i", f"""SELECT control, count(*) FILTER (status = 'BREACH') AS breaches, count(*) FILTER (status = 'UNEVALUABLE') AS unevaluable FROM ({STATUS}) GROUP BY 1
+  UNION ALL SELECT control, 0, 0 FROM (VALUES ('gross_exposure'), ('net_exposure'), ('pair_weight'), ('symbol_exposure'), ('long_exposure'), ('short_exposure')) v(control) WHERE (SELECT count(*) FROM px) > 0""")
 def x08(spark, sf):
     return risk.risk_summary(statuses(spark, sf))
 
@@ -606,6 +616,23 @@ def q08(spark, sf):
     return quality.risk_violations(s, p.withColumn("intent", F.when((F.col("pos") == 3) & F.lit(calm), "LIQUIDATE_ALL").otherwise(F.col("intent")))).filter("rule = 'intent_without_breach'")
 
 
+@register("Q08_breach_records", "pos:i control rule", f"SELECT pos, control, CASE pos % 7 WHEN 0 THEN 'missing' ELSE 'repeated' END AS rule FROM ({STATUS}) WHERE status = 'BREACH' AND pos % 7 < 2 UNION ALL SELECT pos, control, 'no_breach' FROM ({STATUS}) WHERE status = 'UNEVALUABLE'")
+def q08b(spark, sf):
+    """Records of some breaches are lost, others written twice, and rows that could not be evaluated have one."""
+    s = x02(spark, sf)
+    records = risk.breach_records(s, policy(spark, sf)).select("pos", "control").filter("pos % 7 <> 0")
+    return quality.breach_record_violations(s, records.union(records.filter("pos % 7 = 1")).union(s.filter("status = 'UNEVALUABLE'").select("pos", "control")))
+
+
+@register("Q08_actions", "pos:i rule", f"SELECT pos + 3 AS pos, 'action_without_intent' AS rule FROM (SELECT min(pos) AS pos FROM ({STATUS}) WHERE status = 'BREACH') WHERE pos IS NOT NULL UNION ALL SELECT s.pos, 'breach_within_limit' FROM ({STATUS}) s WHERE s.status = 'WITHIN_LIMIT' AND s.control = 'active_pairs' AND s.pos % 11 = 4")
+def q08c(spark, sf):
+    """An action comes two rows late, and some values within their limit are called breaches."""
+    s, p = statuses(spark, sf), policy(spark, sf)
+    wrong = (F.col("control") == "active_pairs") & (F.col("status") == "WITHIN_LIMIT") & (F.col("pos") % 11 == 4)
+    late = F.lag("requested_action", 2, "NONE").over(Window.partitionBy(F.lit(1)).orderBy("pos"))
+    return quality.risk_violations(s.withColumn("status", F.when(wrong, "BREACH").otherwise(F.col("status"))), p.withColumn("requested_action", late)).filter("rule <> 'intent_without_breach'")
+
+
 @register("Q09_run_counts", "rule", "SELECT 'known' AS rule")
 def q09(spark, sf):
     rows = yearly(spark, sf).withColumn("status", F.lit("COMPLETED"))
@@ -682,8 +709,12 @@ def o01b(spark, sf):
     return research(spark, sf)["stages"]
 
 
-@register("O02_configuration_snapshot", "run_id settings digest", f"SELECT run_id, '{{\"entry_z\":2.0,\"orders\":' || CAST(orders AS VARCHAR) || '}}' AS settings, sha256('{{\"entry_z\":2.0,\"orders\":' || CAST(orders AS VARCHAR) || '}}') AS digest FROM (SELECT strftime(o_orderdate, '%Y') AS run_id, count(*) AS orders FROM orders GROUP BY 1)")
+SETTINGS = """SELECT run_id, '{"entry_z":2.0,' || CASE WHEN orders % 2 = 0 THEN '"gross_leverage_cap":1.5,' ELSE '' END || '"orders":' || CAST(orders AS VARCHAR) || '}' AS settings, CASE WHEN orders % 2 = 0 THEN 'gross_leverage_cap' ELSE '' END AS unenforced
+  FROM (SELECT strftime(o_orderdate, '%Y-%m') AS run_id, count(*) AS orders FROM orders GROUP BY 1)"""
+
+
+@register("O02_configuration_snapshot", "run_id settings unenforced digest", f"SELECT *, sha256(settings) AS digest FROM ({SETTINGS})")
 def o02(spark, sf):
-    years = panels.table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy").alias("run_id")).agg(F.count("*").alias("orders"))
-    rows = years.withColumn("settings", F.to_json(F.struct(F.lit(2.0).alias("entry_z"), "orders")))
-    return rows.withColumn("digest", F.sha2("settings", 256))
+    """A run a month of orders; every other one sets a limit that no stage applies."""
+    runs = panels.table(spark, sf, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("run_id")).agg(F.count("*").alias("orders"))
+    return jobs.configuration_snapshots(runs.withColumns({"entry_z": F.lit(2.0), "gross_leverage_cap": F.when(F.col("orders") % 2 == 0, 1.5)}))

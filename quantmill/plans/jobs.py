@@ -9,14 +9,21 @@ from quantmill.functions.durable import written
 from quantmill.operators import accounting, hedge, inference, positions, signals, walkforward
 
 PAIR = ("symbol_y", "symbol_x")
+#: Settings that a run carries and no stage applies.
+UNENFORCED = ("target_volatility", "gross_leverage_cap", "minimum_selected_pairs")
 
 
-def configuration_snapshot(spark: SparkSession, settings: dict, unenforced: tuple = ("target_volatility", "gross_leverage_cap", "minimum_selected_pairs")) -> DataFrame:
+def configuration_snapshot(spark: SparkSession, settings: dict, unenforced: tuple = UNENFORCED) -> DataFrame:
     """One row: settings as JSON in name order, those that are configured but not enforced, and a digest."""
     row = spark.range(1).select(*[F.lit(settings[k]).alias(k) for k in sorted(settings)])
-    names = [k for k in unenforced if k in settings]
-    out = row.select(F.to_json(F.struct(*sorted(settings))).alias("settings"), F.lit(",".join(names)).alias("unenforced"))
-    return out.withColumn("digest", F.sha2("settings", 256))
+    return configuration_snapshots(row, (), unenforced)
+
+
+def configuration_snapshots(runs: DataFrame, keys: tuple = ("run_id",), unenforced: tuple = UNENFORCED) -> DataFrame:
+    """As configuration_snapshot, for a table of runs: every column but ``keys`` is a setting, and null ones are not configured."""
+    settings = sorted(c for c in runs.columns if c not in keys)
+    names = F.concat_ws(",", *[F.when(F.col(c).isNotNull(), c) for c in unenforced if c in settings])
+    return runs.select(*keys, F.to_json(F.struct(*settings)).alias("settings"), names.alias("unenforced")).withColumn("digest", F.sha2("settings", 256))
 
 
 def in_sample_diagnostic(panel: DataFrame, screened: DataFrame, rules: signals.Rules, lookback: int = 120, window: int = 60, target: float = 100_000.0, capital: float = 1_000_000.0, costs: dict | None = None) -> DataFrame:

@@ -37,6 +37,38 @@ def extract_close_fields(wide: DataFrame, date: str = "date", field: str = "clos
     return extract_close(wide.select(date, *[F.col(f"`{c}`").alias(s) for c, s in picked.items()]), date)
 
 
+def rejected_symbols(wide: DataFrame, wanted: DataFrame, date: str = "date") -> DataFrame:
+    """(symbol, rule) of a wide frame: names that are equal once normalised, symbols asked for but absent, columns without a price.
+
+    One pass over the frame, which gives one count a column.
+    """
+    names = {f"_{i}": c.strip().upper() for i, c in enumerate(wide.columns) if c != date}
+    by_place = wide.toDF(*[f"_{i}" for i in range(len(wide.columns))])  # names may differ by blanks alone
+    counts = by_place.agg(F.array(*[F.struct(F.lit(s).alias("symbol"), F.count(c).alias("n")) for c, s in names.items()]).alias("x"))
+    counts = counts.select(F.explode("x").alias("x")).groupBy("x.symbol").agg(F.count("*").alias("columns"), F.sum("x.n").alias("n"))
+    rule = F.when(F.col("columns") > 1, "repeated").when(F.col("n") == 0, "all_null")
+    absent = wanted.select(F.upper(F.trim("symbol")).alias("symbol")).distinct().join(counts, "symbol", "left_anti")
+    return counts.select("symbol", rule.alias("rule")).filter("rule is not null").union(absent.select("symbol", F.lit("missing").alias("rule")))
+
+
+def price_rows(long: DataFrame, source: str, loaded_at: Column, zone: str = "UTC", observed: Column | None = None) -> DataFrame:
+    """Rows to store from (symbol, time, price): UTC date of a local time, symbol, adjusted_close, observed, source, loaded_at.
+
+    Without a mask every price counts as observed.
+    """
+    date = F.to_date(F.to_utc_timestamp("time", zone))
+    seen = F.lit(True) if observed is None else observed
+    return long.select(date.alias("date"), F.upper(F.trim("symbol")).alias("symbol"), F.col("price").cast("double").alias("adjusted_close"), seen.alias("observed"), F.lit(source.strip()).alias("source"), loaded_at.alias("loaded_at"))
+
+
+def price_row_violations(rows: DataFrame) -> DataFrame:
+    """Keys of rows that may not be stored: times that fall on one date, prices or masks that are unknown, prices not above zero."""
+    out = rows.groupBy("date", "symbol", "source").agg(F.count("*").alias("n"), F.count_if(valid_price(F.col("adjusted_close")).isNull()).alias("bad"), F.count_if(F.col("observed").isNull()).alias("unmasked"))
+    empty = F.col("date").isNull() | (F.coalesce("symbol", F.lit("")) == "") | (F.col("source") == "")
+    rule = F.when(empty, "no_key").when(F.col("n") > 1, "repeated").when(F.col("bad") > 0, "price").when(F.col("unmasked") > 0, "mask")
+    return out.select("date", "symbol", rule.alias("rule")).filter("rule is not null")
+
+
 def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Union in which, for each key, the row with the highest ``order`` wins; at a tie the batch wins."""
     both = existing.withColumn("_batch", F.lit(0)).unionByName(batch.withColumn("_batch", F.lit(1)))
