@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 from quantmill.llm.decontaminate import op1_decontamination
+from quantmill.llm.hard_negatives import op11_hard_negatives
 from quantmill.llm.license_scan import op4_license_scan
 from quantmill.llm.line_dedup import op9_line_dedup
 from quantmill.llm.mixing import OP2_SQL, op2_mixing
 from quantmill.llm.quality import op7_quality_rules
+from quantmill.llm.quality_model import op12_quality_classifier
 from quantmill.llm.secrets import op5_secrets
 from quantmill.llm.sharding import op8_sharding
 from quantmill.llm.simhash import op3_simhash_dedup
 from quantmill.llm.suffix_tree import op10_suffix_tree
 from quantmill.llm.token_counts import op6_token_counts
+from quantmill.llm.whitening import op13_embedding_whitening
 
 
 def queries() -> dict:
     every = (
         op1_decontamination, op2_mixing, op3_simhash_dedup, op4_license_scan, op5_secrets,
         op6_token_counts, op7_quality_rules, op8_sharding, op9_line_dedup, op10_suffix_tree,
+        op11_hard_negatives, op12_quality_classifier, op13_embedding_whitening,
     )
     return {f.__name__: f for f in every}
 
@@ -69,7 +73,19 @@ WITH d AS (
 )
 SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND shared_share <= 0.7 AS kept FROM o
 """
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INT) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON s.a = p.a AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score QUALIFY rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op7_quality_rules": OP7_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_mixing": OP2_SQL, "op7_quality_rules": OP7_SQL, "op11_hard_negatives": OP11_SQL}
