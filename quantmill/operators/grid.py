@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantmill.operators.panel import common_labels
+
 MAX_SCENARIOS = 256
 
 
@@ -82,11 +84,40 @@ def one_parameter_variants(scenarios: DataFrame, axes: list[str]) -> DataFrame:
     return rows.select("scenario_id", "parameter", "value", "base", places.alias("places"), (places == 1).alias("adjacent"))
 
 
-def sensitivity_summary(metrics: DataFrame, severity: float = -0.2) -> DataFrame:
-    """Headline over scenarios with metrics on the common horizon: agreement in sign with the baseline, severe drawdowns."""
-    base = F.max(F.when(F.col("is_baseline"), F.col("total_return"))).over(Window.partitionBy(F.lit(1)))
-    rows = metrics.withColumn("_base", base)
-    return rows.agg(
-        F.count("*").alias("scenarios"), F.count("total_return").alias("defined"), F.count_if(F.signum("total_return") == F.signum("_base")).alias("same_sign"),
-        F.count_if(F.col("maximum_drawdown") <= severity).alias("severe_drawdowns"), F.min("total_return").alias("worst"), F.max("total_return").alias("best"), (F.count("total_return") == F.count("*")).alias("complete"),
-    )
+#: Statuses of scenarios that take no part in comparisons.
+UNFIT = ("INVALID", "FAILED")
+
+
+def common_horizon(rows: DataFrame, scenarios: DataFrame) -> DataFrame:
+    """``rows`` (scenario_id, pos, ...) of the scenarios that can be compared, at the positions which all of them schedule.
+
+    scenarios: scenario_id and status.  Which positions these are depends on schedules alone, never on returns; a
+    scenario without any row takes no part.
+    """
+    able = rows.join(scenarios.filter(~F.col("status").isin(*UNFIT)).select("scenario_id"), "scenario_id", "left_semi")
+    return able.join(common_labels(able, "scenario_id", "pos"), "pos", "left_semi")
+
+
+def sensitivity_summary(scenarios: DataFrame, common: DataFrame, variants: DataFrame, severity: float = -0.2) -> DataFrame:
+    """One row: scenarios by status, and figures on the common horizon, which are null unless every eligible scenario has them.
+
+    scenarios: scenario_id, status, is_baseline.  common: scenario_id, total_return, sharpe_ratio, maximum_drawdown, null
+    where they are not available.  variants: the scenarios that differ from the baseline in one parameter.
+    """
+    names = ("total_return", "sharpe_ratio", "maximum_drawdown")
+    rows = scenarios.select("scenario_id", "status", "is_baseline").join(common.select("scenario_id", *names), "scenario_id", "left").join(variants.select("scenario_id").distinct().withColumn("variant", F.lit(True)), "scenario_id", "left")
+    fit = ~F.col("status").isin(*UNFIT)
+    base = F.max(F.when(F.col("is_baseline"), F.col("total_return"))).over(Window.partitionBy(F.lit(1)))  # a row a scenario
+    rows = rows.withColumn("_base", base).withColumn("fit", fit).withColumn("variant", F.coalesce("variant", F.lit(False)) & fit)
+    of = lambda condition, known: F.try_divide(F.count_if(condition), F.count_if(known & condition.isNotNull()))
+    t, s, d, v = F.col("total_return"), F.col("sharpe_ratio"), F.col("maximum_drawdown"), F.col("variant")
+    count = lambda *status: F.count_if(F.col("status").isin(*status))
+    out = rows.agg(
+        F.count("*").alias("scenarios"), count("COMPLETED").alias("completed"), count("NO_FOLDS", "INCOMPLETE").alias("unavailable"), count("INVALID").alias("invalid"), count("FAILED").alias("failed"),
+        F.count_if("fit").alias("eligible"), F.count_if(F.col("fit") & t.isNotNull()).alias("defined"), F.count_if("variant").alias("variants"), F.max("_base").alias("baseline_total_return"),
+        F.min(F.when(F.col("fit"), t)).alias("worst"), F.max(F.when(F.col("fit"), t)).alias("best"), of((t > 0) & F.col("fit"), F.col("fit")).alias("positive_share"), of((s > 0) & F.col("fit"), F.col("fit")).alias("positive_sharpe_share"),
+        of((d >= severity) & F.col("fit"), F.col("fit")).alias("mild_drawdown_share"), of((F.signum(t) == F.signum("_base")) & v, v).alias("variant_sign_agreement"), of((s > 0) & v, v).alias("variant_positive_sharpe_share"),
+    ).withColumn("headline", (F.col("eligible") > 0) & (F.col("defined") == F.col("eligible")))
+    for c in ("baseline_total_return", "worst", "best", "positive_share", "positive_sharpe_share", "mild_drawdown_share", "variant_sign_agreement", "variant_positive_sharpe_share"):
+        out = out.withColumn(c, F.when(F.col("headline"), F.col(c)))
+    return out

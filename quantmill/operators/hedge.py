@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantmill.functions.ranks import least_from_here, numbered, with_count
 from quantmill.functions.windows import by, prior
 
 PAIR = ("symbol_y", "symbol_x")
@@ -131,13 +132,20 @@ def eligibility(panel: DataFrame, keys: tuple = PAIR, minimum: int = 100, *more:
 
 
 def benjamini_hochberg(tests: DataFrame, p: str = "p", keys: tuple = (), order: tuple = (), out: str = "corrected_p", family: str | None = None) -> DataFrame:
-    """Adjusted p within ``keys``, clipped to [0, 1]; ``family`` names a column with a family size above the count."""
-    whole = Window.partitionBy(*keys)
-    size = F.col(family) if family else F.count(p).over(whole)
-    ranked = tests.withColumn("_rank", F.row_number().over(whole.orderBy(F.col(p).asc_nulls_last(), *order)))
+    """Adjusted p within ``keys``, clipped to [0, 1]; ``family`` names a column with a family size above the count.
+
+    Without keys the table is ranked by ranges of p, so no task gets all of it.
+    """
+    rows, size = (tests, F.col(family)) if family else (with_count(tests, keys, "_family", F.col(p)), F.col("_family"))
+    ascending = [F.col(p).asc_nulls_last(), *[F.col(c) for c in order]]
     scaled = F.col(p) * size / F.col("_rank")
-    lowest = F.min(scaled).over(whole.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn(out, F.when(F.col(p).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), lowest)))).drop("_rank")
+    if keys:
+        whole = Window.partitionBy(*keys)
+        rows = rows.withColumn("_rank", F.row_number().over(whole.orderBy(*ascending)))
+        rows = rows.withColumn("_lowest", F.min(scaled).over(whole.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0)))
+    else:
+        rows = least_from_here(numbered(rows, ascending), scaled, "_rank", "_lowest")
+    return rows.withColumn(out, F.when(F.col(p).isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_lowest"))))).drop("_rank", "_lowest", "_part", "_family")
 
 
 def mackinnon_p(tau: float, series: int) -> float:
@@ -311,8 +319,11 @@ def select_and_rank(tested: DataFrame, keys: tuple = (), fdr: float = 0.05, long
     out = benjamini_hochberg(tested, "p_value", keys, PAIR, "corrected_p", family)
     out = out.withColumn("rejection_reasons", screening_reasons(F.col("beta"), F.col("corrected_p"), F.col("half_life"), F.col("hurst"), fdr, longest, hurst_limit))
     out = out.withColumn("selected", F.size("rejection_reasons") == 0)
-    order = Window.partitionBy(*keys, "selected").orderBy("corrected_p", "half_life", *PAIR)
-    return out.withColumn("rank", F.when(F.col("selected"), F.row_number().over(order)))
+    order = ["corrected_p", "half_life", *PAIR]
+    if keys:
+        return out.withColumn("rank", F.when(F.col("selected"), F.row_number().over(Window.partitionBy(*keys, "selected").orderBy(*order))))
+    first = numbered(out, [F.desc("selected"), *map(F.col, order)], "rank").drop("_part")  # those without reasons come first
+    return first.withColumn("rank", F.when(F.col("selected"), F.col("rank").cast("int")))
 
 
 def screen(panel: DataFrame, extra: tuple = (), minimum: int = 100, fdr: float = 0.05, longest: float = 60.0, hurst_limit: float = 0.5) -> DataFrame:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantmill.functions.ranks import with_count
 from quantmill.operators import metrics
 from quantmill.operators.hedge import benjamini_hochberg
 
@@ -158,14 +159,30 @@ def regime_consistency(rows: DataFrame, keys: tuple = (), periods: int = 252) ->
 
 
 def multiplicity(tests: DataFrame, family: int | None = None, level: float = 0.05, keys: tuple = (), order: tuple = ("scenario_id",)) -> DataFrame:
-    """Bonferroni and Benjamini-Hochberg over a family that may be larger than the number of known p."""
-    whole = Window.partitionBy(*keys)
-    size = F.lit(family).cast("double") if family else F.count("*").over(whole).cast("double")
-    out = tests.withColumn("family", size).withColumn("bonferroni_p", F.least(F.lit(1.0), F.col("p") * F.col("family")))
+    """Bonferroni and Benjamini-Hochberg over a family that may be larger than the number of known p.
+
+    A hypothesis whose p is unknown counts in the family; its adjusted p and its discoveries are unknown too.
+    """
+    size = F.lit(family).cast("double") if family else F.col("_n").cast("double")
+    tests = tests if family else with_count(tests, keys, "_n")
+    out = tests.withColumn("family", size).drop("_n").withColumn("bonferroni_p", F.when(F.col("p").isNotNull(), F.least(F.lit(1.0), F.col("p") * F.col("family"))))
     out = benjamini_hochberg(out, "p", keys, order, "bh_p", "family")
     return out.withColumn("bonferroni_discovery", F.col("bonferroni_p") <= level).withColumn("bh_discovery", F.col("bh_p") <= level)
 
 
+def multiplicity_counts(tests: DataFrame, level: float = 0.05, keys: tuple = ()) -> DataFrame:
+    """What a family of hypotheses has come to.  tests: a row each of multiplicity(), with its scenario's ``status``.
+
+    Hypotheses that are not eligible (INVALID or FAILED) are counted by status alone.
+    """
+    able = ~F.col("status").isin("INVALID", "FAILED")
+    return tests.groupBy(*keys).agg(
+        F.count("*").alias("configurations"), F.count_if(F.col("status") == "INVALID").alias("invalid"), F.count_if(F.col("status") == "FAILED").alias("failed"), F.count_if(able).alias("eligible"),
+        F.count_if(able & F.col("p").isNotNull()).alias("known_p"), F.count_if(able & F.col("p").isNull()).alias("unavailable"), F.count_if(F.col("p") <= level).alias("raw_exceedances"),
+        F.count_if(F.col("bonferroni_p") <= level).alias("bonferroni_exceedances"), F.count_if(F.col("bh_p") <= level).alias("bh_discoveries"),
+    )
+
+
 def roll_up(parts: DataFrame, keys: tuple = ()) -> DataFrame:
     """The worst availability of a report's parts: UNAVAILABLE over INSUFFICIENT over AVAILABLE."""
     code = F.when(F.col("availability") == "UNAVAILABLE", 2).when(F.col("availability") == "INSUFFICIENT", 1).otherwise(0)

@@ -23,6 +23,12 @@ def possible_groups(eligible: DataFrame, universe: DataFrame) -> DataFrame:
     return eligible.join(universe, "symbol").groupBy("fold_id", "group_name").agg(F.count("*").alias("symbols")).filter("symbols >= 2")
 
 
+def group_snapshots(prices: DataFrame, folds: DataFrame, universe: DataFrame, keys: tuple = ("fold_id",), minimum: int = 100) -> DataFrame:
+    """(keys, group_name, symbols): the eligible symbols of each group in each fold's formation rows, comma-joined in order."""
+    rows = in_fold(prices, folds, "formation").groupBy(*keys, "symbol").agg(F.count("price").alias("usable"), F.count_if(F.col("price") <= 0).alias("bad")).filter((F.col("usable") >= minimum) & (F.col("bad") == 0))
+    return rows.join(universe, "symbol").groupBy(*keys, "group_name").agg(F.array_join(F.sort_array(F.collect_set("symbol")), ",").alias("symbols"))
+
+
 def formation_screen(panel: DataFrame, folds: DataFrame, keys: tuple = ("fold_id",), minimum: int = 100, fdr: float = 0.05, longest: float = 60.0, hurst_limit: float = 0.5) -> DataFrame:
     """Screening of every pair in the formation rows of every fold; written, since status and trading read it."""
     return written(hedge.screen_windows(in_fold(panel, folds, "formation"), keys, minimum, fdr, longest, hurst_limit))

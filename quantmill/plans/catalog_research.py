@@ -36,15 +36,7 @@ def k02(spark, sf):
     return quality.repeated_keys(groups.union(groups.filter("group_name = 'G3'")), ["symbol"])
 
 
-def fold_panel(spark, sf):
-    """Pair panel with rows numbered by the calendar of all symbols."""
-    rows = numbered(spark, sf)
-    pairs = panel.candidate_pairs(panels.universe(rows))
-    dates = rows.select("date", F.col("pos").cast("long").alias("at")).distinct()
-    return panel.pair_panel(pairs, rows).drop("pos").join(F.broadcast(dates), "date").withColumnRenamed("at", "pos")
-
-
-#: Written tables that several queries of a session read, by name, session and folder.
+#: Written tables that several queries of a session read, by name, session and folder.  clear() it when the folder's files change.
 SHARED: dict = {}
 
 
@@ -55,10 +47,25 @@ def shared(name, make, spark, sf):
     return SHARED[key]
 
 
+def marks(spark, sf):
+    """The cleaned market: every date has a mark of every symbol."""
+    return shared("marks", lambda spark, sf: written(panels.marked_prices(spark, sf)), spark, sf)
+
+
+def fold_panel(spark, sf):
+    """Pairs of the cleaned market: marks of both legs, which of them are observed, and the date's position."""
+    rows = marks(spark, sf)
+    return panel.pair_panel(panel.candidate_pairs(panels.market_universe(rows)), rows.drop("pos")).drop("pos").join(rows.select("date", "pos").distinct(), "date")
+
+
+def mark_folds(spark, sf):
+    return panel.folds(marks(spark, sf).agg(F.count_distinct("date").alias("n")), 504, 63)
+
+
 def _walk(spark, sf):
     """Folds, screening, traded rows and calendar of one walk-forward."""
-    folds, rows = brand_folds(spark, sf), written(fold_panel(spark, sf))
-    screened, done = walkforward.run_folds(rows, folds, RULES, 20, 100, 1.0, 1e6, 10.0, panels.TARGET, CAPITAL, panels.COSTS)
+    folds, rows = mark_folds(spark, sf), written(fold_panel(spark, sf))
+    screened, done = walkforward.run_folds(rows, folds, RULES, 20, target=panels.NOTIONAL, capital=CAPITAL, costs=panels.COSTS)
     return folds, screened, done, written(walkforward.calendar_returns(walkforward.fold_status(folds, screened.filter("corrected_p is not null"), done), done))
 
 
@@ -200,15 +207,19 @@ def r10(spark, sf):
     return grid.one_parameter_variants(scenarios(spark, sf), list(AXES))
 
 
-SENSITIVITY = """SELECT count(*) AS scenarios, count(total_return) AS defined, count(*) FILTER (sign(total_return) = sign((SELECT t FROM (SELECT exp(sum(ln(1 + r))) - 1 AS t FROM rt WHERE symbol_y = 'Brand#1' AND symbol_x = 'Brand#11' GROUP BY symbol_y)))) AS same_sign,
-  count(*) FILTER (dd <= -0.001) AS severe_drawdowns, min(total_return) AS worst, max(total_return) AS best, count(total_return) = count(*) AS complete
-  FROM (SELECT symbol_y, symbol_x, exp(sum(ln(1 + r))) - 1 AS total_return FROM rt GROUP BY 1, 2) JOIN (SELECT symbol_y, symbol_x, min(drawdown) AS dd FROM eq GROUP BY 1, 2) USING (symbol_y, symbol_x)"""
+SENSITIVITY = """SELECT count(*) AS scenarios, count(*) AS completed, count(total_return) AS defined, count(*) - 1 AS variants, true AS headline, min(total_return) AS worst, max(total_return) AS best, count(*) FILTER (total_return > 0) / count(*) AS positive_share,
+  count(*) FILTER (dd >= -0.001) / count(*) AS mild_drawdown_share, max(base) AS baseline_total_return, count(*) FILTER (sign(total_return) = sign(base) AND NOT is_baseline) / (count(*) - 1) AS variant_sign_agreement
+  FROM (SELECT *, symbol_y = 'Brand#1' AND symbol_x = 'Brand#11' AS is_baseline, max(CASE WHEN symbol_y = 'Brand#1' AND symbol_x = 'Brand#11' THEN total_return END) OVER () AS base FROM (SELECT symbol_y, symbol_x, exp(sum(ln(1 + r))) - 1 AS total_return FROM rt GROUP BY 1, 2))
+    JOIN (SELECT symbol_y, symbol_x, min(drawdown) AS dd FROM eq GROUP BY 1, 2) USING (symbol_y, symbol_x)"""
 
 
-@register("R11_sensitivity_summary", "scenarios:i defined:i same_sign:i severe_drawdowns:i worst:9 best:9 complete", SENSITIVITY)
+@register("R11_sensitivity_summary", "scenarios:i completed:i defined:i variants:i headline worst:9 best:9 positive_share:9 mild_drawdown_share:9 baseline_total_return:9 variant_sign_agreement:9", SENSITIVITY)
 def r11(spark, sf):
-    rows = r05(spark, sf).withColumn("is_baseline", (F.col("symbol_y") == "Brand#1") & (F.col("symbol_x") == "Brand#11"))
-    return grid.sensitivity_summary(rows, -0.001)
+    """The same over pairs instead of scenarios, which SQL can run."""
+    name = F.concat_ws("|", *PAIR).alias("scenario_id")
+    common = r05(spark, sf).select(name, "total_return", "sharpe_ratio", "maximum_drawdown")
+    pairs = common.select("scenario_id", F.lit("COMPLETED").alias("status"), (F.col("scenario_id") == "Brand#1|Brand#11").alias("is_baseline"))
+    return grid.sensitivity_summary(pairs, common, pairs.filter("not is_baseline"), -0.001)
 
 
 def _grid(spark, sf):
@@ -216,8 +227,8 @@ def _grid(spark, sf):
     every = written(grid.configuration_errors(scenarios(spark, sf)))
     valid = every.filter("error is null")
     lookbacks = sorted(r[0] for r in valid.select("zscore_lookback").distinct().collect())  # an axis of the grid
-    folds = grid.scenario_folds(valid, brand_prices(spark, sf).select("date").distinct().count())
-    rows, done = walkforward.run_grid(written(fold_panel(spark, sf)), valid, folds, lookbacks, 100, 1.0, 1e6, 10.0, panels.TARGET, CAPITAL, panels.COSTS)
+    folds = grid.scenario_folds(valid, marks(spark, sf).select("date").distinct().count())
+    rows, done = walkforward.run_grid(written(fold_panel(spark, sf)), valid, folds, lookbacks, target=panels.NOTIONAL, capital=CAPITAL, costs=panels.COSTS)
     return every, rows, done
 
 
@@ -238,11 +249,19 @@ def scenario_reports(spark, sf):
     return out.withColumn("trades", F.coalesce("trades", F.lit(0)))
 
 
+FIGURES = ("total_return", "annualized_return", "annualized_volatility", "sharpe_ratio", "maximum_drawdown")
+
+
+def common_calendar(spark, sf):
+    """Returns of all comparable scenarios over the rows that all of them have scheduled."""
+    return shared("common", lambda spark, sf: written(grid.common_horizon(grid_run(spark, sf)[1], scenario_reports(spark, sf))), spark, sf)
+
+
 def common_reports(spark, sf):
-    """Reports of the scenarios that completed over the rows that all of them have scheduled."""
-    every, rows, _ = grid_run(spark, sf)
-    able = rows.join(scenario_reports(spark, sf).filter("status = 'COMPLETED'").select("scenario_id", "is_baseline"), "scenario_id")
-    return walkforward.return_report(able.join(panel.common_labels(able, "scenario_id", "pos"), "pos"), ("scenario_id", "is_baseline"))
+    """Reports on the common horizon; figures only where no return of it is unknown."""
+    report = walkforward.return_report(common_calendar(spark, sf), ("scenario_id",))
+    able = (F.col("availability") == "AVAILABLE") & F.col("complete")
+    return report.withColumns({c: F.when(able, F.col(c)) for c in FIGURES}).join(scenarios(spark, sf).select("scenario_id", "is_baseline"), "scenario_id")
 
 
 @register("R04_scenario_runs", "scenario_id status error folds:i completed:i scheduled_rows:i known_rows:i trades:i known_costs:i unknown_costs:i")
@@ -260,9 +279,23 @@ def r06b(spark, sf):
     return common_reports(spark, sf)
 
 
-@register("R11_grid_sensitivity", "scenarios:i defined:i same_sign:i severe_drawdowns:i worst:9 best:9 complete")
+@register("R06_common_rows", "pos:i scenarios:i known:i")
+def r06c(spark, sf):
+    """The common horizon itself: how many scenarios have a known return in each of its rows."""
+    return common_calendar(spark, sf).groupBy("pos").agg(F.count_distinct("scenario_id").alias("scenarios"), F.count("r").alias("known"))
+
+
+@register("R07_scenario_distributions", "metric n:i lowest:9 q1:9 median:9 q3:9 highest:9 mean:9")
+def r07b(spark, sf):
+    return grid.distribution(common_reports(spark, sf).unpivot(["scenario_id"], list(FIGURES), "metric", "value"), "metric")
+
+
+SUMMARY = "scenarios:i completed:i unavailable:i invalid:i failed:i eligible:i defined:i variants:i headline baseline_total_return:9 worst:9 best:9 positive_share:6 positive_sharpe_share:6 mild_drawdown_share:6 variant_sign_agreement:6 variant_positive_sharpe_share:6"
+
+
+@register("R11_grid_sensitivity", SUMMARY)
 def r11b(spark, sf):
-    return grid.sensitivity_summary(common_reports(spark, sf), -0.001)
+    return grid.sensitivity_summary(scenario_reports(spark, sf), common_reports(spark, sf), grid.one_parameter_variants(scenarios(spark, sf), list(AXES)), -0.02)
 
 
 @register("R12_grid_run", "scenario_id entry_z:6 exit_z:6 zscore_lookback:i formation_window:i is_baseline status folds:i trades:i total_return:9 sharpe_ratio:6 maximum_drawdown:9")
@@ -281,6 +314,15 @@ def r13b(spark, sf):
     return out.withColumn("baseline_difference", F.col("common_total_return") - F.col("base")).orderBy("scenario_id")
 
 
+@register("R14_group_snapshots", "formation_window:i fold_id:i group_name symbols")
+def r14c(spark, sf):
+    """The universe that each fold of the grid could choose from: symbols with enough usable marks in formation, by group."""
+    every, _, _ = grid_run(spark, sf)
+    rows = marks(spark, sf)
+    folds = grid.scenario_folds(every.filter("error is null"), rows.select("date").distinct().count()).join(every.select("scenario_id", "formation_window"), "scenario_id").drop("scenario_id").distinct()
+    return walkforward.group_snapshots(rows, folds, panels.market_universe(rows), ("formation_window", "fold_id"), 100)
+
+
 @register("R14_run_provenance", "scenarios:i invalid:i formation_windows lookbacks first_pos:i last_pos:i pairs:i")
 def r14b(spark, sf):
     """What a grid run was made of."""
@@ -364,15 +406,20 @@ def v08(spark, sf):
 
 
 def scenario_sharpes(spark, sf):
-    """The probabilistic Sharpe ratio of every scenario that could run, on its own calendar."""
-    every, rows, _ = grid_run(spark, sf)
-    return every.filter("error is null").select("scenario_id").join(inference.probabilistic_sharpe(rows, 0.0, ("scenario_id",)), "scenario_id", "left")
+    """The probabilistic Sharpe ratio of every scenario that could run, on the common horizon."""
+    return scenario_reports(spark, sf).select("scenario_id", "status").join(inference.probabilistic_sharpe(common_calendar(spark, sf), 0.0, ("scenario_id",)), "scenario_id", "left")
 
 
 @register("V08_scenario_multiplicity", "scenario_id family:i p:9 bonferroni_p:9 bh_p:9 bonferroni_discovery bh_discovery")
 def v08b(spark, sf):
-    """The family is every scenario that could run, whether its p is known or not."""
-    return inference.multiplicity(scenario_sharpes(spark, sf), None, 0.05)
+    """The family is every scenario that is neither invalid nor failed, whether its p is known or not."""
+    return inference.multiplicity(scenario_sharpes(spark, sf).filter(~F.col("status").isin(*grid.UNFIT)), None, 0.05)
+
+
+@register("V08_multiplicity_counts", "configurations:i invalid:i failed:i eligible:i known_p:i unavailable:i raw_exceedances:i bonferroni_exceedances:i bh_discoveries:i")
+def v08c(spark, sf):
+    own = v08b(spark, sf).select("scenario_id", "bonferroni_p", "bh_p")
+    return inference.multiplicity_counts(scenario_sharpes(spark, sf).join(own, "scenario_id", "left"))
 
 
 @register("V09_scenario_report", "scenario_id sharpe_availability calendar_availability fold_availability availability")
@@ -689,7 +736,7 @@ def g06(spark, sf):
 
 
 def _research(spark, sf):
-    return jobs.research(written(fold_panel(spark, sf)), brand_folds(spark, sf), RULES, 100, 1.0, longest=1e6, hurst_limit=10.0)
+    return jobs.research(written(fold_panel(spark, sf)), mark_folds(spark, sf), RULES, target=panels.NOTIONAL)
 
 
 def research(spark, sf):

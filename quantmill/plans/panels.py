@@ -6,14 +6,17 @@ any engine gets the same bits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantmill.functions.windows import by
 from quantmill.operators import accounting, panel, positions, signals
+from quantmill.sources import prices as sources
 
 PAIR = ("symbol_y", "symbol_x")
 CAPITAL, TARGET, LOOKBACK, ENTRY = 1_000_000.0, 10.0, 20, 1.0
+#: Money in a pair of the walk-forward, of which the rules of cleaning are these.
+NOTIONAL, MIN_COVERAGE, MAX_FILL = 10_000.0, 0.95, 3
 COSTS = {"commission_bps": 5.0, "slippage_bps": 2.0, "fixed": 1.0, "borrow_y": 0.02, "borrow_x": 0.03, "financing": 0.01}
 
 
@@ -45,6 +48,31 @@ def brand_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel.pair_panel(panel.candidate_pairs(universe(prices)), prices)
 
 
+def market_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of the brands and, as denser symbols, of the seven line numbers, all out of one scan."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("brand"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.concat(F.lit("Line#"), F.col("l_linenumber")).alias("place"), F.col("l_shipdate").cast("date").alias("date"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), F.col("l_quantity").cast("long").alias("units"))
+    rows = lines.join(part, "l_partkey").select(F.explode(F.array("brand", "place")).alias("symbol"), "date", "cents", "units")
+    sums = rows.groupBy("symbol", "date").agg(F.sum("cents").alias("c"), F.sum("units").alias("u"))
+    return sums.select("symbol", "date", (F.col("c").cast("double") / (F.col("u") * 100).cast("double")).alias("price"))
+
+
+def market_universe(prices: DataFrame) -> DataFrame:
+    """Groups of brands as in universe(); line numbers are a group of their own."""
+    group = F.when(F.col("symbol").startswith("Brand#"), F.concat(F.lit("G"), (number("symbol") % 5).cast("string"))).otherwise("LINES")
+    return prices.select("symbol").distinct().select("symbol", group.alias("group_name"))
+
+
+def marked_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The market's cleaned panel: symbol, date, price (a mark: observed, or carried 3 dates at most), observed, pos.
+
+    Symbols with prices on under 95 % of the dates go, then dates on which a symbol has no mark; ``pos`` numbers those left.
+    """
+    marks = sources.clean(market_prices(spark, sf_dir), MIN_COVERAGE, MAX_FILL)
+    dates = marks.select("date").distinct().withColumn("pos", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))  # a row a date
+    return marks.join(dates, "date")
+
+
 def signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplied signal table: each pair trades one side of a 20-row z-score (rounded) beyond 1."""
     rows = brand_panel(spark, sf_dir).withColumn("hedge_ratio", 1 + (number("symbol_x") % 5) / 10)
