@@ -54,43 +54,43 @@ def rolling_ols(panel: DataFrame, lookback: int = 120, keys: tuple = PAIR) -> Da
     return panel.withColumn("spread", y - F.col("alpha") - F.col("beta") * x)
 
 
+KALMAN = ("alpha", "beta", "spread", "innovation", "innovation_variance")
+
+
 def kalman(panel: DataFrame, transition: float = 1e-5, observation: float = 1e-3, initial: float = 1.0, keys: tuple = PAIR) -> DataFrame:
     """Dynamic alpha and beta by a Kalman filter with a random-walk state; a row uses rows up to itself.
 
-    A fold over the sorted array of a key's rows: the state is alpha, beta and the three different entries of their
-    covariance (updated in Joseph's form); rows of it are gathered in an array, so one pair's history is what a task holds.
+    Rows are sorted within the partitions that hold their keys and stream through: from one batch to the next a key
+    hands on its state (alpha, beta and the three different entries of their covariance), so a history of any length
+    takes time in proportion and a batch's memory.
     """
-    names = ("alpha", "beta", "spread", "innovation", "innovation_variance")
-    point = "struct<pos:bigint,alpha:double,beta:double,spread:double,innovation:double,innovation_variance:double>"
-    number = lambda v, name: F.lit(float(v)).alias(name)
-    start = F.struct(number(0, "alpha"), number(1, "beta"), number(initial, "p"), number(0, "q"), number(initial, "r"), F.array().cast(f"array<{point}>").alias("out"))
-    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-
-    def step(s: Column, row: Column) -> Column:
-        y, x = row["y"], row["x"]
-        drift = F.when(F.size(s["out"]) > 0, transition).otherwise(0.0)
-
-        def update(g: Column) -> Column:
-            """g: covariance before the row (p, q, r), its products with (1, x) and the innovation with its variance."""
-            k, m = g["a"] / g["variance"], g["b"] / g["variance"]
-            alpha, beta = s["alpha"] + k * g["error"], s["beta"] + m * g["error"]
-            # (I - K h) P (I - K h)' + K K' observation, written out for h = (1, x)
-            u, v = (1 - k) * g["p"] - k * x * g["q"], (1 - k) * g["q"] - k * x * g["r"]
-            t, w = (1 - m * x) * g["q"] - m * g["p"], (1 - m * x) * g["r"] - m * g["q"]
-            p = u * (1 - k) - v * k * x + observation * k * k
-            q = (v * (1 - m * x) - u * m + t * (1 - k) - w * k * x) / 2 + observation * k * m
-            r = w * (1 - m * x) - t * m + observation * m * m
-            made = F.struct(row["pos"].cast("bigint").alias("pos"), alpha.alias("alpha"), beta.alias("beta"), (y - alpha - beta * x).alias("spread"), g["error"].alias("innovation"), g["variance"].alias("innovation_variance"))
-            return F.struct(alpha.alias("alpha"), beta.alias("beta"), p.alias("p"), q.alias("q"), r.alias("r"), F.array_append(s["out"], made).alias("out"))
-
-        p, q, r = s["p"] + drift, s["q"], s["r"] + drift
-        a, b = p + q * x, q + r * x
-        before = F.struct(p.alias("p"), q.alias("q"), r.alias("r"), a.alias("a"), b.alias("b"), (y - s["alpha"] - s["beta"] * x).alias("error"), (a + b * x + observation).alias("variance"))
-        return let(before, update)
-
-    rows = F.sort_array(F.collect_list(F.struct("pos", F.ln("price_y").alias("y"), F.ln("price_x").alias("x"))))
-    found = panel.groupBy(*keys).agg(rows.alias("rows")).select(*keys, F.inline(F.aggregate("rows", start, step)["out"]))
-    return found.select(*keys, "pos", *names)
+    n, names = len(keys), (*keys, "pos", *KALMAN)
+    start = (0.0, 1.0, initial, 0.0, initial)
+
+    def filter_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state, noise = None, start, 0.0
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                if key != row[:n]:
+                    key, state, noise = row[:n], start, 0.0
+                y, x = row[n + 1 :]
+                alpha, beta, p, q, r = state
+                p, r, noise = p + noise, r + noise, transition
+                a, b = p + q * x, q + r * x  # covariance of the state with what is observed
+                error, variance = y - alpha - beta * x, a + b * x + observation
+                k, m = a / variance, b / variance
+                alpha, beta = alpha + k * error, beta + m * error
+                # Joseph's form, (I - K h) P (I - K h)' + K K' observation, written out for h = (1, x): it keeps P symmetric
+                u, v = (1 - k) * p - k * x * q, (1 - k) * q - k * x * r
+                t, w = (1 - m * x) * q - m * p, (1 - m * x) * r - m * q
+                state = alpha, beta, u * (1 - k) - v * k * x + observation * k * k, (v * (1 - m * x) - u * m + t * (1 - k) - w * k * x) / 2 + observation * k * m, w * (1 - m * x) - t * m + observation * m * m
+                out.append((*key, row[n], alpha, beta, y - alpha - beta * x, error, variance))
+            yield pd.DataFrame(out, columns=names)
+
+    kinds = dict(panel.dtypes)
+    rows = panel.select(*keys, F.col("pos").cast("long").alias("pos"), F.ln("price_y").alias("y"), F.ln("price_x").alias("x")).repartition(*keys).sortWithinPartitions(*keys, "pos")
+    return rows.mapInPandas(filter_rows, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "pos long", *(f"{c} double" for c in KALMAN)]))
 
 
 def half_life(spreads: DataFrame, keys: tuple = PAIR, minimum: int = 30) -> DataFrame:

@@ -10,10 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantmill.functions.folds import let
 from quantmill.functions.ranks import with_count
 from quantmill.operators import metrics
 from quantmill.operators.hedge import benjamini_hochberg
 
+#: Replicates that one row of a key makes.
+PART = 200
+
 
 def block_starts(sizes: DataFrame, block: int, replicates: int, seed: int = 0, keys: tuple = ()) -> DataFrame:
     """(keys, replicate, place, pos): the row that stands at each place of each replicate.
@@ -40,33 +44,67 @@ def moving_block_bootstrap(returns: DataFrame, block: int, replicates: int, seed
 def bootstrap_metrics(returns: DataFrame, block: int, replicates: int, seed: int = 0, keys: tuple = (), level: float = 0.95, periods: int = 252, least_valid: float = 0.8) -> DataFrame:
     """Interval and median of five figures over replicates: (keys, metric, replicates, defined, low, median, high, kind).
 
-    A key's known returns are one array; each replicate draws its path out of it by index, inside its row, with the
-    starts of moving_block_bootstrap, and folds it to sums and drawdown.  So only rows of figures are shuffled.  kind:
-    DESIGN for fewer than two returns, replicates, starts or different paths; PRIMARY if a figure is defined in all
-    replicates; CONDITIONAL if in ``least_valid`` of them or more; else INSUFFICIENT.  An interval comes
-    with PRIMARY and CONDITIONAL only.
+    A key's known returns are one array.  What the figures need of a block of them is a summary that two blocks' give
+    that of both: sums, growth, and the highest, the lowest and the deepest fall of its equity.  So each possible block
+    is gone through once, and a replicate merges one summary a block, with the starts of moving_block_bootstrap.  Only
+    rows of figures are shuffled.  kind: DESIGN for fewer than two returns, replicates, starts or different paths;
+    PRIMARY if a figure is defined in all replicates; CONDITIONAL if in ``least_valid`` of them or more; else
+    INSUFFICIENT.  An interval comes with PRIMARY and CONDITIONAL only.  A return of -1 leaves total and annualized
+    return undefined, one below it the drawdown, too.
     """
     known = returns.filter("r is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "r"))).alias("x"))
     known = known.select(*keys, F.transform("x", lambda e: e["r"]).alias("r")).withColumn("n", F.size("r"))
-    rows = known.filter(F.col("n") >= block).withColumn("m", F.aggregate("r", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
-    rows = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    start = lambda k: F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in keys], F.col("replicate"), k), (F.col("n") - block + 1).cast("long")).cast("int")
-    starts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1), start)
-    path = F.slice(F.flatten(F.transform("starts", lambda k: F.slice("r", k + 1, block))), F.lit(1), F.col("n"))
-    zero = F.lit(0.0)
-    first = F.struct(*[zero.alias(c) for c in ("logs", "sum", "squares", "scale")], F.lit(1.0).alias("equity"), F.lit(1.0).alias("peak"), zero.alias("low"))
-
-    def step(s: Column, x: Column) -> Column:
-        equity = s["equity"] * (1 + x)
-        peak = F.greatest(s["peak"], equity)
-        return F.struct((s["logs"] + F.log1p(x)).alias("logs"), (s["sum"] + (x - F.col("m"))).alias("sum"), (s["squares"] + (x - F.col("m")) * (x - F.col("m"))).alias("squares"), F.greatest(s["scale"], F.abs(x)).alias("scale"), equity.alias("equity"), peak.alias("peak"), F.least(s["low"], equity / peak - 1).alias("low"))
-
-    rows = rows.withColumn("starts", starts).withColumn("path", path).select(*keys, "replicate", "n", "m", F.xxhash64("path").alias("hash"), F.aggregate("path", first, step).alias("s"))
+    spread = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: tasks are not merged
+    rows = known.filter(F.col("n") >= block).repartition(spread, *keys or ["n"]).withColumn("m", F.aggregate("r", F.lit(0.0), lambda s, x: s + x) / F.col("n"))
+    zero, one = F.lit(0.0), F.lit(1.0)
+    nothing = F.struct(*[zero.alias(c) for c in ("logs", "sum", "squares", "scale")], one.alias("growth"), one.alias("peak"), one.alias("trough"), zero.alias("low"))
+
+    def joined(a: Column, b: Column) -> Column:
+        """The summary of a path and what comes after it; equities begin at 1."""
+        added = [(a[c] + b[c]).alias(c) for c in ("logs", "sum", "squares")]
+        fall = a["growth"] * b["trough"] / a["peak"] - 1
+        return F.struct(
+            *added, F.greatest(a["scale"], b["scale"]).alias("scale"), (a["growth"] * b["growth"]).alias("growth"), F.greatest(a["peak"], a["growth"] * b["peak"]).alias("peak"),
+            F.least(a["trough"], a["growth"] * b["trough"]).alias("trough"), F.least(a["low"], b["low"], fall).alias("low"),
+        )
+
+    def single(x: Column) -> Column:
+        d = x - F.col("m")
+        return F.struct(F.log1p(x).alias("logs"), d.alias("sum"), (d * d).alias("squares"), F.abs(x).alias("scale"), (1 + x).alias("growth"), F.greatest(one, 1 + x).alias("peak"), F.least(one, 1 + x).alias("trough"), F.least(zero, x).alias("low"))
+
+    def first_of(length: Column) -> Column:
+        """Summaries of the ``length`` returns from each start on, put together from runs of 1, 2, 4, ... returns."""
+        before = lambda size: length.bitwiseAND(F.lit(~(2 * size - 1)))  # noqa: E731 - returns in the longer runs
+        pieces = lambda i: [F.when(length.bitwiseAND(F.lit(size)) != 0, F.get(F.col(f"run{size}"), i + before(size))) for size in reversed(sizes)]
+        return F.transform(F.sequence(F.lit(0), F.col("n") - block), lambda i: F.aggregate(F.array_compact(F.array(*pieces(i))), nothing, joined))
+
+    def doubled(size: int):
+        return lambda a, i: let(F.get(F.col(f"run{size}"), i + size), lambda b: F.when(b.isNotNull(), joined(a, b)))
+
+    blocks, rest = F.ceil(F.col("n") / block).cast("int"), ((F.col("n") - 1) % block + 1).cast("int")
+    sizes = [1 << k for k in range(block.bit_length())]
+    rows = rows.withColumn("run1", F.transform("r", single))
+    for size in sizes[:-1]:
+        rows = rows.withColumn(f"run{2 * size}", F.transform(f"run{size}", doubled(size)))
+    rows = rows.withColumn("whole", first_of(F.lit(block))).withColumn("ends", F.when(rest == block, F.col("whole")).otherwise(first_of(rest)))
+    rows = rows.withColumn("marks", F.transform(F.sequence(F.lit(1), F.col("n") - block + 1), lambda k: F.xxhash64(F.slice("r", k, block))))
+    rows = rows.withColumn("last_marks", F.transform(F.sequence(F.lit(1), F.col("n") - block + 1), lambda k: F.xxhash64(F.slice("r", k, rest)))).drop("r", *[f"run{size}" for size in sizes])
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // PART)))).repartition(spread, *keys, "part")
+    start = lambda t, k: F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in keys], t, k), (F.col("n") - block + 1).cast("long")).cast("int")
+
+    def replicate(t: Column) -> Column:
+        starts = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: start(t, k))
+        picked = lambda s: F.aggregate(F.slice(s, 1, blocks - 1), nothing, lambda a, k: joined(a, F.get(F.col("whole"), k)), lambda a: joined(a, F.get(F.col("ends"), F.get(s, blocks - 1))))
+        content = lambda s: F.xxhash64(F.transform(F.slice(s, 1, blocks - 1), lambda k: F.get(F.col("marks"), k)), F.get(F.col("last_marks"), F.get(s, blocks - 1)))
+        return let(starts, lambda s: F.struct(t.alias("replicate"), content(s).alias("hash"), picked(s).alias("s")))
+
+    own = F.sequence(F.col("part") * PART, F.least((F.col("part") + 1) * PART, F.lit(replicates)) - 1)
+    rows = rows.select(*keys, "n", "m", F.inline(F.transform(own, replicate)))
     n, root = F.col("n"), math.sqrt(periods)
     mean, std = F.col("m") + F.col("s.sum") / n, F.when(n > 1, F.sqrt(F.greatest(zero, (F.col("s.squares") - F.col("s.sum") * F.col("s.sum") / n) / (n - 1))))
     each = rows.select(
         *keys, "replicate", "n", "hash", F.expm1("s.logs").alias("total_return"), F.expm1(F.col("s.logs") * periods / n).alias("annualized_return"), (std * root).alias("annualized_volatility"),
-        F.when(std > 1e-12 * F.greatest(F.lit(1.0), F.col("s.scale")), mean / std * root).alias("sharpe_ratio"), F.col("s.low").alias("maximum_drawdown"),
+        F.when(std > 1e-12 * F.greatest(F.lit(1.0), F.col("s.scale")), mean / std * root).alias("sharpe_ratio"), F.when(F.col("s.trough") >= 0, F.col("s.low")).alias("maximum_drawdown"),
     )
     names = ["total_return", "annualized_return", "annualized_volatility", "sharpe_ratio", "maximum_drawdown"]
     long = each.unpivot([F.col(k) for k in (*keys, "replicate", "n", "hash")], names, "metric", "value")

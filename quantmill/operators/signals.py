@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quantmill.functions.folds import gathered, let
 from quantmill.functions.windows import by, cum, poison, prior
 
 PAIR = ("symbol_y", "symbol_x")
@@ -66,11 +67,6 @@ class Rules:
         return F.struct(put(self.entry, "double", "entry"), put(self.exit_, "double", "exit"), put(self.stop, "double", "stop"), put(self.max_holding, "long", "longest"), F.coalesce(put(self.cooldown, "long", "cooldown"), F.lit(0).cast("long")).alias("cooldown"))
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)``, with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _side(z: Column, rules: Column) -> Column:
     """1 where z calls for a long spread, -1 for a short one, 0 for none."""
     return F.when(z <= -rules["entry"], 1).when(z >= rules["entry"], -1).otherwise(0)
@@ -116,7 +112,7 @@ def _signal_columns(rows: DataFrame, keys: tuple, held: str) -> DataFrame:
 
 
 SIGNALS = ("zscore", "state", "position", "entry_long", "entry_short", "exit", "stop", "time_exit", "event", "exit_reason", "holding_period", "cooldown_remaining")
-EVENT = "array<struct<at:bigint,side:int,event:string,reason:string>>"
+EVENT = "struct<at:bigint,side:int,event:string,reason:string>"
 
 
 def trade_signals(zscores: DataFrame, rules: Rules, keys: tuple = PAIR) -> DataFrame:
@@ -126,7 +122,7 @@ def trade_signals(zscores: DataFrame, rules: Rules, keys: tuple = PAIR) -> DataF
     exit rule from the row after its entry on.  An unknown z-score enters nothing and only time can end a position in it.
     """
     z = lambda r: r["zscore"]
-    start = F.struct(F.lit(0).alias("side"), F.lit(None).cast("long").alias("since"), F.array().cast(EVENT).alias("out"))
+    start = F.struct(F.lit(0).alias("side"), F.lit(None).cast("long").alias("since"))
     rule = F.col("rules")
 
     def change(state: Column, r: Column) -> Column:
@@ -138,10 +134,10 @@ def trade_signals(zscores: DataFrame, rules: Rules, keys: tuple = PAIR) -> DataF
         return F.coalesce(entered, left)
 
     def step(state: Column, r: Column) -> Column:
-        after = lambda e: F.when(e.isNull(), state).otherwise(F.struct(e["side"].alias("side"), e["at"].alias("since"), F.array_append(state["out"], e).alias("out")))
-        return _let(change(state, r), after)
+        after = lambda e: F.struct(F.when(e.isNull(), state).otherwise(F.struct(e["side"].alias("side"), e["at"].alias("since"))).alias("state"), e.alias("made"))
+        return let(change(state, r), after)
 
-    events = _ordered(zscores, rules, keys, ("zscore",)).select(*keys, F.inline(F.aggregate("rows", start, step)["out"])).select(*keys, "at", F.col("side").alias("to"), "event", "reason")
+    events = _ordered(zscores, rules, keys, ("zscore",)).select(*keys, F.inline(gathered(F.col("rows"), start, step, EVENT))).select(*keys, "at", F.col("side").alias("to"), "event", "reason")
     rows = zscores.select(*keys, "pos", "zscore", rules.column().alias("rules"), (F.row_number().over(by(keys)) - 1).cast("long").alias("at"))
     rows, w = rows.join(events, [*keys, "at"], "left"), cum(keys, "at")
     rows = rows.withColumn("side", F.coalesce(F.last("to", ignorenulls=True).over(w), F.lit(0)))
@@ -151,7 +147,7 @@ def trade_signals(zscores: DataFrame, rules: Rules, keys: tuple = PAIR) -> DataF
 
 
 ORDER = "struct<side:int,event:string,at:bigint>"
-FILLED = "array<struct<at:bigint,side:int,event:string,reason:string,fill:string,now:int,source:bigint>>"
+FILLED = "struct<at:bigint,side:int,event:string,reason:string,fill:string,now:int,source:bigint>"
 
 
 def filled_signals(rows: DataFrame, rules: Rules, lag: int = 1, suppress_last: bool = False, keys: tuple = PAIR) -> DataFrame:
@@ -166,7 +162,7 @@ def filled_signals(rows: DataFrame, rules: Rules, lag: int = 1, suppress_last: b
     """
     facts, rule, end = ("zscore", "tradable", "sized"), F.col("rules"), F.size("rows") - 1
     null = lambda kind: F.lit(None).cast(kind)
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("want"), null("long").alias("opened"), null("long").alias("closed"), F.lit(0).cast("long").alias("idle"), null(ORDER).alias("waits"), null(ORDER).alias("then"), F.array().cast(f"array<{ORDER}>").alias("coming"), F.array().cast(FILLED).alias("out"))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("want"), null("long").alias("opened"), null("long").alias("closed"), F.lit(0).cast("long").alias("idle"), null(ORDER).alias("waits"), null(ORDER).alias("then"), F.array().cast(f"array<{ORDER}>").alias("coming"))
 
     def waiting(s: Column, r: Column) -> Column:
         """The order that waits, and one after it, once what falls due in this row has joined them."""
@@ -174,7 +170,7 @@ def filled_signals(rows: DataFrame, rules: Rules, lag: int = 1, suppress_last: b
         close_waits = F.coalesce(s["waits"]["side"] == 0, F.lit(False))
         first = lambda d: F.when(d.isNull() | ((d["side"] != 0) & close_waits), s["waits"]).when(d["side"] != 0, d).when(s["now"] == 0, null(ORDER)).when(close_waits, s["waits"]).otherwise(d)
         second = lambda d: F.when(d.isNull(), s["then"]).when((d["side"] != 0) & close_waits, d)
-        return _let(due, lambda d: F.struct(first(d).alias("first"), second(d).alias("second")))
+        return let(due, lambda d: F.struct(first(d).alias("first"), second(d).alias("second")))
 
     def filled(s: Column, r: Column, order: Column) -> Column:
         late = F.lit(suppress_last) & (r["at"] == end) & (s["now"] == 0)
@@ -194,7 +190,7 @@ def filled_signals(rows: DataFrame, rules: Rules, lag: int = 1, suppress_last: b
             now = F.when(fills, order["side"]).otherwise(s["now"])
             opened = F.when(fills & (order["side"] != 0), r["at"]).otherwise(s["opened"])
             closed = F.when(fills & (order["side"] == 0), r["at"]).otherwise(s["closed"])
-            return _let(F.struct(now.alias("now"), opened.alias("opened"), closed.alias("closed")), lambda y: _let(decide(s, r, y["now"], y["opened"], y["closed"]), lambda d: after(x["order"], fills, y, d)))
+            return let(F.struct(now.alias("now"), opened.alias("opened"), closed.alias("closed")), lambda y: let(decide(s, r, y["now"], y["opened"], y["closed"]), lambda d: after(x["order"], fills, y, d)))
 
         def after(orders: Column, fills: Column, y: Column, d: Column) -> Column:
             order, want = orders["first"], F.when(d.isNull(), s["want"]).otherwise(d["side"])
@@ -205,16 +201,16 @@ def filled_signals(rows: DataFrame, rules: Rules, lag: int = 1, suppress_last: b
             made = F.struct(d["side"].alias("side"), named.alias("event"), d["at"].alias("at"))
             happened = F.struct(r["at"].alias("at"), d["side"].alias("side"), named.alias("event"), F.when(leaves, d["event"]).alias("reason"), F.when(fills, order["event"]).alias("fill"), F.when(fills, order["side"]).alias("now"), F.when(fills, order["at"]).alias("source"))
             late = F.filter(s["coming"], lambda c: c["at"] + lag > r["at"])
-            return F.struct(
+            state = F.struct(
                 y["now"].alias("now"), want.alias("want"), y["opened"].alias("opened"), y["closed"].alias("closed"), idle.cast("long").alias("idle"),
                 F.when(fills, orders["second"]).otherwise(order).alias("waits"), F.when(~fills, orders["second"]).alias("then"), F.when(d.isNull(), late).otherwise(F.array_append(late, made)).alias("coming"),
-                F.when(d.isNull() & ~fills, s["out"]).otherwise(F.array_append(s["out"], happened)).alias("out"),
             )
+            return F.struct(state.alias("state"), F.when(d.isNotNull() | fills, happened).alias("made"))
 
-        return _let(waiting(s, r), lambda order: _let(F.struct(order.alias("order"), F.coalesce(filled(s, r, order["first"]), F.lit(False)).alias("fills")), with_fill))
+        return let(waiting(s, r), lambda order: let(F.struct(order.alias("order"), F.coalesce(filled(s, r, order["first"]), F.lit(False)).alias("fills")), with_fill))
 
     known = rows.withColumn("tradable", F.coalesce("tradable", F.lit(False))).withColumn("sized", F.coalesce("sized", F.lit(False)))
-    events = _ordered(known, rules, keys, facts).select(*keys, F.inline(F.aggregate("rows", start, step)["out"])).withColumnsRenamed({"side": "to", "now": "became"})
+    events = _ordered(known, rules, keys, facts).select(*keys, F.inline(gathered(F.col("rows"), start, step, FILLED))).withColumnsRenamed({"side": "to", "now": "became"})
     out = known.select(*keys, "pos", "zscore", rules.column().alias("rules"), (F.row_number().over(by(keys)) - 1).cast("long").alias("at"))
     out = _executed(out.join(events, [*keys, "at"], "left"), keys, lag)
     out = out.withColumn("side", F.coalesce(F.last("to", ignorenulls=True).over(cum(keys, "at")), F.lit(0)))
@@ -246,7 +242,7 @@ def open_loop_fills(signals: DataFrame, lag: int = 1, suppress_last: bool = Fals
     full = rows.select("*", F.min(F.when(F.col("tradable") & F.col("sized"), F.col("at"))).over(ahead).alias("enter"), F.min(F.when(F.col("tradable"), F.col("at"))).over(ahead).alias("leave"), F.min(exits).over(ahead).alias("exit"))
     trade = F.when(F.col("event").startswith("ENTER"), F.struct("at", "event", "exit"))
     whole = full.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("at", "enter", "leave"))).alias("next"), F.sort_array(F.collect_list(trade)).alias("trades"))
-    start = F.struct(F.lit(-1).cast("long").alias("closed"), F.array().cast("array<struct<at:bigint,fill:string,became:int,source:bigint>>").alias("out"))
+    start = F.struct(F.lit(-1).cast("long").alias("closed"))
     size = F.size("next").cast("long")
     when = lambda at, what: F.get(F.col("next"), at.cast("int"))[what]
 
@@ -257,9 +253,9 @@ def open_loop_fills(signals: DataFrame, lag: int = 1, suppress_last: bool = Fals
             fill = lambda at, event, became, source: F.struct(at.alias("at"), event.alias("fill"), became.alias("became"), source.alias("source"))
             entry, leave = fill(x["in"], t["event"], side, t["at"]), fill(x["out"], t["exit"]["event"], F.lit(0), t["exit"]["at"])
             more = F.when(x["out"].isNull(), F.array(entry)).otherwise(F.array(entry, leave))
-            return F.when(off, s).otherwise(F.struct(F.coalesce(x["out"], size).alias("closed"), F.concat(s["out"], more).alias("out")))
+            return F.struct(F.when(off, s).otherwise(F.struct(F.coalesce(x["out"], size).alias("closed"))).alias("state"), F.when(~off, more).alias("made"))
 
-        return _let(F.struct(when(F.greatest(t["at"] + lag, s["closed"] + 1), "enter").alias("in"), when(t["exit"]["at"] + lag, "leave").alias("out")), one)
+        return let(F.struct(when(F.greatest(t["at"] + lag, s["closed"] + 1), "enter").alias("in"), when(t["exit"]["at"] + lag, "leave").alias("out")), one)
 
-    events = whole.select(*keys, F.inline(F.aggregate("trades", start, step)["out"]))
+    events = whole.select(*keys, F.inline(F.flatten(gathered(F.col("trades"), start, step, "array<struct<at:bigint,fill:string,became:int,source:bigint>>"))))
     return _executed(rows.join(events, [*keys, "at"], "left"), keys, lag).select(*keys, "pos", *EXECUTION)
