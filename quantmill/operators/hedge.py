@@ -174,40 +174,86 @@ def _fit(gram: np.ndarray, moments: np.ndarray, yy: float, n: int) -> tuple[floa
     return float(coefficients[0] / math.sqrt(variance * np.linalg.inv(gram)[0, 0])), rss
 
 
-def unit_root(spreads: DataFrame, keys: tuple = PAIR, constant: bool = True, series: int = 1, minimum: int = 50, longest: int = 36) -> DataFrame:
-    """Augmented Dickey-Fuller test by key, the lag chosen by AIC on the rows that all lags share.
+#: Rows of a series that are summed up together.
+BLOCK = 2048
+
+
+def series_sums(spreads: DataFrame, keys: tuple = PAIR) -> DataFrame:
+    """(keys, n, lags, changes, sum, squares, s, first, early): sums of products along each key's spreads, a row a block.
 
-    Regressors of a row: level before, a constant if asked, lagged changes.  One pass adds up all their products per
-    key, for the rows of each number of lags: the sums over rows k.. are those over all rows less those of the first
-    few, which ride along.  ``longest`` bounds the lags for very long series (at 36 it acts from 8,100 rows on).
+    A row's values are its change, the level before, 1 and the changes before it, as many as the lag rule gives for the
+    key's length (or the Hurst lags need); s adds up their products.  The values of the key's first rows ride along
+    (``first``, numbered by ``early``), so that sums over rows k.. are those over all less those of the first few.
+    A block takes the rows just before it along, which is all that it needs of its neighbour.
     """
     w, kinds = by(keys), {f.name: f.dataType.simpleString() for f in spreads.schema}
-    lags = longest + 1
-    before = F.lag("spread").over(w)
-    rows = spreads.select(*keys, "pos", F.col("spread"), before.alias("level")).withColumn("change", F.col("spread") - F.col("level"))
-    rows = rows.withColumn("at", F.row_number().over(w) - 1)
-    rows = rows.select(*keys, "at", "change", "level", *[F.lag("change", k).over(w).alias(f"c{k}") for k in range(1, lags)]).filter("change is not null")
-    value = F.array("change", "level", F.lit(1.0), *[F.coalesce(f"c{k}", F.lit(0.0)) for k in range(1, lags)])
-    rows = rows.select(*keys, "at", value.alias("v"))
-    size = lags + 2
+    rows = spreads.filter("spread is not null").select(*keys, "spread", (F.row_number().over(w) - 1).cast("long").alias("at"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
+    lags = F.greatest(F.lit(max(HURST_LAGS) - 1), F.least(F.ceil(12 * F.pow(F.col("n") / 100, F.lit(0.25))), F.floor(F.col("n") / 2) - 1)).cast("int")
+    block = F.floor(F.col("at") / BLOCK)
+    rows = rows.withColumn("lags", lags).withColumn("block", F.explode(F.sequence(block, F.floor((F.col("at") + F.col("lags") + 1) / BLOCK))))
+    rows = rows.filter(F.col("block") * BLOCK < F.col("n")).groupBy(*keys, "n", "lags", "block").agg(F.sort_array(F.collect_list(F.struct("at", "spread"))).alias("x"))
+    rows = rows.select(*keys, "n", "lags", "block", F.transform("x", lambda e: e["at"]).alias("at"), F.transform("x", lambda e: e["spread"]).alias("spread"))
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Per batch and key: products summed over all rows, and the early rows themselves."""
         for batch in batches:
-            for key, part in batch.groupby(list(keys), dropna=False, sort=False):
-                v = np.stack(part["v"].to_numpy())
-                early = part["at"].to_numpy() <= lags
-                yield pd.DataFrame({**{k: [x] for k, x in zip(keys, key, strict=True)}, "n": [len(part)], "s": [(v.T @ v).ravel()], "first": [v[early].ravel()], "early": [part["at"].to_numpy()[early]]})
-
-    head = ", ".join(f"{k} {kinds[k]}" for k in keys)
-    partial = rows.mapInPandas(sums, f"{head}, n long, s array<double>, first array<double>, early array<long>")
-    # As many rows per key as batches that its rows were in; what is gathered is (lags + 2)^2 sums each.
+            out = []
+            for row in batch.itertuples(index=False):
+                n, lags, block, at, s = row[len(keys) :]
+                change, own = np.diff(s), np.nonzero(at[1:] >= block * BLOCK)[0]
+                v = np.zeros((len(own), lags + 3))
+                v[:, 0], v[:, 1], v[:, 2] = change[own], s[own], 1.0
+                for k in range(1, lags + 1):
+                    there = own >= k
+                    v[there, 2 + k] = change[own[there] - k]
+                number, level = at[own + 1], s[at >= block * BLOCK]
+                early = number <= lags + 1
+                out.append((*row[: len(keys)], n, lags, len(own), level.sum(), level @ level, (v.T @ v).ravel(), v[early].ravel(), number[early]))
+            yield pd.DataFrame(out, columns=[*keys, "n", "lags", "changes", "sum", "squares", "s", "first", "early"])
+
+    head = "".join(f"{k} {kinds[k]}, " for k in keys)
+    return rows.mapInPandas(sums, f"{head}n long, lags int, changes long, sum double, squares double, s array<double>, first array<double>, early array<long>")
+
+
+def _finished(sums: DataFrame, keys: tuple, figures, schema: str) -> DataFrame:
+    """``figures(total, first, early, part)`` of each key's sums, as columns of ``schema``; what is gathered is a few sums a block."""
+    kinds = dict(sums.dtypes)
+
     def finish(parts: pd.DataFrame) -> pd.DataFrame:
-        total, changes = np.sum(np.stack(parts["s"].to_numpy()), axis=0).reshape(size, size), int(parts["n"].sum())
-        at, first = np.concatenate(parts["early"].to_list()), np.concatenate(parts["first"].to_list()).reshape(-1, size)
-        return pd.DataFrame([{**{k: parts[k].iloc[0] for k in keys}, **decide(total, first, at, changes, constant, series, minimum, longest)}])
+        size = int(parts["lags"].iloc[0]) + 3
+        total = np.sum(np.stack(parts["s"].to_numpy()), axis=0).reshape(size, size)
+        first, early = np.concatenate(parts["first"].to_list()).reshape(-1, size), np.concatenate(parts["early"].to_list())
+        return pd.DataFrame([{**{k: parts[k].iloc[0] for k in keys}, **figures(total, first, early, parts)}])
 
-    return partial.groupBy(*keys).applyInPandas(finish, f"{head}, {ROOT}")
+    return sums.groupBy(*keys).applyInPandas(finish, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
+
+
+def unit_root(spreads: DataFrame, keys: tuple = PAIR, constant: bool = True, series: int = 1, minimum: int = 50) -> DataFrame:
+    """Augmented Dickey-Fuller test by key, the lag chosen by AIC on the rows that all lags share.
+
+    Regressors of a row: level before, a constant if asked, lagged changes; all from series_sums().
+    """
+    figures = lambda total, first, early, part: decide(total, first, early, int(part["changes"].sum()), constant, series, minimum, int(part["lags"].iloc[0]))
+    return _finished(series_sums(spreads, keys), keys, figures, ROOT)
+
+
+def reversion(total: np.ndarray, first: np.ndarray, early: np.ndarray, changes: int) -> tuple[float | None, float | None]:
+    """(half-life, Hurst exponent) from sums of products."""
+    n, (xy, y, x, xx) = changes, (total[0, 1], total[0, 2], total[1, 2], total[1, 1])
+    variance, half, exponent = xx - x * x / n, None, None
+    if n + 1 >= 30 and variance > 0:
+        slope = (xy - x * y / n) / variance
+        root = abs(1 + slope)
+        half = math.inf if root >= 1 or abs(root - 1) <= 2e-12 else -math.log(2) / slope
+    spread = []
+    for k in HURST_LAGS:
+        lost, m = first[early < k], n - k + 1
+        of = [0, *range(3, 2 + k)]  # the last k changes, whose sum is the change over k rows
+        added = lost[:, of].sum(axis=1)
+        squares, mean = total[np.ix_(of, of)].sum() - (added**2).sum(), (total[of, 2].sum() - added.sum()) / max(m, 1)
+        spread.append(math.sqrt(max(squares - m * mean * mean, 0) / (m - 1)) if m > 1 else 0.0)
+    if min(spread) > 0:
+        exponent = float(np.polyfit(np.log(list(HURST_LAGS)), np.log(spread), 1)[0])
+    return half, exponent
 
 
 ROOT = "statistic double, p_value double, lags long, observations long, critical_1 double, critical_5 double, critical_10 double"
@@ -326,22 +372,39 @@ def select_and_rank(tested: DataFrame, keys: tuple = (), fdr: float = 0.05, long
     return first.withColumn("rank", F.when(F.col("selected"), F.col("rank").cast("int")))
 
 
+SCREENED = ("spread_standard_deviation", "cointegration_statistic", "p_value", "adf_statistic", "adf_p_value", "half_life", "hurst")
+
+
 def screen(panel: DataFrame, extra: tuple = (), minimum: int = 100, fdr: float = 0.05, longest: float = 60.0, hurst_limit: float = 0.5) -> DataFrame:
     """All pairs (per ``extra`` keys, as folds): eligibility first, then tests of the eligible, correction and ranks.
 
     The family is fixed by eligibility alone; a test that fails counts as p = 1.  Pairs that are not eligible come with
-    their reason and no statistics.
+    their reason and no statistics.  One pass over the spreads gives the sums that both tests, half-life and Hurst
+    exponent are made of.
     """
     keys = (*extra, *PAIR)
-    able = eligibility(panel, keys, minimum)
-    tested = panel.join(able.filter("reason is null").select(*keys), list(keys), "left_semi")
-    spreads = ols_spread(tested, keys)
-    fit = spreads.groupBy(*keys).agg(F.first("alpha").alias("alpha"), F.first("beta").alias("beta"), F.stddev_samp("spread").alias("spread_standard_deviation"))
-    test = unit_root(spreads, keys, constant=False, series=2).select(*keys, F.col("statistic").alias("cointegration_statistic"), "p_value")
-    root = adf(spreads, keys).select(*keys, F.col("statistic").alias("adf_statistic"), F.col("p_value").alias("adf_p_value"))
-    rows = able.filter("reason is null").join(fit, list(keys), "left")
-    for part in (test, root, half_life(spreads, keys), hurst(spreads, keys)):
-        rows = rows.join(part, list(keys), "left")
-    ranked = select_and_rank(rows.withColumn("p_value", F.coalesce("p_value", F.lit(1.0))), extra, fdr, longest, hurst_limit).drop("reason")
+    y, x = F.ln("price_y"), F.ln("price_x")
+    able = eligibility(panel, keys, minimum, F.regr_intercept(y, x).alias("alpha"), F.regr_slope(y, x).alias("beta"))
+    fit = able.filter("reason is null").drop("reason")
+    spreads = panel.join(fit.select(*keys, "alpha", "beta"), list(keys)).withColumn("spread", y - F.col("alpha") - F.col("beta") * x)
+
+    def figures(total: np.ndarray, first: np.ndarray, early: np.ndarray, part: pd.DataFrame) -> dict:
+        n, changes, lags = int(part["n"].iloc[0]), int(part["changes"].sum()), int(part["lags"].iloc[0])
+        added = part["sum"].sum()
+        deviation = math.sqrt(max(part["squares"].sum() - added * added / n, 0) / (n - 1)) if n > 1 else None
+        tests = []
+        for constant, series in ((False, 2), (True, 1)):
+            try:
+                found = decide(total, first, early, changes, constant, series, 50, lags)
+                tests += [found["statistic"], found["p_value"]]
+            except (np.linalg.LinAlgError, ValueError, ZeroDivisionError):
+                tests += [None, None]
+        return dict(zip(SCREENED, (deviation, *tests, *reversion(total, first, early, changes)), strict=True))
+
+    tested = _finished(series_sums(spreads, keys), keys, figures, ", ".join(f"{c} double" for c in SCREENED))
+    for c in SCREENED:
+        tested = tested.withColumn(c, F.when(~F.isnan(c), F.col(c)))  # what pandas has for unknown
+    rows = fit.join(tested, list(keys), "left")
+    ranked = select_and_rank(rows.withColumn("p_value", F.coalesce("p_value", F.lit(1.0))), extra, fdr, longest, hurst_limit)
     failed = able.filter("reason is not null").select(*keys, "observations", F.array("reason").alias("rejection_reasons"), F.lit(False).alias("selected"))
     return ranked.unionByName(failed, allowMissingColumns=True)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantmill.functions.windows import by
-from quantmill.operators import hedge, panel, positions, signals
+from quantmill.operators import hedge, panel, positions, signals, tiles
 from quantmill.plans import panels
 from quantmill.plans.panels import PAIR, W, brand_panel, brand_prices
 from quantmill.registry import register
@@ -341,6 +341,15 @@ def h01b(spark, sf):
     return hedge.ols_spread(brand_panel(spark, sf))
 
 
+ALL_PAIRS = "SELECT y.symbol AS symbol_y, x.symbol AS symbol_x, count(*) AS n, regr_intercept(ln(y.price), ln(x.price)) AS alpha, regr_slope(ln(y.price), ln(x.price)) AS beta, sqrt(greatest(regr_syy(ln(y.price), ln(x.price)) - regr_sxy(ln(y.price), ln(x.price)) * regr_slope(ln(y.price), ln(x.price)), 0) / (count(*) - 1)) AS spread_standard_deviation FROM sx y JOIN sx x ON y.date = x.date AND y.symbol < x.symbol GROUP BY 1, 2 HAVING count(*) >= 20"
+
+
+@register("H01_all_pairs", f"{KEYS} n:i alpha:6 beta:6 spread_standard_deviation:6", ALL_PAIRS)
+def h01c(spark, sf):
+    """All pairs of suppliers (499,500 of 1,000) with 20 common days or more, from tiles of a Gram matrix."""
+    return tiles.all_pairs_ols(panels.supplier_prices(spark, sf), panels.supplier_universe(spark, sf), 20)
+
+
 @register("H02_rolling_ols", f"{KEYS} pos:i beta:5 alpha:4", f"SELECT *, CASE WHEN c = 60 THEN cv / v END AS beta, CASE WHEN c = 60 THEN my - cv / v * mx END AS alpha FROM (SELECT *, count(*) OVER w AS c, covar_samp(ln(price_y), ln(price_x)) OVER w AS cv, var_samp(ln(price_x)) OVER w AS v, avg(ln(price_y)) OVER w AS my, avg(ln(price_x)) OVER w AS mx FROM pp WINDOW w AS ({W} ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING))")
 def h02(spark, sf):
     return hedge.rolling_ols(brand_panel(spark, sf), 60)
@@ -427,6 +436,19 @@ def w01(spark, sf):
     return signals.standardise(rows.withColumn("spread", F.ln("price_y") - F.col("hedge_ratio") * F.ln("price_x")), panels.LOOKBACK)
 
 
+@register("W01_all_pairs", f"{KEYS} rows:i date zscore:5", f"""SELECT symbol_y, symbol_x, count(z) AS rows, arg_max(date, date) FILTER (z IS NOT NULL) AS date, arg_max(z, date) FILTER (z IS NOT NULL) AS zscore FROM (
+  SELECT *, CASE WHEN count(s) OVER w = 60 AND stddev_samp(s) OVER w > 1e-12 THEN (s - avg(s) OVER w) / stddev_samp(s) OVER w END AS z FROM (SELECT symbol_y, symbol_x, y.date, ln(y.price) - alpha - beta * ln(x.price) AS s FROM ({ALL_PAIRS}) JOIN sx y ON y.symbol = symbol_y JOIN sx x ON x.symbol = symbol_x AND x.date = y.date)
+  WINDOW w AS (PARTITION BY symbol_y, symbol_x ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)) GROUP BY 1, 2 HAVING count(z) > 0""")
+def w01c(spark, sf):
+    """60-row z-scores of the static spreads of all pairs of suppliers: the last of each, and how many there are."""
+    prices = panels.supplier_prices(spark, sf)
+    fitted = h01c(spark, sf).select(*PAIR, "alpha", "beta")
+    leg = lambda s: prices.select(F.col("symbol").alias(f"symbol_{s}"), "date", F.ln("price").alias(s))
+    rows = fitted.join(leg("y"), "symbol_y").join(leg("x"), ["symbol_x", "date"]).withColumn("spread", F.col("y") - F.col("alpha") - F.col("beta") * F.col("x"))
+    rows = signals.standardise(rows.select(*PAIR, F.col("date").alias("pos"), "spread"), 60).filter("zscore is not null")
+    return rows.groupBy(*PAIR).agg(F.count("*").alias("rows"), F.max("pos").alias("date"), F.max_by("zscore", "pos").alias("zscore"))
+
+
 @register("W01_population_zscore", f"{KEYS} pos:i rolling_std:6", f"SELECT *, CASE WHEN c = 20 THEN s END AS rolling_std FROM (SELECT *, count(spread) OVER w AS c, stddev_pop(spread) OVER w AS s FROM hs WINDOW w AS ({W} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))")
 def w01b(spark, sf):
     return signals.standardise(w01(spark, sf), 20, ddof=0)

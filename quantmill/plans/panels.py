@@ -31,6 +31,17 @@ def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sums.select("symbol", "date", (F.col("c").cast("double") / (F.col("u") * 100).cast("double")).alias("price"))
 
 
+def supplier_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of suppliers by day, from what they shipped; suppliers are symbols of one group."""
+    lines = table(spark, sf_dir, "lineitem").select(F.format_string("S%09d", "l_suppkey").alias("symbol"), F.col("l_shipdate").cast("date").alias("date"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), F.col("l_quantity").cast("long").alias("units"))
+    sums = lines.groupBy("symbol", "date").agg(F.sum("cents").alias("c"), F.sum("units").alias("u"))
+    return sums.select("symbol", "date", (F.col("c").cast("double") / (F.col("u") * 100).cast("double")).alias("price"))
+
+
+def supplier_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(F.format_string("S%09d", "s_suppkey").alias("symbol"), F.lit("all").alias("group_name"))
+
+
 def universe(prices: DataFrame) -> DataFrame:
     return prices.select("symbol").distinct().select("symbol", F.concat(F.lit("G"), (number("symbol") % 5).cast("string")).alias("group_name"))
 
@@ -104,6 +115,8 @@ CTE = {
     "px": """SELECT p.p_brand AS symbol, CAST(l.l_shipdate AS DATE) AS date,
         CAST(sum(CAST(round(l.l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / CAST(100 * sum(CAST(l.l_quantity AS BIGINT)) AS DOUBLE) AS price
       FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey GROUP BY 1, 2""",
+    "sx": """SELECT format('S{:09d}', l_suppkey) AS symbol, CAST(l_shipdate AS DATE) AS date,
+        CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS DOUBLE) / CAST(100 * sum(CAST(l_quantity AS BIGINT)) AS DOUBLE) AS price FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier) GROUP BY 1, 2""",
     "uni": "SELECT DISTINCT symbol, 'G' || CAST(CAST(substr(symbol, 7) AS INT) % 5 AS VARCHAR) AS group_name FROM px",
     "pairs": "SELECT a.symbol AS symbol_y, b.symbol AS symbol_x, a.group_name FROM uni a JOIN uni b ON a.group_name = b.group_name AND a.symbol < b.symbol",
     "pp": """SELECT pr.symbol_y, pr.symbol_x, pr.group_name, y.date, y.price AS price_y, x.price AS price_x,
