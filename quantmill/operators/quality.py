@@ -144,14 +144,18 @@ def portfolio_violations(sleeves: DataFrame, portfolio: DataFrame, cash_weight:
 
 
 def risk_violations(statuses: DataFrame, policy: DataFrame) -> DataFrame:
-    """Statuses that do not follow from value and limit, intents without a breach, actions without an intent before."""
-    breach = F.when(F.col("boundary") == "minimum", F.col("value") < F.col("limit")).otherwise(F.col("value") > F.col("limit"))
-    wrong = statuses.filter((F.col("status") == "BREACH") & ~F.coalesce(breach, F.lit(False))).select("pos", F.lit("breach_within_limit").alias("rule"))
+    """Statuses that do not follow from value and limit, intents without a breach or an action after, actions without an intent before."""
+    breach = F.coalesce(F.when(F.col("boundary") == "minimum", F.col("value") < F.col("limit")).otherwise(F.col("value") > F.col("limit")), F.lit(False))
+    known = F.col("value").isNotNull() & F.col("limit").isNotNull()
+    rule = F.when((F.col("status") == "BREACH") & ~breach, "breach_within_limit").when((F.col("status") == "WITHIN_LIMIT") & breach, "beyond_limit_unnoticed").when((F.col("status") == "WITHIN_LIMIT") & ~known, "unknown_within_limit")
+    wrong = statuses.select("pos", rule.alias("rule")).filter("rule is not null")
     breaches = statuses.filter("status = 'BREACH'").select("pos").distinct()
     intents = policy.filter("intent <> 'NONE'").join(breaches, "pos", "left_anti").select("pos", F.lit("intent_without_breach").alias("rule"))
-    before = F.lag("intent").over(Window.partitionBy(F.lit(1)).orderBy("pos"))
+    days = Window.partitionBy(F.lit(1)).orderBy("pos")  # a row a day
+    before, after = F.lag("intent").over(days), F.lead("requested_action").over(days)
+    idle = policy.withColumn("_after", after).filter("intent <> 'NONE' and _after is not null and _after <> intent").select("pos", F.lit("intent_without_action").alias("rule"))
     actions = policy.withColumn("_before", before).filter("requested_action <> 'NONE' and coalesce(_before, 'NONE') <> requested_action").select("pos", F.lit("action_without_intent").alias("rule"))
-    return wrong.union(intents).union(actions)
+    return wrong.union(intents).union(idle).union(actions)
 
 
 def breach_record_violations(statuses: DataFrame, records: DataFrame) -> DataFrame:
@@ -185,6 +189,13 @@ def run_violations(calendar: DataFrame, coverage: DataFrame) -> DataFrame:
 
 
 def content_digest(rows: DataFrame, columns: list[str], group: str) -> DataFrame:
-    """SHA-256 of each group's rows in order of their own digests; any changed cell changes it."""
+    """(group, digest): a SHA-256 tree over each group's rows; any changed, lost or repeated row changes it.
+
+    Equal rows are one line, "digest:count".  Lines are dealt by their first four hex digits; a leaf's digest is that of
+    its lines in order, a group's that of its leaves ("digits=digest") in order.  So a group of any size needs no more
+    together than a 65,536th of its lines, and 65,536 leaves.
+    """
     row = F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
-    return rows.select(F.col(group), row.alias("_d")).groupBy(group).agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("_d"))), 256).alias("digest"))
+    lines = rows.select(F.col(group), row.alias("_d")).groupBy(group, "_d").agg(F.count("*").alias("_n"))
+    leaves = lines.groupBy(group, F.substring("_d", 1, 4).alias("_leaf")).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws(":", "_d", "_n")))), 256).alias("_d"))
+    return leaves.groupBy(group).agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list(F.concat_ws("=", "_leaf", "_d")))), 256).alias("digest"))

@@ -135,3 +135,19 @@ def return_report(returns: DataFrame, keys: tuple, periods: int = 252, rate: flo
     able = returns.join(base.filter((F.col("n") >= 2) & (F.col("least") > -1)).select(*keys), list(keys), "left_semi")
     out = base.join(metrics.core_metrics(able, keys, periods, rate), list(keys), "left").join(metrics.drawdown_metrics(able, keys, periods).drop("observations"), list(keys), "left")
     return out.withColumn("availability", F.when(F.col("n") < 2, "UNAVAILABLE").when(F.col("least") <= -1, "FAILED").otherwise("AVAILABLE")).withColumn("reason", F.when(F.col("n") < 2, "fewer_than_two_returns").when(F.col("least") <= -1, "return_of_minus_one")).withColumn("complete", F.col("unknown") == 0).drop("n", "least", "unknown")
+
+
+def scenario_reports(scenarios: DataFrame, calendar: DataFrame, traded: DataFrame) -> DataFrame:
+    """A row per scenario: INVALID with its error, or the report of its calendar with trades and rows of unknown cost.
+
+    scenarios: with ``error``, null if they may run.  Figures of the calendar come only if no return of it is unknown.
+    """
+    key = ("scenario_id",)
+    report = return_report(calendar, key).join(coverage(calendar, key), "scenario_id")
+    trades = traded.groupBy(*key).agg(F.count_if(F.col("execution_event").startswith("ENTER")).alias("trades"), F.count("transaction_cost").alias("known_costs"), F.count_if(F.col("transaction_cost").isNull()).alias("unknown_costs"))
+    out = scenarios.join(report, "scenario_id", "left").join(trades, "scenario_id", "left")
+    status = F.when(F.col("error").isNotNull(), "INVALID").when(F.col("availability").isNull(), "NO_FOLDS").when(F.col("availability") == "FAILED", "FAILED").when(~F.col("complete"), "INCOMPLETE").otherwise("COMPLETED")
+    out = out.withColumn("status", status)
+    for c in ("total_return", "annualized_volatility", "sharpe_ratio", "maximum_drawdown"):
+        out = out.withColumn(c, F.when(F.col("status") == "COMPLETED", F.col(c)))
+    return out.withColumn("trades", F.coalesce("trades", F.lit(0)))

@@ -306,8 +306,8 @@ def q10_digests(spark, sf):
     return quality.table_differences(digest(changed), digest(rows), ["symbol"], ["digest"])
 
 
-@register("Q11_content_digests", "symbol digest", """SELECT symbol, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM (SELECT symbol, sha256('{"cents":' || c || ',"date":"' || strftime(date, '%Y-%m-%d') || '","symbol":"' || symbol || '"}') AS d
-  FROM (SELECT symbol, date, CAST(round(price * 100) AS BIGINT) AS c FROM px)) GROUP BY 1""")
+@register("Q11_content_digests", "symbol digest", """SELECT symbol, sha256(string_agg(leaf || '=' || d, ',' ORDER BY leaf)) AS digest FROM (SELECT symbol, substr(d, 1, 4) AS leaf, sha256(string_agg(d || ':' || n, ',' ORDER BY d)) AS d FROM (
+  SELECT symbol, sha256('{"cents":' || c || ',"date":"' || strftime(date, '%Y-%m-%d') || '","symbol":"' || symbol || '"}') AS d, count(*) AS n FROM (SELECT symbol, date, CAST(round(price * 100) AS BIGINT) AS c FROM px) GROUP BY 1, 2) GROUP BY 1, 2) GROUP BY 1""")
 def q11(spark, sf):
     return quality.content_digest(brand_prices(spark, sf).withColumn("cents", F.round(F.col("price") * 100).cast("long")), ["symbol", "date", "cents"], "symbol")
 

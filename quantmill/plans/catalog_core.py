@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quantmill.functions.durable import shared_folder
 from quantmill.functions.windows import by
 from quantmill.operators import hedge, panel, positions, signals, tiles
 from quantmill.plans import panels
@@ -12,6 +15,7 @@ from quantmill.plans.panels import PAIR, W, brand_panel, brand_prices
 from quantmill.registry import register
 from quantmill.sources import prices as sources
 from quantmill.sources import store
+from quantmill.sources.tables import Table
 
 RULES = signals.Rules(1.5, 0.5, 2.5, 10, 2)
 SPINE = "SELECT s.symbol, d.date, d.pos, px.price FROM (SELECT DISTINCT symbol FROM px) s CROSS JOIN (SELECT date, row_number() OVER (ORDER BY date) - 1 AS pos FROM (SELECT DISTINCT date FROM px)) d LEFT JOIN px ON px.symbol = s.symbol AND px.date = d.date"
@@ -71,6 +75,20 @@ def s03(spark, sf):
     return sources.upsert(old, new, ["symbol", "date", "source"], "loaded_at")
 
 
+def stored(spark, schema, keys, order, part, *loads):
+    """What a new table in the shared folder holds once ``loads`` have been merged into it, one after another."""
+    table = Table(f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", schema, keys, order, part)
+    for load in loads:
+        table.merge(load)
+    return table.read(spark)
+
+
+@register("S03_stored_prices", "symbol date price:9 source loaded_at:i", LOADED)
+def s03d(spark, sf):
+    """The same loads merged into a table on disk, by the month of their dates."""
+    return stored(spark, "symbol string, date date, price double, source string, loaded_at long", ("symbol", "date", "source"), "loaded_at", "date_format(date, 'yyyy-MM')", *_two_loads(spark, sf))
+
+
 def _rows_to_store(spark, sf):
     """Closing times of New York, which are the next day in UTC."""
     long = brand_prices(spark, sf).withColumn("time", F.col("date").cast("timestamp_ntz") + F.expr("interval 22 hours"))
@@ -120,6 +138,14 @@ def s05(spark, sf):
     return sources.upsert(report.withColumn("loaded_at", F.lit(0)), report.withColumn("loaded_at", F.lit(1)), ["run_id", "symbol"], "loaded_at")
 
 
+@register("S05_stored_quality", "run_id:i symbol coverage:9 loaded_at:i", f"SELECT CASE WHEN symbol < 'Brand#2' THEN 1 ELSE 0 END AS run_id, symbol, coverage, CASE WHEN symbol < 'Brand#15' THEN 1 ELSE 0 END AS loaded_at FROM ({REPORT_SQL})")
+def s05b(spark, sf):
+    """Quality reports in a table on disk by run; a second load has some symbols again."""
+    report = c05(spark, sf).select(F.when(F.col("symbol") < "Brand#2", 1).otherwise(0).alias("run_id"), "symbol", "coverage")
+    again = report.filter("symbol < 'Brand#15'").withColumn("loaded_at", F.lit(1))
+    return stored(spark, "run_id int, symbol string, coverage double, loaded_at int", ("run_id", "symbol"), "loaded_at", "run_id", report.withColumn("loaded_at", F.lit(0)), again)
+
+
 @register("S06_load_quality", "symbol coverage:9", f"SELECT symbol, coverage FROM ({REPORT_SQL}) WHERE symbol < 'Brand#2' ORDER BY symbol")
 def s06(spark, sf):
     return s05(spark, sf).filter("run_id = 1").orderBy("symbol")
@@ -142,6 +168,14 @@ def s07(spark, sf):
     return store.store_screening(batch.limit(0).withColumn("half_life_was_infinite", F.lit(False)), batch)
 
 
+@register("S07_stored_screening", "run_id symbol_y symbol_x corrected_p:6 half_life:4 half_life_was_infinite selected rank:i")
+def s07b(spark, sf):
+    """Screening results in a table on disk by run, one run after the other."""
+    rows = s07(spark, sf).select("run_id", *PAIR, "corrected_p", "half_life", "half_life_was_infinite", "selected", "rank", "loaded_at")
+    schema = "run_id string, symbol_y string, symbol_x string, corrected_p double, half_life double, half_life_was_infinite boolean, selected boolean, rank int, loaded_at int"
+    return stored(spark, schema, ("run_id", *PAIR), "loaded_at", "run_id", *[rows.filter(F.col("run_id") == r) for r in ("run-a", "run-b")])
+
+
 @register("S08_load_screening", "run_id symbol_y symbol_x corrected_p:6 half_life:4 rank:i")
 def s08(spark, sf):
     return store.load_screening(s07(spark, sf), "run-a", True, 10, 5)
@@ -161,6 +195,16 @@ def s09(spark, sf):
     return store.new_runs(identities.filter("run_id < '1998-01'"), identities)
 
 
+@register("S09_stored_runs", "run_id created_at", f"SELECT run_id, created_at FROM ({RUNS})")
+def s09b(spark, sf):
+    """Runs in a table on disk by year: those that are not stored yet are appended."""
+    identities, _ = _runs(spark, sf)
+    table = Table(f"{shared_folder(spark)}/table-{uuid.uuid4().hex}", "run_id string, created_at date", ("run_id",), "created_at", "substring(run_id, 1, 4)")
+    table.merge(identities.filter("run_id < '1998-01'"))
+    table.merge(store.new_runs(table.read(spark), identities))
+    return table.read(spark)
+
+
 @register("S10_list_runs", "run_id created_at orders:i", f"SELECT * FROM ({RUNS}) ORDER BY created_at DESC, run_id LIMIT 10 OFFSET 5")
 def s10(spark, sf):
     return store.list_runs(*_runs(spark, sf), 10, 5)

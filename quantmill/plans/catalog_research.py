@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quantmill.functions.durable import written
+from quantmill.functions.durable import shared_folder, written
 from quantmill.operators import grid, inference, panel, portfolio, quality, risk, signals, walkforward
 from quantmill.plans import jobs, panels
 from quantmill.plans.catalog_core import FOLDS, NUMBERED, brand_folds, numbered, s07
-from quantmill.plans.panels import CAPITAL, PAIR, accounts, brand_prices, returns
+from quantmill.plans.panels import CAPITAL, PAIR, brand_prices
 from quantmill.registry import register
 from quantmill.sources import store
 
@@ -47,6 +49,15 @@ def shared(name, make, spark, sf):
     return SHARED[key]
 
 
+def accounts(spark, sf):
+    """The pairs' accounts, which returns, exposures and portfolios all read."""
+    return shared("accounts", lambda spark, sf: written(panels.accounts(spark, sf)), spark, sf)
+
+
+def returns(spark, sf):
+    return accounts(spark, sf).select(*PAIR, "pos", "date", F.col("net_return_after_carry").alias("r"))
+
+
 def marks(spark, sf):
     """The cleaned market: every date has a mark of every symbol."""
     return shared("marks", lambda spark, sf: written(panels.marked_prices(spark, sf)), spark, sf)
@@ -237,16 +248,7 @@ def grid_run(spark, sf):
 
 
 def scenario_reports(spark, sf):
-    """A row per scenario: INVALID with its error, or the report of its calendar with trades and rows of unknown cost."""
-    every, rows, done = grid_run(spark, sf)
-    report = walkforward.return_report(rows, ("scenario_id",)).join(walkforward.coverage(rows, ("scenario_id",)), "scenario_id")
-    trades = done.groupBy("scenario_id").agg(F.count_if(F.col("execution_event").startswith("ENTER")).alias("trades"), F.count("transaction_cost").alias("known_costs"), F.count_if(F.col("transaction_cost").isNull()).alias("unknown_costs"))
-    out = every.join(report, "scenario_id", "left").join(trades, "scenario_id", "left")
-    status = F.when(F.col("error").isNotNull(), "INVALID").when(F.col("availability").isNull(), "NO_FOLDS").when(F.col("availability") == "FAILED", "FAILED").when(~F.col("complete"), "INCOMPLETE").otherwise("COMPLETED")
-    out = out.withColumn("status", status)
-    for c in ("total_return", "annualized_volatility", "sharpe_ratio", "maximum_drawdown"):
-        out = out.withColumn(c, F.when(F.col("status") == "COMPLETED", F.col(c)))  # calendar figures only if no return is unknown
-    return out.withColumn("trades", F.coalesce("trades", F.lit(0)))
+    return walkforward.scenario_reports(*grid_run(spark, sf))
 
 
 FIGURES = ("total_return", "annualized_return", "annualized_volatility", "sharpe_ratio", "maximum_drawdown")
@@ -448,8 +450,7 @@ ALLOCATED = f"SELECT pair_id, 0.9 / count(*) OVER () AS weight, 0.9 / count(*) O
 
 
 def days(spark, sf):
-    prices = brand_prices(spark, sf).join(panels.universe(brand_prices(spark, sf)), "symbol")  # a date counts if two symbols of a group have it
-    dates = prices.groupBy("group_name", "date").agg(F.count("*").alias("n")).filter("n > 1").select("date").distinct()
+    dates = accounts(spark, sf).select("date").distinct()  # those that two symbols of a group have
     return dates.withColumn("at", (F.row_number().over(Window.orderBy("date")) - 1).cast("long"))
 
 
@@ -475,9 +476,11 @@ def m01(spark, sf):
     return portfolio.repeated_pairs(pairs.union(swapped))
 
 
-@register("M02_inferred_capital", f"{KEYS} capital:2 constant", f"SELECT symbol_y, symbol_x, {CAPITAL} AS capital, true AS constant FROM pairs")
+@register("M02_inferred_capital", f"{KEYS} capital:2 constant", f"SELECT symbol_y, symbol_x, min({CAPITAL} + CASE WHEN group_name = 'G2' AND pos % 100 = 7 THEN 50 ELSE 0 END) AS capital, count(*) FILTER (group_name = 'G2' AND pos % 100 = 7) = 0 AS constant FROM ac GROUP BY 1, 2")
 def m02(spark, sf):
-    return portfolio.inferred_capital(accounts(spark, sf), PAIR)
+    """In one group some rows have an equity that another capital would give."""
+    odd = (F.col("group_name") == "G2") & (F.col("pos") % 100 == 7)
+    return portfolio.inferred_capital(accounts(spark, sf).withColumn("net_equity_after_carry", F.col("net_equity_after_carry") + F.when(odd, 50).otherwise(0)), PAIR)
 
 
 @register("M03_calendar_sources", "pair_id rows:i known:i", f"SELECT pair_id, count(*) AS rows, count(r) AS known FROM ({ALIGNED}) GROUP BY 1")
@@ -503,7 +506,7 @@ PNL = f"SELECT *, sleeve_equity - CASE WHEN pos = 0 THEN allocated_capital ELSE
 
 @register("M06_sleeves", "pair_id pos:i sleeve_equity:4 sleeve_pnl:4 insolvent", PNL)
 def m06(spark, sf):
-    return portfolio.sleeves(aligned(spark, sf), allocations(spark, sf))
+    return shared("sleeves", lambda spark, sf: written(portfolio.sleeves(aligned(spark, sf), allocations(spark, sf))), spark, sf)
 
 
 PORTFOLIO = f"""SELECT *, portfolio_pnl / CASE WHEN pos = 0 THEN {CAPITAL} ELSE lag(portfolio_equity) OVER (ORDER BY pos) END AS portfolio_return FROM (
@@ -650,17 +653,19 @@ def x08(spark, sf):
     return risk.risk_summary(statuses(spark, sf))
 
 
-@register("Q07_portfolio_identities", "pos:i rule", "SELECT 10 AS pos, 'equity' AS rule")
+@register("Q07_portfolio_identities", "pos:i rule", f"SELECT pos, CASE WHEN pos % 50 = 10 THEN 'equity' ELSE 'pnl' END AS rule FROM ({PORTFOLIO}) WHERE portfolio_equity IS NOT NULL AND pos % 50 IN (10, 20)")
 def q07(spark, sf):
-    rows = portfolio_rows(spark, sf)
-    return quality.portfolio_violations(m06(spark, sf), rows.withColumn("portfolio_equity", F.when(F.col("pos") == 10, F.col("portfolio_equity") + 5).otherwise(F.col("portfolio_equity"))), 0.1, CAPITAL)
+    """Some rows of the portfolio have another equity, others another P&L, than their sleeves."""
+    rows = written(portfolio_rows(spark, sf))
+    more = lambda c, at, by: F.when(F.col("pos") % 50 == at, F.col(c) + by).otherwise(F.col(c))
+    return quality.portfolio_violations(m06(spark, sf), rows.withColumns({"portfolio_equity": more("portfolio_equity", 10, 5), "portfolio_pnl": more("portfolio_pnl", 20, 1)}), 0.1, CAPITAL)
 
 
-@register("Q08_risk_rules", "pos:i rule", "SELECT 3 AS pos, 'intent_without_breach' AS rule FROM (SELECT count(*) AS n FROM px)")
+@register("Q08_risk_rules", "pos:i rule", f"SELECT pos, 'intent_without_breach' AS rule FROM ({OVERALL}) WHERE breaches = 0 AND pos % 9 = 3")
 def q08(spark, sf):
-    s, p = statuses(spark, sf), policy(spark, sf)
-    calm = s.filter("status = 'BREACH' and pos = 3").count() == 0
-    return quality.risk_violations(s, p.withColumn("intent", F.when((F.col("pos") == 3) & F.lit(calm), "LIQUIDATE_ALL").otherwise(F.col("intent")))).filter("rule = 'intent_without_breach'")
+    """Every ninth row has an intent; those without a breach are found."""
+    p = policy(spark, sf)
+    return quality.risk_violations(statuses(spark, sf), p.withColumn("intent", F.when(F.col("pos") % 9 == 3, "LIQUIDATE_ALL").otherwise(F.col("intent")))).filter("rule = 'intent_without_breach'")
 
 
 @register("Q08_breach_records", "pos:i control rule", f"SELECT pos, control, CASE pos % 7 WHEN 0 THEN 'missing' ELSE 'repeated' END AS rule FROM ({STATUS}) WHERE status = 'BREACH' AND pos % 7 < 2 UNION ALL SELECT pos, control, 'no_breach' FROM ({STATUS}) WHERE status = 'UNEVALUABLE'")
@@ -671,19 +676,24 @@ def q08b(spark, sf):
     return quality.breach_record_violations(s, records.union(records.filter("pos % 7 = 1")).union(s.filter("status = 'UNEVALUABLE'").select("pos", "control")))
 
 
-@register("Q08_actions", "pos:i rule", f"SELECT pos + 3 AS pos, 'action_without_intent' AS rule FROM (SELECT min(pos) AS pos FROM ({STATUS}) WHERE status = 'BREACH') WHERE pos IS NOT NULL UNION ALL SELECT s.pos, 'breach_within_limit' FROM ({STATUS}) s WHERE s.status = 'WITHIN_LIMIT' AND s.control = 'active_pairs' AND s.pos % 11 = 4")
+@register("Q08_actions", "pos:i rule", f"""SELECT pos + 3 AS pos, 'action_without_intent' AS rule FROM (SELECT min(pos) AS pos FROM ({STATUS}) WHERE status = 'BREACH') WHERE pos IS NOT NULL UNION ALL SELECT pos, 'intent_without_action' FROM (SELECT min(pos) AS pos FROM ({STATUS}) WHERE status = 'BREACH') WHERE pos IS NOT NULL
+  UNION ALL SELECT s.pos, CASE status WHEN 'WITHIN_LIMIT' THEN 'breach_within_limit' WHEN 'BREACH' THEN 'beyond_limit_unnoticed' ELSE 'unknown_within_limit' END FROM ({STATUS}) s WHERE s.control = 'active_pairs' AND s.pos % 11 = 4""")
 def q08c(spark, sf):
-    """An action comes two rows late, and some values within their limit are called breaches."""
+    """An action comes two rows late; some values within their limit are called breaches, and breaches and unknown values within it."""
     s, p = statuses(spark, sf), policy(spark, sf)
-    wrong = (F.col("control") == "active_pairs") & (F.col("status") == "WITHIN_LIMIT") & (F.col("pos") % 11 == 4)
+    wrong = (F.col("control") == "active_pairs") & (F.col("pos") % 11 == 4)
     late = F.lag("requested_action", 2, "NONE").over(Window.partitionBy(F.lit(1)).orderBy("pos"))
-    return quality.risk_violations(s.withColumn("status", F.when(wrong, "BREACH").otherwise(F.col("status"))), p.withColumn("requested_action", late)).filter("rule <> 'intent_without_breach'")
+    changed = s.withColumn("status", F.when(wrong, F.when(F.col("status") == "WITHIN_LIMIT", "BREACH").otherwise("WITHIN_LIMIT")).otherwise(F.col("status")))
+    return quality.risk_violations(changed, p.withColumn("requested_action", late)).filter("rule <> 'intent_without_breach'")
 
 
-@register("Q09_run_counts", "rule", "SELECT 'known' AS rule")
+@register("Q09_run_counts", "rule", "SELECT 'known' AS rule FROM (SELECT count(*) AS n FROM rt) WHERE n % 2 = 0 UNION ALL SELECT CASE n % 2 WHEN 0 THEN 'folds' ELSE 'rows' END FROM (SELECT count(*) AS n FROM rt)")
 def q09(spark, sf):
+    """Which counts of a report are wrong depends on how many rows there are."""
     rows = yearly(spark, sf).withColumn("status", F.lit("COMPLETED"))
-    return quality.run_violations(rows, walkforward.coverage(rows).withColumn("known_rows", F.col("known_rows") - 1))
+    even = (F.col("scheduled_rows") % 2 == 0).cast("int")
+    wrong = walkforward.coverage(rows).withColumns({"known_rows": F.col("known_rows") - even, "folds": F.col("folds") + even, "scheduled_rows": F.col("scheduled_rows") - 1 + even})
+    return quality.run_violations(rows, wrong)
 
 
 @register("Q10_whole_run", "rule n:i")
@@ -736,24 +746,30 @@ def g06(spark, sf):
 
 
 def _research(spark, sf):
-    return jobs.research(written(fold_panel(spark, sf)), mark_folds(spark, sf), RULES, target=panels.NOTIONAL)
+    rows = written(fold_panel(spark, sf))
+    few = scenarios(spark, sf).filter("is_baseline or (exit_z = 0.5 and zscore_lookback = 60 and formation_window = 504)")  # the entry thresholds
+    plan = jobs.Request(mark_folds(spark, sf), RULES, scenarios=few, dates=marks(spark, sf).select("date").distinct().count(), options={"target": panels.NOTIONAL})
+    return jobs.research(rows, plan, jobs.run_store(f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"), "run-1")
 
 
 def research(spark, sf):
     return shared("research", _research, spark, sf)
 
 
-@register("O01_research_job", "folds:i completed:i scheduled_rows:i known_rows:i selected_pairs:i diagnostic_rows:i psr:6")
+@register("O01_research_job", "folds:i completed:i scheduled_rows:i known_rows:i selected_pairs:i diagnostic_rows:i scenarios:i completed_scenarios:i psr:6")
 def o01(spark, sf):
+    """What a whole run has come to: walk-forward, screening, diagnostic, grid and validation."""
     run = research(spark, sf)
     chosen = run["screening"].agg(F.count_if("selected").alias("selected_pairs"))
     diagnosed = run["diagnostic"].agg(F.count("*").alias("diagnostic_rows"))
-    return run["coverage"].join(chosen, how="left").join(diagnosed, how="left").join(run["validation"].select("psr"), how="left")  # one row each
+    grids = run["grid"].agg(F.count("*").alias("scenarios"), F.count_if(F.col("status") == "COMPLETED").alias("completed_scenarios"))
+    return run["coverage"].join(chosen, how="left").join(diagnosed, how="left").join(grids, how="left").join(run["validation"].select("psr"), how="left")  # one row each
 
 
-@register("O01_stages", "stage rows:i status")
+@register("O01_stages", "run_id stage status rows:i reason")
 def o01b(spark, sf):
-    return research(spark, sf)["stages"]
+    """The durable record of the run, read back from its store."""
+    return research(spark, sf)["record"]
 
 
 SETTINGS = """SELECT run_id, '{"entry_z":2.0,' || CASE WHEN orders % 2 = 0 THEN '"gross_leverage_cap":1.5,' ELSE '' END || '"orders":' || CAST(orders AS VARCHAR) || '}' AS settings, CASE WHEN orders % 2 = 0 THEN 'gross_leverage_cap' ELSE '' END AS unenforced

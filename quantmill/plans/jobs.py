@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantmill.functions.durable import written
-from quantmill.operators import accounting, hedge, inference, positions, signals, walkforward
+from quantmill.operators import accounting, grid, hedge, inference, positions, signals, walkforward
+from quantmill.sources import tables
 
 PAIR = ("symbol_y", "symbol_x")
 #: Settings that a run carries and no stage applies.
@@ -43,22 +46,93 @@ def in_sample_diagnostic(panel: DataFrame, screened: DataFrame, rules: signals.R
     return accounting.financed_schedule(schedule, capital, **(costs or {}))
 
 
-def research(panel: DataFrame, folds: DataFrame, rules: signals.Rules, minimum: int = 100, fdr: float = 0.05, **options) -> dict[str, DataFrame]:
-    """The tables of a research run: screening, diagnostic, traded, calendar, coverage, report, validation and stages.
+RECORD = "run_id string, stage string, status string, rows long, reason string, recorded long"
+
+
+def run_store(root: str) -> tables.Table:
+    """Where runs keep what became of their stages."""
+    return tables.Table(root, RECORD, ("run_id", "stage"), "recorded", "substring(run_id, 1, 7)")
+
+
+@dataclass(frozen=True)
+class Request:
+    """What a run is asked for.  scenarios: parameter_grid() rows, None for no grid; dates: positions of the panel."""
+
+    folds: DataFrame
+    rules: signals.Rules
+    minimum: int = 100
+    fdr: float = 0.05
+    scenarios: DataFrame | None = None
+    dates: int = 0
+    validate: bool = True
+    options: dict = field(default_factory=dict)
+
+
+class Unavailable(Exception):
+    """A stage has nothing to work on; the message says why."""
+
 
-    ``panel`` numbers its rows by a calendar that all pairs share.  The walk-forward does not depend on the diagnostic.
-    stages has a row per stage with its rows and status: a stage without rows is EMPTY, which is no error.
+def research(panel: DataFrame, request: Request, store: tables.Table | None = None, run_id: str = "run") -> dict[str, DataFrame]:
+    """The tables of a research run, by stage, and ``record``: run_id, stage, status, rows and reason of each stage.
+
+    Stages: screening, diagnostic (the rank-1 pair, in sample), traded and calendar (the walk-forward, which does not
+    depend on the diagnostic), coverage, report, grid (a row a scenario) and validation.  A stage's table is written
+    before the next one starts.  Status: COMPLETED; NOT_REQUESTED; UNAVAILABLE, with the reason, where a stage before it
+    left nothing to work on; FAILED where it broke off.  Either way the other stages go on, and a stage without a table
+    has none in the result.  The record is merged into ``store`` as each stage ends, so a run that is lost midway has
+    left the stages before.
     """
-    screened = written(hedge.screen(panel, (), minimum, fdr, options.get("longest", 60.0), options.get("hurst_limit", 0.5)))
-    per_fold, traded = walkforward.run_folds(panel, folds, rules, minimum=minimum, fdr=fdr, **options)
-    calendar = written(walkforward.calendar_returns(walkforward.fold_status(folds, per_fold.filter("corrected_p is not null"), traded), traded))
-    whole = calendar.withColumn("run", F.lit("run"))
-    tables = {
-        "screening": screened, "diagnostic": in_sample_diagnostic(panel, screened, rules), "traded": traded, "calendar": calendar, "coverage": walkforward.coverage(calendar),
-        "report": walkforward.return_report(whole, ("run",)), "validation": inference.probabilistic_sharpe(whole, 0.0, ("run",)),
-    }
-    counts = [t.agg(F.count("*").alias("rows")).select(F.lit(k).alias("stage"), "rows") for k, t in tables.items()]
-    stages = counts[0]
-    for more in counts[1:]:
-        stages = stages.union(more)
-    return {**tables, "stages": stages.withColumn("status", F.when(F.col("rows") > 0, "COMPLETED").otherwise("EMPTY"))}
+    spark, tables_, record = panel.sparkSession, {}, []
+
+    def note(stage: str, status: str, rows: int = 0, reason: str | None = None) -> None:
+        record.append((run_id, stage, status, rows, reason, len(record)))
+        if store is not None:
+            store.merge(spark.createDataFrame(record[-1:], RECORD))
+
+    def stage(name: str, make, *needs: str, requested: bool = True) -> None:
+        if not requested:
+            return note(name, "NOT_REQUESTED")
+        try:
+            for n in needs:
+                if n not in tables_:
+                    raise Unavailable(f"{n} is not available")
+            made = written(make())
+            rows = made.count()
+            if not rows:
+                raise Unavailable("no rows")
+            tables_[name] = made
+            note(name, "COMPLETED", rows)
+        except Unavailable as e:
+            note(name, "UNAVAILABLE", 0, str(e))
+        except Exception as e:  # the other stages' results are kept
+            note(name, "FAILED", 0, f"{type(e).__name__}: {str(e).splitlines()[0] if str(e) else ''}"[:300])
+
+    r, walk = request, {}
+
+    def walked() -> DataFrame:
+        if r.folds.isEmpty():
+            raise Unavailable("no fold fits into the panel")
+        walk["screened"], walk["traded"] = walkforward.run_folds(panel, r.folds, r.rules, minimum=r.minimum, fdr=r.fdr, **r.options)
+        return walkforward.calendar_returns(walkforward.fold_status(r.folds, walk["screened"].filter("corrected_p is not null"), walk["traded"]), walk["traded"])
+
+    whole = lambda: tables_["calendar"].withColumn("run", F.lit("run"))
+    money = {k: v for k, v in r.options.items() if k in ("target", "capital", "costs")}
+    limits = {k: v for k, v in r.options.items() if k in ("longest", "hurst_limit")}
+
+    def scenario_table() -> DataFrame:
+        every = written(grid.configuration_errors(r.scenarios))
+        valid = every.filter("error is null")
+        lookbacks = sorted(x[0] for x in valid.select("zscore_lookback").distinct().collect())  # an axis of the grid
+        calendar, traded = walkforward.run_grid(panel, valid, grid.scenario_folds(valid, r.dates), lookbacks, r.minimum, r.fdr, **limits, **money)
+        return walkforward.scenario_reports(every, calendar, traded)
+
+    stage("screening", lambda: hedge.screen(panel, (), r.minimum, r.fdr, **limits))
+    stage("diagnostic", lambda: in_sample_diagnostic(panel, tables_["screening"], r.rules, **money), "screening")
+    stage("calendar", walked)
+    stage("traded", lambda: walk["traded"], "calendar")
+    stage("coverage", lambda: walkforward.coverage(tables_["calendar"]), "calendar")
+    stage("report", lambda: walkforward.return_report(whole(), ("run",)), "calendar")
+    stage("grid", scenario_table, requested=r.scenarios is not None)
+    stage("validation", lambda: inference.probabilistic_sharpe(whole(), 0.0, ("run",)), "calendar", requested=r.validate)
+    kept = store.read(spark).filter(F.col("run_id") == run_id) if store is not None else spark.createDataFrame(record, RECORD)
+    return {**tables_, "record": kept.orderBy("recorded").drop("recorded")}

@@ -70,9 +70,9 @@ def price_row_violations(rows: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame, batch: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Union in which, for each key, the row with the highest ``order`` wins; at a tie the batch wins."""
+    """Union in which, for each key, the row with the highest ``order`` wins; at a tie the batch, then the one with the lowest hash."""
     both = existing.withColumn("_batch", F.lit(0)).unionByName(batch.withColumn("_batch", F.lit(1)))
-    last = Window.partitionBy(*keys).orderBy(F.col(order).desc(), F.col("_batch").desc())
+    last = Window.partitionBy(*keys).orderBy(F.col(order).desc(), F.col("_batch").desc(), F.xxhash64(*[c for c, kind in both.dtypes if not kind.startswith("map")]))
     return both.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n", "_batch")
 
 
