@@ -1,16 +1,19 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Lines (lower-cased, trimmed) within EDITS edits of each other: the shorter one is cut into EDITS + 1 segments, and at
-least one of them stands unchanged in the longer one, shifted by no more than the edits allow.  So each line gives its
-segments as index keys, and the substrings at the shifts that are possible for each length as probe keys; a key is a
-hash of (length, segment number, characters), made by column expressions, so a key travels without its line.  Segments
-of lines of SHORT characters or fewer would be too short to tell lines apart: those (and lines that are up to EDITS
-longer, so that no pair falls between the two ways) have the strings that EDITS deletions or fewer leave as keys.
+Two lines (lower-cased, trimmed) are near when their edit distance is at most allowed(length of the shorter): one edit
+for SHORT characters, two for twice as many and more.  So lines under SHORT characters are near only if equal: a list or
+code keeps its short lines.
+
+The shorter of two near lines is cut into EDITS + 1 segments, and at least one of them stands unchanged in the longer
+one, shifted by no more than the edits allow.  So each line gives its segments as index keys, and the substrings at the
+shifts that are possible for each length as probe keys; a key is a hash of (length, segment number, characters), made
+by column expressions, so a key travels without its line.  Segments of lines of SHORT characters would be too short to
+tell lines apart: those, and lines that are longer by one, have what one deletion leaves of them as keys.
 
 Lines that share a key form a bucket.  Buckets over ``block`` lines are not compared but split again by segments of
 what is left of their lines, up to LEVELS times; what is still larger is compared in pairs of blocks.  In a bucket
 letter counts rule most pairs out and a banded bit-parallel edit distance decides.  Components of the links are the
-classes.  Any two lines within EDITS edits are in one class, whatever their length.
+classes.  Any two near lines are in one class.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from quantmill.llm.shared import sent, written
 from quantmill.llm.text import digest, has_word, whole
 
 EDITS = 2
-#: Lines of so many characters or fewer meet by what deletions leave of them.
+#: Characters that allow an edit; lines of so many meet by what one deletion leaves of them, shorter ones not at all.
 SHORT = 8
 BLOCK = 512
 #: How often the lines of a key are split before blocks of them are compared.
@@ -37,6 +40,11 @@ LEVELS = 3
 FEW = 1 << 18
 
 
+def allowed(length: int, edits: int = EDITS, short: int = SHORT) -> int:
+    """Edits that make lines near, the shorter of which has ``length`` characters."""
+    return min(edits, length // short)
+
+
 def within(a: str, b: str, edits: int = EDITS) -> bool:
     """Whether the edit distance is ``edits`` or less: Myers's bit vectors on a band of 2 * edits + 1 diagonals."""
     if len(a) > len(b):
@@ -103,15 +111,10 @@ def places(edits: int = EDITS) -> list[tuple[Column, Column, Column]]:
     return [(F.col(f"c{less}_{i}") + shift, F.col(f"c{less}_{i + 1}") + shift, (F.col("n") - less) * (edits + 1) + i) for less, i, shift in shifts(edits)]
 
 
-def _deletions(text: Column, edits: int) -> Column:
-    """What is left of a short text after ``edits`` deletions or fewer."""
-    drop = lambda x, i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.lit(1 << 20)))
-    once = lambda x: F.when(F.char_length(x) > 0, F.transform(F.sequence(F.lit(1), F.char_length(x)), lambda i: drop(x, i))).otherwise(F.array().cast("array<string>"))
-    left = every = F.array(text)
-    for _ in range(edits):
-        left = F.array_distinct(F.flatten(F.transform(left, once)))
-        every = F.array_union(every, left)
-    return every
+def _deletions(text: Column) -> Column:
+    """A text, and what is left of it after one deletion."""
+    drop = lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.lit(1 << 20)))
+    return F.array_distinct(F.concat(F.array(text), F.transform(F.sequence(F.lit(1), F.char_length(text)), drop)))
 
 
 def segment_keys(text: Column, path: Column, edits: int = EDITS) -> Column:
@@ -120,11 +123,11 @@ def segment_keys(text: Column, path: Column, edits: int = EDITS) -> Column:
 
 
 def line_keys(lines: DataFrame, edits: int = EDITS, short: int = SHORT) -> DataFrame:
-    """(key, id, place) of each line; place is -1 for keys that deletions leave."""
-    deleted = F.transform(_deletions(F.col("line"), edits), lambda x: F.struct(F.xxhash64(x, F.lit(-1)).alias("key"), F.lit(-1).cast("byte").alias("place")))
-    lines = with_cuts(lines.select(F.xxhash64("line").alias("id"), "line"), "line", edits)
+    """(key, id, place) of each line of ``short`` characters or more; place is -1 for keys that deletions leave."""
+    deleted = F.transform(_deletions(F.col("line")), lambda x: F.struct(F.xxhash64(x, F.lit(-1)).alias("key"), F.lit(-1).cast("byte").alias("place")))
+    lines = with_cuts(lines.select(F.xxhash64("line").alias("id"), "line"), "line", edits).filter(F.col("n") >= short)
     lines = lines.withColumn("cut", F.when(F.col("n") > short, segment_keys(F.col("line"), F.lit(0).cast("long"), edits)))
-    keys = F.when(F.col("n") > short + edits, F.col("cut")).when(F.col("n") > short, F.concat("cut", deleted)).otherwise(deleted)
+    keys = F.when(F.col("n") > short + 1, F.col("cut")).when(F.col("n") > short, F.concat("cut", deleted)).otherwise(deleted)
     return lines.select("id", keys.alias("x")).select("id", F.explode_outer("x").alias("x")).select("x.key", "id", "x.place")  # outer: no test for empty arrays, which would make the keys twice
 
 
@@ -135,10 +138,11 @@ def _rest(text: Column, place: Column, edits: int) -> Column:
     return F.concat(F.substring(text, F.lit(1), start), F.substring(text, end + 1, F.lit((1 << 31) - 1)))
 
 
-def forest(lines: list[str], edits: int = EDITS) -> list[tuple[str, str]]:
-    """Links of a spanning forest of lines within ``edits``.  Letters counted in 64 classes rule pairs out first."""
+def forest(lines: list[str], edits: int = EDITS, short: int = SHORT) -> list[tuple[str, str]]:
+    """Links of a spanning forest of near lines.  Letters counted in 64 classes rule pairs out first."""
+    near_lines = lambda a, b: within(a, b, allowed(min(len(a), len(b)), edits, short))
     if len(lines) == 2:
-        return [(lines[0], lines[1])] if within(*lines, edits) else []
+        return [(lines[0], lines[1])] if near_lines(*lines) else []
     counts = np.stack([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % 64, minlength=64).astype(np.int32) for x in lines])
     left, links = np.arange(len(lines)), []
     while len(left):
@@ -146,19 +150,19 @@ def forest(lines: list[str], edits: int = EDITS) -> list[tuple[str, str]]:
         while front and len(left):
             at = front.pop()
             near = np.abs(counts[left] - counts[at]).sum(axis=1) <= 2 * edits
-            near[near] = [within(lines[at], lines[x], edits) for x in left[near]]
+            near[near] = [near_lines(lines[at], lines[x]) for x in left[near]]
             found, left = left[near], left[~near]
             links += [(lines[at], lines[x]) for x in found]
             front += found.tolist()
     return links
 
 
-def _linker(edits: int):
+def _linker(edits: int, short: int):
     name = lambda x: hashlib.md5(x.encode()).hexdigest()  # noqa: E731 - as digest() gives
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(name(a), name(b)) for lines in batch["lines"] for a, b in forest(list(lines), edits)]
+            found = [(name(a), name(b)) for lines in batch["lines"] for a, b in forest(list(lines), edits, short)]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="object")
 
     return link
@@ -195,7 +199,7 @@ def _blocks(members: DataFrame, texts: DataFrame, block: int) -> DataFrame:
 
 
 def line_links(docs: DataFrame, block: int = BLOCK, edits: int = EDITS, short: int = SHORT, levels: int = LEVELS) -> DataFrame:
-    """(a, b) digests of different lines within ``edits`` that connect all lines as all such pairs would."""
+    """(a, b) digests of different near lines that connect all lines as all such pairs would."""
     lines = occurrences(docs).select("line")
     keys = line_keys(lines, edits, short)
     members = written(keys.join(sent(_shared(keys, edits), FEW), "key").select("key", "id", F.array("place").alias("path")).distinct())
@@ -220,7 +224,7 @@ def line_links(docs: DataFrame, block: int = BLOCK, edits: int = EDITS, short: i
     found = _buckets(members, texts)
     for more in together:
         found = found.union(more)
-    return found.mapInPandas(_linker(edits), "a string, b string").distinct()
+    return found.mapInPandas(_linker(edits, short), "a string, b string").distinct()
 
 
 def line_classes(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
@@ -268,7 +272,7 @@ def deduplicated(docs: DataFrame, block: int = BLOCK, **options) -> DataFrame:
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """Every document with the lines that a line before them has within two edits, and the first line of their class.
+    """Every document with the lines that a line before them is near to, and the first line of their class.
 
     ``members`` is a list of (line, first_doc_id, first_line, near); see dedup_lines for odd rows.
     """

@@ -19,6 +19,8 @@ LINE_SHARE = 0.01
 LINE_FLOOR = 10
 #: A document is depleted when boilerplate lines hold more than this share of its characters.
 DEPLETED_SHARE = 0.7
+#: Above this share it is depleted, too, if fewer than MIN_WORDS words are left without those lines.
+THINNED_SHARE = 0.25
 SYMBOLS = r"[#*$%&|<>]+"
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
 
@@ -100,14 +102,16 @@ def _judged(docs: DataFrame, host: str, line_share: float, line_floor: int, depl
     out = out.withColumn("shared_share", F.coalesce(F.col("shared_chars") / F.col("line_chars"), F.lit(0.0)))
     left = F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains("shared", line_key(x)))
     out = out.withColumn("clean_text", F.when(F.col("shared_chars") > 0, F.array_join(left, "\n")).otherwise(F.col("row.text")))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("shared_share") <= depleted_share))
+    thin = F.when(F.col("shared_share") > THINNED_SHARE, F.size(split_words(F.col("clean_text"))) < MIN_WORDS).otherwise(False)
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("shared_share") <= depleted_share) & ~thin)
 
 
 def apply_rules(docs: DataFrame, host: str = "source", line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR, depleted_share: float = DEPLETED_SHARE) -> DataFrame:
     """``docs`` with the signals, shared_share, kept and clean_text (the text without boilerplate lines).
 
-    A document is rejected (kept is false) if its signals fail or boilerplate lines, as shared_lines() has them, hold
-    more than ``depleted_share`` of the characters of its lines.  Every row of ``docs`` gives one row, repeated rows
+    A document is rejected (kept is false) if its signals fail, if boilerplate lines, as shared_lines() has them, hold
+    more than ``depleted_share`` of the characters of its lines, or if they hold more than THINNED_SHARE and what is
+    left has fewer than MIN_WORDS words.  Every row of ``docs`` gives one row, repeated rows
     and null ids too.  Columns of ``docs`` that have the names of these results are replaced, all others stay.
     """
     results = (*SIGNALS, "shared_share", "kept", "clean_text")
