@@ -2,7 +2,8 @@
 
 The benchmark's windows become a hash table of a fixed number of slots, sent to the tasks as a literal, so that a
 document never leaves its row or its partition.  Only a benchmark of at most ``max_windows`` distinct windows is
-sent (they are counted first).  A larger one stays distributed: the documents' windows are joined to it by their words.
+sent (they are counted first).  Of a larger one the windows' hashes are sent, up to MAX_HASHES (a larger set of them is
+shuffled): places of documents whose hash is among them are kept, and these few are compared by their words.
 """
 
 from __future__ import annotations
@@ -12,11 +13,16 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quantmill.llm.shared import sent, written
 from quantmill.llm.text import NOT_ALNUM, ascii_lower, digest, let, packed, split_words, unpacked, whole
 
 WINDOW = 13
 SLOTS = 1 << 16
 MAX_WINDOWS = 50_000
+#: Hashes of windows that are sent: 10 million take about 160 MB.
+MAX_HASHES = 10_000_000
+#: Documents with a place that may be a hit: so many are sent to the texts, more are shuffled with them.
+FEW = 1 << 18
 HITS = "array<struct<at:int,length:int,items:array<string>>>"
 OWN = ("_w", "_found", "_row")
 
@@ -92,20 +98,33 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_w
 
         docs = docs.withColumn("_found", let(words, verified))
         return docs.withColumn("n_words", F.col("_found.n_words")).withColumn("hits", F.col("_found.hits")).drop("_found")
-    return _joined(docs.withColumn("_w", words).withColumn("n_words", F.size("_w").cast("long")), windows, lengths)
+    return _joined(docs.withColumn("_w", words).withColumn("n_words", F.size("_w").cast("long")), windows, lengths, total)
 
 
 def gram(words: Column, x: Column) -> Column:
     return F.array_join(F.transform(F.sequence(x["at"], x["at"] + x["length"] - 1), lambda i: F.get(words, i)), " ")
 
 
-def _joined(docs: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
-    """For a benchmark that is too large to send: join on the windows' words; hits return by content digest."""
+def _hash(words: Column, at, length: int) -> Column:
+    return F.xxhash64(*[F.get(words, at + k) for k in range(length)])
+
+
+def _joined(docs: DataFrame, windows: DataFrame, lengths: list[int], total: int) -> DataFrame:
+    """For a benchmark whose words are too many to send: hashes find the places, words verify them; hits return by content digest."""
     docs = docs.withColumn("_row", F.when(F.size("_w") > 0, digest(F.array_join("_w", " "))))  # null meets nothing, and is spread
-    at = docs.filter("_row is not null").select("_row", "_w", F.explode(_places(F.col("_w"), lengths, lambda slot: F.lit(True))).alias("x"))
-    at = at.select("_row", "x.at", "x.length", gram(F.col("_w"), F.col("x")).alias("gram"))
-    met = at.join(windows.drop("w"), ["length", "gram"]).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("at", "length", "items"))).alias("hits"))
-    return docs.join(met, "_row", "left").withColumn("hits", F.coalesce("hits", F.array().cast(HITS))).drop("_row", "_w")
+    hashes = windows.select("length", F.coalesce(*[F.when(F.col("length") == k, _hash(F.col("w"), F.lit(0), k)) for k in lengths]).alias("hash")).distinct()
+    hashes = F.broadcast(hashes) if total <= MAX_HASHES else hashes
+    n, none = F.size("_w"), F.array().cast("array<struct<at:int,length:int,hash:bigint>>")
+
+    def places(k: int) -> Column:
+        one = lambda i: F.struct(i.alias("at"), F.lit(k).alias("length"), _hash(F.col("_w"), i, k).alias("hash"))
+        return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), one)).otherwise(none)
+
+    at = docs.filter("_row is not null").select("_row", F.explode_outer(F.concat(none, *map(places, lengths))).alias("x")).select("_row", "x.at", "x.length", "x.hash")
+    met = at.join(hashes, ["length", "hash"]).groupBy("_row").agg(F.collect_set(F.struct("at", "length")).alias("places"))
+    words = docs.join(sent(written(met), FEW), "_row").select("_row", "_w", F.explode("places").alias("x")).select("_row", "x.at", "x.length", gram(F.col("_w"), F.col("x")).alias("gram"))
+    hits = words.join(windows.drop("w"), ["length", "gram"]).groupBy("_row").agg(F.array_sort(F.collect_set(F.struct("at", "length", "items"))).alias("hits"))
+    return docs.join(sent(written(hits), FEW), "_row", "left").withColumn("hits", F.coalesce("hits", F.array().cast(HITS))).drop("_row", "_w")
 
 
 def judge(found: DataFrame) -> DataFrame:

@@ -90,6 +90,17 @@ def test_decontamination_query(spark, texts):
     assert len(rows) == len(texts) and {r[0]: tuple(r[1:]) for r in rows} == {i: plain_hits(t, items) for i, t in texts.items()}
 
 
+@pytest.mark.parametrize("most", [10_000_000, 10])
+def test_large_benchmarks_give_the_same_hits(spark, docs, texts, monkeypatch, most):
+    """Hashes of windows sent, and shuffled; no words of windows are joined but those at places that the hashes find."""
+    monkeypatch.setattr(decontaminate, "MAX_HASHES", most)
+    monkeypatch.setattr(decontaminate, "FEW", most)
+    benchmark = spark.read.parquet(f"{DATA}/benchmark.parquet")
+    few = docs.select("doc_id", "text", "source")
+    one, other = (sorted((r["doc_id"], str(r["hits"])) for r in decontaminate.find_hits(few, benchmark, max_windows=n).select("doc_id", "hits").collect()) for n in (10, 50_000))
+    assert one == other and len(one) == len(texts) and any(h != "[]" for _, h in one)
+
+
 def test_decontamination_of_nothing(spark, odd, nothing):
     benchmark = spark.createDataFrame([(1, "one")], "item_id long, text string")
     assert decontaminate.decontaminate(nothing, benchmark).count() == 0
