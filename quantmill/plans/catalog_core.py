@@ -341,6 +341,12 @@ def j08(spark, sf):
     return panel.common_labels(rows, "pair", "date")
 
 
+@register("J08_common_months", "month", "SELECT month FROM (SELECT DISTINCT symbol_y, symbol_x, strftime(date, '%Y-%m') AS month FROM pp) GROUP BY 1 HAVING count(*) = (SELECT count(*) FROM (SELECT DISTINCT symbol_y, symbol_x FROM pp))")
+def j08b(spark, sf):
+    rows = brand_panel(spark, sf).select(F.concat("symbol_y", "symbol_x").alias("pair"), F.date_format("date", "yyyy-MM").alias("month"))
+    return panel.common_labels(rows, "pair", "month")
+
+
 @register("J09_union_of_folds", "pos:i folds:i", f"SELECT pos, count(*) AS folds FROM (SELECT DISTINCT pos FROM ({NUMBERED})) JOIN ({FOLDS}) ON pos BETWEEN formation_start_pos AND formation_end_pos GROUP BY 1")
 def j09(spark, sf):
     dates = numbered(spark, sf).select("pos").distinct()
@@ -585,3 +591,12 @@ def e06(spark, sf):
 @register("E07_forced_closes", f"{KEYS} pos:i execution_event", "SELECT * FROM ps WHERE execution_event = 'FORCED_EXIT'")
 def e07(spark, sf):
     return panels.schedule(spark, sf).filter("execution_event = 'FORCED_EXIT'")
+
+
+@register("E07_closes_inside_positions", f"{KEYS} pos:i executed_state execution_event units_y:6 units_x:6", "SELECT symbol_y, symbol_x, max(pos) AS pos, 'FLAT' AS executed_state, 'FORCED_EXIT' AS execution_event, 0.0 AS units_y, 0.0 AS units_x FROM un WHERE xs <> 'FLAT' AND xe NOT LIKE 'ENTER%' GROUP BY 1, 2")
+def e07b(spark, sf):
+    """Histories that end inside their last position: every one is closed in its last row."""
+    rows = panels.open_schedule(spark, sf)
+    inside = (F.col("executed_state") != "FLAT") & ~F.col("execution_event").startswith("ENTER")
+    rows = rows.withColumn("end", F.max(F.when(inside, F.col("pos"))).over(Window.partitionBy(*PAIR))).filter("pos <= end")
+    return positions.force_close(rows).filter("execution_event = 'FORCED_EXIT'")

@@ -95,10 +95,15 @@ def signal_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("event", event)
 
 
-def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+def open_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs' positions, with those still open that are open in a pair's last row."""
     rows = positions.lag_decisions(signal_table(spark, sf_dir), 1).withColumn("observed_y", F.lit(True)).withColumn("observed_x", F.lit(True))
     rows = rows.withColumn("executed_state", F.coalesce("due_state", F.lit("FLAT"))).withColumn("execution_event", F.col("due_event"))
-    return positions.force_close(positions.position_schedule(rows, TARGET))
+    return positions.position_schedule(rows, TARGET)
+
+
+def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions.force_close(open_schedule(spark, sf_dir))
 
 
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
