@@ -5,7 +5,9 @@ Zstandard, primed with a dictionary of identifiers and words, compresses the sur
 candidate.  The difference is what the candidate adds.  Names, paths and repeated values add few bytes for their
 length; random strings add nearly as many as their alphabet needs.  Names out of words that
 the dictionary lacks add many bytes too, but use few letters often: a candidate's characters must also be spread as
-evenly as those of random strings nearly are.
+evenly as those of random strings nearly are.  Both are measured before compression, and so is whether a candidate
+reads as a name: most of its letters stand in parts of three or more, and most pairs of letters in these parts occur
+in the dictionary's words, too.
 """
 
 from __future__ import annotations
@@ -38,6 +40,10 @@ SIGNS = str.maketrans("", "", "+/_=-")
 #: Share of the entropy of random strings of its length and alphabet that a candidate must have, as names seldom do; and
 #: share of its alphabet's bits from which its entropy is what it must add (long strings of few signs add less than NOVEL).
 EVEN, SURE = 0.92, 0.9
+#: Parts of names: letters between signs and digits, cut where small letters end and capitals begin.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: A name has this share of its letters in parts of three or more, and this share of their pairs known.
+IN_PARTS, KNOWN_PAIRS = 0.7, 0.68
 #: Identifiers and words that occur around code and configuration: what priming makes cheap.
 IDENTIFIERS = (
     "password passwd secret token api_key apikey access_key secret_key private_key public_key client_id client_secret authorization bearer "
@@ -56,6 +62,17 @@ IDENTIFIERS = (
 ).encode()
 
 
+PAIRS = frozenset(w[i : i + 2] for w in IDENTIFIERS.decode().split() if w.isalpha() and len(w) < 20 for i in range(len(w) - 1))
+
+
+def reads_as_name(candidate: str) -> bool:
+    """Whether a candidate is made of parts that are spelt as the dictionary's words are."""
+    parts = [p.lower() for p in PART.findall(candidate) if len(p) >= 3]
+    letters, held = sum(map(str.isalpha, candidate)), sum(map(len, parts))
+    pairs = [p[i : i + 2] for p in parts for i in range(len(p) - 1)]
+    return held >= IN_PARTS * letters and sum(x in PAIRS for x in pairs) >= KNOWN_PAIRS * len(pairs)
+
+
 class Novelty:
     """Bytes that a candidate adds to its surroundings."""
 
@@ -111,7 +128,7 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, l
         x = m.group()
         if x.isalpha() or x.isdigit() or not any(map(str.isdigit, x)) or not any(map(str.isalpha, x)):
             continue
-        if any(s < b and a < e for s, _, e in base) or not SENSITIVE.search(text, max(0, a - BEFORE), a):
+        if reads_as_name(x) or any(s < b and a < e for s, _, e in base) or not SENSITIVE.search(text, max(0, a - BEFORE), a):
             continue
         if novelty.of(text[max(0, a - AROUND) : a], x, text[b : b + AROUND]) >= needed(x, least) * len(x):
             found.append((a, 3, b))

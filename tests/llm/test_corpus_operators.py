@@ -339,6 +339,22 @@ def test_novel_recall_and_precision():
     assert found >= 0.9 * 300 and wrong <= 0.05 * 300
 
 
+#: English words that the dictionary of identifiers has not.
+UNKNOWN = """turbine glacier velvet marmot orchid lantern pigeon walnut cobalt thistle harbor saffron meadow quartz falcon bramble tundra juniper copper raven whistle dolphin garnet
+ hickory lagoon magnet nectar oyster pepper rhubarb sparrow timber umbrella vulture wicker yonder zephyr anchor biscuit canyon dagger eagle feather gallop hammock iceberg jacket kettle lizard mustard""".split()
+
+
+@pytest.mark.parametrize("style", ["_", "-", "/", "camel"])
+def test_names_of_unknown_words_are_not_novel(style):
+    assert not set(UNKNOWN) & set(secrets.IDENTIFIERS.decode().split())
+    rng, novelty, wrong = random.Random(style), secrets.Novelty(), 0
+    for _ in range(200):
+        words = [rng.choice(UNKNOWN) for _ in range(rng.randint(3, 7))] + [str(rng.randint(1, 99))]
+        name = "".join(map(str.capitalize, words)) if style == "camel" else style.join(words)
+        wrong += bool(secrets.novel_spans(f"after the secret key {name} tonight", [], novelty))
+    assert wrong <= 0.03 * 200
+
+
 def test_long_identifiers_are_not_novel():
     path = "/usr/local/lib/python3/site-packages/config/settings/com/example/project/module2/internal/service/impl/handlers/requests/getHttpResponseHeader2Utf8Encoding"
     for name in (path, "user_name_2023_configuration_of_the_release", path.replace("/", "_").lower(), "abc123" * 40):
