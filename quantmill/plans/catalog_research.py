@@ -11,7 +11,7 @@ from quantmill.functions.durable import shared_folder, written
 from quantmill.operators import grid, inference, panel, portfolio, quality, risk, signals, walkforward
 from quantmill.plans import jobs, panels
 from quantmill.plans.catalog_core import FOLDS, NUMBERED, brand_folds, numbered, s07
-from quantmill.plans.panels import CAPITAL, PAIR, brand_prices
+from quantmill.plans.panels import CAPITAL, PAIR, SHARED, accounts, brand_prices, returns, shared  # noqa: F401
 from quantmill.registry import register
 from quantmill.sources import store
 
@@ -38,26 +38,6 @@ def k02(spark, sf):
     return quality.repeated_keys(groups.union(groups.filter("group_name = 'G3'")), ["symbol"])
 
 
-#: Written tables that several queries of a session read, by name, session and folder.  clear() it when the folder's files change.
-SHARED: dict = {}
-
-
-def shared(name, make, spark, sf):
-    key = (name, spark.sparkContext.applicationId, sf)
-    if key not in SHARED:
-        SHARED[key] = make(spark, sf)
-    return SHARED[key]
-
-
-def accounts(spark, sf):
-    """The pairs' accounts, which returns, exposures and portfolios all read."""
-    return shared("accounts", lambda spark, sf: written(panels.accounts(spark, sf)), spark, sf)
-
-
-def returns(spark, sf):
-    return accounts(spark, sf).select(*PAIR, "pos", "date", F.col("net_return_after_carry").alias("r"))
-
-
 def marks(spark, sf):
     """The cleaned market: every date has a mark of every symbol."""
     return shared("marks", lambda spark, sf: written(panels.marked_prices(spark, sf)), spark, sf)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quantmill.functions.durable import written
 from quantmill.functions.windows import by
 from quantmill.operators import accounting, panel, positions, signals
 from quantmill.sources import prices as sources
@@ -106,8 +107,20 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.force_close(open_schedule(spark, sf_dir))
 
 
+#: Written tables that several queries of a session read, by name, session and folder.  clear() it when the folder's files change.
+SHARED: dict = {}
+
+
+def shared(name: str, make, spark: SparkSession, sf_dir: str):
+    key = (name, spark.sparkContext.applicationId, sf_dir)
+    if key not in SHARED:
+        SHARED[key] = make(spark, sf_dir)
+    return SHARED[key]
+
+
 def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accounting.financed_schedule(schedule(spark, sf_dir), CAPITAL, **COSTS)
+    """The pairs' accounts, which returns, ledgers, exposures and portfolios all read."""
+    return shared("accounts", lambda spark, sf: written(accounting.financed_schedule(schedule(spark, sf), CAPITAL, **COSTS)), spark, sf_dir)
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
