@@ -61,7 +61,8 @@ class Table:
     def merge(self, batch: DataFrame) -> list[str | None]:
         """Upserts ``batch`` by the keys, the highest ``order`` wins, and gives the partitions that it has touched.
 
-        A key must not move from one partition to another; let ``part`` depend on keys alone.
+        A key must not move from one partition to another; let ``part`` depend on keys alone.  A partition that holds
+        much of the load is written by several tasks.
         """
         spark = batch.sparkSession
         columns = spark.createDataFrame([], self.schema).columns
@@ -72,7 +73,7 @@ class Table:
         held, load = self.current(spark), f"data/{uuid.uuid4().hex}"
         old = self._named(self._rows(spark, [held[p][0] for p in touched if p in held]))
         merged = upsert(old, rows, list(self.keys), self.order)
-        merged.repartition("_part").write.partitionBy("_part").parquet(f"{self.root}/{load}")
+        merged.hint("rebalance", "_part").write.partitionBy("_part").parquet(f"{self.root}/{load}")
         sizes = spark.read.option("basePath", f"{self.root}/{load}").schema(f"{self.schema}, _part string").parquet(f"{self.root}/{load}").groupBy("_part").agg(F.count("*")).collect()
         self._commit(spark, [(self.version(spark) + 1, p, f"{load}/_part={_escaped(p)}", n) for p, n in sizes])
         return touched
