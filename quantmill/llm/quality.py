@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantmill.llm.text import digest, has_word, let, packed, split_words, unpacked, whole
+from quantmill.llm.text import digest, has_word, let, split_words, whole
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -19,7 +19,7 @@ LINE_SHARE = 0.01
 LINE_FLOOR = 10
 #: A document is depleted when boilerplate lines hold more than this share of its characters.
 DEPLETED_SHARE = 0.7
-#: Above this share it is depleted, too, if fewer than MIN_WORDS words are left without those lines.
+#: Above this share it is depleted, too, if fewer than MIN_WORDS words are left (in proportion to characters).
 THINNED_SHARE = 0.25
 SYMBOLS = r"[#*$%&|<>]+"
 SIGNALS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
@@ -45,15 +45,24 @@ def _repeat_words(words: Column) -> Column:
 
 
 def _rated(docs: DataFrame) -> DataFrame:
-    """``row`` (the columns of docs) with the columns of SIGNALS."""
-    docs = packed(docs).withColumn("whole", whole(F.col("row.text")))
+    """``row`` (the columns of docs but text), ``raw`` (the text) and the columns of SIGNALS.
+
+    Texts stay outside of the row: where no result needs them after a join, they are not shuffled.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    docs = docs.select(row.alias("row"), F.col("text").alias("raw")).withColumn("whole", whole(F.col("raw")))
     docs = docs.withColumn("words", split_words(F.col("whole")))
     docs = docs.withColumn("n_words", F.size("words").cast("long")).withColumn("n_repeat_words", _repeat_words(F.col("words")).cast("long"))
     docs = docs.withColumn("word_chars", F.char_length(F.array_join("words", "")).cast("long"))
     docs = docs.withColumn("n_symbols", (F.char_length("whole") - F.char_length(F.regexp_replace("whole", SYMBOLS, ""))).cast("long"))
     docs = docs.withColumn("lines", F.filter(F.split("whole", "\n"), has_word)).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return docs.withColumn("base_failed", failed).select("row", *SIGNALS)
+    return docs.withColumn("base_failed", failed).select("row", "raw", *SIGNALS)
+
+
+def _own(names: list[str]) -> list[Column]:
+    """The caller's columns of these names."""
+    return [F.col("raw").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
 
 
 def signals(docs: DataFrame) -> DataFrame:
@@ -62,7 +71,7 @@ def signals(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words and fail.  Texts of any length are read as a whole.  Columns of ``docs`` that
     have these six names are replaced, all others stay.
     """
-    return _rated(docs).select(*unpacked([c for c in docs.columns if c not in SIGNALS]), *SIGNALS)
+    return _rated(docs).select(*_own([c for c in docs.columns if c not in SIGNALS]), *SIGNALS)
 
 
 def line_key(line: Column) -> Column:
@@ -95,14 +104,15 @@ def shared_lines(docs: DataFrame, host: str = "source", line_share: float = LINE
 
 
 def _judged(docs: DataFrame, host: str, line_share: float, line_floor: int, depleted_share: float) -> DataFrame:
-    """``row`` (the columns of docs) with SIGNALS, shared_share, kept and clean_text."""
-    rated = _rated(docs).withColumn("h", F.col(f"row.`{host}`")).withColumn("d", digest(whole(F.col("row.text"))))
+    """What _rated() gives, with shared_share, kept and clean_text."""
+    rated = _rated(docs).withColumn("h", F.col(f"row.`{host}`")).withColumn("d", digest(whole(F.col("raw"))))
     common = shared_lines(docs, host, line_share, line_floor)
     out = rated.join(common, F.col("h").eqNullSafe(F.col("host")) & (F.col("d") == F.col("digest")), "left")
     out = out.withColumn("shared_share", F.coalesce(F.col("shared_chars") / F.col("line_chars"), F.lit(0.0)))
-    left = F.filter(F.split("row.text", "\n"), lambda x: ~F.array_contains("shared", line_key(x)))
-    out = out.withColumn("clean_text", F.when(F.col("shared_chars") > 0, F.array_join(left, "\n")).otherwise(F.col("row.text")))
-    thin = F.when(F.col("shared_share") > THINNED_SHARE, F.size(split_words(F.col("clean_text"))) < MIN_WORDS).otherwise(False)
+    left = F.filter(F.split("raw", "\n"), lambda x: ~F.array_contains("shared", line_key(x)))
+    out = out.withColumn("clean_text", F.when(F.col("shared_chars") > 0, F.array_join(left, "\n")).otherwise(F.col("raw")))
+    left_words = F.col("n_words") * (1 - F.col("shared_share"))  # in proportion: what is left of a text need not travel to be counted
+    thin = (F.col("shared_share") > THINNED_SHARE) & (left_words < MIN_WORDS)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("shared_share") <= depleted_share) & ~thin)
 
 
@@ -110,19 +120,19 @@ def apply_rules(docs: DataFrame, host: str = "source", line_share: float = LINE_
     """``docs`` with the signals, shared_share, kept and clean_text (the text without boilerplate lines).
 
     A document is rejected (kept is false) if its signals fail, if boilerplate lines, as shared_lines() has them, hold
-    more than ``depleted_share`` of the characters of its lines, or if they hold more than THINNED_SHARE and what is
-    left has fewer than MIN_WORDS words.  Every row of ``docs`` gives one row, repeated rows
+    more than ``depleted_share`` of the characters of its lines, or if they hold more than THINNED_SHARE and the
+    same share of its words leaves fewer than MIN_WORDS.  Every row of ``docs`` gives one row, repeated rows
     and null ids too.  Columns of ``docs`` that have the names of these results are replaced, all others stay.
     """
     results = (*SIGNALS, "shared_share", "kept", "clean_text")
-    return _judged(docs, host, line_share, line_floor, depleted_share).select(*unpacked([c for c in docs.columns if c not in results]), *results)
+    return _judged(docs, host, line_share, line_floor, depleted_share).select(*_own([c for c in docs.columns if c not in results]), *results)
 
 
 def kept_documents(docs: DataFrame, host: str = "source", line_share: float = LINE_SHARE, line_floor: int = LINE_FLOOR, depleted_share: float = DEPLETED_SHARE) -> DataFrame:
     """The documents that are not rejected, with clean texts; n_chars follows the text, all other columns stay."""
     out = _judged(docs, host, line_share, line_floor, depleted_share).filter("kept")
     clean = {"text": F.col("clean_text"), "n_chars": F.char_length("clean_text").cast("long")}
-    return out.select(*[clean[c].alias(c) if c in clean else x for c, x in zip(docs.columns, unpacked(docs.columns), strict=True)])
+    return out.select(*[clean[c].alias(c) if c in clean else x for c, x in zip(docs.columns, _own(docs.columns), strict=True)])
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -58,22 +58,20 @@ WITH d AS (
 ), u AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM l GROUP BY 1
 ), c AS (
-  SELECT source, m, lower(trim(line, ' ')) AS line, sum(len(line)) AS chars, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) AS words, min(doc_id) AS first FROM l GROUP BY 1, 2, 3
+  SELECT source, m, lower(trim(line, ' ')) AS line, sum(len(line)) AS chars, min(doc_id) AS first FROM l GROUP BY 1, 2, 3
 ), z AS (
   SELECT source, greatest(count(DISTINCT m) * 0.01, 10) AS most FROM d GROUP BY 1
 ), b AS (
   SELECT c.source, c.line, min({'first': first, 'm': m}) AS keeper FROM c JOIN z ON c.source IS NOT DISTINCT FROM z.source GROUP BY 1, 2 HAVING count(*) > any_value(most)
 ), s AS (
-  SELECT c.source, c.m, sum(chars) AS line_chars, sum(CASE WHEN b.line IS NOT NULL AND keeper <> {'first': first, 'm': m} THEN chars ELSE 0 END) AS shared_chars,
-    sum(CASE WHEN b.line IS NOT NULL AND keeper <> {'first': first, 'm': m} THEN words ELSE 0 END) AS shared_words
+  SELECT c.source, c.m, sum(chars) AS line_chars, sum(CASE WHEN b.line IS NOT NULL AND keeper <> {'first': first, 'm': m} THEN chars ELSE 0 END) AS shared_chars
   FROM c LEFT JOIN b ON c.source IS NOT DISTINCT FROM b.source AND c.line = b.line GROUP BY 1, 2
 ), o AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, len(array_to_string(w, ''))::BIGINT AS word_chars, (len(t) - len(regexp_replace(t, '[#*$%&|<>]+', '', 'g')))::BIGINT AS n_symbols,
-    coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(shared_chars / line_chars, 0.0)::DOUBLE AS shared_share,
-    len(w) - coalesce(shared_words, 0) // count(*) OVER (PARTITION BY d.source, d.m) AS left_words
+    coalesce(u.n, 0)::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, coalesce(shared_chars / line_chars, 0.0)::DOUBLE AS shared_share
   FROM d LEFT JOIN r USING (doc_id) LEFT JOIN u USING (doc_id) LEFT JOIN s ON d.source IS NOT DISTINCT FROM s.source AND d.m = s.m
 )
-SELECT * EXCLUDE left_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND shared_share <= 0.7 AND NOT (shared_share > 0.25 AND left_words < 50) AS kept FROM o
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND shared_share <= 0.7 AND NOT (shared_share > 0.25 AND n_words * (1 - shared_share) < 50) AS kept FROM o
 """
 OP11_SQL = """
 WITH v AS (

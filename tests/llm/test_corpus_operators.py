@@ -419,7 +419,7 @@ def plain_kept(docs: list[tuple], share: float, floor: int) -> list[tuple]:
             gone += len(x) * (common and min(at.values()) != at[t or ""])
         total = sum(map(len, lines(t)))
         part = gone / total if total else 0.0
-        left = sum(len(WORD.findall(x)) for x in lines(t) if not (len(of[h, key(x)]) > max(floor, share * len(hosts[h])) and min(of[h, key(x)].values()) != of[h, key(x)][t or ""]))
+        left = len(WORD.findall(t or "")) * (1 - part)
         out.append((not plain_signals(t or "")[5] and part <= 0.7 and not (part > 0.25 and left < 50), part))
     return out
 
