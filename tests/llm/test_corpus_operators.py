@@ -111,7 +111,7 @@ def test_decontamination_of_nothing(spark, odd, nothing):
 # 2 -------------------------------------------------------------------------------------------------------------------
 def test_queries_equal_their_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         expected, got = con.sql(sql), queries.queries()[name](spark, DATA)
