@@ -1,7 +1,8 @@
 """Whitening of vectors: covariance by Spark, its leading eigenvectors by tridiagonalisation, projection by Spark.
 
-Spark counts and adds up the entries, then every task adds up the products of its centred rows (a matrix of the
-vectors' dimension, whatever the number of rows) and Spark adds up those matrices, entry by entry.  The driver gets
+Every task counts and adds up its rows' entries and Spark adds up the tasks' sums; then every task adds up the products
+of its centred rows (a matrix of the vectors' dimension, whatever the number of rows) and Spark adds up those matrices,
+entry by entry.  The driver gets
 the covariance alone.  Householder reflections make it tridiagonal, Sturm counts bisect for the leading eigenvalues,
 inverse iteration finds their vectors; those of close eigenvalues are made orthogonal to one another again.  The
 components (8 at most) go out with the tasks that project the rows.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import Decimal
 from typing import NamedTuple
 
 import numpy as np
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantmill.llm.vectors import matrix, usable
+from quantmill.llm.vectors import matrix, usable_rows
 
 COMPONENTS = 8
 SCALE, SHIFT = 1024, 100_000
@@ -155,11 +157,45 @@ class Whitening(NamedTuple):
         return (x - self.mean) @ (self.vectors / np.sqrt(self.values)[:, None]).T
 
 
-def whole_numbers(rows: DataFrame, vector: str, scale: int = SCALE, shift: int = SHIFT) -> DataFrame:
-    """``rows`` whose vector is usable, with x: its entries as whole numbers, which doubles hold (up to 2^53 on either side)."""
-    most = F.lit(2.0**53 - 2 * shift)
-    number = lambda c: F.floor(F.greatest(-most, F.least(most, c.cast("double") * scale))).cast("long") + shift
-    return rows.filter(usable(F.col(vector))).withColumn("x", F.transform(F.col(vector), number))
+def whole_numbers(vectors: pa.ListArray, size: int) -> np.ndarray:
+    """The entries of vectors as whole numbers, which doubles hold (up to 2^53 on either side)."""
+    most = 2.0**53 - 2 * SHIFT
+    return np.floor(np.clip(matrix(vectors, size) * SCALE, -most, most)) + SHIFT
+
+
+class Sums:
+    """Number, exact sums and ends of the entries of whole-number rows."""
+
+    def __init__(self, size: int):
+        self.n, self.sums, self.low, self.high = 0, np.zeros(size, object), np.full(size, LONGEST), np.full(size, -LONGEST)
+
+    def add(self, x: np.ndarray) -> None:
+        x = x.astype(np.int64)
+        self.n += len(x)
+        self.sums = self.sums + ((x >> 24).sum(axis=0).astype(object) << 24) + (x & ((1 << 24) - 1)).sum(axis=0).astype(object)  # halves, whose sums stay within 64 bits
+        self.low, self.high = np.minimum(self.low, x.min(axis=0)), np.maximum(self.high, x.max(axis=0))
+
+
+def entry_sums(rows: DataFrame) -> DataFrame:
+    """(size, i, n, sum, low, high) of the entries of ``vector``, by the vectors' length and place."""
+    schema = pa.schema([("size", pa.int32()), ("i", pa.int32()), ("n", pa.int64()), ("sum", pa.decimal128(38, 0)), ("low", pa.int64()), ("high", pa.int64())])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, Sums] = {}
+        for batch in usable_rows(batches):
+            lengths = batch.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            for size in map(int, np.unique(lengths)):
+                part = batch.column(0) if (lengths == size).all() else batch.column(0).filter(pa.array(lengths == size))
+                found.setdefault(size, Sums(size)).add(whole_numbers(part, size))
+        for size, s in found.items():
+            if size:
+                columns = [np.full(size, size), np.arange(size), np.full(size, s.n), [Decimal(int(v)) for v in s.sums], s.low, s.high]
+            else:
+                columns = [[0], [0], [s.n], [Decimal(0)], [0], [0]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    sums = rows.select("vector").mapInArrow(add, "size int, i int, n long, sum decimal(38,0), low long, high long")
+    return sums.groupBy("size", "i").agg(F.sum("n").alias("n"), F.sum("sum").alias("sum"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
 def _added(products: DataFrame) -> np.ndarray:
@@ -176,23 +212,22 @@ def _products(rows: DataFrame, of, size: int) -> DataFrame:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = 0.0
-        for batch in batches:
-            y = of(matrix(batch.column(0), size))
+        for batch in usable_rows(batches):
+            y = of(whole_numbers(batch.column(0), size))
             total = total + y.T @ y
         if np.ndim(total):
             yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["i", "row"])
 
-    return rows.select("x").mapInArrow(add, "i int, row array<double>")
+    return rows.filter(F.size("vector") == size).select("vector").mapInArrow(add, "i int, row array<double>")
 
 
 def fit(rows: DataFrame, most: int = COMPONENTS) -> Whitening | None:
-    """The whitening of the vectors ``x`` (whole numbers) of ``rows``; None if there is none."""
-    sizes = rows.groupBy(F.size("x").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("size")).first()
-    if sizes is None or not sizes["size"]:
+    """The whitening of ``vector`` of ``rows``; None if there is none."""
+    entries = F.sort_array(F.collect_list(F.struct("i", "sum", "low", "high"))).alias("entries")  # an entry a dimension
+    found = entry_sums(rows).groupBy("size").agg(F.max("n").alias("n"), entries).orderBy(F.desc("n"), F.desc("size")).first()
+    if found is None or not found["size"]:
         return None
-    size, n = sizes["size"], sizes["n"]
-    rows = rows.filter(F.size("x") == size)
-    entries = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("sum"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("i").collect()  # a row a dimension
+    size, n, entries = found["size"], found["n"], found["entries"]
     sums = [int(r["sum"]) for r in entries]
     furthest = sum(max(abs(n * r["low"] - s), abs(n * r["high"] - s)) ** 2 for r, s in zip(entries, sums, strict=True))
     mean = np.array([s // n + (s % n) / n for s in sums])
@@ -205,18 +240,18 @@ def identity_error(rows: DataFrame, w: Whitening) -> float:
     """The largest entry of the whitened rows' covariance minus the identity, measured over all rows."""
     if not len(w.values):
         return 0.0
-    found = _added(_products(rows.filter(F.size("x") == w.size), w.project, w.size)) / w.n  # whitened rows are centred
+    found = _added(_products(rows, w.project, w.size)) / w.n  # whitened rows are centred
     return float(np.abs(found - np.eye(len(found))).max())
 
 
 def whiten(rows: DataFrame, w: Whitening, error: float) -> DataFrame:
-    """A row for each row of ``rows`` (vec_id, x) and component, as the contract of op13 has it."""
+    """A row for each row of ``rows`` (vec_id, vector) and component, as the contract of op13 has it."""
 
     def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(w.values)
         sums = w.sums.astype(np.int64) if w.safe else w.sums
-        for batch in batches:
-            x = matrix(batch.column(1), w.size)
+        for batch in usable_rows(batches, 1):
+            x = whole_numbers(batch.column(1), w.size)
             rows = len(x)
             own = x.astype(np.int64).astype(sums.dtype)
             deviation = ((own * w.n - sums) ** 2).sum(axis=1)
@@ -226,7 +261,7 @@ def whiten(rows: DataFrame, w: Whitening, error: float) -> DataFrame:
                 pa.array(deviation, pa.int64()).take(pa.array(np.repeat(np.arange(rows), k))), pa.array(w.project(x).ravel()), pa.array(np.tile(w.values / w.trace, rows)), pa.array(np.full(rows * k, error)),
             ], [c.split()[0] for c in RESULT.split(", ")])
 
-    return rows.filter(F.size("x") == w.size).select("vec_id", "x").mapInArrow(project, RESULT)
+    return rows.filter(F.size("vector") == w.size).select("vec_id", "vector").mapInArrow(project, RESULT)
 
 
 RESULT = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
@@ -240,7 +275,7 @@ def whitened_vectors(rows: DataFrame, vector: str = "embedding", most: int = COM
     are left out, so equal vectors, a single one and an empty table give no rows.  Repeated rows and null ids are rows
     like any other.  A deviation beyond 64 bits is null.
     """
-    rows = whole_numbers(rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("vector")), "vector").select("vec_id", "x")
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("vector"))
     w = fit(rows, most)
     if w is None:
         return rows.sparkSession.createDataFrame([], RESULT)
