@@ -3,8 +3,8 @@
 Rare words of a template vote for places in a text where the template may start.  Where enough different ones agree,
 the words of that window are aligned with the template: anchors are words unique to both, the longest increasing
 subsequence of them is kept, and the gaps between them are aligned in the same way.  The share of a template's words
-that are aligned is its coverage.  A text that holds enough of a template's words, but in no window, is aligned as a
-whole: so long insertions do not hide a license.  Rows never leave their partition.
+that are aligned is its coverage.  A text that holds as many of a template's words as its coverage asks for is aligned as a
+whole, too: so long insertions do not hide a license.  Rows never leave their partition.
 """
 
 from __future__ import annotations
@@ -15,7 +15,8 @@ from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quantmill.llm.license_texts import notices, texts
 
@@ -30,6 +31,20 @@ NOTICE = 20
 # Words that are common in any text and say nothing about a place.
 COMMON = set("a all and any are as at be by for free from in is it later may not of on option or other person that the this to under use with work you your".split())
 TEMPLATES = notices() | texts()
+#: Bytes of templates that tasks may hold.
+MOST_BYTES = 16 << 20
+
+
+def folder_templates(spark: SparkSession, path: str, most: int = MOST_BYTES) -> dict[str, str]:
+    """Templates from a folder of UTF-8 texts, a whole license each, by file name without its ending.
+
+    Files without a word are left out.  More than ``most`` bytes are an error, since every task holds all of them.
+    """
+    files = spark.read.text(path, wholetext=True).select("_metadata.file_name", "value")
+    size = files.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"{size} bytes of templates; {most} are allowed")
+    return {r["file_name"].rsplit(".", 1)[0]: r["value"] for r in files.collect() if WORD.search(r["value"].lower())}
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -77,6 +92,9 @@ class Scanner:
         self.rare = {k: set(w) - COMMON for k, w in self.words.items()}
         self.counts = {k: Counter(w) for k, w in self.words.items()}
         self.coverage, self.places = coverage, defaultdict(list)
+        self.asked = {k: len(w) if len(w) < NOTICE else coverage * len(w) for k, w in self.words.items()}
+        # A word that lacks is lost at least once, so a text with enough words has so many different rare ones.
+        self.least = {k: len(self.rare[k]) - (len(w) - self.asked[k]) for k, w in self.words.items()}
         for k, words in self.words.items():
             for j, w in enumerate(words):
                 if w in self.rare[k]:
@@ -92,7 +110,7 @@ class Scanner:
                 seen[k].add(w)
                 for cell in ((i - j) // step, (i - j) // step + 1):  # neighbours overlap, so no place is cut in two
                     votes[k][cell].add(w)
-        found = []
+        found, held = [], None
         for k, cells in votes.items():
             size = len(self.words[k])
             step = max(4, size // 4)
@@ -100,9 +118,9 @@ class Scanner:
                 if len(agreed) >= VOTES * len(self.rare[k]):
                     start = (cell - 1) * step
                     found.append((k, max(0, start), min(len(words), start + size + 2 * step)))
-            if len(seen[k]) >= VOTES * len(self.rare[k]):
-                held = Counter(w for w in words if w in self.counts[k])
-                if sum(min(n, held[w]) for w, n in self.counts[k].items()) >= self.coverage * size:
+            if len(seen[k]) >= self.least[k]:
+                held = held or Counter(words)
+                if sum(min(n, held[w]) for w, n in self.counts[k].items()) >= self.asked[k]:
                     found.append((k, 0, len(words)))
         return sorted(found)
 
@@ -115,8 +133,8 @@ class Scanner:
         for k, first, last in places:
             size = len(self.words[k])
             pairs = align(words[first:last], self.words[k])
-            share, spread = (1, 1) if size < NOTICE else (self.coverage, SPREAD)
-            if pairs and len(pairs) >= share * size and pairs[-1][0] - pairs[0][0] < spread * size:
+            spread = 1 if size < NOTICE else SPREAD
+            if pairs and len(pairs) >= self.asked[k] and pairs[-1][0] - pairs[0][0] < spread * size:
                 a, b = at[first + pairs[0][0]][0], at[first + pairs[-1][0]][1]
                 found.append((-len(pairs), -len(pairs) / size, b - a, a, b, k))
         kept: list[tuple[int, int, str, float]] = []
@@ -131,7 +149,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
     Null and empty texts have none, and a coverage of 0.  Texts of any length are scanned as a whole; of places
     that overlap (ties) the one with most words counts.  Null and repeated ids stay as they are, other columns are not read.
-    Templates are a few kilobytes of public texts, held by each task.
+    Templates are held by each task: a few kilobytes of public texts, or others, such as folder_templates() gives.
     """
     templates = TEMPLATES if templates is None else templates
 
