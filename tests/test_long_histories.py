@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quantmill import registry
 from quantmill.functions.durable import written
 from quantmill.operators import hedge, signals, tiles
 
@@ -89,3 +90,22 @@ def test_tiles_equal_pair_regressions(spark, symbols, dates):
         r = got[k]
         assert r["n"] == n and (r["alpha"], r["beta"], r["spread_standard_deviation"]) == (pytest.approx(alpha), pytest.approx(beta, abs=1e-9), pytest.approx(deviation, abs=1e-9))
     assert not tiles.all_pairs_ols(rows.limit(0), universe).collect()
+
+
+def shuffles_of_pairs(df) -> int:
+    """Shuffles after the tiles, which would hold rows of pairs."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return plan[: plan.index("FlatMapGroupsInArrow")].count("Aggregate") + plan[: plan.index("FlatMapGroupsInArrow")].count("Window")
+
+
+def test_tiles_keep_pair_rows_in_their_task(spark):
+    """However many blocks, strips of dates and rows there are: regressions come whole out of a tile."""
+    assert not shuffles_of_pairs(registry.queries()["H01_all_pairs"](spark, "/root/testdata/sf0.001"))
+
+
+def test_blocks_do_not_grow_with_symbols(spark):
+    """A price travels once for each block: 12 of them, until a block has 8,192 symbols."""
+    for n, copies in ((3_000, 12), (6_000, 12), (120_000, 15)):
+        universe = spark.range(n).select(F.format_string("S%06d", "id").alias("symbol"), F.lit("g").alias("group_name"))
+        prices = spark.range(10).select(F.format_string("S%06d", "id").alias("symbol"), F.lit("2020-01-01").alias("date"), F.lit(2.0).alias("price"))
+        assert tiles._tiles(prices, universe, tiles.SYMBOLS).count().agg(F.sum("count")).first()[0] == 10 * copies
