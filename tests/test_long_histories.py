@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quantmill import registry
 from quantmill.functions.durable import written
-from quantmill.operators import hedge, signals, tiles
+from quantmill.operators import hedge, panel, signals, tiles
 
 RNG = np.random.default_rng(5)
 
@@ -109,3 +109,31 @@ def test_blocks_do_not_grow_with_symbols(spark):
         universe = spark.range(n).select(F.format_string("S%06d", "id").alias("symbol"), F.lit("g").alias("group_name"))
         prices = spark.range(10).select(F.format_string("S%06d", "id").alias("symbol"), F.lit("2020-01-01").alias("date"), F.lit(2.0).alias("price"))
         assert tiles._tiles(prices, universe, tiles.SYMBOLS).count().agg(F.sum("count")).first()[0] == 10 * copies
+
+
+def test_all_pairs_zscores_shuffle_no_pair_rows(spark):
+    assert not shuffles_of_pairs(registry.queries()["W01_all_pairs"](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("symbols, dates", [(3, 16), (256, 1024)])
+def test_last_zscores_of_tiles_equal_windows(spark, symbols, dates):
+    """Also where all or some of the windows of a spread are constant, and where a pair has too few rows."""
+    groups = {f"S{i:02d}": [None, "g"][i % 2] for i in range(12)}
+    walk = lambda: float(np.exp(RNG.normal(2, 0.1)))
+    prices = {s: {d: walk() for d in range(80) if RNG.random() < 0.7 or s == "S00"} for s in groups}
+    prices["S04"] = dict(prices["S00"])  # the same series
+    prices["S06"] = {d: v * (1.0 if d < 50 else 1.0 + d / 100) for d, v in prices["S00"].items()}
+    prices["S03"] = {d: 3.0 if d < 40 else walk() for d in range(80)}  # with S05, a spread that rests
+    prices["S05"] = {d: 5.0 if d < 40 else walk() for d in range(80)}
+    prices["S07"] = {d: walk() for d in range(10)}
+    rows = spark.createDataFrame([(s, d, v) for s, p in prices.items() for d, v in p.items()], "symbol string, day int, price double")
+    rows = rows.select("symbol", F.date_add(F.lit("1969-12-01").cast("date"), F.col("day")).alias("date"), "price")
+    universe = spark.createDataFrame(list(groups.items()), "symbol string, group_name string")
+    got = {(r["symbol_y"], r["symbol_x"]): r for r in tiles.all_pairs_last_zscore(rows, universe, 12, symbols=symbols, dates=dates).collect()}
+    plain = signals.standardise(hedge.ols_spread(panel.pair_panel(panel.candidate_pairs(universe), rows)), 12).filter("zscore is not null")
+    expected = {(r["symbol_y"], r["symbol_x"]): r for r in plain.groupBy("symbol_y", "symbol_x").agg(F.count("*").alias("rows"), F.max("date").alias("date"), F.max_by("zscore", "pos").alias("zscore")).collect()}
+    assert got.keys() == expected.keys() and ("S00", "S04") not in got and len(got) > 15
+    for k, r in expected.items():
+        assert (got[k]["rows"], got[k]["date"], got[k]["zscore"]) == (r["rows"], r["date"], pytest.approx(r["zscore"], abs=1e-7)), k
+    assert got["S03", "S05"]["rows"] < 80 - 12
+    assert not tiles.all_pairs_last_zscore(rows.limit(0), universe, 12).collect()
