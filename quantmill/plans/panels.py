@@ -26,10 +26,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of the brands by day, at most a row for each brand and day; lines are scanned once a session for all that reads them."""
+    return shared("brand_prices", _brand_prices, spark, sf_dir)
+
+
+def _brand_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("symbol"))
     lines = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_shipdate").cast("date").alias("date"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), F.col("l_quantity").cast("long").alias("units"))
     sums = lines.join(part, "l_partkey").groupBy("symbol", "date").agg(F.sum("cents").alias("c"), F.sum("units").alias("u"))
-    return sums.select("symbol", "date", (F.col("c").cast("double") / (F.col("u") * 100).cast("double")).alias("price"))
+    return written(sums.select("symbol", "date", (F.col("c").cast("double") / (F.col("u") * 100).cast("double")).alias("price")))
 
 
 def supplier_prices(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,3 +24,8 @@ def test_market_prices_are_those_of_both_kinds_of_symbols(spark):
     plain = of(F.col("p_brand")).union(of(F.concat(F.lit("Line#"), F.col("l_linenumber"))))
     got = panels.market_prices(spark, DATA)
     assert got.exceptAll(plain).isEmpty() and plain.exceptAll(got).isEmpty() and not got.isEmpty()
+
+
+def test_pairs_and_legs_read_the_same_written_prices(spark):
+    assert panels.brand_prices(spark, DATA) is panels.brand_prices(spark, DATA)
+    assert not reads_lines(panels.brand_panel(spark, DATA))
