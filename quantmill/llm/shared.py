@@ -28,3 +28,14 @@ def written(df: DataFrame) -> DataFrame:
     """``df``, computed once and read from the shared folder from now on, whichever executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written_and_freed(df: DataFrame) -> DataFrame:
+    """As written(), and Spark removes the files of its shuffles then, as nothing reads them any more."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, True)
+    try:
+        return written(df.select("*"))  # a plan takes the setting when it is made
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)

@@ -8,11 +8,15 @@ of the corpus, which bounds what is gathered and sent; all training texts are co
 word and its space, or the end mark); this is smoothed with the share of the token among the training tokens:
 p = LEXICON * share + (1 - LEXICON) * spelling.  Both sum to 1 over all tokens, and so does p.
 
-Longer contexts have no bound: they grow with the corpus and never leave Spark's tables.  A text is cut into phrases
-where the hash of two words in a row says so, so equal passages are cut alike wherever they stand, and no word is left
-out.  The whole phrase before is a context, of any length, whose next symbol is a phrase.  It is kept where it was
-seen SUPPORT times or more and the phrases after it diverge from their spelling at the suffix of DEPTH bytes.  A kept
-context gives a phrase seen after it n / (N + kinds), and leaves kinds / (N + kinds) to the tokens of any other.
+Longer contexts have no bound: they grow with the corpus and never leave Spark's tables.  The words before every token,
+at every place of every text, are contexts of 3, 6, 12, ... words (``word_contexts``); each that is kept gives a token
+(n + kinds * p) / (N + kinds), where p is what the shorter contexts give it, so the sum stays 1.
+
+On request contexts are whole phrases instead (``phrase_bits``): a text is cut where the hash of two words in a row says
+so, and the whole phrase before is a context, of any length, whose next symbol is a phrase.  That is cheaper, but contexts
+begin and end at cuts only.  It is kept where it was seen SUPPORT times or more and the phrases after it diverge from
+their spelling at the suffix of DEPTH bytes.  A kept context gives a phrase seen after it n / (N + kinds), and leaves
+kinds / (N + kinds) to the tokens of any other.
 
 Words have no such bound.  Those with a count of at least a power of two, chosen so that no more than FREQUENT words
 pass, are sent to the tasks; the others are joined by word with their spelling, and their shares enter the score then.
@@ -28,7 +32,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantmill.llm.shared import written
+from quantmill.llm import word_contexts
+from quantmill.llm.shared import written, written_and_freed
+from quantmill.llm.word_contexts import BASE, BYTE_CODES, MARK, SUPPORT, Spans, bytes_of, words_of
 
 DEPTH = 3
 BITS = 6
@@ -37,10 +43,6 @@ END, OTHER = 0, 1
 #: A context is kept if its divergence from its suffix, summed over its occurrences, is this many nats or more.
 DIVERGENCE = 8.0
 FREQUENT = 1 << 18
-#: A phrase ends after one word in so many, as a power of two.
-PHRASE_BITS = 4
-#: What one place alone says is no regularity: such contexts are not kept.
-SUPPORT = 2
 #: Held out: crc32 of the id as text leaves HELD_OUT when divided by FOLDS.
 FOLDS, HELD_OUT = 7, 2
 #: Weight of a token's own share against its spelling.
@@ -48,18 +50,7 @@ LEXICON = 0.8
 CHUNK = 1 << 19
 #: Distinct words that a task counts before it passes counts on.
 HELD_WORDS = 1 << 19
-#: A-Z in lower case.
-NORMAL = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: The end mark among the bytes: a line end, which no word holds.
-MARK = 10
 WHITE = (9, 10, 11, 12, 13, 32)
-#: An odd base, so that it has an inverse modulo 2**64, and a random number for each byte value.
-BASE = 0x9E3779B97F4A7C15
-BYTE_CODES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 256, np.uint64)
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text if isinstance(text, str) else "").encode().translate(NORMAL).split()
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,38 +103,14 @@ def _count_bytes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(256, np.int64)
     for batch in batches:
         for text in batch["text"]:
-            total += np.bincount(np.frombuffer(b" ".join(words_of(text)), np.uint8), minlength=256)
+            total += bytes_of(b" ".join(words_of(text)))
     at = np.nonzero(total)[0]
     yield pd.DataFrame({"byte": at, "n": total[at]})
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Every bit of ``x`` spread over all bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-class Spans:
-    """Hashes of any spans of some bytes, the same for equal bytes at any place."""
-
-    def __init__(self, raw: np.ndarray):
-        self.back = _powers(pow(BASE, -1, 1 << 64), len(raw) + 1)
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE_CODES[raw] * _powers(BASE, len(raw)), dtype=np.uint64)))
-
-    def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.back[start])
-
-
 def _phrases(raw: np.ndarray, start: np.ndarray, end: np.ndarray, opens: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(first token of each phrase, hash of the phrase) for tokens from ``start`` to ``end``; ``opens``: first of a text."""
-    spans = Spans(raw)
+    spans = Spans(BYTE_CODES[raw])
     pair = np.where(opens, start, np.concatenate((start[:1], start[:-1])))
     cut = (spans.hashes(pair, end) >> np.uint64(64 - bits) == 0) if bits else np.ones(len(end), bool)
     last = np.nonzero(cut | np.concatenate((opens[1:], [True])))[0]
@@ -151,16 +118,11 @@ def _phrases(raw: np.ndarray, start: np.ndarray, end: np.ndarray, opens: np.ndar
     return first, spans.hashes(start[first], end[last]).view(np.int64)
 
 
-def _merged(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    code, at = np.unique(np.concatenate(codes), return_inverse=True)
-    return code, np.bincount(at, np.concatenate(counts), len(code)).astype(np.int64)
-
-
 def _counter(symbol: np.ndarray):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows (word, null, n) and (null, code, n): what this task has read of the training texts."""
         words: Counter = Counter()
-        codes, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        seen = np.zeros(SYMBOLS ** (DEPTH + 1), np.int64)
         for batch in _parts(batches):
             texts = [words_of(x) for x in batch["text"]]
             for x in texts:
@@ -169,17 +131,13 @@ def _counter(symbol: np.ndarray):
             for _, _, ends, data in _chunks(texts):
                 c = _codes(data, symbol)
                 skip = np.add.outer(ends[:-1] - DEPTH, np.arange(1, DEPTH)).ravel()  # separators after the end mark
-                code, n = np.unique(np.delete(c, skip), return_counts=True)
-                codes.append(code)
-                counts.append(n)
-            if len(codes) > 32:
-                codes, counts = ([x] for x in _merged(codes, counts))
+                np.add.at(seen, np.delete(c, skip), 1)
             if len(words) > HELD_WORDS:
                 yield pd.DataFrame({"word": list(words), "code": None, "n": list(words.values())})
                 words.clear()
-        code, n = _merged(codes, counts)
+        code = np.nonzero(seen)[0]
         yield pd.DataFrame({"word": list(words), "code": None, "n": list(words.values())})
-        yield pd.DataFrame({"word": None, "code": code, "n": n})
+        yield pd.DataFrame({"word": None, "code": code, "n": seen[code]})
 
     return count
 
@@ -237,12 +195,13 @@ def dense_scores(tree: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     return np.log10(table, out=table).ravel()
 
 
-def train(docs: DataFrame, divergence: float = DIVERGENCE) -> tuple:
-    """(symbol table, share of the common symbol, tree, counts (word, n) with the end mark as the empty word)."""
+def train(docs: DataFrame, divergence: float = DIVERGENCE, seen: DataFrame | None = None) -> tuple:
+    """(symbol table, share of the common symbol, tree, counts (word, n) with the end mark as the empty word); ``seen``: (byte, n)."""
     text = docs.select("text")
-    seen = text.mapInPandas(_count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()  # 256 rows at most
+    seen = seen if seen is not None else text.mapInPandas(_count_bytes, "byte int, n long")
+    seen = seen.filter("n > 0").groupBy("byte").agg(F.sum("n").alias("n")).collect()  # 256 rows at most
     symbol = symbol_table({r["byte"]: r["n"] for r in seen})
-    counts = written(text.mapInPandas(_counter(symbol), "word binary, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n")))
+    counts = written_and_freed(text.mapInPandas(_counter(symbol), "word binary, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n")))
     codes = counts.filter("code is not null").select("code", "n").toPandas().sort_values("code")  # the tree's bound
     tree = build_tree(codes["code"].to_numpy(np.int64), codes["n"].to_numpy(np.int64), divergence)
     return symbol, 1 / max(1, int((symbol == OTHER).sum()) - sum(symbol[b] == OTHER for b in WHITE)), tree, counts.filter("code is null").select("word", "n")
@@ -258,11 +217,19 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[int, dict[b
     return 1 << (least - 1), dict(zip(map(bytes, rows["word"]), rows["n"].tolist(), strict=True))
 
 
-def _scorer(model, bits: int):
+#: Of the tree that this process has last scored with (its id, itself, its scores): tasks of a process share it.
+_DENSE: list = []
+
+
+def _scorer(model, bits: int | None):
+    """Scores of texts: with their phrases, or (no ``bits``) of chunks with the answers to their contexts of words."""
+
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         symbol, share, tree, counts, tokens = model.value
-        table = dense_scores(tree)
-        for batch in _parts(batches):
+        if _DENSE[:1] != [id(tree)]:
+            _DENSE[:] = [id(tree), tree, dense_scores(tree)]
+        table = _DENSE[2]
+        for batch in _parts(batches if bits is not None else word_contexts.unpacked(batches)):
             texts = [words_of(x) for x in batch["text"]]
             known, base, rest, shares, phrases = [], [], [], [], []
             rare: list[dict] = [{} for _ in texts]
@@ -291,19 +258,27 @@ def _scorer(model, bits: int):
                 own = c > 0
                 token = np.log10(1 - LEXICON) + spelling  # long words fall below the least number there is
                 token[own] = np.log10(LEXICON * c[own] / tokens + (1 - LEXICON) * 10.0 ** spelling[own])
+                ends_at = np.cumsum([len(x) for x in rest[first : first + len(starts)]])
+                if bits is None:
+                    a, b = (np.concatenate(batch[x].to_numpy()[first : first + len(starts)]) for x in "ab")
+                    ratio = a / b
+                    token[a > 0] = np.log10(ratio[a > 0] + 10.0 ** token[a > 0])
+                    total[first : first + len(starts)] = np.bincount(text_of, token + np.log10(b), len(starts))
+                    for i, part, at in zip(range(first, first + len(starts)), np.split(np.round(spelling[~own], 9), ends_at[:-1]), np.split(ratio[~own], ends_at[:-1]), strict=True):
+                        rare[i] = Counter(zip(rest[i], part.tolist(), at.tolist(), strict=True))
+                    continue
                 begins = np.concatenate(([0], stops[:-1]))
                 begins[opens] = starts - DEPTH
                 heads, names = _phrases(raw, begins, stops, opens, bits)
                 of_text = np.searchsorted(text_of[heads], np.arange(len(starts) + 1))  # the first phrase of each text
                 place = np.repeat(np.arange(len(heads)) - of_text[text_of[heads]], np.diff(np.append(heads, len(stops))))
-                ends_at = np.cumsum([len(x) for x in rest[first : first + len(starts)]])
                 for i, part, at in zip(range(first, first + len(starts)), np.split(np.round(spelling[~own], 9), ends_at[:-1]), np.split(place[~own], ends_at[:-1]), strict=True):
                     rare[i] = Counter(zip(rest[i], part.tolist(), at.tolist(), strict=True))
                 phrases += zip(*[np.split(x, of_text[1:-1]) for x in (names, np.add.reduceat(token, heads), np.add.reduceat(spelling, heads))], strict=True)
                 total[first : first + len(starts)] = np.bincount(text_of, token, len(starts))
             out = {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": [len(x) + 1 for x in texts], "known": known, "base": base, "score": total}
-            out |= {c: [[key[k] for key in x] for x in rare] for k, c in enumerate(("rare", "spelling", "at"))} | {"times": [list(x.values()) for x in rare]}
-            yield pd.DataFrame(out | {c: [x[k] for x in phrases] for k, c in enumerate(("phrase", "q", "spelled"))})
+            out |= {c: [[key[k] for key in x] for x in rare] for k, c in enumerate(("rare", "spelling", "ratio" if bits is None else "at"))} | {"times": [list(x.values()) for x in rare]}
+            yield pd.DataFrame(out | ({c: [x[k] for x in phrases] for k, c in enumerate(("phrase", "q", "spelled"))} if bits is not None else {}))
 
     return score
 
@@ -339,31 +314,49 @@ def _long_context_scores(rows: DataFrame, divergence: float) -> DataFrame:
     return asked.select("row", "at", F.when(known, F.log10(F.col("n") / mass) - F.col("q")).alias("credit"), F.when(~known, F.log10(F.col("kinds") / mass)).alias("escape"))
 
 
-def score(docs: DataFrame, frequent: int = FREQUENT, divergence: float = DIVERGENCE, phrase_bits: int = PHRASE_BITS) -> DataFrame:
+def score(docs: DataFrame, frequent: int = FREQUENT, divergence: float = DIVERGENCE, phrase_bits: int | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): the columns of the contract.
 
     Null texts count as empty: they are the end mark alone.  Null ids have the empty text as their text.  With no
     training text all counts are 0 and the tree knows nothing: each symbol has the same probability.  Texts of any
     length are scored as a whole; repeated rows are trained on and scored each.  Words of equal count (ties) are all
-    sent or all joined, and their score is the same either way.
+    sent or all joined, and their score is the same either way.  ``phrase_bits``: contexts are phrases, which end after
+    one word in so many, as a power of two.
     """
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
-    symbol, share, tree, counts = train(docs.filter(~F.col("held_out")), divergence)
+    packed = written(word_contexts.chunks(docs)) if phrase_bits is None else None
+    seen = packed.select(F.posexplode("bytes").alias("byte", "n")) if phrase_bits is None else None
+    symbol, share, tree, counts = train(docs.filter(~F.col("held_out")), divergence, seen)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least, words = frequent_words(counts, frequent)
     model = docs.sparkSession.sparkContext.broadcast((symbol, share, tree, words, max(1, total["n"])))
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, spelling array<double>, at array<int>, times array<long>, phrase array<long>, q array<double>, spelled array<double>"
-    rows = written(docs.mapInPandas(_scorer(model, phrase_bits), schema)).withColumn("row", F.monotonically_increasing_id())  # written first: ids stay
-    tail = rows.select("row", F.explode(F.arrays_zip("rare", "spelling", "at", "times")).alias("x")).select("row", *[F.col(f"x.{c}").alias(d) for c, d in (("rare", "word"), ("spelling", "spelling"), ("at", "at"), ("times", "k"))])
+    numbers = "held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, spelling array<double>"
+    if phrase_bits is None:
+        texts = word_contexts.answered(packed.drop("bytes"), written_and_freed)
+        rows = written_and_freed(texts.mapInPandas(_scorer(model, None), f"doc_id string, {numbers}, ratio array<double>, times array<long>"))
+        rows = rows.withColumn("doc_id", F.col("doc_id").cast(kind))
+    else:
+        schema = f"doc_id {kind}, {numbers}, at array<int>, times array<long>, phrase array<long>, q array<double>, spelled array<double>"
+        rows = written(docs.mapInPandas(_scorer(model, phrase_bits), schema))
+    rows = rows.withColumn("row", F.monotonically_increasing_id())  # written first: ids stay
+    place = "ratio" if phrase_bits is None else "at"
+    tail = rows.select("row", F.explode(F.arrays_zip("rare", "spelling", place, "times")).alias("x")).select("row", *[F.col(f"x.{c}").alias(d) for c, d in (("rare", "word"), ("spelling", "spelling"), (place, place), ("times", "k"))])
     tail = tail.join(counts.filter(F.col("n") < least), "word")
-    mixed = F.log10(LEXICON * F.col("n") / max(1, total["n"]) + (1 - LEXICON) * F.pow(F.lit(10.0), "spelling"))
-    gain = mixed - F.log10(F.lit(1 - LEXICON)) - F.col("spelling")  # over a word of no share, as which the task has scored it
-    tail = tail.select("row", "at", "k", (F.col("k") * F.log10(F.col("n") + 1)).alias("logs"), (F.col("k") * gain).alias("gain"))
-    both = tail.unionByName(_long_context_scores(rows, divergence), allowMissingColumns=True).repartition("row")  # serves both groupings
-    both = both.groupBy("row", "at").agg(F.sum("k").alias("more"), F.sum("logs").alias("logs"), F.coalesce(F.max("credit"), F.coalesce(F.sum("gain"), F.lit(0.0)) + F.coalesce(F.max("escape"), F.lit(0.0))).alias("gain"))
-    both = both.groupBy("row").agg(F.sum("more").alias("more"), F.sum("logs").alias("logs"), F.sum("gain").alias("gain"))
-    out = rows.drop("rare", "spelling", "at", "times", "phrase", "q", "spelled").join(both, "row", "left")
+    share_of = LEXICON * F.col("n") / max(1, total["n"]) + (1 - LEXICON) * F.pow(F.lit(10.0), "spelling")
+    alone = F.log10(F.lit(1 - LEXICON)) + F.col("spelling")  # a word of no share, as which the task has scored it
+    gain = F.log10(share_of) - alone
+    if phrase_bits is None:
+        gain = F.when(F.col("ratio") > 0, F.log10(F.col("ratio") + share_of) - F.log10(F.col("ratio") + F.pow(F.lit(10.0), alone))).otherwise(gain)
+    logs = F.col("k") * F.log10(F.col("n") + 1)
+    if phrase_bits is None:
+        both = tail.select("row", "k", logs.alias("logs"), (F.col("k") * gain).alias("gain")).groupBy("row").agg(F.sum("k").alias("more"), F.sum("logs").alias("logs"), F.sum("gain").alias("gain"))
+    else:
+        tail = tail.select("row", "at", "k", logs.alias("logs"), (F.col("k") * gain).alias("gain"))
+        both = tail.unionByName(_long_context_scores(rows, divergence), allowMissingColumns=True).repartition("row")  # serves both groupings
+        both = both.groupBy("row", "at").agg(F.sum("k").alias("more"), F.sum("logs").alias("logs"), F.coalesce(F.max("credit"), F.coalesce(F.sum("gain"), F.lit(0.0)) + F.coalesce(F.max("escape"), F.lit(0.0))).alias("gain"))
+        both = both.groupBy("row").agg(F.sum("more").alias("more"), F.sum("logs").alias("logs"), F.sum("gain").alias("gain"))
+    out = rows.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "score").join(both, "row", "left")
     base = F.col("base") + F.coalesce("logs", F.lit(0.0)) - F.col("n_tokens") * F.log10(F.lit(float(total["n"] + total["v"] + 1)))
     known = F.col("known") + F.coalesce("more", F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", known.cast("long").alias("n_known"), F.lit(total["n"]).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("score") + F.coalesce("gain", F.lit(0.0))).alias("score"))

@@ -5,17 +5,19 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import unittest.mock
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quantmill.llm import decontaminate, license_scan, line_dedup, mixing, quality, queries, secrets, sharding, simhash, suffix_tree, token_counts
+from quantmill.llm import decontaminate, license_scan, line_dedup, mixing, quality, queries, secrets, sharding, simhash, suffix_tree, token_counts, word_contexts
 from quantmill.llm.graph import connected_components
 from quantmill.llm.shared import shared_folder
 
@@ -737,6 +739,74 @@ def test_suffix_tree_long_contexts(spark):
     assert min(each[i] for i in each if learnt[texts[i]] > 1) > max(each[i] for i in each if learnt[texts[i]] < 2) / 2
 
 
+@pytest.mark.parametrize("tokens_a_range", [1 << 20, 16])
+def test_suffix_tree_looks_at_every_place(spark, monkeypatch, tokens_a_range):
+    """Scores equal those of counts in dictionaries before every token; a run of words is known wherever it stands."""
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(word_contexts, "RANGE", tokens_a_range)
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe") for b in ("ra", "so", "ti", "vu")]
+    made = [" ".join(rng.choice(words, 100)) for _ in range(12)]
+    run = " ".join(rng.choice(words, 9))
+    runs = [f"{' '.join(rng.choice(words, 5 + i))} {run} {' '.join(rng.choice(words, 7))}" for i in range(6)]
+    near = [x.replace(x.split()[60], "qq") for x in made[:3]]
+    texts = dict(enumerate([*made, *made[:4], *near, *runs, "Ka ra", "ka ra so " * 30, "", None, "z"]))
+    texts[next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2)] = runs[2] + " unseen " + run
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    trained = docs.withColumn("held_out", suffix_tree.held_out())
+    symbol, share, tree, counts = suffix_tree.train(trained.filter("not held_out"))
+    known = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    model = SimpleNamespace(value=(symbol, share, tree, known, sum(known.values())))
+    rows = next(suffix_tree._scorer(model, 0)(iter([trained.toPandas()]))).to_dict("records")  # every token is a phrase of its own
+    tokens = {r["doc_id"]: [*WORD.findall(lower(texts[r["doc_id"]] or "")), None] for r in rows}
+    after = defaultdict(Counter)
+    for r in rows:
+        x = tokens[r["doc_id"]]
+        for i in range(len(x) if not r["held_out"] else 0):
+            for k in (3, 6, 12, 24, 48, 96):
+                if i >= k:
+                    after[tuple(x[i - k : i])][x[i]] += 1
+    want, used, deep = {}, 0, 0
+    for r in rows:
+        x, score = tokens[r["doc_id"]], 0.0
+        for i, q in enumerate(r["q"]):
+            p, k = 10.0**q, 3
+            while k <= i:
+                c = after.get(tuple(x[i - k : i]), Counter())
+                if max(c.values(), default=0) >= 2:
+                    p = (c[x[i]] + len(c) * p) / (sum(c.values()) + len(c))
+                    used, deep = used + 1, max(deep, k)
+                if k == 3 and (max(c.values(), default=0) < 2 or len(c) < 2):
+                    break  # one token alone follows: longer contexts can't tell more
+                k *= 2
+            score += np.log10(p)
+        want[r["doc_id"]] = score
+    assert used > 300 and deep >= 24
+    for frequent in (1 << 18, 5):
+        got = {r["doc_id"]: r["score"] for r in suffix_tree.score(docs, frequent=frequent).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+
+
+def test_suffix_tree_chunks_keep_texts():
+    """Chunks of any cut hold all texts, and places far into a long token are hashed alike."""
+    texts = ["A b  c", None, "", "x" * 300000 + " y", "A b c"] * 5
+    batch = pd.DataFrame({"id": [str(i) if i else None for i in range(25)], "held_out": [i % 3 == 0 for i in range(25)], "text": texts})
+    small = [batch.iloc[i : i + 4] for i in range(0, 25, 4)]
+    with unittest.mock.patch.object(word_contexts, "TaskContext"), unittest.mock.patch.object(word_contexts, "CHUNK_BYTES", 400000):
+        word_contexts.TaskContext.get.return_value.partitionId.return_value = 3
+        out = pd.concat(word_contexts.pack(iter(small)))
+    assert len(out) > 2 and out["chunk"].is_unique and out["tokens"].sum() == sum(len(WORD.findall(t or "")) + 1 for t in texts)
+    got = [x for c in out.itertuples() for x in zip(c.ids, c.held, word_contexts.Chunk(c.size, c.packed, c.held).data.split(b"\n")[:-1], strict=True)]
+    assert [x[:2] for x in got] == list(zip(batch["id"], batch["held_out"])) and [x[2].split() for x in got] == [lower(t or "").encode().split() for t in texts]
+    codes = {}
+    for c in out.itertuples():
+        chunk = word_contexts.Chunk(c.size, c.packed, c.held)
+        flat = [t for text in chunk.data.split(b"\n")[:-1] for t in [*text.split(), b"\n"]]
+        assert len(flat) == len(chunk.codes) and all(codes.setdefault(w, code) == code for w, code in zip(flat, chunk.codes.tolist()))
+    assert len(set(codes.values())) == len(codes)
+
+
 def test_suffix_tree_odd_rows(odd, nothing):
     got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in suffix_tree.score(odd).collect())
     assert got == sorted((r[0] or 0, len(WORD.findall(r[1] or "")) + 1) for r in ODD) and suffix_tree.score(nothing).count() == 0
