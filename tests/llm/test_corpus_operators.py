@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quantmill.llm import decontaminate, license_scan, line_dedup, mixing, quality, queries, secrets, sharding, simhash, suffix_tree, token_counts, word_contexts
+from quantmill.llm import decontaminate, graph, license_scan, line_dedup, mixing, quality, queries, secrets, sharding, simhash, suffix_tree, token_counts, word_contexts
 from quantmill.llm.graph import connected_components
 from quantmill.llm.shared import shared_folder
 
@@ -249,6 +249,32 @@ def test_components_of_chains(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("sent", [graph.SENT_BYTES, 0])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_components_of_few_edges_take_few_tasks(spark, monkeypatch, sent, kind):
+    """Whether least neighbours are sent or shuffled, with a hub, chains and many more partitions than edges ask for."""
+    monkeypatch.setattr(graph, "SENT_BYTES", sent)
+    many = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    edges = [(10, i) for i in range(11, 200)] + [(i, i + 1) for i in range(300, 340)] + [(400, 401), (401, 400)]
+    plain = {**{i: 10 for i in range(10, 200)}, **{i: 300 for i in range(300, 341)}, 400: 400, 401: 400}
+    before = {k: spark.conf.get(k) for k in many}
+    for k, v in many.items():
+        spark.conf.set(k, v)
+    sc, group = spark.sparkContext, f"components-{sent}-{kind}"
+    try:
+        sc.setJobGroup(group, group)
+        rows = connected_components(spark.createDataFrame(edges, "a long, b long").selectExpr(f"cast(a as {kind}) as a", f"cast(b as {kind}) as b")).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {int(r["node"]): int(r["root"]) for r in rows} == plain and len(rows) == len(plain)
+    jobs = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(group)]
+    ran = [sc.statusTracker().getStageInfo(x) for x in {x for j in jobs for x in j.stageIds}]
+    tasks = sum(x.numCompletedTasks for x in ran if x)
+    assert tasks > 0 and (not sent or tasks < 400)
+
+
 # 4 -------------------------------------------------------------------------------------------------------------------
 def test_license_scan(spark, odd, nothing, texts):
     mit = license_scan.TEMPLATES["mit"]
