@@ -48,8 +48,9 @@ FOLDS, HELD_OUT = 7, 2
 #: Weight of a token's own share against its spelling.
 LEXICON = 0.8
 CHUNK = 1 << 19
-#: Distinct words that a task counts before it passes counts on.
-HELD_WORDS = 1 << 19
+#: Distinct words that a task counts before it passes counts on, and symbols, so that 32 bits hold each count.
+HELD_WORDS = 1 << 17
+HELD_SYMBOLS = 1 << 31
 WHITE = (9, 10, 11, 12, 13, 32)
 
 
@@ -118,11 +119,21 @@ def _phrases(raw: np.ndarray, start: np.ndarray, end: np.ndarray, opens: np.ndar
     return first, spans.hashes(start[first], end[last]).view(np.int64)
 
 
+def _symbols(seen: np.ndarray) -> pd.DataFrame:
+    """Rows (null, code, n) of what was seen, which is forgotten."""
+    code = np.nonzero(seen)[0]
+    n = seen[code].astype(np.int64)
+    seen[code] = 0
+    return pd.DataFrame({"word": None, "code": code, "n": n})
+
+
 def _counter(symbol: np.ndarray):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows (word, null, n) and (null, code, n): what this task has read of the training texts."""
+        _DENSE.clear()  # of a former tree: nobody scores while words are counted
+        word_contexts.give_back()
         words: Counter = Counter()
-        seen = np.zeros(SYMBOLS ** (DEPTH + 1), np.int64)
+        seen, held = np.zeros(SYMBOLS ** (DEPTH + 1), np.uint32), 0
         for batch in _parts(batches):
             texts = [words_of(x) for x in batch["text"]]
             for x in texts:
@@ -131,13 +142,16 @@ def _counter(symbol: np.ndarray):
             for _, _, ends, data in _chunks(texts):
                 c = _codes(data, symbol)
                 skip = np.add.outer(ends[:-1] - DEPTH, np.arange(1, DEPTH)).ravel()  # separators after the end mark
-                np.add.at(seen, np.delete(c, skip), 1)
+                if held and held + len(c) > HELD_SYMBOLS:
+                    yield _symbols(seen)
+                    held = 0
+                np.add.at(seen, np.delete(c, skip), np.uint32(1))  # of its own kind: another one is much slower
+                held += len(c)
             if len(words) > HELD_WORDS:
                 yield pd.DataFrame({"word": list(words), "code": None, "n": list(words.values())})
                 words.clear()
-        code = np.nonzero(seen)[0]
         yield pd.DataFrame({"word": list(words), "code": None, "n": list(words.values())})
-        yield pd.DataFrame({"word": None, "code": code, "n": seen[code]})
+        yield _symbols(seen)
 
     return count
 
@@ -225,6 +239,7 @@ def _scorer(model, bits: int | None):
     """Scores of texts: with their phrases, or (no ``bits``) of chunks with the answers to their contexts of words."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        word_contexts.give_back()
         symbol, share, tree, counts, tokens = model.value
         if _DENSE[:1] != [id(tree)]:
             _DENSE[:] = [id(tree), tree, dense_scores(tree)]

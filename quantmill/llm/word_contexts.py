@@ -12,8 +12,9 @@ of ranges follows the corpus; nothing is gathered or sent.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,13 @@ BASE = 0x9E3779B97F4A7C15
 BYTE_CODES = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, 256, np.uint64)
 
 
+def give_back() -> None:
+    """The memory of freed arrays goes back to the system, where the C library can: a worker lives on, and would hold it in later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # of another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def words_of(text: str | bytes | None) -> list[bytes]:
     """Words in lower case; bytes are so already."""
     return text.split() if isinstance(text, bytes) else (text if isinstance(text, str) else "").encode().translate(NORMAL).split()
@@ -54,11 +62,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=8)
+#: The powers of each base, as far as they were asked for.
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.full(1 << bits, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    if len(_POWERS.get(base, ())) < 1 << bits:
+        out = np.full(1 << bits, base, np.uint64)
+        out[:1] = 1
+        _POWERS[base] = np.cumprod(out, out=out)
+    return _POWERS[base][: 1 << bits]
 
 
 class Spans:
@@ -83,6 +96,7 @@ def bytes_of(data: bytes) -> np.ndarray:
 # chunks --------------------------------------------------------------------------------------------------------------
 def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows of PACKED, with the bytes of learnt words: the normalised texts of about CHUNK_BYTES, each word and a space, MARK after a text."""
+    give_back()
     seq, ids, held, texts, size = TaskContext.get().partitionId() << 32, [], [], [], 0
 
     def row():
@@ -204,6 +218,7 @@ def _asked(chunk: int, r: Records, bits: int) -> pd.DataFrame:
 
 def _ask_first(bits: int):
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for batch in batches:
             for c in batch.itertuples():
                 chunk = Chunk(c.size, c.packed, c.held)
@@ -214,6 +229,7 @@ def _ask_first(bits: int):
 
 def _ask_longer(bits: int):
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         for batch in batches:
             for c in batch.itertuples():
                 chunk = Chunk(c.size, c.packed, c.held)
@@ -226,6 +242,7 @@ def _ask_longer(bits: int):
 
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """What all chunks ask of one range of hashes: counts in the order asked, nothing where all are zero."""
+    give_back()
     ctx = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) << np.uint64(8) for x in rows["ctx"]]
     r = Records(np.concatenate(ctx), np.concatenate([_numbers(x, np.uint32) for x in rows["nxt"]]), np.concatenate([_numbers(x, np.uint32) for x in rows["n"]]))
     got = r.counts()[:, r.of]
@@ -282,17 +299,22 @@ def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each text: id, held_out, text, and for each of its tokens ``a`` and ``b``: its probability is a + b times that without words before it."""
     for batch in batches:
         for c in batch.itertuples():
-            chunk = Chunk(c.size, c.packed, c.held)
-            a, b = np.zeros(len(chunk.codes)), np.ones(len(chunk.codes))
-            at, lengths = chunk.first()
-            got = replies(c.first, chunk.records(at, lengths))
-            _blend(a, b, at, got)
-            at, lengths = chunk.longer(at[got[2] > 1])
-            got = replies(c.longer, chunk.records(at, lengths))
-            for k in np.unique(lengths):
-                _blend(a, b, at[lengths == k], got[:, lengths == k])
-            cut = chunk.heads[1:-1]
-            yield pd.DataFrame({"doc_id": list(c.ids), "held_out": list(c.held), "text": chunk.data.split(bytes([MARK]))[:-1], "a": np.split(a, cut), "b": np.split(b, cut)})
+            yield _texts(c)
+
+
+def _texts(c) -> pd.DataFrame:
+    """What unpacked() gives of one chunk; no working array outlives it."""
+    chunk = Chunk(c.size, c.packed, c.held)
+    a, b = np.zeros(len(chunk.codes)), np.ones(len(chunk.codes))
+    at, lengths = chunk.first()
+    got = replies(c.first, chunk.records(at, lengths))
+    _blend(a, b, at, got)
+    at, lengths = chunk.longer(at[got[2] > 1])
+    got = replies(c.longer, chunk.records(at, lengths))
+    for k in np.unique(lengths):
+        _blend(a, b, at[lengths == k], got[:, lengths == k])
+    cut = chunk.heads[1:-1]
+    return pd.DataFrame({"doc_id": list(c.ids), "held_out": list(c.held), "text": chunk.data.split(bytes([MARK]))[:-1], "a": np.split(a, cut), "b": np.split(b, cut)})
 
 
 def _blend(a: np.ndarray, b: np.ndarray, at: np.ndarray, got: np.ndarray) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import unittest.mock
 import zlib
 from collections import Counter, defaultdict
@@ -833,6 +834,29 @@ def test_suffix_tree_chunks_keep_texts():
     assert len(set(codes.values())) == len(codes)
 
 
+def test_suffix_tree_counts_in_little_memory(monkeypatch):
+    """A task that counts frees the scores of a former tree and holds 32 bits a code; passing counts on early changes none."""
+    batches = [pd.DataFrame({"text": [" ".join(f"w{i * 1000 + j}" for j in range(1000)) + " same same" for i in range(k, k + 20)]}) for k in range(0, 200, 20)]
+    symbol = suffix_tree.symbol_table(dict(Counter(" ".join(x for b in batches for x in b["text"]).replace(" ", "").encode())))
+
+    def counted():
+        rows = pd.concat([x for x in suffix_tree._counter(symbol)(iter(batches)) if len(x)])
+        words, codes = rows[rows["code"].isna()], rows[rows["word"].isna()]
+        return words.groupby("word")["n"].sum().to_dict(), codes.groupby("code")["n"].sum().to_dict()
+
+    suffix_tree._DENSE[:] = [0, None, np.zeros(1)]
+    tracemalloc.start()
+    try:
+        words, codes = counted()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 125e6 and not suffix_tree._DENSE and words[b"same"] == 400 and words[b""] == 200 and words[b"w7"] == 1
+    monkeypatch.setattr(suffix_tree, "HELD_WORDS", 1000)
+    monkeypatch.setattr(suffix_tree, "HELD_SYMBOLS", 1000, raising=False)
+    assert counted() == (words, codes)
+
+
 def test_suffix_tree_odd_rows(odd, nothing):
     got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in suffix_tree.score(odd).collect())
     assert got == sorted((r[0] or 0, len(WORD.findall(r[1] or "")) + 1) for r in ODD) and suffix_tree.score(nothing).count() == 0
