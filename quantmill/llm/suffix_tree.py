@@ -29,12 +29,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantmill.llm import word_contexts
 from quantmill.llm.shared import written, written_and_freed
-from quantmill.llm.word_contexts import BASE, BYTE_CODES, MARK, SUPPORT, Spans, bytes_of, words_of
+from quantmill.llm.word_contexts import BASE, BYTE_CODES, MARK, SUPPORT, Chunk, Spans, bare, blended, bytes_of, stops_of, tokens_of, words_of
 
 DEPTH = 3
 BITS = 6
@@ -156,6 +157,59 @@ def _counter(symbol: np.ndarray):
     return count
 
 
+def _coded(data: bytes, symbol: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Packed texts, CHUNK symbols at a time: number of the first, codes of all, and which are separators after an end mark.
+
+    The end mark stands DEPTH times before each text here, so text ``i`` begins ``i * (DEPTH - 1)`` symbols later than in the data.
+    """
+    ends = np.nonzero(np.frombuffer(data, np.uint8) == MARK)[0]
+    skip = np.add.outer(ends + np.arange(len(ends)) * (DEPTH - 1), np.arange(1, DEPTH)).ravel()
+    data = bytes([MARK] * DEPTH) + data.replace(bytes([MARK]), bytes([MARK] * DEPTH))
+    for a in range(0, len(data) - DEPTH, CHUNK):
+        c = _codes(data[a : a + CHUNK + DEPTH], symbol)
+        yield a, c, skip[slice(*np.searchsorted(skip, (a, a + len(c))))] - a
+
+
+def _chunk_counter(symbol: np.ndarray):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """As _counter(), of the learnt texts of chunks."""
+        _DENSE.clear()
+        word_contexts.give_back()
+        seen, held = np.zeros(SYMBOLS ** (DEPTH + 1), np.uint32), 0
+        for c in _rows(batches):
+            texts = pa.decompress(c["packed"], c["size"], "zstd", asbytes=True).split(bytes([MARK]))
+            data = b"".join([t + bytes([MARK]) for t, out in zip(texts, c["held"]) if not out])
+            words = tokens_of(data, stops_of(data)).value_counts()
+            yield _count_rows(word=bare(words.field("values")), n=words.field("counts"))
+            for _, codes, skip in _coded(data, symbol):
+                if held and held + len(codes) > HELD_SYMBOLS:
+                    yield _symbol_rows(seen)
+                    held = 0
+                np.add.at(seen, codes, np.uint32(1))  # of its own kind: another one is much slower
+                np.subtract.at(seen, codes[skip], np.uint32(1))
+                held += len(codes)
+        yield _symbol_rows(seen)
+
+    return count
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time."""
+    for batch in batches:
+        for i in range(len(batch)):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _count_rows(n, word=None, code=None) -> pa.RecordBatch:
+    kinds = {"word": pa.binary(), "code": pa.int32(), "n": pa.int64()}
+    return pa.RecordBatch.from_pydict({k: pa.nulls(len(n), t) if x is None else pa.array(x, t) for (k, t), x in zip(kinds.items(), (word, code, n))})
+
+
+def _symbol_rows(seen: np.ndarray) -> pa.RecordBatch:
+    rows = _symbols(seen)
+    return _count_rows(code=rows["code"].to_numpy(np.int32), n=rows["n"].to_numpy())
+
+
 def build_tree(code: np.ndarray, n: np.ndarray, divergence: float = DIVERGENCE) -> list[tuple[np.ndarray, ...]]:
     """For each length of context from 0: (codes of context and next symbol, probability, contexts kept, their backoff).
 
@@ -209,13 +263,15 @@ def dense_scores(tree: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     return np.log10(table, out=table).ravel()
 
 
-def train(docs: DataFrame, divergence: float = DIVERGENCE, seen: DataFrame | None = None) -> tuple:
-    """(symbol table, share of the common symbol, tree, counts (word, n) with the end mark as the empty word); ``seen``: (byte, n)."""
+def train(docs: DataFrame, divergence: float = DIVERGENCE, packed: DataFrame | None = None) -> tuple:
+    """(symbol table, share of the common symbol, tree, counts (word, n) with the end mark as the empty word); ``packed``: the chunks, if made."""
     text = docs.select("text")
-    seen = seen if seen is not None else text.mapInPandas(_count_bytes, "byte int, n long")
+    seen = text.mapInPandas(_count_bytes, "byte int, n long") if packed is None else packed.select(F.posexplode("bytes").alias("byte", "n"))
     seen = seen.filter("n > 0").groupBy("byte").agg(F.sum("n").alias("n")).collect()  # 256 rows at most
     symbol = symbol_table({r["byte"]: r["n"] for r in seen})
-    counts = written_and_freed(text.mapInPandas(_counter(symbol), "word binary, code int, n long").groupBy("word", "code").agg(F.sum("n").alias("n")))
+    kind = "word binary, code int, n long"
+    counts = text.mapInPandas(_counter(symbol), kind) if packed is None else packed.select("held", "size", "packed").mapInArrow(_chunk_counter(symbol), kind)
+    counts = written_and_freed(counts.groupBy("word", "code").agg(F.sum("n").alias("n")))
     codes = counts.filter("code is not null").select("code", "n").toPandas().sort_values("code")  # the tree's bound
     tree = build_tree(codes["code"].to_numpy(np.int64), codes["n"].to_numpy(np.int64), divergence)
     return symbol, 1 / max(1, int((symbol == OTHER).sum()) - sum(symbol[b] == OTHER for b in WHITE)), tree, counts.filter("code is null").select("word", "n")
@@ -235,16 +291,22 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> tuple[int, dict[b
 _DENSE: list = []
 
 
-def _scorer(model, bits: int | None):
-    """Scores of texts: with their phrases, or (no ``bits``) of chunks with the answers to their contexts of words."""
+def _dense(tree: list, share: float) -> np.ndarray:
+    """dense_scores(), with the share of a byte in the common symbol."""
+    if _DENSE[:1] != [id(tree)]:
+        _DENSE[:] = [id(tree), tree, dense_scores(tree)]
+        _DENSE[2].reshape(-1, SYMBOLS)[:, OTHER] += np.log10(share)
+    return _DENSE[2]
+
+
+def _scorer(model, bits: int):
+    """Scores of texts, with their phrases."""
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         word_contexts.give_back()
         symbol, share, tree, counts, tokens = model.value
-        if _DENSE[:1] != [id(tree)]:
-            _DENSE[:] = [id(tree), tree, dense_scores(tree)]
-        table = _DENSE[2]
-        for batch in _parts(batches if bits is not None else word_contexts.unpacked(batches)):
+        table = _dense(tree, share)
+        for batch in _parts(batches):
             texts = [words_of(x) for x in batch["text"]]
             known, base, rest, shares, phrases = [], [], [], [], []
             rare: list[dict] = [{} for _ in texts]
@@ -258,8 +320,7 @@ def _scorer(model, bits: int | None):
             total = np.zeros(len(texts))
             for first, starts, ends, data in _chunks(texts):
                 codes = _codes(data, symbol)
-                other = np.where(codes & (SYMBOLS - 1) == OTHER, np.log10(share), 0.0)
-                p = np.concatenate(([0.0], np.cumsum(table[codes] + other, dtype=np.float64)))
+                p = np.concatenate(([0.0], np.cumsum(table[codes], dtype=np.float64)))
                 raw = np.frombuffer(data, np.uint8)[DEPTH:]
                 stop = raw == 32
                 stop[ends - DEPTH] = True  # the end mark
@@ -274,14 +335,6 @@ def _scorer(model, bits: int | None):
                 token = np.log10(1 - LEXICON) + spelling  # long words fall below the least number there is
                 token[own] = np.log10(LEXICON * c[own] / tokens + (1 - LEXICON) * 10.0 ** spelling[own])
                 ends_at = np.cumsum([len(x) for x in rest[first : first + len(starts)]])
-                if bits is None:
-                    a, b = (np.concatenate(batch[x].to_numpy()[first : first + len(starts)]) for x in "ab")
-                    ratio = a / b
-                    token[a > 0] = np.log10(ratio[a > 0] + 10.0 ** token[a > 0])
-                    total[first : first + len(starts)] = np.bincount(text_of, token + np.log10(b), len(starts))
-                    for i, part, at in zip(range(first, first + len(starts)), np.split(np.round(spelling[~own], 9), ends_at[:-1]), np.split(ratio[~own], ends_at[:-1]), strict=True):
-                        rare[i] = Counter(zip(rest[i], part.tolist(), at.tolist(), strict=True))
-                    continue
                 begins = np.concatenate(([0], stops[:-1]))
                 begins[opens] = starts - DEPTH
                 heads, names = _phrases(raw, begins, stops, opens, bits)
@@ -292,12 +345,55 @@ def _scorer(model, bits: int | None):
                 phrases += zip(*[np.split(x, of_text[1:-1]) for x in (names, np.add.reduceat(token, heads), np.add.reduceat(spelling, heads))], strict=True)
                 total[first : first + len(starts)] = np.bincount(text_of, token, len(starts))
             out = {"doc_id": batch["doc_id"], "held_out": batch["held_out"], "n_tokens": [len(x) + 1 for x in texts], "known": known, "base": base, "score": total}
-            out |= {c: [[key[k] for key in x] for x in rare] for k, c in enumerate(("rare", "spelling", "ratio" if bits is None else "at"))} | {"times": [list(x.values()) for x in rare]}
-            yield pd.DataFrame(out | ({c: [x[k] for x in phrases] for k, c in enumerate(("phrase", "q", "spelled"))} if bits is not None else {}))
+            out |= {c: [[key[k] for key in x] for x in rare] for k, c in enumerate(("rare", "spelling", "at"))} | {"times": [list(x.values()) for x in rare]}
+            yield pd.DataFrame(out | {c: [x[k] for x in phrases] for k, c in enumerate(("phrase", "q", "spelled"))})
 
     return score
 
 
+def _chunk_scorer(model):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Scores of chunks with the answers to their contexts of words; each different word of a chunk is looked up once."""
+        word_contexts.give_back()
+        symbol, share, tree, counts, tokens = model.value
+        table = _dense(tree, share)
+        for row in _rows(batches):
+            yield _chunk_scores(row, symbol, table, counts, tokens)
+
+    return score
+
+
+def _chunk_scores(row: dict, symbol: np.ndarray, table: np.ndarray, counts: dict[bytes, int], tokens: int) -> pa.RecordBatch:
+    """The scores of one chunk; no working array outlives it."""
+    chunk = Chunk(row["size"], row["packed"], row["held"])
+    heads, n_tokens = chunk.heads[:-1], np.diff(chunk.heads)
+    words, word = chunk.words()
+    found = np.array([counts.get(w, 0) for w in words.to_numpy(zero_copy_only=False)], np.float64)
+    c = found[word]
+    begins = chunk.start + np.repeat(np.arange(len(heads)) * (DEPTH - 1), n_tokens)
+    letters = np.empty(len(chunk.data) + len(heads) * (DEPTH - 1))
+    for a, codes, skip in _coded(chunk.data, symbol):
+        part = letters[a : a + len(codes)]
+        part[:] = table[codes]
+        part[skip] = 0
+    spelling = np.add.reduceat(letters, begins)
+    p = LEXICON * c / tokens + (1 - LEXICON) * 10.0**spelling
+    own = c > 0
+    token = np.log10(1 - LEXICON) + spelling  # long words fall below the least number there is
+    token[own] = np.log10(p[own])
+    a, b = blended(chunk, row["first"], row["longer"])
+    at = np.nonzero(b < 1)[0]
+    token[at] += np.log10(b[at])
+    at = np.nonzero(a > 0)[0]
+    token[at] = np.log10(a[at] + b[at] * p[at])
+    rest = np.nonzero(~own)[0]
+    ends = pa.array(np.searchsorted(rest, chunk.heads), pa.int32())
+    out = {"doc_id": pa.array(row["ids"], pa.string()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": n_tokens, "known": np.add.reduceat(own.astype(np.int64), heads)}
+    out |= {"base": np.add.reduceat(np.log10(found + 1)[word], heads), "score": np.add.reduceat(token, heads)}
+    lists = {"rare": words.take(pa.array(word[rest])), "spelling": pa.array(spelling[rest]), "ratio": pa.array(a[rest] / b[rest])}
+    return pa.RecordBatch.from_pydict(out | {k: pa.ListArray.from_arrays(ends, x) for k, x in lists.items()})
+
+
 def _places(rows: DataFrame) -> DataFrame:
     """(row, held_out, at, ctx, phrase, q, spelled): the phrases that have one before them in their text."""
     later = F.size("phrase") - 1
@@ -341,22 +437,23 @@ def score(docs: DataFrame, frequent: int = FREQUENT, divergence: float = DIVERGE
     kind = dict(docs.dtypes)["doc_id"]
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
     packed = written(word_contexts.chunks(docs)) if phrase_bits is None else None
-    seen = packed.select(F.posexplode("bytes").alias("byte", "n")) if phrase_bits is None else None
-    symbol, share, tree, counts = train(docs.filter(~F.col("held_out")), divergence, seen)
+    symbol, share, tree, counts = train(docs.filter(~F.col("held_out")), divergence, packed)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     least, words = frequent_words(counts, frequent)
     model = docs.sparkSession.sparkContext.broadcast((symbol, share, tree, words, max(1, total["n"])))
     numbers = "held_out boolean, n_tokens long, known long, base double, score double, rare array<binary>, spelling array<double>"
     if phrase_bits is None:
         texts = word_contexts.answered(packed.drop("bytes"), written_and_freed)
-        rows = written_and_freed(texts.mapInPandas(_scorer(model, None), f"doc_id string, {numbers}, ratio array<double>, times array<long>"))
+        rows = written_and_freed(texts.mapInArrow(_chunk_scorer(model), f"doc_id string, {numbers}, ratio array<double>"))
         rows = rows.withColumn("doc_id", F.col("doc_id").cast(kind))
     else:
         schema = f"doc_id {kind}, {numbers}, at array<int>, times array<long>, phrase array<long>, q array<double>, spelled array<double>"
         rows = written(docs.mapInPandas(_scorer(model, phrase_bits), schema))
     rows = rows.withColumn("row", F.monotonically_increasing_id())  # written first: ids stay
     place = "ratio" if phrase_bits is None else "at"
-    tail = rows.select("row", F.explode(F.arrays_zip("rare", "spelling", place, "times")).alias("x")).select("row", *[F.col(f"x.{c}").alias(d) for c, d in (("rare", "word"), ("spelling", "spelling"), (place, place), ("times", "k"))])
+    columns = {"rare": "word", "spelling": "spelling", place: place} | ({"times": "k"} if phrase_bits is not None else {})
+    tail = rows.select("row", F.explode(F.arrays_zip(*columns)).alias("x")).select("row", *[F.col(f"x.{c}").alias(d) for c, d in columns.items()])
+    tail = tail if phrase_bits is not None else tail.withColumn("k", F.lit(1))
     tail = tail.join(counts.filter(F.col("n") < least), "word")
     share_of = LEXICON * F.col("n") / max(1, total["n"]) + (1 - LEXICON) * F.pow(F.lit(10.0), "spelling")
     alone = F.log10(F.lit(1 - LEXICON)) + F.col("spelling")  # a word of no share, as which the task has scored it

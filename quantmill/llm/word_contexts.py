@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,14 +126,29 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("id"), "held_out", "text").mapInPandas(pack, PACKED)
 
 
+def stops_of(data: bytes) -> np.ndarray:
+    """Ends of the tokens of packed texts, each with the space or MARK that ends it; the first is where the texts begin."""
+    raw = np.frombuffer(data, np.uint8)
+    return np.concatenate(([-1], np.nonzero((raw == 32) | (raw == MARK))[0])) + 1
+
+
+def tokens_of(data: bytes, stops: np.ndarray) -> pa.LargeBinaryArray:
+    """The tokens, as they lie in the data."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops) - 1, [None, pa.py_buffer(stops), pa.py_buffer(data)])
+
+
+def bare(tokens: pa.Array) -> pa.Array:
+    """Tokens without their last byte: words, and nothing for the end mark."""
+    return pc.binary_slice(tokens, 0, -1).cast(pa.binary())
+
+
 class Chunk:
     """The tokens of a chunk: code, number in its text, whether it is learnt."""
 
     def __init__(self, size: int, packed: bytes, held):
         self.data = pa.decompress(packed, size, "zstd", asbytes=True)
-        raw = np.frombuffer(self.data, np.uint8)
-        stop = np.nonzero((raw == 32) | (raw == MARK))[0] + 1
-        start = np.concatenate(([0], stop[:-1]))
+        raw, stops = np.frombuffer(self.data, np.uint8), stops_of(self.data)
+        self.start, stop = stops[:-1], stops[1:]
         last = np.nonzero(raw[stop - 1] == MARK)[0]
         self.heads = np.concatenate(([0], last + 1))  # first token of each text, and one more
         n = np.diff(self.heads)
@@ -141,12 +157,17 @@ class Chunk:
         self.codes = np.zeros(len(stop), np.uint64)
         a = 0
         while a < len(stop):  # whole tokens, PIECE bytes at a time
-            b = max(a + 1, int(np.searchsorted(stop, start[a] + PIECE)))
-            spans = Spans(BYTE_CODES[raw[start[a] : stop[b - 1]]])
-            self.codes[a:b] = spans.hashes(start[a:b] - start[a], stop[a:b] - start[a])
+            b = max(a + 1, int(np.searchsorted(stop, self.start[a] + PIECE)))
+            spans = Spans(BYTE_CODES[raw[self.start[a] : stop[b - 1]]])
+            self.codes[a:b] = spans.hashes(self.start[a:b] - self.start[a], stop[a:b] - self.start[a])
             a = b
         self.spans = Spans(self.codes)
 
+    def words(self) -> tuple[pa.Array, np.ndarray]:
+        """(the different words, the end mark an empty one; which of them each token is)."""
+        different = tokens_of(self.data, np.append(self.start, len(self.data))).dictionary_encode()
+        return bare(different.dictionary), different.indices.to_numpy()
+
     def first(self) -> tuple[np.ndarray, np.ndarray]:
         """(places, lengths) of all contexts of FIRST words."""
         at = np.nonzero(self.place >= FIRST)[0]
@@ -245,16 +266,16 @@ def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     give_back()
     ctx = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) << np.uint64(8) for x in rows["ctx"]]
     r = Records(np.concatenate(ctx), np.concatenate([_numbers(x, np.uint32) for x in rows["nxt"]]), np.concatenate([_numbers(x, np.uint32) for x in rows["n"]]))
-    got = r.counts()[:, r.of]
+    counts = np.ascontiguousarray(r.counts().T)  # those of one place lie together
     ends = np.cumsum([len(x) for x in ctx])
-    out = [_kept(got[:, a:b]) for a, b in zip((ends - [len(x) for x in ctx]).tolist(), ends.tolist())]
+    out = [_kept(counts, r.of[a:b]) for a, b in zip((ends - [len(x) for x in ctx]).tolist(), ends.tolist())]
     return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "size": [len(x) for x in ctx], "kept": [k for k, _ in out], "counts": [x for _, x in out]})
 
 
-def _kept(counts: np.ndarray) -> tuple[int, bytes | None]:
-    """How many of these contexts are kept; where they are, and their counts."""
-    at = np.nonzero(counts[1])[0]
-    return len(at), pa.compress(_bytes(np.concatenate((np.diff(at, prepend=0), counts[:, at].ravel())), np.uint64), "zstd", asbytes=True) if len(at) else None
+def _kept(counts: np.ndarray, of: np.ndarray) -> tuple[int, bytes | None]:
+    """How many of the contexts of these places are kept; where they are, and their counts."""
+    at = np.nonzero(counts[:, 1][of])[0]
+    return len(at), pa.compress(_bytes(np.concatenate((np.diff(at, prepend=0), counts[of[at]].T.ravel())), np.uint64), "zstd", asbytes=True) if len(at) else None
 
 
 def _answers(asked: DataFrame) -> DataFrame:
@@ -285,7 +306,7 @@ def replies(answers, r: Records) -> np.ndarray:
 
 
 def answered(packed: DataFrame, write) -> DataFrame:
-    """The chunks with the answers to their contexts (first, longer), for unpacked(); ``write`` writes a table down."""
+    """The chunks with the answers to their contexts (first, longer), for blended(); ``write`` writes a table down."""
     total = packed.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first()["n"]
     bits = max(0, (int(total) - 1) // RANGE).bit_length()
     first = write(_answers(packed.mapInPandas(_ask_first(bits), ASKED)))
@@ -295,26 +316,17 @@ def answered(packed: DataFrame, write) -> DataFrame:
     return packed.join(both, "chunk", "left")
 
 
-def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each text: id, held_out, text, and for each of its tokens ``a`` and ``b``: its probability is a + b times that without words before it."""
-    for batch in batches:
-        for c in batch.itertuples():
-            yield _texts(c)
-
-
-def _texts(c) -> pd.DataFrame:
-    """What unpacked() gives of one chunk; no working array outlives it."""
-    chunk = Chunk(c.size, c.packed, c.held)
+def blended(chunk: Chunk, first, longer) -> tuple[np.ndarray, np.ndarray]:
+    """For each token ``a`` and ``b``, from the answers: its probability is a + b times that without words before it."""
     a, b = np.zeros(len(chunk.codes)), np.ones(len(chunk.codes))
     at, lengths = chunk.first()
-    got = replies(c.first, chunk.records(at, lengths))
+    got = replies(first, chunk.records(at, lengths))
     _blend(a, b, at, got)
     at, lengths = chunk.longer(at[got[2] > 1])
-    got = replies(c.longer, chunk.records(at, lengths))
+    got = replies(longer, chunk.records(at, lengths))
     for k in np.unique(lengths):
         _blend(a, b, at[lengths == k], got[:, lengths == k])
-    cut = chunk.heads[1:-1]
-    return pd.DataFrame({"doc_id": list(c.ids), "held_out": list(c.held), "text": chunk.data.split(bytes([MARK]))[:-1], "a": np.split(a, cut), "b": np.split(b, cut)})
+    return a, b
 
 
 def _blend(a: np.ndarray, b: np.ndarray, at: np.ndarray, got: np.ndarray) -> None:

@@ -857,6 +857,48 @@ def test_suffix_tree_counts_in_little_memory(monkeypatch):
     assert counted() == (words, codes)
 
 
+@pytest.mark.parametrize("symbols_at_a_time", [1 << 19, 7])
+def test_suffix_tree_looks_each_word_of_a_chunk_up_once(monkeypatch, symbols_at_a_time):
+    """Chunks are counted and scored as texts are; a word that a chunk holds many times is looked up once."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    class Counts(dict):
+        asked = 0
+
+        def get(self, *x):
+            self.asked += 1
+            return super().get(*x)
+
+    some = ["Ka lo", "ka  ka", "", None, "é\x00 x", "y" * 500, "lo", "lo lo", "unseen " + "".join(map(chr, range(33, 256)))]
+    rows = pd.DataFrame({"id": [str(i) for i in range(900)], "held_out": [i % 9 in (3, 8) for i in range(900)], "text": some * 100})
+    with unittest.mock.patch.object(word_contexts, "TaskContext"):
+        word_contexts.TaskContext.get.return_value.partitionId.return_value = 0
+        packed = pd.concat(word_contexts.pack(iter([rows]))).assign(first=None, longer=None)  # too short for contexts
+    batches = [pa.RecordBatch.from_pylist(packed.to_dict("records"))]
+    symbol = suffix_tree.symbol_table({i: int(n) for i, n in enumerate(packed["bytes"].iloc[0]) if n})
+    learnt = rows[~rows["held_out"]].reset_index(drop=True)
+    plain = pd.concat(suffix_tree._counter(symbol)(iter([learnt])))
+    monkeypatch.setattr(suffix_tree, "CHUNK", symbols_at_a_time)
+    monkeypatch.setattr(suffix_tree, "HELD_SYMBOLS", 1000)
+    found = pa.Table.from_batches(suffix_tree._chunk_counter(symbol)(iter(batches))).to_pandas()
+    words, codes = ([x[x[k].notna()].groupby(k)["n"].sum().to_dict() for x in (plain, found)] for k in ("word", "code"))
+    assert words[0] == words[1] and codes[0] == codes[1] and words[0][b"lo"] == 400
+
+    tree = suffix_tree.build_tree(np.array(sorted(codes[0]), np.int64), np.array([codes[0][x] for x in sorted(codes[0])], np.int64))
+    model = SimpleNamespace(value=(symbol, 0.1, tree, Counts((w, n) for w, n in words[0].items() if w != b"x"), sum(words[0].values())))
+    want = pd.concat(suffix_tree._scorer(model, 0)(iter([rows.rename(columns={"id": "doc_id"})])))
+    model.value[3].asked = 0
+    got = pa.Table.from_batches(suffix_tree._chunk_scorer(model)(iter(batches))).to_pandas()
+    assert model.value[3].asked == 8  # the end mark, ka, lo, é, x, y, and the two of the last text
+    for c in ("doc_id", "held_out", "n_tokens", "known"):
+        assert got[c].tolist() == want[c].tolist()
+    assert np.allclose(got["base"], want["base"]) and np.allclose(got["score"], want["score"], rtol=1e-6)
+    for a, b in zip(got.itertuples(), want.itertuples()):
+        assert list(a.rare) == list(b.rare) and np.allclose(list(a.spelling), list(b.spelling), rtol=1e-6) and not any(a.ratio)
+
+
 def test_suffix_tree_odd_rows(odd, nothing):
     got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in suffix_tree.score(odd).collect())
     assert got == sorted((r[0] or 0, len(WORD.findall(r[1] or "")) + 1) for r in ODD) and suffix_tree.score(nothing).count() == 0
