@@ -367,21 +367,21 @@ def _chunk_scores(row: dict, symbol: np.ndarray, table: np.ndarray, counts: dict
     """The scores of one chunk; no working array outlives it."""
     chunk = Chunk(row["size"], row["packed"], row["held"])
     heads, n_tokens = chunk.heads[:-1], np.diff(chunk.heads)
+    a, b = blended(chunk, row["first"], row["longer"])
+    begins = chunk.start + np.repeat(np.arange(len(heads)) * (DEPTH - 1), n_tokens)
+    spelling = np.zeros(len(begins))
+    for at, codes, skip in _coded(chunk.data, symbol):
+        letters = table[codes].astype(np.float64)
+        letters[skip] = 0
+        i, j = np.searchsorted(begins, at, "right") - 1, np.searchsorted(begins, at + len(codes))
+        spelling[i:j] += np.add.reduceat(letters, np.maximum(begins[i:j] - at, 0))  # the first may have begun before
     words, word = chunk.words()
     found = np.array([counts.get(w, 0) for w in words.to_numpy(zero_copy_only=False)], np.float64)
     c = found[word]
-    begins = chunk.start + np.repeat(np.arange(len(heads)) * (DEPTH - 1), n_tokens)
-    letters = np.empty(len(chunk.data) + len(heads) * (DEPTH - 1))
-    for a, codes, skip in _coded(chunk.data, symbol):
-        part = letters[a : a + len(codes)]
-        part[:] = table[codes]
-        part[skip] = 0
-    spelling = np.add.reduceat(letters, begins)
     p = LEXICON * c / tokens + (1 - LEXICON) * 10.0**spelling
     own = c > 0
     token = np.log10(1 - LEXICON) + spelling  # long words fall below the least number there is
     token[own] = np.log10(p[own])
-    a, b = blended(chunk, row["first"], row["longer"])
     at = np.nonzero(b < 1)[0]
     token[at] += np.log10(b[at])
     at = np.nonzero(a > 0)[0]

@@ -206,13 +206,17 @@ class Records:
         self.of[order] = np.cumsum(new) - 1
 
     def counts(self) -> np.ndarray:
-        """For each: its learners, those of its context, and how many tokens follow that; zeros where it isn't kept."""
+        """A row for each: its learners, those of its context, and how many tokens follow that; zeros where it isn't kept."""
+        out = np.zeros((len(self.ctx), 3), np.int64)
         opens = np.concatenate(([True], self.ctx[1:] != self.ctx[:-1]))[: len(self.ctx)]
         at, of = np.nonzero(opens)[0], np.cumsum(opens) - 1
-        if not len(at):
-            return np.zeros((3, 0), np.int64)
-        kept = np.maximum.reduceat(self.n, at) >= SUPPORT
-        return np.where(kept[of], np.stack((self.n, np.add.reduceat(self.n, at)[of], np.add.reduceat((self.n > 0).astype(np.int64), at)[of])), 0)
+        if len(at):
+            rows = np.nonzero((np.maximum.reduceat(self.n, at) >= SUPPORT)[of])[0]
+            of = of[rows]
+            out[rows, 0] = self.n[rows]
+            out[rows, 1] = np.add.reduceat(self.n, at)[of]
+            out[rows, 2] = np.add.reduceat((self.n > 0).astype(np.int64), at)[of]
+        return out
 
 
 def _bytes(x: np.ndarray, kind) -> bytes:
@@ -225,6 +229,19 @@ def _numbers(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def _short(x: np.ndarray) -> bytes:
+    """As _bytes(), without the high bytes that are zero in all; before them, how many each number has."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(x.reshape(-1, 1).view(np.uint8)[:, :width].T).tobytes()
+
+
+def _from_short(data: bytes, kind) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], np.dtype(kind).itemsize), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view(kind).ravel()
+
+
 # shuffled ------------------------------------------------------------------------------------------------------------
 ASKED = "chunk long, bucket int, ctx binary, nxt binary, n binary"
 
@@ -233,7 +250,7 @@ def _asked(chunk: int, r: Records, bits: int) -> pd.DataFrame:
     bucket = (r.ctx >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(r.ctx), np.int64)
     cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1))
     some = [(b, slice(x, y)) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
-    columns = {"ctx": [_bytes(np.diff(r.ctx[s] >> np.uint64(8), prepend=np.uint64(0)), np.uint64) for _, s in some], "nxt": [_bytes(r.nxt[s], np.uint32) for _, s in some], "n": [_bytes(r.n[s], np.uint32) for _, s in some]}
+    columns = {"ctx": [_short(np.diff(r.ctx[s] >> np.uint64(8), prepend=np.uint64(0))) for _, s in some], "nxt": [_short(r.nxt[s]) for _, s in some], "n": [_short(r.n[s].astype(np.uint32)) for _, s in some]}
     return pd.DataFrame({"chunk": chunk, "bucket": [b for b, _ in some], **columns})
 
 
@@ -264,12 +281,14 @@ def _ask_longer(bits: int):
 def _answer(rows: pd.DataFrame) -> pd.DataFrame:
     """What all chunks ask of one range of hashes: counts in the order asked, nothing where all are zero."""
     give_back()
-    ctx = [np.cumsum(_numbers(x, np.uint64), dtype=np.uint64) << np.uint64(8) for x in rows["ctx"]]
-    r = Records(np.concatenate(ctx), np.concatenate([_numbers(x, np.uint32) for x in rows["nxt"]]), np.concatenate([_numbers(x, np.uint32) for x in rows["n"]]))
-    counts = np.ascontiguousarray(r.counts().T)  # those of one place lie together
-    ends = np.cumsum([len(x) for x in ctx])
-    out = [_kept(counts, r.of[a:b]) for a, b in zip((ends - [len(x) for x in ctx]).tolist(), ends.tolist())]
-    return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "size": [len(x) for x in ctx], "kept": [k for k, _ in out], "counts": [x for _, x in out]})
+    ctx = [np.cumsum(_from_short(x, np.uint64), dtype=np.uint64) << np.uint64(8) for x in rows["ctx"]]
+    cuts = np.cumsum([0, *map(len, ctx)]).tolist()
+    ctx = np.concatenate(ctx)
+    r = Records(ctx, np.concatenate([_from_short(x, np.uint32) for x in rows["nxt"]]), np.concatenate([_from_short(x, np.uint32) for x in rows["n"]]))
+    del ctx
+    counts = r.counts()
+    out = [_kept(counts, r.of[a:b]) for a, b in zip(cuts, cuts[1:])]
+    return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "size": np.diff(cuts), "kept": [k for k, _ in out], "counts": [x for _, x in out]})
 
 
 def _kept(counts: np.ndarray, of: np.ndarray) -> tuple[int, bytes | None]:

@@ -899,6 +899,14 @@ def test_suffix_tree_looks_each_word_of_a_chunk_up_once(monkeypatch, symbols_at_
         assert list(a.rare) == list(b.rare) and np.allclose(list(a.spelling), list(b.spelling), rtol=1e-6) and not any(a.ratio)
 
 
+@pytest.mark.parametrize("most", [0, 1, 255, 256, 2**24 - 1, 2**31])
+def test_suffix_tree_asks_without_zero_bytes(most):
+    for kind in (np.uint32, np.uint64):
+        x = np.array([0, most, most // 2], kind)
+        data = word_contexts._short(x)
+        assert word_contexts._from_short(data, kind).tolist() == x.tolist() and len(data) == 1 + 3 * max(1, (most.bit_length() + 7) // 8)
+
+
 def test_suffix_tree_odd_rows(odd, nothing):
     got = sorted((r["doc_id"] or 0, r["n_tokens"]) for r in suffix_tree.score(odd).collect())
     assert got == sorted((r[0] or 0, len(WORD.findall(r[1] or "")) + 1) for r in ODD) and suffix_tree.score(nothing).count() == 0
