@@ -137,3 +137,30 @@ def test_last_zscores_of_tiles_equal_windows(spark, symbols, dates):
         assert (got[k]["rows"], got[k]["date"], got[k]["zscore"]) == (r["rows"], r["date"], pytest.approx(r["zscore"], abs=1e-7)), k
     assert got["S03", "S05"]["rows"] < 80 - 12
     assert not tiles.all_pairs_last_zscore(rows.limit(0), universe, 12).collect()
+
+
+def test_large_groups_write_a_block_once(spark, monkeypatch):
+    """Prices of a group over TRAVELS symbols do not travel to tiles, and results are those of prices that do."""
+    symbols = spark.range(tiles.SYMBOLS * 4 + 1).select(F.format_string("S%06d", "id").alias("symbol"))
+    plan = tiles.all_pairs_ols(symbols.select("symbol", F.lit("2020-01-01").alias("date"), F.lit(2.0).alias("price")), symbols.withColumn("group_name", F.lit("g")))._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+
+    groups = {f"S{i:02d}": [None, "g", "g", "h"][i % 4] for i in range(40)} | {"T0": "small", "T1": "small"}
+    rows = [(s, d, float(np.exp(RNG.normal(2, 0.1)))) for s in groups for d in range(60) if RNG.random() < 0.8]
+    rows = spark.createDataFrame(rows, "symbol string, day int, price double").select("symbol", F.date_add(F.lit("2020-01-01").cast("date"), F.col("day")).alias("date"), "price")
+    universe = spark.createDataFrame(list(groups.items()), "symbol string, group_name string")
+
+    def results():
+        out = [f(rows, universe).collect() for f in (tiles.all_pairs_ols, lambda *a: tiles.all_pairs_last_zscore(*a, 12))]
+        return [{tuple(r[:3]): [v if not isinstance(v, float) else pytest.approx(v, rel=1e-9, abs=1e-12) for v in r[3:]] for r in x} for x in out]
+
+    travelled = [{k: [getattr(v, "expected", v) for v in r] for k, r in x.items()} for x in results()]
+    assert [len(x) for x in travelled] == [45 + 190 + 45 + 1] * 2
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(tiles, "TRAVELS", 5)
+    monkeypatch.setattr(tiles, "NEIGHBOURS", 9)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")  # several blocks of a group and a partition
+        assert results() == travelled
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
